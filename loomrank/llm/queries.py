@@ -6,7 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import near_dedup, suffix_dedup
+from loomrank.llm import near_dedup, piece_codec, suffix_dedup
+
+
+def tokenizer(name: str) -> str:
+    """Where the installation keeps a public vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +28,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op9_piece_codec": op9_piece_codec,
 }
 
 ORACLES: dict[str, str] = {}
