@@ -111,12 +111,16 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         row = end
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs without ASCII white space: starts, ends, and each text's first word (one more at the end)."""
+LETTER = np.zeros(256, bool)
+LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def words(data: np.ndarray, at: np.ndarray, of: np.ndarray = ~SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of the bytes `of` (all but ASCII white space): starts, ends, and each text's first run (one more at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    solid = ~SPACE[data]
+    solid = of[data]
     first = np.zeros(n + 1, bool)
     first[at] = True
     begins = solid.copy()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import near_dedup, packing, piece_codec, suffix_dedup
+from loomrank.llm import near_dedup, packing, piece_codec, suffix_dedup, toxicity
 
 
 def tokenizer(name: str) -> str:
@@ -32,6 +32,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encoded(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op8_toxicity": op8_toxicity,
     "op9_piece_codec": op9_piece_codec,
 }
 
