@@ -10,8 +10,11 @@ Documents with the same shingle set become one class before bucketing.  Within a
 bucket the smallest member is a star's centre and is paired with the others, so a
 bucket of m members gives m - 1 pairs.  Pairs are confirmed on the full shingle
 sets.  Buckets whose members then still belong to different components get the
-next centre, and after STARS such rounds the pairs left between components are
-confirmed all, so no link that matters for a component is lost.
+next centre.  After STARS such rounds an exact prefix filter takes the documents
+of the buckets that are still mixed: with shingles in order of their frequency,
+two similar sets share one of the first n - ceil(0.75 n) + 1 of each.  Passages
+that many documents share come last in that order and make no pairs, and no link
+that matters for a component is lost.
 """
 
 from __future__ import annotations
@@ -22,13 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomrank.llm import scratch
-from loomrank.llm.bytescan import FIRST, LOWER, U64, Rolling, chunks, mix, words
+from loomrank.llm.bytescan import FIRST, LOWER, U64, Rolling, chunks, mix, strings, words
 
 SHINGLE = 5
 BANDS, ROWS = 48, 5
-STARS = 3
+STARS = 2
 SCAN = 1 << 18
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 _state: dict = {}
@@ -141,8 +145,8 @@ def _confirmed(percent: int, size: int):
                 rows = 0
                 while rows < len(left):
                     upto = min(rows + 64, len(left))
-                    sets_a, at_a = distinct(*shingles(*_flat(left[rows:upto]), size))
-                    sets_b, at_b = distinct(*shingles(*_flat(right[rows:upto]), size))
+                    sets_a, at_a = distinct(*shingles(*strings(left[rows:upto]), size))
+                    sets_b, at_b = distinct(*shingles(*strings(right[rows:upto]), size))
                     for i in range(upto - rows):
                         a, b = sets_a[at_a[i] : at_a[i + 1]], sets_b[at_b[i] : at_b[i + 1]]
                         both = np.concatenate([a, b])
@@ -155,12 +159,6 @@ def _confirmed(percent: int, size: int):
     return run
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    from loomrank.llm.bytescan import strings
-
-    return strings(column)
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     got = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -191,10 +189,11 @@ def components(links: DataFrame, seen: DataFrame | None = None) -> DataFrame:
             return labels.select("id", "component")
 
 
-def _pairs_of(rows: DataFrame, key: str) -> DataFrame:
-    """A star around the smallest member of every bucket (key, id, n)."""
-    centres = scratch.saved(rows.groupBy(key).agg(F.min(F.struct("id", "n")).alias("centre"), F.count("*").alias("m")).where("m > 1").drop("m"), "centres")
-    return rows.join(centres, key).select(key, F.col("centre.id").alias("a"), F.col("id").alias("b"), F.col("centre.n").alias("na"), F.col("n").alias("nb")), centres
+def _star(rows: DataFrame, *more: str) -> DataFrame:
+    """The smallest member of every bucket (key, id, n) of two and more, with each member: a, b, na, nb (and ca, cb)."""
+    columns = {"id": "", "n": "n"} | {c: "c" for c in more}
+    centres = scratch.saved(rows.groupBy("key").agg(F.min(F.struct(*columns)).alias("centre"), F.count("*").alias("m")).where("m > 1").drop("m"), "centres")
+    return rows.join(centres, "key").select("key", *(F.col(f"centre.{c}").alias(f"{k}a") for c, k in columns.items()), *(F.col(c).alias(f"{k}b") for c, k in columns.items()))
 
 
 def _fits(percent: int, x: str = "na", y: str = "nb"):
@@ -202,6 +201,34 @@ def _fits(percent: int, x: str = "na", y: str = "nb"):
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _exploded(size: int):
+    """(id, component, n, shingle) for every distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for r0, r1, data, at in chunks(batch.column("text"), SCAN):
+                    sets, begin = distinct(*shingles(data, at, size))
+                    row = pa.array(r0 + np.repeat(np.arange(r1 - r0), np.diff(begin)))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("id", "component", "n")), pa.array(sets.view(np.int64))], ["id", "component", "n", "shingle"])
+
+    return run
+
+
+def _prefix_pairs(some: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
+    """All pairs (a, b) of different components in (id, component, n) that can be similar enough, by their rarest shingles."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    rows = scratch.saved(some.join(texts, "id").select("id", "component", "n", "text").mapInArrow(_exploded(size), "id long, component long, n long, shingle long"), "shingles")
+    common = scratch.saved(rows.groupBy("shingle").agg(F.count("*").alias("often"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("often > 1"), "common")
+    own = Window.partitionBy("id")
+    shared = rows.join(common, "shingle").withColumn("nth", F.row_number().over(own.orderBy("often", "shingle"))).withColumn("m", F.count("*").over(own))
+    alone = F.col("n") - F.col("m")  # shingles of no other document come first
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    kept = scratch.saved(shared.where((F.col("nth") <= first - alone) & (F.col("c0") < F.col("c1"))).select("id", "component", "n", "shingle"), "prefixes")
+    one, two = (kept.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    return one.join(two, "shingle").where("a < b and ca <> cb").where(_fits(percent)).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept.
 
@@ -214,39 +241,33 @@ def classes(docs: DataFrame, percent: int = 75, size: int = SHINGLE, bands: int
     signed = scratch.saved(texts.mapInArrow(_signed(bands, rows, size), "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"), "signed")
     sets = scratch.saved(signed.where("n_shingles > 0").groupBy("set1", "set2").agg(F.min("doc_id").alias("id")), "sets")
     buckets = signed.join(sets.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    star, centres = _pairs_of(buckets, "key")
-    star = scratch.saved(star, "buckets")  # only buckets of two and more
-    scratch.drop(centres)
+    star = scratch.saved(_star(buckets), "buckets")  # only buckets of two and more
     scratch.release(spark)
-    links = None
-    labels = None
-    rows_left = star.select("key", F.col("b").alias("id"), F.col("nb").alias("n"))
-    pairs = star.where(F.col("a") < F.col("b")).where(_fits(percent)).select("a", "b").distinct()
+    members = star.select("key", F.col("b").alias("id"), F.col("nb").alias("n"))
+    pairs = star.where("a < b").where(_fits(percent)).select("a", "b").distinct()
+    links = labels = None
     for turn in range(STARS + 1):
-        tested = scratch.saved(pairs, "pairs")
-        new = scratch.saved(confirmed(tested, docs, percent, size), "links")
+        new = scratch.saved(confirmed(scratch.saved(pairs, "pairs"), docs, percent, size), "links")
         scratch.release(spark)
         links = new if links is None else scratch.saved(links.unionByName(new), "links")
         labels = components(links)
         if turn == STARS:
             break
-        named = rows_left.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # a centre has met all members of its bucket and leaves; buckets of one component are settled
+        named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         lead = named.groupBy("key").agg(F.min("id").alias("lead"))
-        named = scratch.saved(named.join(lead, "key").where(F.col("id") != F.col("lead")).drop("lead"), "named")
-        mixed = scratch.saved(named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.min(F.struct("id", "n", "component")).alias("centre")).where("least < most"), "mixed")
-        left = scratch.saved(named.join(mixed.select("key", "centre"), "key"), "left")
+        named = scratch.saved(named.join(lead, "key").where("id <> lead").drop("lead"), "named")
+        mixed = scratch.saved(named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"), "mixed")
+        left = scratch.saved(named.join(mixed, "key"), "left")
         scratch.release(spark)
         if not left.limit(1).count():
             break
-        rows_left = left.select("key", "id", "n")
+        members = left.select("key", "id", "n")
         if turn < STARS - 1:
-            ahead = left.select(F.col("centre.id").alias("a"), F.col("id").alias("b"), F.col("centre.n").alias("na"), F.col("n").alias("nb"), F.col("centre.component").alias("ca"), F.col("component").alias("cb"))
+            star = _star(left, "component")
+            pairs = star.where("a < b and ca <> cb").where(_fits(percent)).select("a", "b").distinct()
         else:
-            one = left.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            two = left.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            ahead = one.join(two, "key").where("a < b")
-        pairs = ahead.where("ca <> cb").where(_fits(percent)).select("a", "b").distinct()
+            pairs = _prefix_pairs(left.select("id", "component", "n").distinct(), docs, percent, size)
     known = sets.join(labels, "id", "left").select("set1", "set2", F.coalesce("component", "id").alias("component"))
     known = scratch.saved(known, "known")
     out = signed.select("doc_id", "n_shingles", "set1", "set2").join(known, ["set1", "set2"], "left")
