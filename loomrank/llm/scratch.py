@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+#: Paths that saved() has written and drop() or sweep() hasn't deleted, oldest first.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes a table and reads it again: later plans start from files that outlive any executor."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
@@ -45,6 +48,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Deletes a table made by saved() that nothing reads any more."""
+    _written.remove(df.scratch_path)
     delete(df.sparkSession, df.scratch_path)
 
 
@@ -60,7 +64,19 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def clear(spark: SparkSession) -> None:
-    """Deletes all scratch tables of this application; for when every earlier result has been written."""
-    delete(spark, run_dir(spark))
+def mark() -> int:
+    return len(_written)
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables; for when every result that reads them has been written."""
+    for path in paths:
+        if path in _written:
+            _written.remove(path)
+            delete(spark, path)
     release(spark)
+
+
+def since(start: int) -> list[str]:
+    """The tables written since mark() that are still there."""
+    return _written[start:]

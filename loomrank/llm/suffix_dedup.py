@@ -281,13 +281,13 @@ def cleaned(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
     A column n_chars, if there is one, gets the new number of characters.
     """
     found = repeats(docs, length, k)
-    joined = _joined(docs, found)
+    joined, columns = _joined(docs, found), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = [x[1].decode() if t.is_valid else None for x, t in zip(_rows(batch, length, True), batch.column(at), strict=True)]
-            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(docs.columns)
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
     out = joined.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
