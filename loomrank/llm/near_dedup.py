@@ -224,9 +224,11 @@ def _prefix_pairs(some: DataFrame, docs: DataFrame, percent: int, size: int) ->
     shared = rows.join(common, "shingle").withColumn("nth", F.row_number().over(own.orderBy("often", "shingle"))).withColumn("m", F.count("*").over(own))
     alone = F.col("n") - F.col("m")  # shingles of no other document come first
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    kept = scratch.saved(shared.where((F.col("nth") <= first - alone) & (F.col("c0") < F.col("c1"))).select("id", "component", "n", "shingle"), "prefixes")
-    one, two = (kept.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    return one.join(two, "shingle").where("a < b and ca <> cb").where(_fits(percent)).select("a", "b").distinct()
+    kept = scratch.saved(shared.where((F.col("nth") <= first - alone) & (F.col("c0") < F.col("c1"))).select("id", "component", "n", "shingle", (F.col("m") - F.col("nth") + 1).alias("rest")), "prefixes")
+    one, two = (kept.select("shingle", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("rest").alias(f"rest{x}")) for x in "ab")
+    # from the first shingle that two similar sets share, both have enough shared ones left
+    enough = F.least("resta", "restb") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    return one.join(two, "shingle").where("a < b and ca <> cb").where(_fits(percent) & enough).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
