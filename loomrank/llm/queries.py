@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrank.llm import near_dedup, packing, piece_codec, suffix_dedup, toxicity
+from loomrank.llm import near_dedup, packing, piece_codec, scratch, suffix_dedup, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -32,6 +32,13 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), percent=75)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch.new_path(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), path, least=0)
+    found = warc.read(spark, path, payloads=False).where("kind = 'record'")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -44,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op9_piece_codec": op9_piece_codec,
 }
