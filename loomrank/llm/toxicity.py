@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loomrank.llm.bytescan import LETTER, LOWER, SECOND, U64, Rolling, chunks, mix, words
 
 #: Labelled rows that training takes at most, of each label, and the most bytes of each.
-SAMPLE, LONGEST = {1: 2500, 0: 5000}, 1 << 16
+SAMPLE, LONGEST = {1: 2000, 0: 4000}, 1 << 16
 PREFIXES = (4, 5, 7)
 #: Least likelihood ratio (G squared) and documents of a feature that marks toxic tokens; features kept at most.
 EVIDENCE, SUPPORT, FEATURES = 17.0, 4, 5000
@@ -64,24 +64,36 @@ def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, first, np.stack(kinds, axis=1)
 
 
-def _selected(features: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features that go with toxic documents, and of them those strong enough to label tokens."""
-    found = [np.unique(f) for f in features]
-    keys, back = np.unique(np.concatenate(found), return_inverse=True)
-    doc = np.repeat(np.arange(len(found)), [len(f) for f in found])
-    t = np.bincount(back, weights=toxic[doc], minlength=len(keys))
-    c = np.bincount(back, minlength=len(keys)) - t
+def _by_text(texts: list[str]) -> Iterator[np.ndarray]:
+    """Each text's features, token by kind; computed again each time, as all at once would fill the driver."""
+    for r0, r1, data, at in chunks(pa.array(texts, pa.large_string()), SCAN):
+        _, _, first, f = tokens(data, at)
+        for i in range(r1 - r0):
+            yield f[first[i] : first[i + 1]]
+
+
+def _selected(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Features that go with toxic documents far beyond chance, sorted."""
+    bad = [np.unique(f) for f in _by_text([x for x, y in zip(texts, toxic, strict=True) if y])]
+    keys, t = np.unique(np.concatenate(bad), return_counts=True)
+    keys, t = keys[(t >= SUPPORT) & (keys != 0)], t[(t >= SUPPORT) & (keys != 0)]
+    del bad
+    c = np.zeros(len(keys))
+    if not len(keys):
+        return keys
+    for f in _by_text([x for x, y in zip(texts, toxic, strict=True) if not y]):
+        f = np.unique(f)
+        at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
+        c[at[keys[at] == f]] += 1
     nt, nc = max(1.0, toxic.sum()), max(1.0, len(toxic) - toxic.sum())
     share = nt / (nt + nc)
     both = t + c
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.where(t > 0, t * np.log(t / (both * share)), 0) + np.where(c > 0, c * np.log(c / (both * (1 - share))), 0))
-    rate = t / nt / (t / nt + (c + 0.5) / nc)
-    marks = (t >= SUPPORT) & (g >= EVIDENCE) & (rate > 0.9) & (keys != 0)
+    g = 2 * (t * np.log(t / (both * share)) + np.where(c > 0, c * np.log(np.maximum(c, 1) / (both * (1 - share))), 0))
+    marks = (g >= EVIDENCE) & (t / nt / (t / nt + (c + 0.5) / nc) > 0.9)
     order = np.flatnonzero(marks)
     if len(order) > FEATURES:
         order = np.sort(order[np.argsort(-g[order], kind="stable")[:FEATURES]])
-    return keys[order], g[order]
+    return keys[order]
 
 
 def _emissions(feature: np.ndarray, keys: np.ndarray, quick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,20 +237,19 @@ def fit(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0, 1
     if not len(y) or y.min() == y.max():
         return none
     with np.errstate(over="ignore"):
-        feature = []
-        for r0, r1, data, at in chunks(pa.array(texts, pa.large_string()), SCAN):
-            _, _, first, f = tokens(data, at)
-            feature += [f[first[i] : first[i + 1]] for i in range(r1 - r0)]
-        keys, _ = _selected(feature, y)
+        keys = _selected(texts, y)
         if not len(keys):
             return none
         quick = _quick(keys)
-        hits = [_emissions(f, keys, quick) for f in feature]
+        hits, sizes = [], []
+        for f in _by_text(texts):
+            hits.append(_emissions(f, keys, quick))
+            sizes.append(len(f))
     # windows around labelled tokens of toxic texts, and one window of every text
     starts, owner = [], []
     for d, (row, _) in enumerate(hits):
-        n = len(feature[d])
-        own = {max(0, min(int(r) - WINDOW // 2, n - WINDOW)) for r in row[:: max(1, len(row) // 8)]} | {(n * 7 // 11) % max(1, n - WINDOW)}
+        n = sizes[d]
+        own = {max(0, min(int(r) - WINDOW // 2, n - WINDOW)) for r in row[:: max(1, -(-len(row) // 4))]} | {(n * 7 // 11) % max(1, n - WINDOW)}
         if n >= WINDOW:
             starts += sorted(own)
             owner += [d] * len(own)
@@ -255,7 +266,7 @@ def fit(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0, 1
             labels[w, row[inside] - s] = 1
     weights, bias, moves = _fitted(labels, labels, (np.concatenate(cells), np.concatenate(which)), len(keys))
     field = Field(keys, weights, bias, moves, none.calibration, prior)
-    x = np.concatenate([_summary(*_scored(*h, len(f), field)) for h, f in zip(hits, feature, strict=True)])
+    x = np.concatenate([_summary(*_scored(*h, n, field)) for h, n in zip(hits, sizes, strict=True)])
     field.calibration = _calibrated(x, y.astype(float), np.where(y == 1, rates[1], rates[0]) / max(rates))
     return field
 
