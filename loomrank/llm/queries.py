@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm import bit_sliced, near_dedup, packing, page_text, piece_codec, prefix_forest, scratch, suffix_dedup, toxicity, warc
+from loomrank.llm import bit_sliced, near_dedup, packing, page_text, piece_codec, prefix_forest, scratch, sharding, suffix_dedup, toxicity, warc
 
 
 def tokenizer(name: str) -> str:
@@ -41,6 +41,10 @@ def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extracted(table(spark, sf_dir, "pages"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch.new_path(spark, "archives")
     warc.write(table(spark, sf_dir, "pages"), path, least=0)
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_page_text": op5_page_text,
+    "op6_sharding": op6_sharding,
     "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op9_piece_codec": op9_piece_codec,
