@@ -1,4 +1,473 @@
 """The queries that the driver runs, by name, with their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomrank.functions import codec, scoring
+from loomrank.functions.scoring import BM25, Identity, LinearQuantizer
+from loomrank.operators import encoding, latency, planning, ranking, segments
+from loomrank.operators.planning import EXHAUSTIVE, Mode
+from loomrank.plans import index as indexes
+from loomrank.plans import search as searches
+from loomrank.plans.index import Index
+from loomrank.sinks import runs
+from loomrank.sources import query_lines, requests, text
+
+K = 10
+THRESHOLD = 20
+#: Lines that exercise the parser: colons, bad ids, no tokens, repeats, weights beyond the largest.
+LINES = [
+    "111:this has no colon", "112:this has : one colon", "113:this has : : : many : : : colons", "abc:x", "7:", "8:   ", "9 no colon", "9", "10:b a b",
+    "11:" + "x " * 64 + "y y y", "+12:plus\tsigned", "-13:negative", "14:the la the de", "15: ünï  çödé ",
+]
+REQUESTS = [
+    '{"query": {"id": 1, "tokens": [{"token": "the", "freq": 1}, {"token": "of", "freq": 2}]}, "k": 5, "query_mode": {"Fraction": 1.0}}',
+    '{"query": {"id": 2, "tokens": [{"token": "of", "freq": 3}, {"token": "of", "freq": 1}]}, "k": 3, "query_mode": {"Fixed": 200}}',
+    '{"query": {"id": 3, "tokens": [{"token": "de", "freq": 1}]}, "k": 0, "query_mode": {"Fixed": 1}}',
+    '{"query": {"id": 4, "tokens": [{"token": "de", "freq": 1}]}, "k": 4, "query_mode": {"Fraction": 1.5}}',
+    "not json",
+]
+
+_indexes: dict[tuple, Index] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def index(spark: SparkSession, sf_dir: str, scorer=None) -> Index:
+    """The documents' index, built once per session and held: searches run on an index that is there."""
+    key = (spark.sparkContext.applicationId, sf_dir, scorer or BM25())
+    if key not in _indexes:
+        _indexes[key] = indexes.from_documents(table(spark, sf_dir, "documents"), scorer or BM25(), dense=False).persist()
+    return _indexes[key]
+
+
+def query_lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.concat_ws(":", F.col("item_id").cast("string"), "text").alias("value"))
+
+
+def terms(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
+    return query_lines.from_lines(query_lines_of(spark, sf_dir), weighted)
+
+
+def literal_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(x,) for x in LINES], "value string")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.createDataFrame([("1:the la de",)], "value string")
+    built = indexes.from_documents(table(spark, sf_dir, "documents"))
+    return searches.search(built, query_lines.from_lines(lines), K)
+
+
+# ---- DuckDB's side --------------------------------------------------------------------------------------------------
+
+_SPACE = r"[ \t\n\x0B\f\r]+"
+_BITS = 8
+
+
+def _quote(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _queries_cte(source: str, weighted: bool) -> dict[str, str]:
+    limit = query_lines.WEIGHTED if weighted else query_lines.UNWEIGHTED
+    return {
+        "ql": source,
+        "qp": r"SELECT TRY_CAST(regexp_extract(line, '^([^:]*):', 1) AS BIGINT) AS qid, unnest(regexp_split_to_array(regexp_extract(line, '(?s)^[^:]*:(.*)$', 1), '[ \t\n\x0B\f\r]+')) AS token "
+        r"FROM ql WHERE regexp_matches(line, '^\+?[0-9]+:')",
+        "qb": "SELECT qid, token, count(*) AS freq FROM qp WHERE token <> '' AND qid IS NOT NULL GROUP BY qid, token",
+        "qm": "SELECT qid, token, freq, max(freq) OVER (PARTITION BY qid) AS max_freq, CAST(row_number() OVER (PARTITION BY qid ORDER BY token DESC) - 1 AS INTEGER) AS pos FROM qb",
+        "qt": f"SELECT qid, pos, token, {scoring.rescaled_sql('freq', 'max_freq', limit)} AS weight FROM qm",
+    }
+
+
+_BENCHMARK = "SELECT CAST(item_id AS VARCHAR) || ':' || text AS line FROM benchmark"
+_LITERAL = " UNION ALL ".join(f"SELECT {_quote(x)} AS line" for x in LINES)
+
+_CTE = {
+    "tok": f"SELECT doc_id, unnest(regexp_split_to_array(text, '{_SPACE}')) AS term FROM documents",
+    "post": "SELECT term, CAST(doc_id AS INTEGER) AS doc_id, CAST(count(*) AS INTEGER) AS tf FROM tok WHERE term <> '' GROUP BY term, doc_id",
+    "dl": "SELECT CAST(d.doc_id AS INTEGER) AS doc_id, CAST(d.doc_id AS VARCHAR) AS ext_id, CAST(coalesce(p.n, 0) AS INTEGER) AS doc_len FROM documents d "
+    "LEFT JOIN (SELECT doc_id, sum(tf) AS n FROM post GROUP BY doc_id) p ON p.doc_id = d.doc_id",
+    "cs": "SELECT count(*) AS n, CAST(sum(doc_len) AS DOUBLE) / count(*) AS avg_len FROM dl",
+    "tdf": "SELECT term, count(*) AS df FROM post GROUP BY term",
+    "base": f"SELECT p.term, p.doc_id, p.tf, t.df, c.n, {scoring.norm_len_sql('d.doc_len', 'c.avg_len')} AS norm_len FROM post p JOIN tdf t ON t.term = p.term JOIN dl d ON d.doc_id = p.doc_id, cs c",
+    "sc": f"SELECT term, doc_id, {BM25().sql()} AS score FROM base",
+    "mx": "SELECT GREATEST(CAST(0 AS FLOAT), max(score)) AS max_score FROM sc",
+    "imp": f"SELECT term, doc_id, {LinearQuantizer(_BITS).sql()} AS impact FROM sc, mx",
+    "impi": f"SELECT term, doc_id, {scoring.saturated_sql()} AS impact FROM post",
+    "dir": "SELECT term, impact, count(*) AS count FROM imp GROUP BY term, impact",
+    "diri": "SELECT term, impact, count(*) AS count FROM impi GROUP BY term, impact",
+}
+_BASE = ("tok", "post", "dl", "cs", "tdf", "base", "sc", "mx", "imp", "dir")
+
+
+def _with(parts: dict[str, str], final: str, names: tuple[str, ...] = _BASE) -> str:
+    every = {n: _CTE[n] for n in names} | parts
+    return "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in every.items()) + f"\n{final}"
+
+
+def _planned(weighted: bool, directory: str = "dir", source: str = _BENCHMARK) -> dict[str, str]:
+    return _queries_cte(source, weighted) | {
+        "pl": f"SELECT q.qid, q.pos, q.token, d.impact, q.weight, d.count, CAST(d.impact AS BIGINT) * q.weight AS level FROM {directory} d JOIN qt q ON q.token = d.term",
+        "pr": "SELECT *, coalesce(sum(count) OVER (PARTITION BY qid ORDER BY level DESC, pos, impact DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior, sum(count) OVER (PARTITION BY qid) AS total FROM pl",
+    }
+
+
+def _budget(mode: Mode) -> str:
+    if mode.exhaustive:
+        return "TRUE"
+    return f"prior <= {scoring.fraction_budget_sql('total', mode.fraction) if mode.fraction is not None else mode.fixed}"
+
+
+def _searched(mode: Mode, weighted: bool, postings: str = "imp", directory: str = "dir", k: int = K, pad: bool = False) -> dict[str, str]:
+    acc = f"SELECT s.qid, i.doc_id, CAST(sum(s.level) AS BIGINT) AS score FROM (SELECT * FROM pr WHERE {_budget(mode)}) s JOIN {postings} i ON i.term = s.token AND i.impact = s.impact GROUP BY s.qid, i.doc_id HAVING sum(s.level) > 0"
+    parts = _planned(weighted, directory) | {"acc": acc}
+    source = "acc"
+    if pad:
+        parts["zero"] = f"SELECT q.qid, CAST(r.range AS INTEGER) AS doc_id, CAST(0 AS BIGINT) AS score FROM (SELECT DISTINCT qid FROM qt) q, range({k}) r WHERE r.range < (SELECT count(*) FROM dl)"
+        parts["accp"] = "SELECT * FROM acc UNION ALL SELECT z.* FROM zero z ANTI JOIN acc a ON a.qid = z.qid AND a.doc_id = z.doc_id"
+        source = "accp"
+    parts["rk"] = f"SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM {source}"
+    parts["res"] = f"SELECT qid, rank, r.doc_id, d.ext_id, score FROM rk r JOIN dl d ON d.doc_id = r.doc_id WHERE rank <= {k}"
+    return parts
+
+
+_RESULTS = "SELECT qid, rank, doc_id, ext_id, score FROM res"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(name: str, oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
+# ---- sources and statistics -----------------------------------------------------------------------------------------
+
+
+@_query("postings", _with({}, "SELECT term, doc_id, tf FROM post", ("tok", "post")))
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.postings(table(spark, sf_dir, "documents"))
+
+
+@_query("doc_lengths", _with({}, f"SELECT doc_id, ext_id, doc_len, {scoring.norm_len_sql()} AS norm_len FROM dl, cs", ("tok", "post", "dl", "cs")))
+def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = text.lengths(table(spark, sf_dir, "documents"))
+    return docs.crossJoin(F.broadcast(segments.collection(docs))).select("doc_id", "ext_id", "doc_len", F.expr(scoring.norm_len_sql()).alias("norm_len"))
+
+
+@_query("collection_stats", _with({}, "SELECT n, avg_len FROM cs", ("tok", "post", "dl", "cs")))
+def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.collection(text.lengths(table(spark, sf_dir, "documents")))
+
+
+@_query("term_df", _with({}, "SELECT term, df FROM tdf", ("tok", "post", "tdf")))
+def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.frequencies(text.postings(table(spark, sf_dir, "documents")))
+
+
+@_query("bm25_impacts", _with({}, "SELECT term, doc_id, impact FROM imp"))
+def bm25_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return segments.impacts(text.counted(documents), segments.collection(text.lengths(documents)), BM25(), _BITS).drop("max_score")
+
+
+@_query("identity_impacts", _with({}, "SELECT term, doc_id, impact FROM impi", ("tok", "post", "impi")))
+def identity_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return segments.impacts(text.counted(documents), segments.collection(text.lengths(documents)), Identity()).drop("max_score")
+
+
+@_query("max_score", _with({}, "SELECT CAST(round(CAST(max_score AS DOUBLE), 4) AS DOUBLE) AS max_score FROM mx"))
+def max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).stats.select(F.round(F.col("max_score").cast("double"), 4).alias("max_score"))
+
+
+@_query("segments", _with({}, "SELECT term, impact, count(*) AS count, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM imp GROUP BY term, impact"))
+def segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.joined(index(spark, sf_dir).blocks)
+    return rows.select("term", "impact", "count", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+
+
+@_query("segment_directory", _with({}, "SELECT term, impact, count FROM dir"))
+def segment_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).directory
+
+
+@_query("term_lookup", _with({}, "SELECT impact, count FROM dir WHERE term = 'the'"))
+def term_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).segment_list("the").select("impact", "count")
+
+
+@_query(
+    "index_stats",
+    _with({}, f"SELECT c.n AS num_docs, c.avg_len, CAST({_BITS} AS INTEGER) AS quant_bits, CAST(sum(d.count) AS BIGINT) AS num_postings, count(DISTINCT d.impact) AS num_levels, max(d.impact) AS max_level, (SELECT max(doc_id) FROM dl) AS max_doc_id FROM dir d, cs c GROUP BY c.n, c.avg_len"),
+)
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).stats.drop("max_score")
+
+
+@_query("index_stats_identity", _with({}, "SELECT CAST(sum(count) AS BIGINT) AS num_postings, count(DISTINCT impact) AS num_levels, max(impact) AS max_level FROM diri", ("tok", "post", "impi", "diri")))
+def index_stats_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, Identity()).stats.select("num_postings", "num_levels", "max_level")
+
+
+@_query("docmap", _with({}, "SELECT doc_id, ext_id FROM dl", ("tok", "post", "dl")))
+def docmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).docs.select("doc_id", "ext_id")
+
+
+# ---- queries --------------------------------------------------------------------------------------------------------
+
+
+@_query("parse_queries", _with(_queries_cte(_LITERAL, True), "SELECT qid, token, freq, pos FROM qm", ()))
+def parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_lines.bags(query_lines.parsed(literal_lines(spark))).select("qid", "token", "freq", "pos")
+
+
+@_query("rescale_weighted", _with(_queries_cte(_LITERAL, True), "SELECT qid, pos, token, weight FROM qt", ()))
+def rescale_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_lines.from_lines(literal_lines(spark), weighted=True)
+
+
+@_query("rescale_unweighted", _with(_queries_cte(_LITERAL, False), "SELECT qid, pos, token, weight FROM qt", ()))
+def rescale_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_lines.from_lines(literal_lines(spark), weighted=False)
+
+
+@_query("query_terms", _with(_queries_cte(_BENCHMARK, True), "SELECT qid, pos, token, weight FROM qt", ()))
+def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms(spark, sf_dir, True)
+
+
+@_query("unique_tokens", _with(_queries_cte(_BENCHMARK, True), "SELECT DISTINCT token FROM qt", ()))
+def unique_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_lines.unique_tokens(terms(spark, sf_dir, True))
+
+
+@_query(
+    "cycle_queries",
+    "WITH q AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark) SELECT r.range AS nth, q.item_id AS qid FROM range(1000) r JOIN q ON r.range % q.n = q.place",
+)
+def cycle_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query_lines.cycled(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")), 1000)
+
+
+@_query("unknown_terms", _with(_queries_cte(_LITERAL, True), "SELECT qid, token FROM qt ANTI JOIN tdf ON tdf.term = qt.token", ("tok", "post", "tdf")))
+def unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.unknown(index(spark, sf_dir).directory, query_lines.from_lines(literal_lines(spark), weighted=True))
+
+
+@_query("segment_plan", _with(_planned(True), "SELECT qid, pos, token, impact, weight, count, level, CAST(prior AS BIGINT) AS prior, CAST(total AS BIGINT) AS total FROM pr"))
+def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.with_prior(planning.planned(index(spark, sf_dir).directory, terms(spark, sf_dir, True)))
+
+
+@_query("postings_per_query", _with(_planned(False), "SELECT qid, CAST(sum(count) AS BIGINT) AS postings FROM pl GROUP BY qid"))
+def postings_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.postings_per_query(planning.planned(index(spark, sf_dir).directory, terms(spark, sf_dir, False)))
+
+
+@_query(
+    "selected_segments",
+    _with(_planned(True), f"SELECT qid, pos, token, impact, weight, count, level FROM pr WHERE {_budget(Mode(fixed=1000))}"),
+)
+def selected_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.selected(planning.planned(index(spark, sf_dir).directory, terms(spark, sf_dir, True)), Mode(fixed=1000))
+
+
+@_query(
+    "warmup_segments",
+    _with(_queries_cte(_BENCHMARK, True), "SELECT term, impact, count FROM (SELECT d.*, max(impact) OVER (PARTITION BY term) AS top FROM dir d SEMI JOIN qt ON qt.token = d.term) WHERE impact = top"),
+)
+def warmup_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.warmup(index(spark, sf_dir).directory, terms(spark, sf_dir, True))
+
+
+# ---- searches -------------------------------------------------------------------------------------------------------
+
+_SEARCHES: dict[str, tuple[Mode, bool]] = {
+    "search_exhaustive": (EXHAUSTIVE, False),
+    "search_weighted": (EXHAUSTIVE, True),
+    "search_fraction_0": (Mode(fraction=0.0), False),
+    "search_fraction_10": (Mode(fraction=0.1), True),
+    "search_fraction_50": (Mode(fraction=0.5), True),
+    "search_fixed_0": (Mode(fixed=0), False),
+    "search_fixed_1000": (Mode(fixed=1000), True),
+    "search_fixed_negative": (Mode(fixed=-1), True),
+}
+
+
+def _search_query(mode: Mode, weighted: bool):
+    return lambda spark, sf_dir: searches.search(index(spark, sf_dir), terms(spark, sf_dir, weighted), K, mode)
+
+
+for _name, (_mode, _weighted) in _SEARCHES.items():
+    _query(_name, _with(_searched(_mode, _weighted), _RESULTS))(_search_query(_mode, _weighted))
+
+
+@_query("search_identity", _with(_searched(EXHAUSTIVE, True, "impi", "diri"), _RESULTS, ("tok", "post", "dl", "impi", "diri")))
+def search_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searches.search(index(spark, sf_dir, Identity()), terms(spark, sf_dir, True), K)
+
+
+@_query("search_padded", _with(_searched(Mode(fraction=0.0), False, k=K, pad=True), _RESULTS))
+def search_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searches.search(index(spark, sf_dir), terms(spark, sf_dir, False), K, Mode(fraction=0.0), pad=True)
+
+
+@_query("search_wrapped", _with(_searched(EXHAUSTIVE, True) | {
+    "accw": "SELECT s.qid, i.doc_id, CAST(sum(s.level % 65536) AS BIGINT) % 65536 AS score FROM pr s JOIN imp i ON i.term = s.token AND i.impact = s.impact GROUP BY s.qid, i.doc_id",
+    "rw": "SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM accw WHERE score > 0",
+}, f"SELECT qid, rank, rw.doc_id, d.ext_id, score FROM rw JOIN dl d ON d.doc_id = rw.doc_id WHERE rank <= {K}"))
+def search_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searches.search(index(spark, sf_dir), terms(spark, sf_dir, True), K, wrap=True)
+
+
+@_query("search_pushed", _with(_searched(EXHAUSTIVE, False), _RESULTS))
+def search_pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searches.search(index(spark, sf_dir), terms(spark, sf_dir, False), K, push=True)
+
+
+@_query("accumulated_scores", _with(_searched(Mode(fixed=1000), True), "SELECT qid, doc_id, score FROM acc"))
+def accumulated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searches.scores(index(spark, sf_dir), terms(spark, sf_dir, True), Mode(fixed=1000))
+
+
+@_query("chunk_max", _with(_searched(EXHAUSTIVE, False), "SELECT qid, doc_id >> 7 AS chunk, max(score) AS max_score FROM acc GROUP BY qid, doc_id >> 7"))
+def chunk_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.chunk_maxima(searches.scores(index(spark, sf_dir), terms(spark, sf_dir, False)))
+
+
+@_query("scores_above", _with(_searched(EXHAUSTIVE, False), f"SELECT qid, doc_id, score FROM acc WHERE score > {THRESHOLD}"))
+def scores_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.above(searches.scores(index(spark, sf_dir), terms(spark, sf_dir, False)), THRESHOLD)
+
+
+# ---- requests, run files, measurements ------------------------------------------------------------------------------
+
+
+@_query("request_errors")
+def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.error_bodies(requests.parsed(spark.createDataFrame([(x,) for x in REQUESTS], "value string")))
+
+
+@_query(
+    "request_results",
+    _with(
+        {
+            "qt": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 'the', 1, 5, NULL), (1, 1, 'of', 2, 5, NULL), (2, 0, 'of', 3, 3, 200), (2, 1, 'of', 1, 3, 200)) v(qid, pos, token, weight, k, budget)",
+            "pl": "SELECT q.*, d.impact, d.count, CAST(d.impact AS BIGINT) * q.weight AS level FROM dir d JOIN qt q ON q.token = d.term",
+            "pr": "SELECT *, coalesce(sum(count) OVER (PARTITION BY qid ORDER BY level DESC, pos, impact DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM pl",
+            "acc": "SELECT s.qid, any_value(s.k) AS k, i.doc_id, CAST(sum(s.level) AS BIGINT) AS score FROM (SELECT * FROM pr WHERE budget IS NULL OR prior <= budget) s JOIN imp i ON i.term = s.token AND i.impact = s.impact GROUP BY s.qid, i.doc_id HAVING sum(s.level) > 0",
+            "rk": "SELECT qid, k, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM acc",
+        },
+        "SELECT qid, rank, r.doc_id, d.ext_id, score FROM rk r JOIN dl d ON d.doc_id = r.doc_id WHERE rank <= k",
+    ),
+)
+def request_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomrank.streaming import serve
+
+    return serve.answered(index(spark, sf_dir), spark.createDataFrame([(x,) for x in REQUESTS], "value string"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searches.search(index(spark, sf_dir), terms(spark, sf_dir, False), K)
+
+
+@_query("trec_run", _with(_searched(EXHAUSTIVE, False), "SELECT qid, rank, qid || ' Q0 ' || ext_id || ' ' || rank || ' ' || score || ' loomrank' AS value FROM res"))
+def trec_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.trec(_results(spark, sf_dir))
+
+
+@_query("tsv_run", _with(_searched(EXHAUSTIVE, False), "SELECT qid, rank, qid || ' ' || ext_id || ' ' || rank AS value FROM res"))
+def tsv_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.tsv(_results(spark, sf_dir))
+
+
+@_query(
+    "result_display",
+    _with(_searched(EXHAUSTIVE, False), "SELECT qid, 'query ' || qid || ' took: 0ms [' || string_agg('#' || rank || ',(' || doc_id || ',' || score || ')', ',' ORDER BY rank) || ']' AS value FROM res GROUP BY qid"),
+)
+def result_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.display(_results(spark, sf_dir))
+
+
+@_query(
+    "result_json",
+    _with(
+        _searched(EXHAUSTIVE, False),
+        """SELECT qid, '{"topk":[' || string_agg('{"doc_id":' || doc_id || ',"score":' || score || '}', ',' ORDER BY rank) || '],"took":{"secs":0,"nanos":0},"qid":0}' AS value FROM res GROUP BY qid""",
+    ),
+)
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.json(_results(spark, sf_dir))
+
+
+@_query(
+    "latency_summary",
+    "WITH s AS (SELECT value AS x, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT count(*) AS samples, "
+    + ", ".join(f"max(CASE WHEN r = CAST(floor(CAST(n AS FLOAT) * CAST({p} AS FLOAT)) AS BIGINT) THEN x END) AS {name}" for name, p in latency.SHARES.items())
+    + ", max(x) AS max, round(avg(x), 6) AS mean FROM s",
+)
+def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.summary(table(spark, sf_dir, "events"), "value").withColumn("mean", F.round("mean", 6))
+
+
+@_query(
+    "latency_without_warmup",
+    f"SELECT event_id, value FROM (SELECT event_id, value, row_number() OVER (ORDER BY event_id) AS nth FROM events) WHERE nth > {latency.SKIPPED}",
+)
+def latency_without_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latency.without_warmup(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
+
+
+# ---- encodings ------------------------------------------------------------------------------------------------------
+
+_GAPS = {
+    "gp": "SELECT term, impact, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term, impact ORDER BY doc_id) AS gap, (row_number() OVER (PARTITION BY term, impact ORDER BY doc_id) - 1) // 128 AS part FROM imp",
+    "bt": f"SELECT term, impact, part, {codec.bit_width_sql('gap')} AS bits, {codec.byte_width_sql('gap')} AS width FROM gp",
+    "ps": "SELECT term, impact, part, count(*) AS count, max(bits) AS bits, CAST(sum(width) AS BIGINT) AS data FROM bt GROUP BY term, impact, part",
+    "bs": f"SELECT term, impact, part, count, bits, CAST(CASE WHEN count = {codec.BLOCK_LEN} THEN {codec.full_block_sql('bits')} ELSE {codec.tail_sql('count', 'data')} END AS BIGINT) AS bytes, {codec.plain_sql('count')} AS plain_bytes FROM ps",
+}
+
+
+@_query("delta_gaps", _with(_GAPS, "SELECT term, impact, string_agg(CAST(gap AS VARCHAR), ',' ORDER BY doc_id) AS gaps FROM gp GROUP BY term, impact"))
+def delta_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = encoding.with_gaps(index(spark, sf_dir).blocks)
+    parts = rows.groupBy("term", "impact").agg(F.sort_array(F.collect_list(F.struct("block", "gaps"))).alias("parts"))
+    return parts.select("term", "impact", F.array_join(F.flatten("parts.gaps").cast("array<string>"), ",").alias("gaps"))
+
+
+@_query("delta_roundtrip", _with({}, "SELECT term, impact, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS docs FROM imp GROUP BY term, impact"))
+def delta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = segments.joined(encoding.restored(encoding.with_gaps(index(spark, sf_dir).blocks)))
+    return rows.select("term", "impact", F.array_join(F.col("docs").cast("array<string>"), ",").alias("docs"))
+
+
+@_query("block_bits", _with(_GAPS, "SELECT term, impact, part, count, CAST(bits AS INTEGER) AS bits, bytes, plain_bytes FROM bs"))
+def block_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.block_sizes(encoding.with_gaps(index(spark, sf_dir).blocks))
+
+
+@_query("segment_bytes", _with(_GAPS, "SELECT term, impact, CAST(sum(count) AS BIGINT) AS count, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(plain_bytes) AS BIGINT) AS plain_bytes FROM bs GROUP BY term, impact"))
+def segment_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.segment_sizes(encoding.with_gaps(index(spark, sf_dir).blocks))
+
+
+@_query("capacity", _with(_GAPS, "SELECT CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(plain_bytes) AS BIGINT) AS plain_bytes FROM bs"))
+def capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.segment_sizes(encoding.with_gaps(index(spark, sf_dir).blocks)).agg(F.sum("bytes").alias("bytes"), F.sum("plain_bytes").alias("plain_bytes"))
