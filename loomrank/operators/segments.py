@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,50 +12,62 @@ from loomrank.functions.scoring import LinearQuantizer, Scorer, norm_len_sql, sa
 BLOCK_BITS = 16
 CHUNK_BITS = 7
 
+
 def collection(docs: DataFrame) -> DataFrame:
     """One row: n (documents) and avg_len."""
     return docs.agg(F.count("*").alias("n"), (F.sum("doc_len") / F.count("*")).alias("avg_len"))
 
+
 def frequencies(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
+
 def with_statistics(postings: DataFrame, stats: DataFrame) -> DataFrame:
     """Postings (term, doc_id, tf, doc_len) with df, n and norm_len; `stats` is one row (n, avg_len)."""
     rows = postings.join(frequencies(postings), "term").crossJoin(F.broadcast(stats))  # one row
     return rows.withColumn("norm_len", F.expr(norm_len_sql()))
 
+
 def scored(postings: DataFrame, scorer: Scorer) -> DataFrame:
     return postings.withColumn("score", score(scorer))
 
+
 def max_score(scored: DataFrame) -> DataFrame:
     return scored.agg(F.greatest(F.lit(0).cast("float"), F.max("score")).alias("max_score"))
 
+
 def impacts(postings: DataFrame, stats: DataFrame, scorer: Scorer, bits: int = 8) -> DataFrame:
     """term, doc_id, impact (and max_score): scored and quantised, or saturated frequencies without a pass for the maximum."""
     if not scorer.needs_quantization:
         return postings.select("term", "doc_id", F.expr(saturated_sql()).alias("impact"), F.lit(1.0).cast("float").alias("max_score"))
-    rows = scored(with_statistics(postings, stats), scorer).select("term", "doc_id", "score")
-    # both sides hold the same exchanges, which Spark runs once
+    # counted for df and scored, then scored for the maximum and quantised: each is made once and held, on disk where memory ends
+    postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = scored(with_statistics(postings, stats), scorer).select("term", "doc_id", "score").persist(StorageLevel.MEMORY_AND_DISK)
     return rows.crossJoin(F.broadcast(max_score(rows))).select("term", "doc_id", F.expr(LinearQuantizer(bits).sql()).alias("impact"), "max_score")
 
-def directory(impacts: DataFrame) -> DataFrame:
-    """The postings of every segment (term, impact)."""
-    return impacts.groupBy("term", "impact").agg(F.count("*").alias("count"))
 
 def blocks(impacts: DataFrame) -> DataFrame:
-    """Ascending ids of every segment in ranges of 2 ** BLOCK_BITS ids."""
-    keyed = impacts.select("term", "impact", F.shiftright("doc_id", BLOCK_BITS).alias("block"), "doc_id")
-    return keyed.groupBy("term", "impact", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    """Ascending ids of every segment in ranges of 2 ** BLOCK_BITS ids; max_score comes along, so that nothing is scored twice."""
+    keyed = impacts.select("term", "impact", F.shiftright("doc_id", BLOCK_BITS).alias("block"), "doc_id", "max_score")
+    return keyed.groupBy("term", "impact", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"), F.max("max_score").alias("max_score"))
+
+
+def directory(blocks: DataFrame) -> DataFrame:
+    """The postings of every segment (term, impact)."""
+    return blocks.groupBy("term", "impact").agg(F.sum(F.size("docs")).alias("count"))
+
 
 def joined(blocks: DataFrame) -> DataFrame:
     """Whole segments again, for looking at small ones: term, impact, count, docs."""
     parts = blocks.groupBy("term", "impact").agg(F.sort_array(F.collect_list(F.struct("block", "docs"))).alias("parts"))
     return parts.select("term", "impact", F.flatten("parts.docs").alias("docs")).withColumn("count", F.size("docs").cast("long"))
 
+
 def summary(directory: DataFrame) -> DataFrame:
     """num_postings, num_levels and max_level."""
     return directory.agg(F.sum("count").alias("num_postings"), F.countDistinct("impact").alias("num_levels"), F.max("impact").alias("max_level"))
 
+
 def checked_dense(docs: DataFrame) -> DataFrame:
     """Raises where ids aren't 0 to n - 1: ids are positions."""
     n, top, least = docs.agg(F.countDistinct("doc_id"), F.max("doc_id"), F.min("doc_id")).first()
@@ -62,5 +75,6 @@ def checked_dense(docs: DataFrame) -> DataFrame:
         raise ValueError(f"document ids must be dense: {n} ids from {least} to {top}")
     return docs
 
+
 def ordered(directory: DataFrame) -> DataFrame:
     return directory.orderBy("term", F.desc("impact"))

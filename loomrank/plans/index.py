@@ -13,6 +13,7 @@ from loomrank.operators import segments
 from loomrank.sources import ciff, text
 
 TABLES = ("docs", "directory", "blocks", "stats")
+STATS = ("num_docs", "avg_len", "max_score", "quant_bits", "num_postings", "num_levels", "max_level", "max_doc_id")
 
 
 @dataclass
@@ -23,10 +24,13 @@ class Index:
     directory: DataFrame
     blocks: DataFrame
     stats: DataFrame
+    average: DataFrame
+    bits: int
 
     def persist(self) -> Index:
-        for name in TABLES:
-            setattr(self, name, getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK))
+        """Holds the tables; the blocks first, as the others are read from them."""
+        for name in ("blocks", "docs", "directory", "stats"):
+            getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def unpersist(self) -> None:
@@ -46,15 +50,18 @@ class Index:
         return self.getter("num_docs")
 
 
-def _built(postings: DataFrame, docs: DataFrame, stats: DataFrame, scorer: Scorer, bits: int) -> Index:
-    impacts = segments.impacts(postings, stats, scorer, bits)
-    directory = segments.directory(impacts)
-    largest = impacts.agg(F.max("max_score").alias("max_score"))
+def _derived(docs: DataFrame, average: DataFrame, blocks: DataFrame, bits: int) -> Index:
+    """The other tables follow from the blocks."""
+    directory = segments.directory(blocks)
+    largest = blocks.agg(F.max("max_score").alias("max_score"))
     facts = docs.agg(F.count("*").alias("num_docs"), F.max("doc_id").alias("max_doc_id"))
-    row = facts.crossJoin(stats.select("avg_len")).crossJoin(largest).crossJoin(segments.summary(directory))  # one row each
-    row = row.withColumn("quant_bits", F.lit(bits).cast("int"))
-    order = ("num_docs", "avg_len", "max_score", "quant_bits", "num_postings", "num_levels", "max_level", "max_doc_id")
-    return Index(docs.select("doc_id", "ext_id", "doc_len"), directory, segments.blocks(impacts), row.select(*order))
+    row = facts.crossJoin(average).crossJoin(largest).crossJoin(segments.summary(directory))  # one row each
+    return Index(docs, directory, blocks, row.withColumn("quant_bits", F.lit(bits).cast("int")).select(*STATS), average, bits)
+
+
+def _built(postings: DataFrame, docs: DataFrame, stats: DataFrame, scorer: Scorer, bits: int) -> Index:
+    blocks = segments.blocks(segments.impacts(postings, stats, scorer, bits))
+    return _derived(docs.select("doc_id", "ext_id", "doc_len"), stats.select("avg_len"), blocks, bits)
 
 
 def from_documents(documents: DataFrame, scorer: Scorer | None = None, bits: int = 8, id_column: str = "doc_id", text_column: str = "text", dense: bool = True) -> Index:
@@ -77,10 +84,13 @@ def from_ciff(spark: SparkSession, path: str, scorer: Scorer | None = None, bits
 def write(index: Index, path: str) -> None:
     """Four Parquet tables; segments are clustered and sorted by term, so that looking up terms skips row groups."""
     index.docs.write.parquet(f"{path}/docs")
-    index.stats.write.parquet(f"{path}/stats")
-    index.directory.repartitionByRange("term", "impact").sortWithinPartitions("term", F.desc("impact")).write.parquet(f"{path}/directory")
     index.blocks.repartitionByRange("term", "impact", "block").sortWithinPartitions("term", F.desc("impact"), "block").write.parquet(f"{path}/blocks")
+    stored = index.docs.sparkSession.read
+    rest = _derived(stored.parquet(f"{path}/docs"), index.average, stored.parquet(f"{path}/blocks"), index.bits)  # scored once: all else comes from what is stored
+    rest.directory.repartitionByRange("term", "impact").sortWithinPartitions("term", F.desc("impact")).write.parquet(f"{path}/directory")
+    rest.stats.write.parquet(f"{path}/stats")
 
 
 def read(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in TABLES))
+    docs, directory, blocks, stats = (spark.read.parquet(f"{path}/{name}") for name in TABLES)
+    return Index(docs, directory, blocks, stats, stats.select("avg_len"), stats.select("quant_bits").first()[0])

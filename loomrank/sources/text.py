@@ -21,7 +21,8 @@ def counted(documents: DataFrame, id_column: str = "doc_id", text_column: str =
     are final already.
     """
     words = documents.select(F.col(id_column).cast("int").alias("doc_id"), tokens(text_column).alias("tokens"))
-    terms = words.select("doc_id", F.size("tokens").alias("doc_len"), F.explode("tokens").alias("term"))
+    # a plain explode would add a filter that splits every text once more
+    terms = words.select("doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
     return terms.groupBy("term", "doc_id", "doc_len").agg(F.count("*").cast("int").alias("tf"))
 
 
