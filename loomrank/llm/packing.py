@@ -50,24 +50,29 @@ class _Encoder:
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
+        self.path, self.exact = path, None
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocab = file["model"]["vocab"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level alphabets show these bytes as themselves
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-        special = {t.content for t in self.exact.get_added_tokens_decoder().values()}
+        special = {t["content"] for t in file["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str, plain: bool) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        found = self.fast.encode_ordinary(text) if plain else self.exact.encode(text, add_special_tokens=False).ids
-        return np.array(found, np.uint32)
+        if plain:
+            return np.array(self.fast.encode_ordinary(text), np.uint32)
+        if self.exact is None:  # few texts need it, so most workers never hold it
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.path)
+            self.exact.encode_special_tokens = True
+        return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def _encoder(path: str) -> _Encoder:
@@ -90,7 +95,7 @@ def _tokenised(path: str, capacity: int, end_id: int, keep_ids: bool):
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             data, at = strings(batch.column(1))
-            wide = np.concatenate([[0], np.cumsum(data >= 0xF0)])[at]
+            wide = np.searchsorted(np.flatnonzero(data >= 0xF0), at)  # characters beyond the basic plane before each text
             rows, names, tokens = [], batch.column(0).to_pylist(), []
             for doc, text, many in zip(names, batch.column(1), np.diff(wide).tolist(), strict=True):
                 ids = np.append(encoder.ids(text.as_py() or "", not many), np.uint32(end_id)).astype("<u4")
