@@ -278,13 +278,14 @@ def _scored(row: np.ndarray, k: np.ndarray, n: int, field: Field) -> tuple[np.nd
     return marginals(evidence, place, begin, np.array([n]), field), begin
 
 
-def _score(field: Field):
+def _score(field: Field, below: float | None = None):
+    """Scores and spans of (doc_id, text); with `below` the batches' rows, all columns, that score less."""
     quick = _quick(field.keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                for r0, r1, data, at in chunks(batch.column(1), SCAN):
+                for r0, r1, data, at in chunks(batch.column(batch.schema.get_field_index("text")), SCAN):
                     start, end, first, feature = tokens(data, at)
                     row, k = _emissions(feature, field.keys, quick)
                     token, back = np.unique(row, return_inverse=True)
@@ -293,6 +294,9 @@ def _score(field: Field):
                     doc = np.repeat(np.arange(r1 - r0), np.diff(begin))
                     p = marginals(evidence, token - first[doc], begin, np.diff(first), field)
                     score = 1 / (1 + np.exp(-np.clip(_summary(p, begin) @ field.calibration, -30, 30)))
+                    if below is not None:
+                        yield batch.slice(r0, r1 - r0).filter(pa.array(score < below))
+                        continue
                     hot = p >= 0.5
                     edges = np.concatenate([[0], np.cumsum(hot)])[begin].astype(np.int32)
                     span = pa.StructArray.from_arrays([pa.array(start[token[hot]] - at[doc[hot]]), pa.array(end[token[hot]] - at[doc[hot]])], ["start", "end"])
@@ -329,15 +333,15 @@ def in_training(column: str = "doc_id"):
 def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Per document: held_out, score, predicted, and the byte spans of its toxic tokens.
 
-    Null and empty texts are scored as texts without evidence.  Without labelled
+    Null and empty texts are scored as texts without evidence; rows without an id
+    are scored too and aren't held out.  Without labelled
     rows of both kinds every document has the known share of toxic ones as score.
     """
     field = train(docs, labels.where(in_training()))
     out = docs.select("doc_id", "text").mapInArrow(_score(field), "doc_id long, score double, spans array<struct<start:long,end:long>>")
-    return out.select("doc_id", (~in_training()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    return out.select("doc_id", F.coalesce(~in_training(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that aren't predicted toxic, all columns."""
-    bad = scored(docs, labels, threshold).where("predicted = 1").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """The documents that aren't predicted toxic, all columns; no row moves to another task."""
+    return docs.mapInArrow(_score(train(docs, labels.where(in_training())), threshold), docs.schema)
