@@ -235,8 +235,9 @@ def classes(docs: DataFrame, percent: int = 75, size: int = SHINGLE, bands: int
     """One row per document: doc_id, n_shingles, component_id and kept.
 
     Null, empty and blank texts have no shingles and are linked with nothing, not
-    even with each other.  Equal sets are linked (similarity 1).  doc_id names a
-    document.
+    even with each other.  Equal sets are linked (similarity 1).  Rows that repeat
+    an id are reported as often.  Rows without an id link nothing, have the component
+    of equal rows with an id, if any, and aren't kept.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
@@ -274,10 +275,10 @@ def classes(docs: DataFrame, percent: int = 75, size: int = SHINGLE, bands: int
     known = scratch.saved(known, "known")
     out = signed.select("doc_id", "n_shingles", "set1", "set2").join(known, ["set1", "set2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def kept(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that are the smallest of their component, all columns."""
-    ids = classes(docs, percent).where("kept").select("doc_id")
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    """The documents that are the smallest of their component, all columns; rows without an id stay."""
+    gone = classes(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

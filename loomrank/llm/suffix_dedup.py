@@ -35,6 +35,8 @@ from loomrank.llm.bytescan import FIRST, SECOND, U64, Rolling, chunks, gather, m
 
 #: Starts per run in the rounds after the anchors'.
 ROUNDS = (16, 4, 1)
+#: Columns that a join adds to the documents' own.
+LOW, HIGH = "suffix dedup low", "suffix dedup high"
 #: Bytes at once: arrays of 8 bytes an item then stay in a core's cache.
 SCAN = 1 << 18
 _POSITION = U64((1 << 28) - 1)
@@ -193,7 +195,7 @@ def _block_rows(length: int, block: int):
 
 def repeats(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
     """(doc_id, low, high): starts low..high of strings of `length` bytes that also start elsewhere."""
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     found = scratch.saved(texts.mapInArrow(_anchor_rows(length, k), "doc_id long, anchor int, low int, high int, core long, ext long"), "anchors")
     ranked = _ranked(found, "anchors")
     scratch.drop(found)
@@ -243,13 +245,13 @@ def _kept(text: memoryview, low: np.ndarray, high: np.ndarray, length: int, whol
 
 
 def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    lists = found.groupBy("doc_id").agg(F.collect_list("low").alias("_low"), F.collect_list("high").alias("_high"))
+    lists = found.groupBy("doc_id").agg(F.collect_list("low").alias(LOW), F.collect_list("high").alias(HIGH))
     return docs.join(lists, "doc_id", "left")
 
 
 def _rows(batch: pa.RecordBatch, length: int, whole_chars: bool):
     text = batch.column(batch.schema.get_field_index("text"))
-    for t, low, high in zip(text, batch.column("_low"), batch.column("_high"), strict=True):
+    for t, low, high in zip(text, batch.column(LOW), batch.column(HIGH), strict=True):
         view = memoryview(t.as_buffer()) if t.is_valid else memoryview(b"")
         none = np.zeros(0, np.int32)
         yield (len(view), *_kept(view, low.values.to_numpy() if low.is_valid else none, high.values.to_numpy() if high.is_valid else none, length, whole_chars))
@@ -260,7 +262,8 @@ def report(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
 
     Null and empty texts have no bytes and lose none; texts shorter than `length`
     lose none; every copy of a repeated passage goes, the first one too.  Rows
-    that repeat a doc_id are not supported: doc_id names a document.
+    that repeat count as copies of each other and are reported as often; doc_id
+    names one text.  Rows without an id lose nothing and repeat nothing.
     """
     found = repeats(docs, length, k)
 
