@@ -6,9 +6,11 @@ round every group looks at its members' shards and wants to be where most of the
 are; the moves wanted between any two shards are added up (a matrix of shards by
 shards) and admitted in the proportion that the target's quota allows.
 
-Then rows are placed exactly: a shard takes the documents of its groups, in order,
-up to its quota; groups beyond the quota go on, in order, to shards with room, and
-documents without links fill what is left.  Row counts of any two shards differ by
+Groups larger than a shard, of which there can only be as many as shards, come
+before: they fill whole shards one after another and leave the rest of the quotas
+to the propagation.  Then rows are placed exactly: a shard takes the documents of
+its groups, in order, up to its quota; groups beyond the quota go on, in order, to
+shards with room, and documents without links fill what is left.  Row counts of any two shards differ by
 one at most, and only groups at a border or larger than a shard are cut.
 """
 
@@ -28,11 +30,11 @@ ROUNDS = 5
 _GROUP = ("g1", "g2")
 
 
-def _cells(state: DataFrame, shards: int) -> DataFrame:
-    """Members by group and shard, of groups of two and more."""
-    many = scratch.saved(state.groupBy(*_GROUP).agg(F.count("*").alias("m")).where("m > 1").select(*_GROUP), "groups")
+def _cells(state: DataFrame, many: DataFrame, free: list[int]) -> DataFrame:
+    """Members by group and shard of the groups in `many`, dealt to the free shards."""
+    start = F.element_at(_literal(np.array(free)), (F.pmod(F.xxhash64("doc_id"), F.lit(len(free))) + 1).cast("int")).cast("int")
     linked = state.join(many, list(_GROUP), "left_semi")
-    return scratch.saved(linked.groupBy(*_GROUP, F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard")).agg(F.count("*").alias("n")), "cells")
+    return scratch.saved(linked.groupBy(*_GROUP, start.alias("shard")).agg(F.count("*").alias("n")), "cells")
 
 
 def _labels(cells: DataFrame, shards: int) -> DataFrame:
@@ -58,9 +60,9 @@ def admitted(wanted: np.ndarray, size: np.ndarray, quota: np.ndarray) -> np.ndar
     return share
 
 
-def propagated(state: DataFrame, shards: int, quota: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """(g1, g2, home): the shard of every group after label propagation."""
-    cells = _cells(state, shards)
+def propagated(state: DataFrame, many: DataFrame, shards: int, quota: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
+    """(g1, g2, home): the shard of every group in `many` after label propagation."""
+    cells = _cells(state, many, np.flatnonzero(quota).tolist() or [0])
     for turn in range(rounds):
         named = cells.join(_labels(cells, shards), list(_GROUP))
         named = scratch.saved(named, "named")
@@ -117,7 +119,12 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     state = scratch.saved(state, "state")
     total = state.count()
     quota = np.array([total // shards + (i < total % shards) for i in range(shards)], np.int64)
-    homes = scratch.saved(propagated(state, shards, quota), "homes")
+    groups = scratch.saved(state.groupBy(*_GROUP).agg(F.count("*").alias("m")).where("m > 1"), "groups")
+    large = groups.where(F.col("m") > int(quota[0]))  # fewer than shards
+    full = int(large.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
+    taken = np.minimum(quota, np.maximum(0, full - (np.cumsum(quota) - quota)))
+    home = propagated(state, groups.where(F.col("m") <= int(quota[0])).select(*_GROUP), shards, quota - taken)
+    homes = scratch.saved(home.unionByName(large.select(*_GROUP, F.lit(shards + 1).alias("home"))), "homes")
     rows = state.join(homes, list(_GROUP), "left").withColumn("home", F.coalesce("home", F.lit(shards)))
     # a task's rows: a range of (home, group, doc_id), so that one large group is many ranges
     tasks = max(1, -(-total // 200_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -127,19 +134,27 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     parts = scratch.saved(placed.groupBy("home", "part").agg(F.count("*").alias("n")), "parts")
     before = Window.partitionBy("home").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("home", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), "n")
-    counts = np.zeros(shards + 1, np.int64)
+    counts = np.zeros(shards + 2, np.int64)
     for r in placed.groupBy("home").agg(F.count("*").alias("n")).collect():
         counts[r["home"]] = r["n"]
-    stay = np.minimum(counts[:shards], quota)
-    excess = np.append(counts[:shards] - stay, 0)
+    stay = np.minimum(counts[:shards], quota - taken)
+    excess = np.append(counts[:shards] - stay, [0, 0])
     pool_from = np.cumsum(excess) - excess  # where each home's excess begins in the pool; those without links come last
-    room = np.cumsum(quota - stay)
-    rank = F.col("before") + F.col("place")
-    at = F.col("home") + 1
-    own = (F.col("home") < shards) & (rank < F.element_at(_literal(np.append(stay, 0)), at))
-    pool = F.element_at(_literal(pool_from), at) + rank - F.element_at(_literal(np.append(stay, 0)), at)
+    room = quota - taken - stay
+    rank, at = F.col("before") + F.col("place"), F.col("home") + 1
+    own = (F.col("home") < shards) & (rank < F.element_at(_literal(np.append(stay, [0, 0])), at))
+    pool = F.element_at(_literal(pool_from), at) + rank - F.element_at(_literal(np.append(stay, [0, 0])), at)
     named = placed.join(parts.drop("n"), ["home", "part"]).select("doc_id", "size", "text_crc32", "home", rank.alias("rank"), own.alias("own"), pool.alias("pool"))
-    target = F.size(F.filter(_literal(room), lambda x: x <= F.col("pool")))  # the first shard whose room goes beyond
-    shard = F.when(F.col("own"), F.col("home")).otherwise(F.least(target, F.lit(shards - 1))).cast("int")
-    slot = F.when(F.col("own"), F.col("rank")).otherwise(F.element_at(_literal(stay), F.col("shard") + 1) + F.col("pool") - F.element_at(_literal(room - (quota - stay)), F.col("shard") + 1))
+
+    def filled(spaces: np.ndarray, before: np.ndarray, nth: str) -> tuple[Column, Column]:
+        """Shard and slot of the nth row that goes to the spaces behind what is there before."""
+        ends = np.cumsum(spaces)
+        to = F.least(F.size(F.filter(_literal(ends), lambda x: x <= F.col(nth))), F.lit(shards - 1))
+        return to, F.element_at(_literal(before - (ends - spaces)), to + 1) + F.col(nth)
+
+    large_to, large_slot = filled(taken, np.zeros_like(taken), "rank")
+    pool_to, pool_slot = filled(room, taken + stay, "pool")
+    is_large = F.col("home") == shards + 1
+    shard = F.when(is_large, large_to).when(F.col("own"), F.col("home")).otherwise(pool_to).cast("int")
+    slot = F.when(is_large, large_slot).when(F.col("own"), F.element_at(_literal(taken), F.least("home", F.lit(shards - 1)) + 1) + F.col("rank")).otherwise(pool_slot)
     return named.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
