@@ -142,9 +142,10 @@ def _confirmed(percent: int, size: int):
             for batch in batches:
                 keep = []
                 left, right = batch.column("text_a"), batch.column("text_b")
+                ends = (strings(left)[1] + strings(right)[1])[1:]
                 rows = 0
-                while rows < len(left):
-                    upto = min(rows + 64, len(left))
+                while rows < len(left):  # runs of pairs of bounded size; one pair at least
+                    upto = max(rows + 1, int(np.searchsorted(ends, (ends[rows - 1] if rows else 0) + 2 * SCAN, "right")))
                     sets_a, at_a = distinct(*shingles(*strings(left[rows:upto]), size))
                     sets_b, at_b = distinct(*shingles(*strings(right[rows:upto]), size))
                     for i in range(upto - rows):
