@@ -87,4 +87,39 @@ ORACLES: dict[str, str] = {
             FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op3_suffix_array_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents
+        ), p AS (SELECT doc_id, x, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200
+        ), h AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 400)) AS h FROM p
+        ), c AS (SELECT h FROM h GROUP BY h HAVING count(*) > 1
+        ), m AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM h SEMI JOIN c ON c.h = h.h
+        ), g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM m
+        ), r AS (SELECT doc_id, g, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY doc_id, g
+        ), k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r
+        ), t AS (SELECT k.doc_id, sum(b - a) AS gone, count(*) AS spans, max(b) AS last, string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+        SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(t.gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(t.spans, 0) AS BIGINT) AS n_spans,
+               sha256(unhex(coalesce(t.kept, '') || substr(d.x, 2 * coalesce(t.last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op4_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS shingle
+            FROM w
+        ), n AS (SELECT w.doc_id, count(s.shingle) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY w.doc_id
+        ), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+        ), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+        ), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+        ), r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
+        SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id, n.doc_id = min(r.seen) AS kept FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op7_warc": """
+        WITH d AS (SELECT page_id, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, '')) AS n FROM pages
+        ), f AS (SELECT h, min(page_id) AS first FROM d GROUP BY h
+        ), v AS (SELECT d.*, f.first, list_transform(range(32), lambda i: 16 * (instr('0123456789abcdef', substr(d.h, CAST(5 * i // 4 + 1 AS BIGINT), 1)) - 1) + greatest(0, instr('0123456789abcdef', nullif(substr(d.h, CAST(5 * i // 4 + 2 AS BIGINT), 1), '')) - 1)) AS pairs FROM d JOIN f ON f.h = d.h)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((pairs[i + 1] >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+        FROM v""",
 }
