@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 #: Paths that saved() has written and drop() or sweep() hasn't deleted, oldest first.
 _written: list[str] = []
+_ends_with: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +35,20 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/loomrank-{spark.sparkContext.applicationId}"
 
 
+def _gone_at_exit(spark: SparkSession) -> None:
+    """Scratch tables go when the driver ends, unless Spark has stopped before."""
+
+    def clean() -> None:
+        with contextlib.suppress(Exception):
+            delete(spark, run_dir(spark))
+
+    if spark.sparkContext.applicationId not in _ends_with:
+        _ends_with.add(spark.sparkContext.applicationId)
+        atexit.register(clean)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
+    _gone_at_exit(spark)
     return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
