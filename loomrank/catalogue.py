@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +17,10 @@ from loomrank.operators.planning import EXHAUSTIVE, Mode
 from loomrank.plans import index as indexes
 from loomrank.plans import search as searches
 from loomrank.plans.index import Index
+from loomrank.schema import RESULTS
 from loomrank.sinks import runs
-from loomrank.sources import query_lines, requests, text
+from loomrank.sources import ciff, query_lines, requests, text
+from loomrank.streaming import serve
 
 K = 10
 THRESHOLD = 20
@@ -55,6 +60,16 @@ def terms(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
     return query_lines.from_lines(query_lines_of(spark, sf_dir), weighted)
 
 
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder that executors share: below spark.checkpoint.dir, or a temporary one in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='loomrank-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def literal_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x,) for x in LINES], "value string")
 
@@ -357,6 +372,54 @@ def scores_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.above(searches.scores(index(spark, sf_dir), terms(spark, sf_dir, False)), THRESHOLD)
 
 
+@_query("score_max", _with(_searched(EXHAUSTIVE, False), f"SELECT qid, GREATEST(max(score), {10 * THRESHOLD}) AS largest FROM acc GROUP BY qid"))
+def score_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.largest(searches.scores(index(spark, sf_dir), terms(spark, sf_dir, False)), 10 * THRESHOLD)
+
+
+@_query("search_stored", _with(_searched(Mode(fraction=0.5), True), _RESULTS))
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_dir(spark, "index")
+    indexes.write(index(spark, sf_dir), path)
+    return searches.search(indexes.read(spark, path), terms(spark, sf_dir, True), K, Mode(fraction=0.5), push=True)
+
+
+# ---- interchange files ----------------------------------------------------------------------------------------------
+
+CIFF_LISTS = [("alpha", [(0, 1), (5, 3)]), ("bêta", [(2, 2)]), ("gamma", [(0, 1), (1, 1), (7, 300)])]
+CIFF_DOCS = [(i, f"D-{i}", 10 + i) for i in range(8)]
+_CIFF_POSTINGS = ", ".join(f"({_quote(t)}, {d}, {tf})" for t, own in CIFF_LISTS for d, tf in own)
+
+
+def ciff_file(spark: SparkSession) -> str:
+    """A small file; the folder has to be one that plain file access reaches."""
+    path = f"{new_dir(spark, 'ciff').removeprefix('file:').replace('//', '/')}/x.ciff"
+    os.makedirs(os.path.dirname(path))
+    with open(path, "wb") as f:
+        f.write(ciff.encode(CIFF_LISTS, CIFF_DOCS, "fixture"))
+    return path
+
+
+@_query("ciff_header", "SELECT 1 AS version, 3 AS num_postings_lists, 8 AS num_docs, CAST(108 AS BIGINT) AS total_terms_in_collection, CAST(13.5 AS DOUBLE) AS average_doclength, 'fixture' AS description")
+def ciff_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ciff.read(spark, ciff_file(spark), "header").select("version", "num_postings_lists", "num_docs", "total_terms_in_collection", "average_doclength", "description")
+
+
+@_query("ciff_postings", f"SELECT * FROM (VALUES {_CIFF_POSTINGS}) v(term, doc_id, tf)")
+def ciff_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ciff.postings(ciff.read(spark, ciff_file(spark), "postings"))
+
+
+@_query("ciff_docs", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quote(n)}, {x})" for i, n, x in CIFF_DOCS) + ") v(doc_id, ext_id, doc_len)")
+def ciff_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ciff.docs(ciff.read(spark, ciff_file(spark), "docs"))
+
+
+@_query("ciff_index", f"SELECT term, CAST(tf AS INTEGER) AS impact, count(*) AS count FROM (VALUES {_CIFF_POSTINGS}) v(term, doc_id, tf) GROUP BY term, tf")
+def ciff_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indexes.from_ciff(spark, ciff_file(spark), Identity()).directory
+
+
 # ---- requests, run files, measurements ------------------------------------------------------------------------------
 
 
@@ -379,11 +442,19 @@ def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def request_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from loomrank.streaming import serve
-
     return serve.answered(index(spark, sf_dir), spark.createDataFrame([(x,) for x in REQUESTS], "value string"))
 
 
+@_query("stream_results", ORACLES["request_results"])
+def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same requests, arriving as a stream."""
+    source, out = new_dir(spark, "requests"), new_dir(spark, "answers")
+    spark.createDataFrame([(x,) for x in REQUESTS], "value string").write.text(source)
+    query = serve.serve(index(spark, sf_dir), spark.readStream.text(source), lambda rows, _: rows.write.mode("append").parquet(out), checkpoint=new_dir(spark, "offsets"))
+    query.awaitTermination()
+    return spark.read.schema(RESULTS).parquet(out)
+
+
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searches.search(index(spark, sf_dir), terms(spark, sf_dir, False), K)
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import logging
 import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from loomrank.functions.scoring import BM25, Identity
+from loomrank.operators import planning
 from loomrank.operators.planning import Mode
 from loomrank.plans import index as indexes
 from loomrank.plans import search as searches
@@ -16,6 +18,10 @@ from loomrank.plans.throughput import timed
 from loomrank.sinks import runs
 from loomrank.sources import query_lines
 
+log = logging.getLogger(__name__)
+#: Unknown tokens that are named at most.
+REPORTED = 100
+
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="loomrank", description="impact-ordered indexes on Spark")
@@ -52,6 +58,8 @@ def main(argv: list[str] | None = None) -> int:
         taken = query_lines.cycled(terms.select("qid").distinct(), args.num_queries).select("qid").distinct()
         terms = terms.join(taken, "qid", "left_semi")
     terms = terms.persist()
+    for row in planning.unknown(index.directory, terms).limit(REPORTED).collect():
+        log.warning("query %d: unknown token %s", row["qid"], row["token"])
     if args.warmup:
         searches.warmup(index, terms)
     results = searches.search(index, terms, args.k, args.mode, push=True).persist()

@@ -48,6 +48,11 @@ def above(scores: DataFrame, threshold: int) -> DataFrame:
     return scores.withColumn("chunk", F.shiftright("doc_id", CHUNK_BITS)).join(alive, ["qid", "chunk"], "left_semi").where(F.col("score") > threshold).drop("chunk")
 
 
+def largest(scores: DataFrame, threshold: int) -> DataFrame:
+    """The largest score of every query, at least the threshold."""
+    return scores.groupBy("qid").agg(F.greatest(F.max("score"), F.lit(threshold).cast("long")).alias("largest"))
+
+
 def named(results: DataFrame, docs: DataFrame) -> DataFrame:
     """Results with external ids; the few results decide what is read of docs."""
     return results.join(docs.select("doc_id", "ext_id"), "doc_id").select("qid", "rank", "doc_id", "ext_id", "score")

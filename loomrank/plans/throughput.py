@@ -26,6 +26,11 @@ def run_batch(index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EX
     return seconds, int(rows)
 
 
+def rate(log: list[tuple[int, float]]) -> float:
+    """Answers a second of a load's log."""
+    return sum(n for n, _ in log) / max(sum(t for _, t in log), 1e-9)
+
+
 def load(batch: Callable[[int], int], tps: int, seconds: float, errors: int = ERRORS) -> list[tuple[int, float]]:
     """Calls batch(tps) once a second for a while: (answered, seconds) of each; stops after too many failures."""
     out: list[tuple[int, float]] = []
