@@ -110,7 +110,7 @@ class Trees:
     def add(self, page: int, html: str) -> None:
         open_: list[tuple[str, int]] = [("", self._node(-1, 0, (feature("page"),), False))]
         pieces: list[str] = []
-        link_at: list[tuple[int, int]] = []  # pieces in links
+        linked: list[int] = []  # pieces in links
         link, at, size = False, 0, len(html)
 
         def close() -> None:
@@ -118,16 +118,16 @@ class Trees:
             if pieces:
                 text = " ".join(unescape("".join(pieces)).split())
                 if text:
-                    linked = min(len(text), sum(len(pieces[i]) for i, _ in link_at))
                     tag, node = open_[-1]
-                    leaf = self._node(node, min(len(open_), DEPTH), _of_text(text, linked, tag), True)
+                    share = min(len(text), sum(len(pieces[i]) for i in linked))
+                    leaf = self._node(node, min(len(open_), DEPTH), _of_text(text, share, tag), True)
                     self.texts.append((page, leaf, text))
                 pieces.clear()
-                link_at.clear()
+                linked.clear()
 
         def push(piece: str) -> None:
             if link:
-                link_at.append((len(pieces), 0))
+                linked.append(len(pieces))
             pieces.append(piece)
 
         while at < size:
@@ -183,10 +183,8 @@ class Trees:
                         break
             above, node = open_[-1]
             node = self._node(node, min(len(open_), DEPTH - 1), (*_of_element(tag, found["attrs"]), feature(f"tag {tag} in {above}")), False)
-            if len(open_) < DEPTH:
+            if len(open_) < DEPTH:  # deeper elements stay leaves: what is in them hangs on the last level
                 open_.append((tag, node))
-            else:  # deeper elements hang on the last level's parent
-                open_[-1] = (open_[-1][0], open_[-1][1])
         close()
 
     def arrays(self) -> Nodes:
