@@ -14,6 +14,8 @@ from loomrank.llm import scratch
 
 #: Rows of a block at most, and numbers in a chunk of queries that is sent to all tasks.
 BLOCK, CHUNK = 1 << 16, 1 << 19
+#: Queries that come to the driver at a time.
+ROWS = 4096
 
 
 def matrix(column: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,15 +72,20 @@ def searched(
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", "embedding")
     queries = scratch.saved(vectors.where(is_query).where("embedding is not null").dropDuplicates(["vec_id"]), "queries")
-    parts: list[DataFrame] = []
+    last: DataFrame | None = None
+    done = None  # what all chunks but the last have found, in files: the plan stays one scan whatever the number of chunks
     ids, rows, held = [], [], 0
 
     def send() -> None:
+        nonlocal last, done
         dims = max(x.shape[1] for x in rows)
         names, values = np.concatenate(ids), np.concatenate([fitted(x, dims) for x in rows])
         if len(names):
+            if last is not None:
+                done = done or scratch.new_path(spark, "found")
+                last.write.mode("append").parquet(done)
             sent = spark.sparkContext.broadcast((names, values))
-            parts.append(vectors.mapInArrow(_best(sent, found, kind, usable), f"query_id long, vec_id long, score {kind}"))
+            last = vectors.mapInArrow(_best(sent, found, kind, usable), f"query_id long, vec_id long, score {kind}")
 
     for part in _partitions(queries):
         names, values = matrix(part.column(1), part.column(0))
@@ -91,21 +98,19 @@ def searched(
             ids, rows, held = [], [], 0
     if rows:
         send()
-    if not parts:
+    if last is None:
         return spark.createDataFrame([], f"query_id long, rank int, vec_id long, score {kind}")
-    every = parts[0]
-    for x in parts[1:]:
-        every = every.unionByName(x)
+    every = spark.read.schema(last.schema).parquet(done).unionByName(last) if done else last
     best = Window.partitionBy("query_id").orderBy(order, "vec_id")
     return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _partitions(queries: DataFrame) -> Iterator[pa.Table]:
-    """The queries a few thousand at a time."""
+    """The queries, ROWS at a time."""
     rows = []
     for r in queries.toLocalIterator():
         rows.append((r[0], r[1]))
-        if len(rows) == 4096:
+        if len(rows) >= ROWS:
             yield _table(rows)
             rows = []
     if rows:

@@ -76,3 +76,12 @@ def test_few_and_no_rows(spark, table):
     assert bit_sliced.top_k(few, F.col("vec_id") % 50 == 0).count() == 4
     assert prefix_forest.neighbours(few, F.col("vec_id") % 50 == 0).count() == 4
     assert bit_sliced.top_k(few.limit(0), F.lit(True)).count() == 0 and prefix_forest.neighbours(few.where("vec_id = 3"), F.lit(True)).count() == 0
+
+
+def test_chunks_of_queries_give_the_same(table, monkeypatch):
+    from loomrank.llm import vectors
+
+    whole_ = sorted(map(tuple, bit_sliced.top_k(table, F.col("vec_id") % 2 == 0).collect()))
+    monkeypatch.setattr(vectors, "CHUNK", 64)
+    monkeypatch.setattr(vectors, "ROWS", 90)
+    assert sorted(map(tuple, bit_sliced.top_k(table, F.col("vec_id") % 2 == 0).collect())) == whole_
