@@ -32,7 +32,8 @@ from loomrank.llm.bytescan import FIRST, LOWER, U64, Rolling, chunks, mix, strin
 
 SHINGLE = 5
 BANDS, ROWS = 48, 5
-STARS = 2
+#: Tasks that the members of a bucket which is still mixed are dealt to; few buckets are, but large ones.
+STARS, SALT = 2, 8
 SCAN = 1 << 18
 _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 _state: dict = {}
@@ -190,11 +191,17 @@ def components(links: DataFrame, seen: DataFrame | None = None) -> DataFrame:
             return labels.select("id", "component")
 
 
-def _star(rows: DataFrame, *more: str) -> DataFrame:
-    """The smallest member of every bucket (key, id, n) of two and more, with each member: a, b, na, nb (and ca, cb)."""
+def _star(rows: DataFrame, *more: str, salt: int = 1) -> DataFrame:
+    """The smallest member of every bucket (key, id, n) of two and more, with each member: a, b, na, nb (and ca, cb).
+
+    salt: a bucket's members are dealt to so many tasks, each of which gets the bucket's centre.
+    """
     columns = {"id": "", "n": "n"} | {c: "c" for c in more}
     centres = scratch.saved(rows.groupBy("key").agg(F.min(F.struct(*columns)).alias("centre"), F.count("*").alias("m")).where("m > 1").drop("m"), "centres")
-    return rows.join(centres, "key").select("key", *(F.col(f"centre.{c}").alias(f"{k}a") for c, k in columns.items()), *(F.col(c).alias(f"{k}b") for c, k in columns.items()))
+    if salt > 1:
+        centres = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)).cast("int"))
+    return rows.join(centres, ["key", "salt"] if salt > 1 else "key").select("key", *(F.col(f"centre.{c}").alias(f"{k}a") for c, k in columns.items()), *(F.col(c).alias(f"{k}b") for c, k in columns.items()))
 
 
 def _fits(percent: int, x: str = "na", y: str = "nb"):
@@ -268,7 +275,7 @@ def classes(docs: DataFrame, percent: int = 75, size: int = SHINGLE, bands: int
             break
         members = left.select("key", "id", "n")
         if turn < STARS - 1:
-            star = _star(left, "component")
+            star = _star(left, "component", salt=SALT)
             pairs = star.where("a < b and ca <> cb").where(_fits(percent)).select("a", "b").distinct()
         else:
             pairs = _prefix_pairs(left.select("id", "component", "n").distinct(), docs, percent, size)
