@@ -48,7 +48,7 @@ def index(spark: SparkSession, sf_dir: str, scorer=None) -> Index:
     """The documents' index, built once per session and held: searches run on an index that is there."""
     key = (spark.sparkContext.applicationId, sf_dir, scorer or BM25())
     if key not in _indexes:
-        _indexes[key] = indexes.from_documents(table(spark, sf_dir, "documents"), scorer or BM25(), dense=False).persist()
+        _indexes[key] = indexes.from_documents(text.spread(table(spark, sf_dir, "documents")), scorer or BM25(), dense=False).persist()
     return _indexes[key]
 
 

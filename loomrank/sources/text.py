@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from loomrank.functions.text import tokens
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan with fewer splits than cores, such as one small file, is dealt to all of them; larger ones stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def lengths(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs: doc_id, ext_id and doc_len (tokens) of every document; a null text has none."""
     n = F.size(tokens(F.coalesce(text_column, F.lit(""))))
