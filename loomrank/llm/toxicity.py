@@ -4,8 +4,8 @@ Tokens are runs of letters; a token's features are its lower-cased word and its
 prefixes.  Labelled documents say which documents are toxic, not which words: in
 a bounded sample of them, a token of a toxic document is labelled toxic if one of
 its features goes with toxic documents far beyond chance (a likelihood-ratio
-test), every other token is clean.  The two-state field is fitted on windows of
-these labelled tokens.
+test), every other token is clean.  The two-state field is fitted on all tokens of
+the sampled texts, cut into windows of WINDOW tokens (a text's last one is shorter).
 
 Scoring runs forward and backward over whole texts.  Tokens without a selected
 feature all have the same potentials, so a run of n of them is the n-th power of
@@ -16,6 +16,7 @@ over evidence) by a logistic regression on the sampled documents.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,8 @@ PREFIXES = (4, 5, 7)
 #: Least likelihood ratio (G squared) and documents of a feature that marks toxic tokens; features kept at most.
 EVIDENCE, SUPPORT, FEATURES = 17.0, 4, 5000
 WINDOW, ROUNDS, RIDGE = 24, 150, 1e-3
+#: Windows that a step of the fit holds at once.
+BLOCK = 1 << 13
 SCAN = 1 << 18
 _FILTER = 1 << 20
 _state: dict = {}
@@ -111,13 +114,18 @@ def _quick(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _forward_backward(score: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Over windows (row by step): log partition, marginals of the toxic state, and expected moves."""
+def _forward_backward(score: np.ndarray, moves: np.ndarray, start: np.ndarray | None = None, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over windows (row by step): log partition, marginals of the toxic state, and expected moves.
+
+    start: the states before the first tokens, clean if not given; weight: how often each window counts.
+    """
     n, steps = score.shape
+    start = np.zeros(n, np.int64) if start is None else start
+    weight = np.ones(n) if weight is None else weight
     t = np.exp(moves)
     emit = np.stack([np.ones_like(score), np.exp(score)], axis=2)
     a, scale = np.zeros((n, steps, 2)), np.zeros((n, steps))
-    now = np.tile(np.array([1.0, 0.0]), (n, 1))
+    now = np.eye(2)[start]
     for i in range(steps):
         now = (now @ t) * emit[:, i]
         scale[:, i] = now.sum(1)
@@ -130,27 +138,74 @@ def _forward_backward(score: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray,
     marginal = a * b
     marginal /= marginal.sum(2, keepdims=True)
     pair = a[:, :-1, :, None] * t[None, None] * (emit[:, 1:] * b[:, 1:])[:, :, None, :] / scale[:, 1:, None, None]
-    expected = pair.sum((0, 1))
-    expected[0] += marginal[:, 0].sum(0)  # the state before the first token is clean
-    return np.log(scale).sum(), marginal[:, :, 1], expected
+    expected = np.einsum("n,nsij->ij", weight, pair)
+    np.add.at(expected, start, weight[:, None] * marginal[:, 0])
+    return (weight * np.log(scale).sum(1)).sum(), marginal[:, :, 1], expected
 
 
-def _fitted(windows: np.ndarray, labels: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], m: int) -> tuple[np.ndarray, float, np.ndarray]:
+@dataclass
+class Block:
+    """Different windows of one length: labels (row by step), states before them, how often each occurs, and its evidence (cell, feature)."""
+
+    labels: np.ndarray
+    start: np.ndarray
+    weight: np.ndarray
+    cell: np.ndarray
+    which: np.ndarray
+
+
+def _blocks(hits: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], toxic: np.ndarray) -> Iterator[Block]:
+    """All tokens of all texts as windows, equal ones once with their number; at most BLOCK windows at a time."""
+    found: Counter = Counter()
+    for (row, k), n, bad in zip(hits, sizes, toxic, strict=True):
+        after = row + 1
+        own = np.unique(np.concatenate([row, after[after < n]]) // WINDOW)  # the others have no evidence, nor a toxic token before them
+        first, last = own * WINDOW, np.minimum((own + 1) * WINDOW, n)
+        lows, highs = np.searchsorted(row, first), np.searchsorted(row, last)
+        for s, e, a, b in zip(first.tolist(), last.tolist(), lows.tolist(), highs.tolist(), strict=True):
+            before = bool(bad) and a > 0 and int(row[a - 1]) == s - 1
+            found[e - s, bool(bad) and b > a, before, (row[a:b] - s).astype(np.uint8).tobytes(), k[a:b].astype(np.int32).tobytes()] += 1
+        whole, rest = divmod(n, WINDOW)
+        found[WINDOW, False, False, b"", b""] += whole - int((own < whole).sum())
+        if rest and whole not in own:
+            found[rest, False, False, b"", b""] += 1
+    of_length: dict[int, list] = {}
+    for key, count in found.items():
+        if count:
+            of_length.setdefault(key[0], []).append((key, count))
+    for steps, windows in sorted(of_length.items()):
+        for at in range(0, len(windows), BLOCK):
+            part = windows[at : at + BLOCK]
+            cells = [np.frombuffer(key[3], np.uint8) for key, _ in part]
+            cell = np.concatenate(cells).astype(np.int64) + np.repeat(np.arange(len(part)) * steps, [len(c) for c in cells])
+            which = np.concatenate([np.frombuffer(key[4], np.int32) for key, _ in part]).astype(np.int64)
+            labels = np.zeros(len(part) * steps, np.int64)
+            labels[cell] = 1
+            labels = labels.reshape(-1, steps) * np.array([key[1] for key, _ in part], np.int64)[:, None]
+            yield Block(labels, np.array([key[2] for key, _ in part], np.int64), np.array([count for _, count in part], float), cell, which)
+
+
+def _fitted(blocks: list[Block], m: int) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, bias and moves by gradient ascent (Adam) on the windows' log likelihood."""
-    cell, which = pairs
     theta = np.zeros(m + 5)
     theta[m] = -3.0
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
-    flat = labels.reshape(-1).astype(float)
-    before = np.concatenate([np.zeros((len(labels), 1), int), labels[:, :-1]], axis=1)
-    seen = np.bincount((before * 2 + labels).reshape(-1), minlength=4).astype(float)
-    n = float(labels.size)
+    seen, n = np.zeros(4), 0.0
+    for b in blocks:
+        steps = b.labels.shape[1]
+        before = np.concatenate([b.start[:, None], b.labels[:, :-1]], axis=1)
+        seen += np.bincount((before * 2 + b.labels).reshape(-1), weights=np.repeat(b.weight, steps), minlength=4)
+        n += steps * b.weight[np.unique(b.cell // steps)].sum()  # plain text, however long, doesn't strengthen the ridge
     for step in range(1, ROUNDS + 1):
-        score = np.full(labels.size, theta[m])
-        np.add.at(score, cell, theta[which])
-        _, marginal, moved = _forward_backward(np.clip(score, -30, 30).reshape(labels.shape), theta[m + 1 :].reshape(2, 2))
-        gap = flat - marginal.reshape(-1)
-        grad = np.concatenate([np.bincount(which, weights=gap[cell], minlength=m), [gap.sum()], seen - moved.reshape(-1)])
+        grad = np.concatenate([np.zeros(m + 1), seen])
+        for b in blocks:
+            score = np.full(b.labels.size, theta[m])
+            np.add.at(score, b.cell, theta[b.which])
+            _, marginal, moved = _forward_backward(np.clip(score, -30, 30).reshape(b.labels.shape), theta[m + 1 :].reshape(2, 2), b.start, b.weight)
+            gap = ((b.labels - marginal) * b.weight[:, None]).reshape(-1)
+            grad[:m] += np.bincount(b.which, weights=gap[b.cell], minlength=m)
+            grad[m] += gap.sum()
+            grad[m + 1 :] -= moved.reshape(-1)
         grad = grad / n * 1000 - RIDGE * theta
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad**2
         theta += 0.15 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-8)
@@ -245,26 +300,7 @@ def fit(texts: list[str], toxic: list[int], rates: tuple[float, float] = (1.0, 1
         for f in _by_text(texts):
             hits.append(_emissions(f, keys, quick))
             sizes.append(len(f))
-    # windows around labelled tokens of toxic texts, and one window of every text
-    starts, owner = [], []
-    for d, (row, _) in enumerate(hits):
-        n = sizes[d]
-        own = {max(0, min(int(r) - WINDOW // 2, n - WINDOW)) for r in row[:: max(1, -(-len(row) // 4))]} | {(n * 7 // 11) % max(1, n - WINDOW)}
-        if n >= WINDOW:
-            starts += sorted(own)
-            owner += [d] * len(own)
-    if not starts:  # all texts are short: one window each, padded
-        starts, owner = [0] * len(y), list(range(len(y)))
-    labels = np.zeros((len(starts), WINDOW), np.int64)
-    cells, which = [], []
-    for w, (s, d) in enumerate(zip(starts, owner, strict=True)):
-        row, k = hits[d]
-        inside = (row >= s) & (row < s + WINDOW)
-        cells.append(w * WINDOW + row[inside] - s)
-        which.append(k[inside])
-        if y[d]:
-            labels[w, row[inside] - s] = 1
-    weights, bias, moves = _fitted(labels, labels, (np.concatenate(cells), np.concatenate(which)), len(keys))
+    weights, bias, moves = _fitted(list(_blocks(hits, sizes, y)), len(keys))
     field = Field(keys, weights, bias, moves, none.calibration, prior)
     x = np.concatenate([_summary(*_scored(*h, n, field)) for h, n in zip(hits, sizes, strict=True)])
     field.calibration = _calibrated(x, y.astype(float), np.where(y == 1, rates[1], rates[0]) / max(rates))

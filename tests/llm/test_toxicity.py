@@ -67,3 +67,25 @@ def test_odd_rows_without_and_with_one_label(spark, odd_docs, no_docs):
     assert toxicity.scored(odd_docs, labels.limit(0)).where("predicted = 1 or held_out is null").count() == 0
     assert toxicity.scored(no_docs, labels).count() == 0 and toxicity.clean(no_docs, labels).count() == 0
     assert toxicity.clean(odd_docs, labels).count() == odd_docs.count()
+
+
+def test_short_texts_beside_a_long_one_and_every_labelled_token_are_fitted():
+    comments = [f"you are vile number {'abcdefgh'[i % 8]}" if i % 4 == 0 else f"a fine day {'abcdefgh'[i % 8]}" for i in range(400)]
+    texts, marks = [*comments, "plain words of an article " * 40], [int(i % 4 == 0) for i in range(400)] + [0]
+    field = toxicity.fit(texts, marks)
+    assert len(field.keys) and (field.weights > 1).all()
+    hits = [(np.arange(0, 240, 3), np.zeros(80, np.int64)), (np.array([2]), np.array([1])), (np.zeros(0, np.int64),) * 2, (np.array([23]), np.array([2]))]
+    sizes, toxic = [240, 5, 50, 60], np.array([1, 1, 0, 1])
+    blocks = list(toxicity._blocks(hits, sizes, toxic))
+    assert sum((b.weight * b.labels.shape[1]).sum() for b in blocks) == sum(sizes)
+    assert sum((b.weight * b.labels.sum(1)).sum() for b in blocks) == 82
+    seen = sum(np.bincount(b.which, weights=b.weight[b.cell // b.labels.shape[1]], minlength=3) for b in blocks)
+    assert seen.tolist() == [80, 1, 1] and sum((b.weight * b.start).sum() for b in blocks) == 1  # one window follows a toxic token
+
+
+def test_repeated_windows_count_as_often_as_they_occur():
+    r = np.random.default_rng(5)
+    score, moves, start = r.normal(size=(3, 6)), r.normal(size=(2, 2)), np.array([0, 1, 0])
+    one = _forward_backward(score, moves, start, np.array([1.0, 2.0, 3.0]))
+    many = _forward_backward(np.repeat(score, [1, 2, 3], axis=0), moves, np.repeat(start, [1, 2, 3]))
+    assert one[0] == pytest.approx(many[0]) and one[2] == pytest.approx(many[2])
