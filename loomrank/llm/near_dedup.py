@@ -280,6 +280,10 @@ def classes(docs: DataFrame, percent: int = 75, size: int = SHINGLE, bands: int
 
 
 def kept(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that are the smallest of their component, all columns; rows without an id stay."""
+    """The documents that are the smallest of their component, all columns; rows without an id stay, of rows with equal id and text one stays."""
     gone = classes(docs, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    twice = scratch.saved(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "twice")
+    if twice.limit(1).count():
+        once = docs.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+        docs = docs.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once)
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

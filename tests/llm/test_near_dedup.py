@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from loomrank.llm import near_dedup
+from loomrank.llm import near_dedup, suffix_dedup
 
 
 def brute(rows, percent=75, size=5):
@@ -78,3 +78,12 @@ def test_signatures_agree_as_sets_do():
             sets = np.concatenate([a, b])
             sig = near_dedup.signature(sets, np.array([0, len(a), len(sets)]), 2000)
             assert (sig[0] == sig[1]).mean() == pytest.approx(len(np.intersect1d(a, b)) / len(np.union1d(a, b)), abs=0.08)
+
+
+def test_one_of_repeated_rows_stays_and_keeps_its_text(spark):
+    r = random.Random(9)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(3)]
+    rows = [(0, texts[0]), (1, texts[1]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (None, "no id"), (None, "no id")]
+    out = near_dedup.kept(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    cleaned = suffix_dedup.cleaned(out, length=200)
+    assert sorted(map(tuple, cleaned.select("doc_id", "text").collect()), key=str) == sorted([*enumerate(texts), (None, "no id"), (None, "no id")], key=str)
