@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from loomrank.llm.bytescan import LETTER, LOWER, SECOND, U64, Rolling, chunks, mix, words
 
 #: Labelled rows that training takes at most, of each label, and the most bytes of each.
-SAMPLE, LONGEST = {1: 2000, 0: 4000}, 1 << 16
+SAMPLE, LONGEST = {1: 2500, 0: 5000}, 1 << 16
 PREFIXES = (4, 5, 7)
 #: Least likelihood ratio (G squared) and documents of a feature that marks toxic tokens; features kept at most.
 EVIDENCE, SUPPORT, FEATURES = 17.0, 4, 5000
@@ -36,6 +36,8 @@ WINDOW, ROUNDS, RIDGE = 24, 150, 1e-3
 #: Windows that a step of the fit holds at once.
 BLOCK = 1 << 13
 SCAN = 1 << 18
+#: Bytes of toxic texts whose features are counted in one pass.
+PASS = 1 << 23
 _FILTER = 1 << 20
 _state: dict = {}
 
@@ -75,19 +77,36 @@ def _by_text(texts: list[str]) -> Iterator[np.ndarray]:
             yield f[first[i] : first[i + 1]]
 
 
-def _selected(texts: list[str], toxic: np.ndarray) -> np.ndarray:
-    """Features that go with toxic documents far beyond chance, sorted."""
-    bad = [np.unique(f) for f in _by_text([x for x, y in zip(texts, toxic, strict=True) if y])]
-    keys, t = np.unique(np.concatenate(bad), return_counts=True)
-    keys, t = keys[(t >= SUPPORT) & (keys != 0)], t[(t >= SUPPORT) & (keys != 0)]
-    del bad
+def _counted(texts: list[str], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of SUPPORT and more toxic texts, sorted, with their numbers of toxic and clean texts.
+
+    Counted a range of features after the other, so that not all of the toxic texts' are held at once.
+    """
+    bad, good = ([x for x, y in zip(texts, toxic, strict=True) if y == mark] for mark in (1, 0))
+    parts = 1 + sum(len(x) for x in bad) // PASS
+    edges = [U64(i * (1 << 64) // parts) for i in range(parts)] + [U64((1 << 64) - 1)]
+    found = []
+    for i in range(parts):
+        last = i == parts - 1
+        low, high = edges[i], edges[i + 1]
+        each = [np.unique(f[(f >= low) & ((f < high) | last)]) for f in _by_text(bad)]
+        keys, t = np.unique(np.concatenate(each), return_counts=True)
+        found.append((keys[(t >= SUPPORT) & (keys != 0)], t[(t >= SUPPORT) & (keys != 0)]))
+        del each
+    keys, t = (np.concatenate(x) for x in zip(*found, strict=True))
     c = np.zeros(len(keys))
-    if not len(keys):
-        return keys
-    for f in _by_text([x for x, y in zip(texts, toxic, strict=True) if not y]):
+    for f in _by_text(good) if len(keys) else ():
         f = np.unique(f)
         at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
         c[at[keys[at] == f]] += 1
+    return keys, t, c
+
+
+def _selected(texts: list[str], toxic: np.ndarray) -> np.ndarray:
+    """Features that go with toxic documents far beyond chance, sorted."""
+    keys, t, c = _counted(texts, toxic)
+    if not len(keys):
+        return keys
     nt, nc = max(1.0, toxic.sum()), max(1.0, len(toxic) - toxic.sum())
     share = nt / (nt + nc)
     both = t + c

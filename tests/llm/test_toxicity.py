@@ -89,3 +89,15 @@ def test_repeated_windows_count_as_often_as_they_occur():
     one = _forward_backward(score, moves, start, np.array([1.0, 2.0, 3.0]))
     many = _forward_backward(np.repeat(score, [1, 2, 3], axis=0), moves, np.repeat(start, [1, 2, 3]))
     assert one[0] == pytest.approx(many[0]) and one[2] == pytest.approx(many[2])
+
+
+def test_features_are_counted_alike_in_one_pass_and_in_many(monkeypatch):
+    texts, marks = corpus(400, 7)
+    one = toxicity._counted(texts, np.array(marks))
+    assert toxicity.SAMPLE == {1: 2500, 0: 5000} and len(one[0])
+    found = [np.unique(f) for f in toxicity._by_text(texts)]
+    for key, t, c in list(zip(*one, strict=True))[:20]:
+        assert (t, c) == tuple(sum(bool((f == key).any()) for f, m in zip(found, marks, strict=True) if m == mark) for mark in (1, 0))
+    monkeypatch.setattr(toxicity, "PASS", 1 << 12)
+    many = toxicity._counted(texts, np.array(marks))
+    assert all((a == b).all() for a, b in zip(one, many, strict=True))
