@@ -88,8 +88,8 @@ def write(pages: DataFrame, path: str, least: int = 0, gzip: bool = True) -> Non
     text = F.coalesce("html", F.lit(""))
     digests = pages.select("page_id", F.sha1(text.cast("binary")).alias("digest"), F.octet_length(text).alias("size")).where(F.col("size") >= least)
     firsts = scratch.saved(digests.groupBy("digest").agg(F.min("page_id").alias("first")), "firsts")
-    revisits = digests.join(firsts, "digest").where("page_id <> first").select("page_id", "first").distinct()
-    rows = pages.select("page_id", "url", "html").join(revisits, "page_id", "left")
+    revisits = digests.join(firsts, "digest").where("page_id <> first").select("page_id", "digest", "first").distinct()
+    rows = pages.select("page_id", "url", "html", F.sha1(text.cast("binary")).alias("digest")).join(revisits, ["page_id", "digest"], "left").drop("digest")
     lines = rows.mapInArrow(_records(gzip), "record binary").select(F.col("record").cast("string").alias("value"))
     lines.write.option("lineSep", "\0" if gzip else "\n").text(path)
     scratch.drop(firsts)

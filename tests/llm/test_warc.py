@@ -87,3 +87,11 @@ def test_empty_members_end_long_records():
     assert warc._EMPTY[-1] == 0
     z = __import__("zlib").decompressobj(31)
     assert z.decompress(warc._EMPTY) == b"" and z.eof
+
+
+def test_pages_crawled_twice_keep_each_payload(spark, tmp_path):
+    rows = [(1, "a", "x"), (2, "b", "y"), (3, "c", "x"), (3, "c", "y"), (3, "c", "only here")]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}/out")
+    got = warc.read(spark, f"file://{tmp_path}/out")
+    assert sorted((tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == expected(rows)
+    assert [bytes(r["payload"]) for r in got.where("page_id = 3 AND record_type = 'response'").collect()] == [b"only here"]
