@@ -11,7 +11,9 @@ with the last token of the prefix before it, and reads the ids backwards.
 
 Text is first cut where no piece has the two characters side by side; no token
 crosses such a cut.  Most stretches occur many times, so each batch encodes its
-distinct unseen stretches only, all of them at once, one position a step.
+distinct unseen stretches only, all of them at once, one position a step.  Equal
+stretches are found by a fingerprint and then compared character by character; one
+that only shares another's fingerprint is encoded by itself.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from pyspark.sql import DataFrame
 
 from loomrank.llm.bytescan import U64, gather, mix
 
-#: Characters per batch, and remembered stretches, per worker.
-CHUNK, MEMORY = 1 << 19, 400_000
+#: Characters per batch, and what a worker remembers at most: stretches, and their characters.
+CHUNK, MEMORY, LETTERS = 1 << 19, 400_000, 1 << 23
 _PAIRS = 1 << 20
 _SPACE = 0x2581
 _BASE = 0x9E3779B97F4A7C15
@@ -50,7 +52,9 @@ class PieceCodec:
         self._tables(pieces, rank.astype(np.int32), n)
         self.seen: dict[int, int] = {}
         self.pool, self.pool_size = np.zeros(1 << 16, np.int32), 0
+        self.letters, self.letters_size = np.zeros(1 << 16, np.uint32), 0
         self.first, self.many = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.letter_at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.term = mix(np.arange(0x110000, dtype=U64) + U64(77)) | U64(1)
         self.up = np.ones(1, U64)
         self.down = np.ones(1, U64)
@@ -265,27 +269,45 @@ class PieceCodec:
         np.cumsum(self.term[cps] * self.down[:n], out=prefix[1:])
         key = mix((prefix[start + length] - prefix[start]) * self.up[start] + length.astype(U64))
         keys, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.seen) > MEMORY:
+        if len(self.seen) > MEMORY or self.letters_size > LETTERS:
             self.seen.clear()
-            self.pool_size = 0
+            self.pool_size = self.letters_size = 0
         slots = np.fromiter(map(self.seen.get, keys.tolist(), [-1] * len(keys)), np.int64, len(keys))
         new = np.flatnonzero(slots < 0)
         if len(new):
-            ids, many = self._encode_new(cps, start[where[new]], length[where[new]])
+            s, n_new = start[where[new]], length[where[new]]
+            ids, many = self._encode_new(cps, s, n_new)
             base = len(self.seen)
             slots[new] = base + np.arange(len(new))
             self.seen.update(zip(keys[new].tolist(), slots[new].tolist(), strict=True))
-            self.first, self.many = _fitted(self.first, base + len(new)), _fitted(self.many, base + len(new))
+            for name in ("first", "many", "letter_at", "size"):
+                setattr(self, name, _fitted(getattr(self, name), base + len(new)))
             self.first[slots[new]], self.many[slots[new]] = self.pool_size + np.cumsum(many) - many, many
-            self.pool = _fitted(self.pool, self.pool_size + len(ids))
-            self.pool[self.pool_size : self.pool_size + len(ids)] = ids
-            self.pool_size += len(ids)
+            self.letter_at[slots[new]], self.size[slots[new]] = self.letters_size + np.cumsum(n_new) - n_new, n_new
+            self.pool, self.pool_size = _appended(self.pool, self.pool_size, ids)
+            self.letters, self.letters_size = _appended(self.letters, self.letters_size, gather(cps, s, n_new))
         slot = slots[back]
-        many = self.many[slot].astype(np.int64)
+        first, many, pool = self.first[slot], self.many[slot].astype(np.int64), self.pool
+        odd = self._mistaken(cps, slot, length)
+        if len(odd):
+            ids, own = self._encode_new(cps, start[odd], length[odd])
+            first[odd], many[odd] = self.pool_size + np.cumsum(own) - own, own
+            pool = np.concatenate([self.pool[: self.pool_size], ids])
         so_far = np.concatenate([[0], np.cumsum(many)])
         ends = np.searchsorted(start, text_at + size)
         begins = np.searchsorted(start, text_at)
-        return gather(self.pool, self.first[slot], many), np.where(size > 0, so_far[ends] - so_far[begins], 0)
+        return gather(pool, first, many), np.where(size > 0, so_far[ends] - so_far[begins], 0)
+
+    def _mistaken(self, cps: np.ndarray, slot: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The stretches whose characters aren't those of their slot; together all stretches are cps."""
+        same = self.size[slot] == length
+        fine = np.flatnonzero(same)
+        if len(fine):
+            own = cps if len(fine) == len(slot) else cps[np.repeat(same, length)]
+            differ = gather(self.letters, self.letter_at[slot[fine]], length[fine]) != own
+            if differ.any():
+                same[fine] = np.add.reduceat(differ, np.cumsum(length[fine]) - length[fine]) == 0
+        return np.flatnonzero(~same)
 
     def decode(self, ids: np.ndarray, many: np.ndarray) -> list[bytes]:
         """The UTF-8 text of each run of ids (without the space that encoding puts first); bytes that form no character become U+FFFD."""
@@ -305,6 +327,12 @@ def _fitted(x: np.ndarray, n: int) -> np.ndarray:
     return x if len(x) >= n else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
 
 
+def _appended(x: np.ndarray, n: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    x = _fitted(x, n + len(more))
+    x[n : n + len(more)] = more
+    return x, n + len(more)
+
+
 def codec(path: str) -> PieceCodec:
     if path not in _codecs:
         with np.errstate(over="ignore"):

@@ -11,6 +11,21 @@ def text_of(seed: int, n: int) -> str:
     return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
 
 
+def thue_morse(n: int, letters: str = "ab") -> str:
+    """The first n letters of a sequence whose halves collide under polynomial sums modulo a power of two."""
+    return "".join(letters[i.bit_count() % 2] for i in range(n))
+
+
+@pytest.fixture(scope="session")
+def twins():
+    """Pairs of different texts that such sums can't tell apart: as one word, as words, and within a sentence."""
+    out = []
+    for n in (128, 256, 1024, 2048, 4096):
+        one, two = thue_morse(n), thue_morse(n, "ba")
+        out += [(one, two), (f"c{one}c", f"c{two}c"), (f"some words {one} and more", f"some words {two} and more"), (" ".join(one), " ".join(two))]
+    return out
+
+
 @pytest.fixture(scope="session")
 def odd_rows():
     """Nulls, blanks, a very long text, repeats, near copies, shared passages, other scripts."""

@@ -40,6 +40,22 @@ def test_random_texts(library):
     same(library, ["".join(chr(r.choice([r.randint(1, 0x2FF), r.randint(0x400, 0xD7FF), r.randint(0x10000, 0x1F9FF)])) for _ in range(60)) for _ in range(200)])
 
 
+def test_texts_with_equal_fingerprints(library, twins):
+    same(library, [x for pair in twins for x in pair])
+    same(library, [x for pair in twins for x in pair[::-1]])
+    codec = piece_codec.codec(MODEL)
+    for one, two in twins:  # whatever a worker has seen before
+        same(library, [two])
+        same(library, [one])
+    codec.seen.clear()
+    codec.pool_size = codec.letters_size = 0
+    codec.term, term = np.full_like(codec.term, 2), codec.term  # all stretches of one length share a fingerprint
+    same(library, ["the cat sat on the mat", "tah cet sot an the mat", "hte"] + [x for pair in twins for x in pair])
+    codec.term = term
+    codec.seen.clear()
+    codec.pool_size = codec.letters_size = 0
+
+
 def test_neighbours_of_an_encoding_are_compatible(library):
     codec = piece_codec.codec(MODEL)
     r = random.Random(9)
