@@ -3,13 +3,16 @@
 Every function works on the raw bytes of a slice of a string column, so that a
 document costs a few NumPy passes and never a Python loop over characters.
 
-Fingerprints are polynomial sums modulo 2**64 over a random byte table.  With an
-odd base the powers are invertible, which turns the fingerprint of any substring
-into one subtraction and one multiplication of prefix sums.
+Rolling fingerprints are polynomial sums modulo 2**64 over a random byte table.  With
+an odd base the powers are invertible, which turns the fingerprint of any substring
+into one subtraction and one multiplication of prefix sums.  Some texts share them
+(Thue-Morse words), so they only ever rule things out.  What decides that two strings
+are equal is `digests`, which mixes eight bytes at a time and has no such structure.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +75,43 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.as_strided(padded, (len(data) + 1, 8), (1, 1)).copy().view("<u8").reshape(-1)
+
+
+#: The lowest bytes of a number, by their count.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
+#: Bytes of a string beyond which its digest comes from hashlib: a step for all strings a lane would run for few.
+LONG = 1 << 9
+
+
+def digests(lane: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:
+    """A 64-bit hash per seed of every slice; lane: lanes(data).  Independent seeds together make a wider one."""
+    size = end - start
+    out = [mix(size.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) for seed in seeds]
+    short = size <= LONG
+    order = np.argsort(-np.where(short, size, 0), kind="stable")
+    sizes, starts = np.where(short, size, 0)[order], start[order]
+    steps = -(-int(sizes[0]) // 8) if len(sizes) else 0
+    state = [x[order] for x in out]
+    for i in range(steps):
+        n = int(np.searchsorted(-sizes, -8 * i, "left"))
+        part = lane[starts[:n] + 8 * i]
+        part &= _MASK[np.minimum(sizes[:n] - 8 * i, 8)]
+        for x in state:
+            x[:n] = mix(x[:n] ^ part) + U64(0x9E3779B97F4A7C15)
+    for x, y in zip(out, state, strict=True):
+        x[order] = y
+    for i in np.flatnonzero(~short).tolist():
+        found = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8 * len(seeds)).digest()
+        for x, v in zip(out, np.frombuffer(found, "<u8"), strict=True):
+            x[i] ^= v
+    return out
+
+
 FIRST, SECOND = (0x5DEECE66D, 0x9E3779B97F4A7C15), (0x2545F491, 0xD1342543DE82EF95)
 
 LOWER = np.arange(256, dtype=np.uint8)

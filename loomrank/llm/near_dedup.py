@@ -6,10 +6,10 @@ fixed probing order over bins (optimal densification).  Bands of ROWS bins are
 bucket keys.  With 48 bands of 5 a pair at similarity 0.75 stays without a common
 bucket with probability (1 - 0.75**5)**48, about 2e-6.
 
-Documents with the same shingle set become one class before bucketing.  Within a
-bucket the smallest member is a star's centre and is paired with the others, so a
-bucket of m members gives m - 1 pairs.  Pairs are confirmed on the full shingle
-sets.  Buckets whose members then still belong to different components get the
+Documents with the same shingle set (128 bits of a hash of all its words) become one
+class before bucketing.  Within a bucket the smallest member is a star's centre and
+is paired with the others, so a bucket of m members gives m - 1 pairs.  Pairs are
+confirmed on the full sets of shingles, word by word.  Buckets whose members then still belong to different components get the
 next centre.  After STARS such rounds an exact prefix filter takes the documents
 of the buckets that are still mixed: with shingles in order of their frequency,
 two similar sets share one of the first n - ceil(0.75 n) + 1 of each.  Passages
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomrank.llm import scratch
-from loomrank.llm.bytescan import FIRST, LOWER, U64, Rolling, chunks, mix, strings, words
+from loomrank.llm.bytescan import LOWER, U64, chunks, digests, lanes, mix, strings, words
 
 SHINGLE = 5
 BANDS, ROWS = 48, 5
@@ -38,44 +38,49 @@ _EMPTY = U64(0xFFFFFFFFFFFFFFFF)
 _state: dict = {}
 
 
-def _rolling() -> Rolling:
-    if "hash" not in _state:
-        _state["hash"] = Rolling(*FIRST)
-    return _state["hash"]
-
-
-def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of every text's shingles with repeats, and where each text's begin (one more at the end).
+def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE, wide: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of every text's shingles with repeats (two of each if wide), and where each text's begin (one more at the end).
 
     A text with fewer words has its whole sequence as its one shingle.
     """
     lowered = LOWER[data]
     start, end, first = words(lowered, at)
-    hashes = _rolling()
-    word = mix(hashes.spans(hashes.prefix(lowered), start, end) + (end - start).astype(U64))
+    hashed = digests(lanes(lowered), lowered, start, end, (0x13198A2E, 0x03707344)[: 1 + wide])
     n = np.diff(first)
     many = np.where(n >= size, n - size + 1, np.minimum(n, 1))
     begin = np.concatenate([[0], np.cumsum(many)])
     total = int(begin[-1])
     if not total:
-        return np.zeros(0, U64), begin
+        return [np.zeros(0, U64)] * (1 + wide), begin
     place = np.arange(total) + np.repeat(first[:-1] - begin[:-1], many)
-    out = np.zeros(total, U64)
-    padded = np.append(word, np.zeros(size, U64))
     left = np.repeat(np.minimum(n, size), many)  # words in the shingle
-    for i in range(size):
-        part = padded[place + i]
-        if i:
-            part = np.where(left > i, part, U64(0))
-        out = mix(out * U64(0x9E3779B97F4A7C15) + part + U64(i))
+    some = int(n[n > 0].min()) < size
+    out = []
+    for word in hashed:
+        padded = np.append(word, np.zeros(size, U64))
+        x = np.zeros(total, U64)
+        for i in range(size):
+            part = padded[place + i]
+            if i and some:
+                part = np.where(left > i, part, U64(0))
+            x = mix(x * U64(0x9E3779B97F4A7C15) + part + U64(i))
+        out.append(x)
     return out, begin
 
 
-def distinct(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each slice, and where each slice then begins."""
-    parts = [np.unique(values[b:e]) for b, e in zip(begin[:-1], begin[1:], strict=True)]
-    sizes = np.fromiter((len(x) for x in parts), np.int64, len(parts))
-    return (np.concatenate(parts) if parts else values[:0]), np.concatenate([[0], np.cumsum(sizes)])
+def distinct(values: list[np.ndarray], begin: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct values of each slice (with what stands beside them in the other arrays), and where each slice then begins."""
+    one = values[0]
+    row = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    order = np.lexsort((one, row)) if len(values) > 1 else None
+    if order is None:
+        ranked = np.concatenate([np.sort(one[b:e]) for b, e in zip(begin[:-1], begin[1:], strict=True)]) if len(begin) > 1 else one
+    else:
+        ranked = one[order]
+    new = np.ones(len(ranked), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]) | (row[1:] != row[:-1])
+    sizes = np.bincount(row[new], minlength=len(begin) - 1)
+    return [ranked[new], *(x[order[new]] for x in values[1:])], np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -121,10 +126,10 @@ def _signed(bands: int, rows: int, size: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 for r0, r1, data, at in chunks(batch.column(1), SCAN):
-                    sets, begin = distinct(*shingles(data, at, size))
+                    (sets, others), begin = distinct(*shingles(data, at, size, wide=True))
                     many = np.diff(begin)
                     total = lambda x: np.add.reduceat(np.append(x, U64(0)), begin[:-1]) * (many > 0).astype(U64)
-                    one, two = total(mix(sets)), total(mix(sets ^ U64(0x452821E638D01377)))
+                    one, two = total(mix(sets)), total(mix(others))
                     keys = band_keys(signature(sets, begin, bands * rows), bands, rows)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
                     yield pa.RecordBatch.from_arrays(
@@ -134,28 +139,47 @@ def _signed(bands: int, rows: int, size: int):
     return run
 
 
+def exact_shingles(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Every text's sorted distinct shingles as numbers; over these texts, equal numbers are equal words in equal order.
+
+    Words are numbered, then runs of words by pairs of shorter runs' numbers.
+    """
+    number: dict[bytes, int] = {}
+    own = [[number.setdefault(w, len(number) + 1) for w in t.lower().split()] for t in texts]  # bytes: lowers A-Z, splits at ASCII white space
+    many = np.array([max(len(w) - size + 1, min(len(w), 1)) for w in own], np.int64)
+    flat = np.fromiter((i for w in own for i in (*w, *[0] * size)), np.int64)  # zeros: no word
+    first = np.cumsum([0, *(len(w) + size for w in own)])[:-1]
+    begin = np.concatenate([[0], np.cumsum(many)])
+    place = np.arange(int(begin[-1])) + np.repeat(first - begin[:-1], many)
+    runs, length = flat, 1
+    while length < size:  # the run from each word on, longer by as much as fits
+        step = min(length, size - length)
+        _, named = np.unique(runs, return_inverse=True)
+        runs = named * np.int64(named.max(initial=0) + 1) + np.append(named[step:], np.zeros(step, np.int64))
+        length += step
+    got = runs[place]
+    return [np.unique(got[b:e]) for b, e in zip(begin[:-1], begin[1:], strict=True)]
+
+
 def _confirmed(percent: int, size: int):
     """Pairs (a, b, text_a, text_b) whose shingle sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                keep = []
-                left, right = batch.column("text_a"), batch.column("text_b")
-                ends = (strings(left)[1] + strings(right)[1])[1:]
-                rows = 0
-                while rows < len(left):  # runs of pairs of bounded size; one pair at least
-                    upto = max(rows + 1, int(np.searchsorted(ends, (ends[rows - 1] if rows else 0) + 2 * SCAN, "right")))
-                    sets_a, at_a = distinct(*shingles(*strings(left[rows:upto]), size))
-                    sets_b, at_b = distinct(*shingles(*strings(right[rows:upto]), size))
-                    for i in range(upto - rows):
-                        a, b = sets_a[at_a[i] : at_a[i + 1]], sets_b[at_b[i] : at_b[i + 1]]
-                        both = np.concatenate([a, b])
-                        both.sort()
-                        shared = int((both[1:] == both[:-1]).sum())
-                        keep.append(shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared))
-                    rows = upto
-                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for batch in batches:
+            keep = []
+            left, right = batch.column("text_a"), batch.column("text_b")
+            ends = (strings(left)[1] + strings(right)[1])[1:]
+            rows = 0
+            while rows < len(left):  # runs of pairs of bounded size; one pair at least
+                upto = max(rows + 1, int(np.searchsorted(ends, (ends[rows - 1] if rows else 0) + 2 * SCAN, "right")))
+                sets = exact_shingles([t.as_buffer().to_pybytes() for part in (left, right) for t in part[rows:upto]], size)
+                for a, b in zip(sets[: upto - rows], sets[upto - rows :], strict=True):
+                    both = np.concatenate([a, b])
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    keep.append(shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared))
+                rows = upto
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -209,7 +233,7 @@ def _exploded(size: int):
         with np.errstate(over="ignore"):
             for batch in batches:
                 for r0, r1, data, at in chunks(batch.column("text"), SCAN):
-                    sets, begin = distinct(*shingles(data, at, size))
+                    (sets,), begin = distinct(*shingles(data, at, size))
                     row = pa.array(r0 + np.repeat(np.arange(r1 - r0), np.diff(begin)))
                     yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in ("id", "component", "n")), pa.array(sets.view(np.int64))], ["id", "component", "n", "shingle"])
 

@@ -58,6 +58,38 @@ def test_chains_and_shared_passages(spark):
     assert {r[0]: tuple(r)[1:] for r in near_dedup.classes(docs).collect()} == brute(rows)
 
 
+def test_texts_with_equal_polynomial_sums(spark, twins):
+    rows = list(enumerate(x for pair in twins for x in pair))
+    rows += [(len(rows) + i, f"{a} is a word in a sentence of some length {i % 2}") for i, (a, _) in enumerate(twins)]
+    got = {r[0]: tuple(r)[1:] for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute(rows)
+
+
+def test_exact_shingles():
+    r = random.Random(8)
+    texts = [" ".join(r.choice("ab") * r.randint(1, 2) for _ in range(n)) for n in (0, 1, 3, 4, 5, 6, 30, 31, 200, 3)]
+    got = near_dedup.exact_shingles([t.encode() for t in texts], 5)
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := t.split()) else set() for t in texts]
+    for i in range(len(texts)):
+        assert len(got[i]) == len(sets[i])
+        for j in range(i):
+            assert len(np.intersect1d(got[i], got[j])) == len(sets[i] & sets[j])
+
+
+def test_digests_depend_on_every_byte():
+    from loomrank.llm.bytescan import digests, lanes
+
+    r = random.Random(2)
+    for n in (0, 1, 7, 8, 9, 64, 511, 512, 513, 900):
+        data = np.frombuffer(bytes(r.randrange(256) for _ in range(n + 5)), np.uint8)
+        changed = data.copy()
+        changed[n + 1 if n else 0] ^= 1
+        with np.errstate(over="ignore"):
+            one, two = (digests(lanes(x), x, np.array([2, 2]), np.array([2 + n, 2 + max(n - 1, 0)]), (1, 2)) for x in (data, changed))
+        for x, y in zip(one, two):
+            assert (x[0] != y[0]) == (n > 0) and x[1] == y[1] and (x[0] != x[1]) == (n > 0)
+
+
 def test_kept_is_one_of_each_group(odd_docs):
     out = near_dedup.kept(odd_docs)
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
