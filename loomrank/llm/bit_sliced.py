@@ -7,6 +7,9 @@ for all rows at once by carry-save adders on bitmaps.  The DROP least significan
 slices stay out of this sum, which leaves every row an error within known bounds.
 From the most significant digit of the sums downward the k-th largest is found,
 then all rows that may still reach it; those boundary rows get exact scores.
+
+Rows with components of LARGE and more, and queries whose sums could leave 64 bits,
+are scored in Python's integers instead.
 """
 
 from __future__ import annotations
@@ -18,12 +21,13 @@ from pyspark.sql import functions as F
 from loomrank.llm import vectors
 
 DROP = 3
-#: Vectors with a larger quantised component take no part; sums stay far from 64 bits.
-LARGEST = 1 << 24
+#: Quantised components that stay out of the slices, sums of magnitudes that fit them, and what a score has to fit.
+LARGE, NARROW, LONG = 1 << 32, 1 << 52, 1 << 63
 
 
 def quantised(x: np.ndarray, scale: float) -> np.ndarray:
-    return np.floor(scale * x).astype(np.int64)
+    """Whole numbers in double precision, exact whatever their size."""
+    return np.floor(scale * x)
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -76,12 +80,17 @@ class Index:
         base = int((query * np.where(query >= 0, self.least, self.least + top)).sum())
         return base, int(np.abs(query).sum()) * rest
 
-    def top(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows among which the k best are, ties included."""
-        if self.n <= k:
-            return np.arange(self.n)
+    def top(self, query: np.ndarray, k: int, without: np.ndarray | None = None) -> np.ndarray:
+        """Rows among which the k best are, ties included; the rows `without` take no part."""
+        full = self.full
+        if without is not None and len(without):
+            out = np.ones(self.n, bool)
+            out[without] = False
+            full = _packed(out)
+        if int(np.bitwise_count(full).sum()) <= k:
+            return np.flatnonzero(np.unpackbits(full.view(np.uint8), bitorder="little"))
         slices = self.sums(query)
-        every, sure, value = self.full.copy(), np.zeros_like(self.full), 0
+        every, sure, value = full.copy(), np.zeros_like(full), 0
         need = k
         for s in slices[::-1]:  # every: rows that agree with the k-th largest so far
             ones = every & s
@@ -95,7 +104,7 @@ class Index:
                 every &= ~s
         _, error = self.offset(query)
         least = max(0, value - (error >> self.drop) - 1)
-        return np.flatnonzero(np.unpackbits(_at_least(slices, least, self.full).view(np.uint8), bitorder="little"))
+        return np.flatnonzero(np.unpackbits(_at_least(slices, least, full).view(np.uint8), bitorder="little"))
 
 
 def _saved(stack: np.ndarray, width: int | None = None) -> list[np.ndarray]:
@@ -135,18 +144,38 @@ def _at_least(slices: np.ndarray, value: int, full: np.ndarray) -> np.ndarray:
     return above | same
 
 
+def _wide(values: np.ndarray, query: np.ndarray, rows: np.ndarray) -> list[int]:
+    """Scores of some rows by whole numbers of any size."""
+    q = [int(x) for x in query]
+    return [sum(a * b for a, b in zip(map(int, values[i]), q, strict=True)) for i in rows]
+
+
 def _found(scale: float, k: int):
     def run(ids: np.ndarray, rows: np.ndarray, names: np.ndarray, queries: np.ndarray):
-        values = quantised(rows, scale)
-        index = Index(values)
+        values, asked = quantised(rows, scale), quantised(queries, scale)
+        large = np.abs(values).max(1, initial=0) >= LARGE
+        small, rest = np.flatnonzero(~large), np.flatnonzero(large)
+        whole = values[small].astype(np.int64)
+        index = Index(whole) if len(small) else None
+        narrow = np.abs(asked) @ (np.abs(whole).max(0, initial=0) + 1.0) < NARROW
+        order = np.argsort(ids[small], kind="stable")
+        first, last = (np.searchsorted(ids[small][order], names, side) for side in ("left", "right"))
         out = []
-        for i, query in enumerate(quantised(queries, scale)):
-            may = index.top(query, k + 1)
-            own = ids[may] != names[i]
-            may = may[own]
-            score = values[may] @ query
-            best = np.lexsort((ids[may], -score))[:k]
-            out.append((np.full(len(best), i), ids[may][best], score[best]))
+        for i, query in enumerate(asked):
+            own = order[first[i] : last[i]]
+            if narrow[i] and index:
+                may = index.top(query.astype(np.int64), k, own)
+                score = (whole[may] @ query.astype(np.int64)).tolist()
+                may = small[may]
+            else:
+                may = np.delete(small, own)
+                score = _wide(values, query, may)
+            more = rest[ids[rest] != names[i]]
+            may, score = np.concatenate([may, more]), score + _wide(values, query, more)
+            best = sorted(range(len(may)), key=lambda j: (-score[j], ids[may[j]]))[:k]  # noqa: B023
+            if any(not -LONG <= score[j] < LONG for j in best):
+                raise OverflowError("an inner product among the largest doesn't fit a long")
+            out.append((np.full(len(best), i), ids[may[best]], np.array([score[j] for j in best], np.int64)))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
     return run
@@ -155,10 +184,9 @@ def _found(scale: float, k: int):
 def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of floor(scale * x), ties to the smaller vec_id.
 
-    Vectors that are null, hold null or non-finite components, or components of
-    LARGEST and more after quantisation take no part; a null vec_id neither.
+    Vectors that are null or hold null or non-finite components take no part; a
+    null vec_id neither.  A result's score that doesn't fit a long is an error.
     Shorter vectors count as filled with zeros.  All rows with the query's vec_id
-    are its own; a query id that repeats is asked once.
+    are its own; of a query id's vectors the least is asked.
     """
-    usable = lambda x: (np.abs(x) * scale < LARGEST).all(1)
-    return vectors.searched(embeddings, is_query, _found(scale, k), "long", F.desc("score"), k, usable)
+    return vectors.searched(embeddings, is_query, _found(scale, k), "long", F.desc("score"), k, lambda x: np.ones(len(x), bool))

@@ -31,7 +31,7 @@ class Forest:
         rows, ids = rows[order], ids[order]
         new = np.append(True, (rows[1:] != rows[:-1]).any(1))  # equal vectors are one entry with all their ids
         self.first = np.append(np.flatnonzero(new), len(ids))
-        self.ids, self.rows, self.bits = ids, rows[new], bits
+        self.ids, self.names, self.rows, self.bits = ids, np.sort(ids), rows[new], bits
         self.centre = self.rows.mean(0)
         rng = np.random.Generator(np.random.PCG64(seed))
         self.planes = rng.normal(size=(trees, rows.shape[1], bits))
@@ -96,12 +96,13 @@ class Forest:
 
     def nearest(self, query: np.ndarray, one: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of the k nearest candidates other than `own`, ties to the smaller id."""
+        more = k + int(np.searchsorted(self.names, own, "right") - np.searchsorted(self.names, own, "left"))  # its own rows go afterwards
         found = self.candidates(one)
         far = np.sqrt(((self.rows[found] - query) ** 2).sum(1))
-        if len(found) > k + 1:
-            keep = far <= np.partition(far, k)[k]
+        if len(found) > more + 1:
+            keep = far <= np.partition(far, more)[more]
             found, far = found[keep], far[keep]
-        size = np.minimum(self.first[found + 1] - self.first[found], k + 1)
+        size = np.minimum(self.first[found + 1] - self.first[found], more)
         at = np.repeat(self.first[found] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         ids, far = self.ids[at], np.repeat(far, size)
         best = np.lexsort((ids, far))
@@ -127,6 +128,6 @@ def neighbours(embeddings: DataFrame, is_query: Column, k: int = 10) -> DataFram
 
     Vectors that are null, zero, or hold null or non-finite components take no
     part; a null vec_id neither.  Shorter vectors count as filled with zeros.  All
-    rows with the query's vec_id are its own; a query id that repeats is asked once.
+    rows with the query's vec_id are its own; of a query id's vectors the least is asked.
     """
     return vectors.searched(embeddings, is_query, _found(k), "double", F.asc("score"), k, lambda x: (x != 0).any(1))

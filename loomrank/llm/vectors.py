@@ -65,13 +65,14 @@ def searched(
 ) -> DataFrame:
     """The k best of all candidates for every query: query_id, rank, vec_id, score.
 
-    vectors: vec_id and embedding.  Queries go out in chunks of bounded size, each
+    vectors: vec_id and embedding.  Of sound vectors with one query id the least asks.  Queries go out in chunks of bounded size, each
     to all blocks of candidates; found(ids, rows, query ids, queries) returns the
     best of a block as (index of query, vec_id, score).
     """
     spark = vectors.sparkSession
     vectors = vectors.select("vec_id", "embedding")
-    queries = scratch.saved(vectors.where(is_query).where("embedding is not null").dropDuplicates(["vec_id"]), "queries")
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    queries = scratch.saved(vectors.where(is_query & F.col("embedding").isNotNull() & sound).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "queries")
     last: DataFrame | None = None
     done = None  # what all chunks but the last have found, in files: the plan stays one scan whatever the number of chunks
     ids, rows, held = [], [], 0
