@@ -39,10 +39,11 @@ Filling = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 
 class _Encoder:
-    """Byte-level BPE ids of a tokenizers file.
+    """Byte-level BPE ids of a tokenizers file, as its own library gives them.
 
-    The file's vocabulary runs on the faster of two engines that give the same
-    ids; texts with characters beyond the basic plane go through the other.
+    The file's vocabulary runs on a faster engine that gives the same ids on texts
+    of the basic plane; texts with other characters, and texts that hold one of the
+    file's special tokens as a string, go through the library itself.
     """
 
     def __init__(self, path: str):
@@ -59,19 +60,19 @@ class _Encoder:
         hidden = [b for b in range(256) if b not in shown]
         byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
         special = {t["content"] for t in file["added_tokens"]}
+        self.special = sorted(special)
         ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
         self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str, plain: bool) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if plain:
+        if plain and not any(s in text for s in self.special):
             return np.array(self.fast.encode_ordinary(text), np.uint32)
         if self.exact is None:  # few texts need it, so most workers never hold it
             from tokenizers import Tokenizer
 
             self.exact = Tokenizer.from_file(self.path)
-            self.exact.encode_special_tokens = True
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 

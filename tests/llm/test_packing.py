@@ -60,7 +60,6 @@ def test_odd_rows(odd_docs, odd_rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     rows = packing.packed(odd_docs, VOCABULARY, keep_ids=True).toPandas()
     rows["end"] = rows.offset + rows.length
     for _, g in rows.sort_values("offset").groupby("sequence_id"):
@@ -86,5 +85,5 @@ def test_both_engines_agree():
     for c in [*range(1, 0x3000), *range(0xF900, 0xFFFF)]:
         text = f"a{chr(c)}a {chr(c)}1{chr(c)}{chr(c)} '{chr(c)}s .{chr(c)}\n{chr(c)}"
         assert e.ids(text, True).tolist() == e.ids(text, False).tolist(), c
-    for text in ("<|endoftext|> it's", " " * 50, "a" * 3000, "\r\n \t x"):
+    for text in ("<|endoftext|> it's", "a <|endoftext|> b", "<|endoftext|>" * 3, " " * 50, "a" * 3000, "\r\n \t x"):
         assert e.ids(text, True).tolist() == e.ids(text, False).tolist()
