@@ -1,17 +1,22 @@
 """Shards of equal row counts by balanced label propagation.
 
-Documents with equal texts are linked.  Members of such a group are alike, so the
-state of the propagation is one row per group and shard with a count.  In each
-round every group looks at its members' shards and wants to be where most of them
-are; the moves wanted between any two shards are added up (a matrix of shards by
-shards) and admitted in the proportion that the target's quota allows.
+Documents with equal texts are linked.  They start scattered over the shards by a
+hash, in proportion to the room there.  What starts in one shard and is alike stays
+together, so the propagation's state is a row per group and starting shard, a cell,
+with its current shard and a count.  In each round every cell looks at where its
+neighbours are now and asks to go to the shard that holds most of them.  The rows
+that ask are added up by shards and by slices of a hash (a bounded table), and the
+driver admits whole slices as far as every shard's quota (and SLACK) allows, counting
+what leaves as room.  Shards that had to refuse cells are closed in the next round, so
+that these cells try the best of the others; cells that stay refused stay where they
+are.  A round without a wish ends the propagation.
 
 Groups larger than a shard, of which there can only be as many as shards, come
 before: they fill whole shards one after another and leave the rest of the quotas
 to the propagation.  Then rows are placed exactly: a shard takes the documents of
-its groups, in order, up to its quota; groups beyond the quota go on, in order, to
-shards with room, and documents without links fill what is left.  Row counts of any two shards differ by
-one at most, and only groups at a border or larger than a shard are cut.
+its cells, in order, up to its quota; what is beyond the quota goes on, in order, to
+shards with room, and documents without links fill what is left.  Row counts of any
+two shards differ by one at most.
 """
 
 from __future__ import annotations
@@ -26,64 +31,77 @@ from pyspark.sql.window import Window
 
 from loomrank.llm import scratch
 
-ROUNDS = 5
+ROUNDS = 8
+#: By how much a shard may exceed its quota during the propagation: without it full shards couldn't even swap.
+SLACK = 0.1
+#: Slices of a hash that are admitted or refused whole.
+SLICES = 64
 _GROUP = ("g1", "g2")
 
 
-def _cells(state: DataFrame, many: DataFrame, free: list[int]) -> DataFrame:
-    """Members by group and shard of the groups in `many`, dealt to the free shards."""
-    start = F.element_at(_literal(np.array(free)), (F.pmod(F.xxhash64("doc_id"), F.lit(len(free))) + 1).cast("int")).cast("int")
-    linked = state.join(many, list(_GROUP), "left_semi")
-    return scratch.saved(linked.groupBy(*_GROUP, start.alias("shard")).agg(F.count("*").alias("n")), "cells")
+def _start(room: np.ndarray) -> Column:
+    """A shard for every document by a hash of its id, in proportion to the shards' room."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, int(room.sum()))))
+    return F.least(F.size(F.filter(_literal(np.cumsum(room)), lambda end: end <= at)), F.lit(len(room) - 1)).cast("int")
 
 
-def _labels(cells: DataFrame, shards: int) -> DataFrame:
-    """The shard with most members of every group; ties by a hash of the group."""
-    tie = F.pmod(F.xxhash64(*_GROUP) + F.col("shard"), F.lit(shards))
-    return cells.groupBy(*_GROUP).agg(F.max_by("shard", F.struct("n", tie)).alias("label"))
+def admitted(wanted: np.ndarray, size: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many slices of the wishes (from, to, slice) come true, and which shards refused some.
 
-
-def admitted(wanted: np.ndarray, size: np.ndarray, quota: np.ndarray) -> np.ndarray:
-    """The share of the wanted moves (from, to) that keeps every shard within its quota as far as moves can."""
-    share = np.ones_like(wanted, dtype=float)
-    for _ in range(50):
-        moved = wanted * share
-        after = size - moved.sum(1) + moved.sum(0)
-        over = after - quota
-        if (over <= 0.5).all():
-            break
-        into = moved.sum(0)
-        factor = np.where((over > 0) & (into > 0), np.maximum(0, 1 - over / np.maximum(into, 1e-9)), 1)
-        share *= factor[None, :]
-        if (factor == 1).all():
-            break
-    return share
-
-
-def propagated(state: DataFrame, many: DataFrame, shards: int, quota: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
-    """(g1, g2, home): the shard of every group in `many` after label propagation."""
-    cells = _cells(state, many, np.flatnonzero(quota).tolist() or [0])
+    No shard ends above its room, unless it was above before and gets nothing.
+    """
+    many = np.full(wanted.shape[:2], wanted.shape[2])
+    upto = np.concatenate([np.zeros((*wanted.shape[:2], 1)), np.cumsum(wanted, axis=2)], axis=2)
+    rows, columns = np.indices(many.shape)
+    refused = np.zeros(len(size), bool)
+    while True:
+        moved = upto[rows, columns, many]
+        over = size - moved.sum(1) + moved.sum(0) - room
+        late = np.flatnonzero((over > 0) & (moved.sum(0) > 0))
+        if not len(late):
+            return many, refused
+        for to in late:
+            refused[to] = True
+            left = over[to]
+            for source in np.argsort(-moved[:, to], kind="stable"):
+                while left > 0 and many[source, to] > 0:
+                    many[source, to] -= 1
+                    left -= wanted[source, to, many[source, to]]
+
+
+def propagated(state: DataFrame, many: DataFrame, room: np.ndarray, rounds: int = ROUNDS) -> DataFrame:
+    """(g1, g2, start, home): the shard of every cell of the groups in `many` after label propagation."""
+    shards = len(room)
+    cells = scratch.saved(state.join(many, list(_GROUP), "left_semi").groupBy(*_GROUP, "start").agg(F.count("*").alias("n")).withColumn("shard", F.col("start")), "cells")
+    closed = np.zeros(shards, bool)
     for turn in range(rounds):
-        named = cells.join(_labels(cells, shards), list(_GROUP))
-        named = scratch.saved(named, "named")
-        flows = named.groupBy("shard", "label").agg(F.sum("n").alias("n")).collect()  # at most shards squared
-        wanted, size = np.zeros((shards, shards)), np.zeros(shards)
-        for r in flows:
+        there = cells.groupBy(*_GROUP, "shard").agg(F.sum("n").alias("near"))
+        order = F.struct("near", F.pmod(F.xxhash64(*_GROUP) + F.col("shard"), F.lit(shards)).alias("tie"))
+        best = there.withColumn("order", order).groupBy(*_GROUP).agg(
+            F.max(F.when(~F.col("shard").isin(np.flatnonzero(closed).tolist()), F.struct("order", "shard"))).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "order"))).alias("now")
+        )
+        asked = cells.join(best, list(_GROUP))
+        better = F.coalesce(F.col("best.order") > F.element_at("now", F.col("shard")), F.lit(False))  # most of the neighbours, by a common order
+        asked = asked.select(*_GROUP, "start", "n", "shard", F.when(better, F.col("best.shard")).otherwise(F.col("shard")).alias("label"))
+        asked = scratch.saved(asked.withColumn("slice", F.pmod(F.xxhash64(*_GROUP, F.lit(turn)), F.lit(SLICES)).cast("int")), "asked")
+        wanted, size = np.zeros((shards, shards, SLICES)), np.zeros(shards)
+        for r in asked.groupBy("shard", "label", "slice").agg(F.sum("n").alias("n")).toLocalIterator():  # at most shards x shards x SLICES rows
             size[r["shard"]] += r["n"]
             if r["shard"] != r["label"]:
-                wanted[r["shard"], r["label"]] += r["n"]
+                wanted[r["shard"], r["label"], r["slice"]] += r["n"]
         if not wanted.any():
-            break
-        share = admitted(wanted, size, quota)
-        table = F.array(*(F.lit(float(x)) for x in share.reshape(-1)))
-        chance = F.pmod(F.xxhash64(*_GROUP, F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        goes = chance < F.element_at(table, F.col("shard") * shards + F.col("label") + 1)
-        moved = named.select(*_GROUP, F.when(goes, F.col("label")).otherwise(F.col("shard")).alias("shard"), "n")
-        after = scratch.saved(moved.groupBy(*_GROUP, "shard").agg(F.sum("n").alias("n")), "cells")
+            scratch.drop(asked)
+            if not closed.any():
+                break
+            closed[:] = False
+            continue
+        slices, closed = admitted(wanted, size, np.floor(room * (1 + SLACK)))
+        goes = F.col("slice") < F.element_at(_literal(slices.reshape(-1)), F.col("shard") * shards + F.col("label") + 1)
+        after = scratch.saved(asked.select(*_GROUP, "start", "n", F.when(goes, F.col("label")).otherwise(F.col("shard")).alias("shard")), "cells")
         scratch.drop(cells)
-        scratch.drop(named)
+        scratch.drop(asked)
         cells = after
-    return _labels(cells, shards).withColumnRenamed("label", "home")
+    return cells.select(*_GROUP, "start", F.col("shard").alias("home"))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +123,7 @@ def _literal(x: np.ndarray) -> Column:
     return F.array(*(F.lit(int(v)).cast("long") for v in x))
 
 
-def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every row.
 
     A null text counts as empty, and all empty texts are one group.  Rows that
@@ -123,9 +141,11 @@ def sharded(docs: DataFrame, shards: int = 16) -> DataFrame:
     large = groups.where(F.col("m") > int(quota[0]))  # fewer than shards
     full = int(large.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0])
     taken = np.minimum(quota, np.maximum(0, full - (np.cumsum(quota) - quota)))
-    home = propagated(state, groups.where(F.col("m") <= int(quota[0])).select(*_GROUP), shards, quota - taken)
-    homes = scratch.saved(home.unionByName(large.select(*_GROUP, F.lit(shards + 1).alias("home"))), "homes")
-    rows = state.join(homes, list(_GROUP), "left").withColumn("home", F.coalesce("home", F.lit(shards)))
+    state = state.withColumn("start", _start(quota - taken))
+    home = propagated(state, groups.where(F.col("m") <= int(quota[0])).select(*_GROUP), quota - taken, rounds)
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("start")
+    homes = scratch.saved(home.unionByName(large.select(*_GROUP, every, F.lit(shards + 1).alias("home"))), "homes")
+    rows = state.join(homes, [*_GROUP, "start"], "left").withColumn("home", F.coalesce("home", F.lit(shards)))
     # a task's rows: a range of (home, group, doc_id), so that one large group is many ranges
     tasks = max(1, -(-total // 200_000), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     order = ["home", *_GROUP, "doc_id"]
