@@ -85,7 +85,7 @@ def lanes(data: np.ndarray) -> np.ndarray:
 #: The lowest bytes of a number, by their count.
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], U64)
 #: Bytes of a string beyond which its digest comes from hashlib: a step for all strings a lane would run for few.
-LONG = 1 << 9
+LONG = 1 << 11
 
 
 def digests(lane: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, seeds: tuple[int, ...]) -> list[np.ndarray]:

@@ -14,10 +14,13 @@ Here positions are ranked in runs, from short prefixes to the full length:
   (with longer cores) and ranked anew, down to single starts whose core is the
   full string.
 
-A rank is a 64-bit fingerprint; a pair of ranks (128 bits) decides every removal.
-Counting uses partial aggregation, and positions get their counts back by a join
+What repeats is decided by two 64-bit digests of the whole stretch beside its core's
+fingerprint; fingerprints alone only ever rule starts out.  Counting uses partial aggregation, and positions get their counts back by a join
 of two written tables that adaptive execution can split, so that one passage that
 fills a third of the corpus doesn't meet in one task.
+
+A row is known by its doc_id (0 if null) and a hash of its text; rows that agree in
+both have the same text and hence the same removals, however often they occur.
 """
 
 from __future__ import annotations
@@ -31,23 +34,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrank.llm import scratch
-from loomrank.llm.bytescan import FIRST, SECOND, U64, Rolling, chunks, gather, mix
+from loomrank.llm.bytescan import FIRST, U64, Rolling, chunks, digests, gather, lanes, mix
 
 #: Starts per run in the rounds after the anchors'.
 ROUNDS = (16, 4, 1)
-#: Columns that a join adds to the documents' own.
-LOW, HIGH = "suffix dedup low", "suffix dedup high"
-#: Bytes at once: arrays of 8 bytes an item then stay in a core's cache.
+#: Bytes at once: arrays of 8 bytes an item then stay in a core's cache.  Longer texts go in windows of so many starts.
 SCAN = 1 << 18
-_POSITION = U64((1 << 28) - 1)
+#: Runs whose bytes are cut out at once.
+CUT = 1 << 12
+_POSITION = U64((1 << 28) - 1)  # places in a window
+_SEEDS = (0xA4093822, 0x299F31D0)
+_KEY = ["id", "twin"]
 
 _hashes: list[Rolling] = []
 
 
-def rolling() -> list[Rolling]:
+def rolling() -> Rolling:
     if not _hashes:
-        _hashes.extend((Rolling(*FIRST), Rolling(*SECOND)))
-    return _hashes
+        _hashes.append(Rolling(*FIRST))
+    return _hashes[0]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """id, twin and text of every row: what names a row, and its text."""
+    return docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("twin"), "text")
 
 
 def _least(h: np.ndarray, w: int) -> np.ndarray:
@@ -60,13 +70,11 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...] | None:
-    """Runs of starts with one anchor: document's row, anchor, first and last start, k-gram's and stretch's fingerprints."""
+    """Runs of starts with one anchor: document's row, anchor, first and last start, k-gram's fingerprint and the stretch's digests."""
     n = len(data) - length + 1
     if n <= 0:
         return None
-    one, two = rolling()
-    prefix = one.prefix(data)
-    h = mix(one.grams(prefix, k))
+    h = mix(rolling().grams(rolling().prefix(data), k))
     order = (h & ~_POSITION) | np.arange(len(h), dtype=U64)
     anchor = (_least(order, length - k + 1) & _POSITION).astype(np.int64)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -84,21 +92,39 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, k: int) -> tuple[np.n
     a = anchor[first]
     doc = row[first]
     start, end = np.maximum(first - 1, at[doc]), np.minimum(last + length + 1, at[doc + 1])
-    stretch = mix(two.spans(two.prefix(data), start, end) + (a - start).astype(U64) * U64(0x9E3779B97F4A7C15) + (end - a).astype(U64))
-    return doc, a - at[doc], first - at[doc], last - at[doc], h[a], stretch
+    stretch = [mix(x + (a - start).astype(U64)) for x in digests(lanes(data), data, start, end, _SEEDS)]
+    return doc, a - at[doc], first - at[doc], last - at[doc], h[a], *stretch
+
+
+def _windows(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, tuple[int, int]]]:
+    """Texts in runs of about SCAN bytes, and longer ones in windows: first row, the window's place, bytes, offsets, and which anchors count.
+
+    Windows overlap so far that an anchor has all its starts in the window where it counts.
+    """
+    for r, _, data, at in chunks(column, SCAN):
+        if len(data) <= 2 * SCAN:
+            yield r, 0, data, at, (0, len(data))
+            continue
+        for low in range(0, len(data), SCAN):
+            place = max(0, low - length)
+            part = data[place : low + SCAN + length + 1]
+            yield r, place, part, np.array([0, len(part)]), (low - place, low - place + SCAN)
 
 
 def _anchor_rows(length: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                for r, _, data, at in chunks(batch.column(1), SCAN):
+                ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in _KEY)
+                for r, place, data, at, (from_, to) in _windows(batch.column("text"), length):
                     if found := anchors(data, at, length, k):
-                        doc, a, low, high, core, ext = found
+                        if len(at) == 2:  # one text: maybe a window of it
+                            counts = (found[1] >= from_) & (found[1] < to)
+                            found = tuple(x[counts] for x in found)
+                        doc, a, low, high, core, ext, ext2 = found
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(x) for x in (ids[r + doc], a.astype(np.int32), low.astype(np.int32), high.astype(np.int32), core.view(np.int64), ext.view(np.int64))],
-                            ["doc_id", "anchor", "low", "high", "core", "ext"],
+                            [pa.array(x) for x in (ids[r + doc], twins[r + doc], *((x + place).astype(np.int32) for x in (a, low, high)), core.view(np.int64), ext.view(np.int64), ext2.view(np.int64))],
+                            [*_KEY, "anchor", "low", "high", "core", "ext", "ext2"],
                         )
 
     return run
@@ -112,17 +138,21 @@ def _ranked(runs: DataFrame, name: str) -> DataFrame:
     spark = runs.sparkSession
     cores = scratch.saved(runs.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"), f"{name}-cores")
     scratch.release(spark)
-    some = scratch.saved(runs.join(cores.select("core"), "core", "left_semi"), f"{name}-some")
+    some = scratch.saved(runs.join(cores.select("core"), "core", "left_semi").select(runs.columns), f"{name}-some")
+    scratch.drop(runs)
+    scratch.release(spark)
+    place = F.min(F.struct(*_KEY, "low"))
+    whole = ["core", "ext", "ext2"]
+    pairs = scratch.saved(some.where("ext is not null").groupBy(*whole).agg(F.count("*").alias("m"), place.alias("one")).where("m > 1"), f"{name}-pairs")
     scratch.release(spark)
-    place = F.min(F.struct("doc_id", "low"))
-    pairs = scratch.saved(some.where("ext is not null").groupBy("core", "ext").agg(F.count("*").alias("m"), place.alias("one")).where("m > 1"), f"{name}-pairs")
     still = cores.join(pairs.groupBy("core").agg(F.sum("m").alias("m")), "core").where("n > m").select("core", F.lit(True).alias("open"))
-    pairs2 = scratch.saved(pairs.join(still, "core", "left").select("core", "ext", "one", F.coalesce("open", F.lit(False)).alias("open"), F.lit(True).alias("again")), f"{name}-pairs2")
-    out = some.join(pairs2, ["core", "ext"], "left")
-    witness = F.col("open") & (F.col("one.doc_id") == F.col("doc_id")) & (F.col("one.low") == F.col("low"))
+    pairs2 = scratch.saved(pairs.join(still, "core", "left").select(*whole, "one", F.coalesce("open", F.lit(False)).alias("open"), F.lit(True).alias("again")), f"{name}-pairs2")
+    scratch.drop(pairs)
+    out = some.join(pairs2, whole, "left")
+    witness = F.col("open") & (F.struct(*_KEY, "low") == F.col("one"))
     out = out.select(*runs.columns, F.coalesce("again", F.lit(False)).alias("whole"), F.coalesce(witness, F.lit(False)).alias("witness"))
-    out = scratch.saved(out.withColumn("go", ~F.col("whole") | F.col("witness")).drop("witness", "core", "ext"), f"{name}-ranked")
-    for table in (cores, some, pairs, pairs2):
+    out = scratch.saved(out.withColumn("go", ~F.col("whole") | F.col("witness")).drop("witness", *whole), f"{name}-ranked")
+    for table in (cores, some, pairs2):
         scratch.drop(table)
     scratch.release(spark)
     return out
@@ -133,30 +163,28 @@ def _stretches(length: int, block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in _KEY)
             lists = batch.column("runs")
             many = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             anchor, low, high = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
             base = 0
             for r0, r1, data, at in chunks(batch.column("text"), SCAN):
-                n = int(many[r0:r1].sum())
-                span = slice(base, base + n)
-                base += n
-                if not n:
-                    continue
-                row = np.repeat(np.arange(r1 - r0), many[r0:r1])
-                a = anchor[span]
-                size = np.diff(at)[row]
-                start = np.maximum(a - ((a - low[span]) // block * block + block - 1), 0)
-                end = np.minimum(a - (a - high[span]) // block * block + length, size)
-                got = gather(data, at[row] + start, end - start)
-                offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (ids[r0 + row], a.astype(np.int32), low[span].astype(np.int32), high[span].astype(np.int32), start.astype(np.int32))]
-                    + [pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(got))])],
-                    ["doc_id", "anchor", "low", "high", "start", "bytes"],
-                )
+                rows = np.repeat(np.arange(r1 - r0), many[r0:r1])
+                for c in range(0, len(rows), CUT):
+                    row = rows[c : c + CUT]
+                    a, lo, hi = (x[base + c : base + c + len(row)] for x in (anchor, low, high))
+                    size = np.diff(at)[row]
+                    start = np.maximum(a - ((a - lo) // block * block + block - 1), 0)
+                    end = np.minimum(a - (a - hi) // block * block + length, size)
+                    got = gather(data, at[row] + start, end - start)
+                    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x) for x in (ids[r0 + row], twins[r0 + row], *(x.astype(np.int32) for x in (a, lo, hi, start)))]
+                        + [pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(got))])],
+                        [*_KEY, "anchor", "low", "high", "start", "bytes"],
+                    )
+                base += len(rows)
 
     return run
 
@@ -165,10 +193,10 @@ def _block_rows(length: int, block: int):
     """Cuts runs (anchor, low..high) into blocks of starts that lie evenly from the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = rolling()
+        names = [*_KEY, "anchor", "low", "high", "core", "ext", "ext2", "start", "bytes"]
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, anchor, low, high, start = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "anchor", "low", "high", "start"))
+                ids, twins, anchor, low, high, start = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*_KEY, "anchor", "low", "high", "start"))
                 for r0, r1, data, at in chunks(batch.column("bytes"), SCAN):
                     a, s = anchor[r0:r1], start[r0:r1]
                     least, most = (a - high[r0:r1]) // block, (a - low[r0:r1]) // block
@@ -179,39 +207,36 @@ def _block_rows(length: int, block: int):
                     first = last - block + 1
                     there = at[row] - s[row]
                     stop = s[row] + np.diff(at)[row]
-                    p1, p2 = one.prefix(data), two.prefix(data)
-                    core = mix(one.spans(p1, there + last, there + first + length) ^ mix((j * block + 1).astype(U64)))
+                    prefix = rolling().prefix(data)
+                    core = mix(rolling().spans(prefix, there + last, there + first + length) ^ mix((j * block + 1).astype(U64)))
                     fits = (first >= s[row]) & (last + length <= stop)
                     lo, hi = there + np.maximum(first, s[row]), there + np.minimum(last + length, stop)
-                    ext = mix(two.spans(p2, lo, hi))
+                    ext, ext2 = digests(lanes(data), data, lo, hi, _SEEDS)
                     lo_p, hi_p = np.maximum(first, low[r0:r1][row]), np.minimum(last, high[r0:r1][row])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (ids[r0 + row], a[row].astype(np.int32), lo_p.astype(np.int32), hi_p.astype(np.int32), core.view(np.int64))]
-                        + [pa.array(ext.view(np.int64), mask=~fits), pa.array(s[row].astype(np.int32)), batch.column("bytes").take(pa.array(r0 + row))][: 3 if block > 1 else 1],
-                        ["doc_id", "anchor", "low", "high", "core", "ext", "start", "bytes"][: 8 if block > 1 else 6],
-                    )
+                    columns = [pa.array(x) for x in (ids[r0 + row], twins[r0 + row], a[row].astype(np.int32), lo_p.astype(np.int32), hi_p.astype(np.int32), core.view(np.int64))]
+                    columns += [pa.array(x.view(np.int64), mask=~fits) for x in (ext, ext2)]
+                    if block > 1:
+                        columns += [pa.array(s[row].astype(np.int32)), batch.column("bytes").take(pa.array(r0 + row))]
+                    yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
 
     return run
 
 
-def repeats(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
-    """(doc_id, low, high): starts low..high of strings of `length` bytes that also start elsewhere."""
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    found = scratch.saved(texts.mapInArrow(_anchor_rows(length, k), "doc_id long, anchor int, low int, high int, core long, ext long"), "anchors")
-    ranked = _ranked(found, "anchors")
-    scratch.drop(found)
-    done = [ranked.where("whole").select("doc_id", "low", "high")]
-    pending = ranked.where("go").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("runs"))
-    runs = scratch.saved(texts.join(pending, "doc_id").mapInArrow(_stretches(length, ROUNDS[0]), "doc_id long, anchor int, low int, high int, start int, bytes binary"), "stretches")
-    scratch.release(docs.sparkSession)
+def repeats(texts: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
+    """(id, twin, low, high) of keyed texts: starts low..high of strings of `length` bytes that also start elsewhere."""
+    key, digest = "id long, twin long", "core long, ext long, ext2 long"
+    ranked = _ranked(scratch.saved(texts.mapInArrow(_anchor_rows(length, k), f"{key}, anchor int, low int, high int, {digest}"), "anchors"), "anchors")
+    done = [ranked.where("whole").select(*_KEY, "low", "high")]
+    pending = ranked.where("go").groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "low", "high")).alias("runs"))
+    runs = scratch.saved(texts.join(pending, _KEY).mapInArrow(_stretches(length, ROUNDS[0]), f"{key}, anchor int, low int, high int, start int, bytes binary"), "stretches")
+    scratch.release(texts.sparkSession)
     for block in ROUNDS:
-        schema = "doc_id long, anchor int, low int, high int, core long, ext long" + (", start int, bytes binary" if block > 1 else "")
+        schema = f"{key}, anchor int, low int, high int, {digest}" + (", start int, bytes binary" if block > 1 else "")
         cut = scratch.saved(runs.mapInArrow(_block_rows(length, block), schema), f"runs{block}")
-        ranked = _ranked(cut, f"runs{block}")
-        scratch.drop(cut)
         scratch.drop(runs)
-        done.append(ranked.where("whole").select("doc_id", "low", "high"))
-        runs = scratch.saved(ranked.where("go").select("doc_id", "anchor", "low", "high", "start", "bytes"), "runs") if block > 1 else None
+        ranked = _ranked(cut, f"runs{block}")
+        done.append(ranked.where("whole").select(*_KEY, "low", "high"))
+        runs = scratch.saved(ranked.where("go").select(*_KEY, "anchor", "low", "high", "start", "bytes"), "runs") if block > 1 else None
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
@@ -245,17 +270,27 @@ def _kept(text: memoryview, low: np.ndarray, high: np.ndarray, length: int, whol
     return b"".join(bytes(text[b:e]) for b, e in zip(begins, edges, strict=True)), int((end - start).sum()), int((end > start).sum())
 
 
-def _joined(docs: DataFrame, found: DataFrame) -> DataFrame:
-    lists = found.groupBy("doc_id").agg(F.collect_list("low").alias(LOW), F.collect_list("high").alias(HIGH))
-    return docs.join(lists, "doc_id", "left")
+def _free(name: str, columns: list[str]) -> str:
+    """A name that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def _joined(docs: DataFrame, length: int, k: int) -> tuple[DataFrame, str]:
+    """The rows, all columns, with a further one that lists their repeated starts as (low, high); its name."""
+    found = repeats(keyed(docs), length, k).groupBy(*_KEY).agg(F.collect_set(F.struct("low", "high")).alias("starts"))
+    key = [_free(f"repeats {c}", docs.columns) for c in (*_KEY, "starts")]
+    rows = docs.withColumns({key[0]: F.coalesce("doc_id", F.lit(0)).cast("long"), key[1]: F.xxhash64("text")})
+    return rows.join(found.toDF(*key), key[:2], "left").select(*docs.columns, key[2]), key[2]
 
 
-def _rows(batch: pa.RecordBatch, length: int, whole_chars: bool):
+def _rows(batch: pa.RecordBatch, starts: str, length: int, whole_chars: bool):
     text = batch.column(batch.schema.get_field_index("text"))
-    for t, low, high in zip(text, batch.column(LOW), batch.column(HIGH), strict=True):
+    for t, own in zip(text, batch.column(starts), strict=True):
         view = memoryview(t.as_buffer()) if t.is_valid else memoryview(b"")
-        none = np.zeros(0, np.int32)
-        yield (len(view), *_kept(view, low.values.to_numpy() if low.is_valid else none, high.values.to_numpy() if high.is_valid else none, length, whole_chars))
+        low, high = (own.values.field(i).to_numpy() for i in range(2)) if own.is_valid else [np.zeros(0, np.int32)] * 2
+        yield (len(view), *_kept(view, low, high, length, whole_chars))
 
 
 def report(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
@@ -263,20 +298,20 @@ def report(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
 
     Null and empty texts have no bytes and lose none; texts shorter than `length`
     lose none; every copy of a repeated passage goes, the first one too.  Rows
-    that repeat count as copies of each other and are reported as often; doc_id
-    names one text.  Rows without an id lose nothing and repeat nothing.
+    that repeat, have one id with different texts, or have no id count like any
+    other and are reported one by one.
     """
-    found = repeats(docs, length, k)
+    joined, starts = _joined(docs.select("doc_id", "text"), length, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_rows(batch, length, False))
+            rows = list(_rows(batch, starts, length, False))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64()), pa.array([x[3] for x in rows], pa.int64()), pa.array([hashlib.sha256(x[1]).hexdigest() for x in rows], pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return _joined(docs.select("doc_id", "text"), found).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
@@ -284,13 +319,12 @@ def cleaned(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
 
     A column n_chars, if there is one, gets the new number of characters.
     """
-    found = repeats(docs, length, k)
-    joined, columns = _joined(docs, found), docs.columns
+    (joined, starts), columns = _joined(docs, length, k), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            texts = [x[1].decode() if t.is_valid else None for x, t in zip(_rows(batch, length, True), batch.column(at), strict=True)]
+            texts = [x[1].decode() if t.is_valid else None for x, t in zip(_rows(batch, starts, length, True), batch.column(at), strict=True)]
             yield batch.set_column(at, "text", pa.array(texts, pa.string())).select(columns)
 
     out = joined.mapInArrow(run, docs.schema)

@@ -10,11 +10,11 @@ from loomrank.llm import suffix_dedup
 def brute(rows, length):
     """What report() gives, by comparing every string of the length."""
     texts = [(i, (t or "").encode()) for i, t in rows]
-    seen = Counter(b[p : p + length] for i, b in texts if i is not None for p in range(len(b) - length + 1))
+    seen = Counter(b[p : p + length] for i, b in texts for p in range(len(b) - length + 1))
     out = []
     for i, b in texts:
         gone = bytearray(len(b))
-        for p in range(len(b) - length + 1 if i is not None else 0):
+        for p in range(len(b) - length + 1):
             if seen[b[p : p + length]] > 1:
                 gone[p : p + length] = b"\1" * length
         kept = bytes(x for x, g in zip(b, gone) if not g)
@@ -41,6 +41,30 @@ def test_overlaps_and_edges(spark, length, k):
     assert sorted(map(tuple, suffix_dedup.report(docs, length, k).collect()), key=str) == brute(rows, length)
 
 
+def test_ids_that_repeat_or_lack_and_equal_sums(spark, twins):
+    r = np.random.default_rng(3)
+    a, b, c = ("".join(r.choice(list("abcdefgh"), 400)) for _ in range(3))
+    rows = [(None, a), (None, b + a[:250]), (1, c), (1, b[:230] + "!"), (1, c), (0, None), (None, None), (0, a[100:350])]
+    rows += [(10 + i, f"{i} {x} {y[:40]}") for i, (x, y) in enumerate(twins)] + [(50 + i, f"{i} {y}") for i, (_, y) in enumerate(twins)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, suffix_dedup.report(docs, 200).collect()), key=str) == brute(rows, 200)
+
+
+def test_a_text_longer_than_a_window(spark):
+    r = np.random.default_rng(4)
+    text = "".join(r.choice(list("abcdefghijklmnop"), 3 * suffix_dedup.SCAN))
+    again = "".join(text[p : p + n] + "-" for p, n in ((suffix_dedup.SCAN - 300, 700), (2 * suffix_dedup.SCAN - 100, 260), (17, 199), (5000, 200)))
+    rows = [(1, text), (2, again), (3, "x" * (2 * suffix_dedup.SCAN + 10))]
+    assert sorted(map(tuple, suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), 200).collect()), key=str) == brute(rows, 200)
+
+
+def test_columns_that_clash(spark):
+    rows = [(1, "t" * 300, 1, 2, 3, 4), (2, "short", 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, twin int, `repeats id` int, `repeats starts` int")
+    out = suffix_dedup.cleaned(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "", 1, 2, 3, 4), (2, "short", 5, 6, 7, 8)]
+
+
 def test_cleaned_keeps_columns_and_characters(odd_docs, odd_rows):
     out = suffix_dedup.cleaned(odd_docs, 200)
     assert out.columns == odd_docs.columns and out.schema["n_chars"].dataType == odd_docs.schema["n_chars"].dataType
