@@ -35,6 +35,8 @@ REQUESTS = [
     '{"query": {"id": 3, "tokens": [{"token": "de", "freq": 1}]}, "k": 0, "query_mode": {"Fixed": 1}}',
     '{"query": {"id": 4, "tokens": [{"token": "de", "freq": 1}]}, "k": 4, "query_mode": {"Fraction": 1.5}}',
     "not json",
+    '{"query": {"id": 1, "tokens": [{"token": "the", "freq": 1}, {"token": "of", "freq": 2}]}, "k": 5, "query_mode": {"Fraction": 1.0}}',
+    '{"query": {"id": 2, "tokens": [{"token": "la", "freq": 1}]}, "k": 2, "query_mode": {"Fixed": 100000}}',
 ]
 
 _indexes: dict[tuple, Index] = {}
@@ -197,13 +199,13 @@ def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("bm25_impacts", _with({}, "SELECT term, doc_id, impact FROM imp"))
 def bm25_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return segments.impacts(text.counted(documents), segments.collection(text.lengths(documents)), BM25(), _BITS).drop("max_score")
+    return segments.impacts(text.counted(documents), segments.collection(text.lengths(documents)), BM25(), _BITS).postings
 
 
 @_query("identity_impacts", _with({}, "SELECT term, doc_id, impact FROM impi", ("tok", "post", "impi")))
 def identity_impacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return segments.impacts(text.counted(documents), segments.collection(text.lengths(documents)), Identity()).drop("max_score")
+    return segments.impacts(text.counted(documents), segments.collection(text.lengths(documents)), Identity()).postings
 
 
 @_query("max_score", _with({}, "SELECT CAST(round(CAST(max_score AS DOUBLE), 4) AS DOUBLE) AS max_score FROM mx"))
@@ -423,7 +425,16 @@ def ciff_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- requests, run files, measurements ------------------------------------------------------------------------------
 
 
-@_query("request_errors")
+_ERRORS = (
+    "CASE WHEN NOT json_valid(body) OR json_extract(body, '$.query.id') IS NULL OR json_extract(body, '$.query.tokens') IS NULL THEN 'no query' "
+    "WHEN coalesce(CAST(json_extract(body, '$.k') AS INTEGER), 0) < 1 THEN 'k must be at least 1' "
+    "WHEN (json_extract(body, '$.query_mode.Fraction') IS NULL) = (json_extract(body, '$.query_mode.Fixed') IS NULL) THEN 'one of Fraction and Fixed is needed' "
+    "WHEN CAST(json_extract(body, '$.query_mode.Fraction') AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'Fraction must be from 0 to 1' END"
+)
+_BODIES = " UNION ALL ".join(f"SELECT {_quote(x)} AS body" for x in REQUESTS)
+
+
+@_query("request_errors", f"""SELECT body, '{{"error":"' || error || '"}}' AS response FROM (SELECT body, {_ERRORS} AS error FROM ({_BODIES})) WHERE error IS NOT NULL""")
 def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests.error_bodies(requests.parsed(spark.createDataFrame([(x,) for x in REQUESTS], "value string")))
 
@@ -432,11 +443,12 @@ def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     "request_results",
     _with(
         {
-            "qt": "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 0, 'the', 1, 5, NULL), (1, 1, 'of', 2, 5, NULL), (2, 0, 'of', 3, 3, 200), (2, 1, 'of', 1, 3, 200)) v(qid, pos, token, weight, k, budget)",
+            "qt": "SELECT * FROM (VALUES (0, CAST(1 AS BIGINT), 0, 'the', 1, 5, NULL), (0, 1, 1, 'of', 2, 5, NULL), (1, 2, 0, 'of', 3, 3, 200), (1, 2, 1, 'of', 1, 3, 200), "
+            "(2, 1, 0, 'the', 1, 5, NULL), (2, 1, 1, 'of', 2, 5, NULL), (3, 2, 0, 'la', 1, 2, 100000)) v(r, qid, pos, token, weight, k, budget)",
             "pl": "SELECT q.*, d.impact, d.count, CAST(d.impact AS BIGINT) * q.weight AS level FROM dir d JOIN qt q ON q.token = d.term",
-            "pr": "SELECT *, coalesce(sum(count) OVER (PARTITION BY qid ORDER BY level DESC, pos, impact DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM pl",
-            "acc": "SELECT s.qid, any_value(s.k) AS k, i.doc_id, CAST(sum(s.level) AS BIGINT) AS score FROM (SELECT * FROM pr WHERE budget IS NULL OR prior <= budget) s JOIN imp i ON i.term = s.token AND i.impact = s.impact GROUP BY s.qid, i.doc_id HAVING sum(s.level) > 0",
-            "rk": "SELECT qid, k, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM acc",
+            "pr": "SELECT *, coalesce(sum(count) OVER (PARTITION BY r ORDER BY level DESC, pos, impact DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM pl",
+            "acc": "SELECT s.r, any_value(s.qid) AS qid, any_value(s.k) AS k, i.doc_id, CAST(sum(s.level) AS BIGINT) AS score FROM (SELECT * FROM pr WHERE budget IS NULL OR prior <= budget) s JOIN imp i ON i.term = s.token AND i.impact = s.impact GROUP BY s.r, i.doc_id HAVING sum(s.level) > 0",
+            "rk": "SELECT qid, k, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM acc",
         },
         "SELECT qid, rank, r.doc_id, d.ext_id, score FROM rk r JOIN dl d ON d.doc_id = r.doc_id WHERE rank <= k",
     ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -20,17 +21,35 @@ def nearest_ranks(n: int) -> dict[str, int]:
 def summary(times: DataFrame, column: str) -> DataFrame:
     """One row: samples, p50, p90, p99, p999, max and mean; percentiles are values that occur.
 
-    percentile_disc merges counts of values, so nothing is collected or sorted whole.
+    Values are counted, dealt by ranges, and each range's total (one number a
+    partition) tells in which range a rank lies; only those ranges are walked.
     """
     rows = times.where(F.col(column).isNotNull()).select(F.col(column).alias("x"))
-    n = rows.count()
-    if not n:
-        return rows.agg(F.count("x").alias("samples"), *(F.max("x").alias(p) for p in SHARES), F.max("x").alias("max"), F.avg("x").alias("mean"))
-    # the value of rank r is the first one whose share of values up to it reaches (r + 1/2) / n
-    exact = {name: F.expr(f"percentile_disc({(r + 0.5) / n!r}D) WITHIN GROUP (ORDER BY x)").alias(name) for name, r in nearest_ranks(n).items()}
-    return rows.agg(F.count("x").alias("samples"), *exact.values(), F.max("x").alias("max"), F.avg("x").alias("mean"))
+    plain = [F.count("x").alias("samples"), F.max("x").alias("max"), F.avg("x").alias("mean")]
+    counts = rows.groupBy("x").agg(F.count("*").alias("n")).repartitionByRange("x").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    before, total = {}, 0
+    for part, n in sorted(counts.groupBy("part").agg(F.sum("n")).collect()):
+        before[part] = total
+        total += n
+    if not total:
+        counts.unpersist()
+        return rows.agg(*plain[:1], *(F.max("x").alias(p) for p in SHARES), *plain[1:])
+    ranks = nearest_ranks(total)
+    where = {name: max(p for p in before if before[p] <= r) for name, r in ranks.items()}
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    walked = counts.where(F.col("part").isin(*set(where.values()))).withColumn("upto", upto)
+    found = walked.agg(*(F.min(F.when((F.col("part") == where[p]) & (F.col("upto") > ranks[p] - before[where[p]]), F.col("x"))).alias(p) for p in SHARES)).first()
+    counts.unpersist()
+    kind = rows.schema["x"].dataType
+    return rows.agg(plain[0], *(F.lit(found[p]).cast(kind).alias(p) for p in SHARES), *plain[1:])
 
 
 def without_warmup(times: DataFrame, order: str, skipped: int = SKIPPED) -> DataFrame:
-    """All but the first results of one run, which is one load generator's log."""
-    return times.withColumn("nth", F.row_number().over(Window.orderBy(order))).where(F.col("nth") > skipped).drop("nth")
+    """All but the first results of one run, by a column without nulls; only results that tie with the last one left out are numbered."""
+    first = times.select(order).orderBy(order).limit(skipped)
+    cut, = first.agg(F.max(order)).first()
+    if cut is None:
+        return times
+    out = first.where(F.col(order) == cut).count()
+    ties = times.where(F.col(order) == cut).withColumn("nth", F.row_number().over(Window.orderBy(order))).where(F.col("nth") > out).drop("nth")
+    return times.where(F.col(order) > cut).unionByName(ties)

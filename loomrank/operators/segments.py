@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrank.functions.scoring import LinearQuantizer, Scorer, norm_len_sql, saturated_sql, score
+from loomrank.schema import BLOCK_BITS
 
-#: Document ids per block of a segment: rows stay bounded however often a term occurs.
-BLOCK_BITS = 16
 CHUNK_BITS = 7
 
 
@@ -36,20 +37,32 @@ def max_score(scored: DataFrame) -> DataFrame:
     return scored.agg(F.greatest(F.lit(0).cast("float"), F.max("score")).alias("max_score"))
 
 
-def impacts(postings: DataFrame, stats: DataFrame, scorer: Scorer, bits: int = 8) -> DataFrame:
-    """term, doc_id, impact (and max_score): scored and quantised, or saturated frequencies without a pass for the maximum."""
+@dataclass
+class Impacts:
+    """postings (term, doc_id, impact), the largest score as a row, and what is held until the segments are stored."""
+
+    postings: DataFrame
+    largest: DataFrame
+    held: list[DataFrame]
+
+
+def impacts(postings: DataFrame, stats: DataFrame, scorer: Scorer, bits: int = 8) -> Impacts:
+    """Scored and quantised postings, or saturated frequencies without a pass for the maximum."""
     if not scorer.needs_quantization:
-        return postings.select("term", "doc_id", F.expr(saturated_sql()).alias("impact"), F.lit(1.0).cast("float").alias("max_score"))
+        one = postings.sparkSession.range(1).select(F.lit(1.0).cast("float").alias("max_score"))
+        return Impacts(postings.select("term", "doc_id", F.expr(saturated_sql()).alias("impact")), one, [])
     # counted for df and scored, then scored for the maximum and quantised: each is made once and held, on disk where memory ends
     postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
     rows = scored(with_statistics(postings, stats), scorer).select("term", "doc_id", "score").persist(StorageLevel.MEMORY_AND_DISK)
-    return rows.crossJoin(F.broadcast(max_score(rows))).select("term", "doc_id", F.expr(LinearQuantizer(bits).sql()).alias("impact"), "max_score")
+    value = F.lit(max_score(rows).first()[0]).cast("float").alias("max_score")
+    largest = postings.sparkSession.range(1).select(value)
+    return Impacts(rows.select("term", "doc_id", "score", value).select("term", "doc_id", F.expr(LinearQuantizer(bits).sql()).alias("impact")), largest, [postings, rows])
 
 
 def blocks(impacts: DataFrame) -> DataFrame:
-    """Ascending ids of every segment in ranges of 2 ** BLOCK_BITS ids; max_score comes along, so that nothing is scored twice."""
-    keyed = impacts.select("term", "impact", F.shiftright("doc_id", BLOCK_BITS).alias("block"), "doc_id", "max_score")
-    return keyed.groupBy("term", "impact", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"), F.max("max_score").alias("max_score"))
+    """Ascending ids of every segment in ranges of 2 ** BLOCK_BITS ids."""
+    keyed = impacts.select("term", "impact", F.shiftright("doc_id", BLOCK_BITS).alias("block"), "doc_id")
+    return keyed.groupBy("term", "impact", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
 
 
 def directory(blocks: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -25,15 +25,26 @@ class Index:
     blocks: DataFrame
     stats: DataFrame
     average: DataFrame
+    largest: DataFrame
     bits: int
+    stored: bool = False  # read from files
+    held: list[DataFrame] = field(default_factory=list)  # what building keeps until the blocks are stored
 
     def persist(self) -> Index:
-        """Holds the tables; the blocks first, as the others are read from them."""
+        """Holds the tables; the blocks first, as the others are read from them, and building's own tables go."""
         for name in ("blocks", "docs", "directory", "stats"):
             getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK)
+        self.blocks.count()
+        self.stats.count()
+        self.release()
         return self
 
+    def release(self) -> None:
+        while self.held:
+            self.held.pop().unpersist()
+
     def unpersist(self) -> None:
+        self.release()
         for name in TABLES:
             getattr(self, name).unpersist()
 
@@ -50,18 +61,17 @@ class Index:
         return self.getter("num_docs")
 
 
-def _derived(docs: DataFrame, average: DataFrame, blocks: DataFrame, bits: int) -> Index:
+def _derived(docs: DataFrame, average: DataFrame, largest: DataFrame, blocks: DataFrame, bits: int, held: list[DataFrame]) -> Index:
     """The other tables follow from the blocks."""
     directory = segments.directory(blocks)
-    largest = blocks.agg(F.max("max_score").alias("max_score"))
     facts = docs.agg(F.count("*").alias("num_docs"), F.max("doc_id").alias("max_doc_id"))
     row = facts.crossJoin(average).crossJoin(largest).crossJoin(segments.summary(directory))  # one row each
-    return Index(docs, directory, blocks, row.withColumn("quant_bits", F.lit(bits).cast("int")).select(*STATS), average, bits)
+    return Index(docs, directory, blocks, row.withColumn("quant_bits", F.lit(bits).cast("int")).select(*STATS), average, largest, bits, held=held)
 
 
 def _built(postings: DataFrame, docs: DataFrame, stats: DataFrame, scorer: Scorer, bits: int) -> Index:
-    blocks = segments.blocks(segments.impacts(postings, stats, scorer, bits))
-    return _derived(docs.select("doc_id", "ext_id", "doc_len"), stats.select("avg_len"), blocks, bits)
+    found = segments.impacts(postings, stats, scorer, bits)
+    return _derived(docs.select("doc_id", "ext_id", "doc_len"), stats.select("avg_len"), found.largest, segments.blocks(found.postings), bits, found.held)
 
 
 def from_documents(documents: DataFrame, scorer: Scorer | None = None, bits: int = 8, id_column: str = "doc_id", text_column: str = "text", dense: bool = True) -> Index:
@@ -86,11 +96,12 @@ def write(index: Index, path: str) -> None:
     index.docs.write.parquet(f"{path}/docs")
     index.blocks.repartitionByRange("term", "impact", "block").sortWithinPartitions("term", F.desc("impact"), "block").write.parquet(f"{path}/blocks")
     stored = index.docs.sparkSession.read
-    rest = _derived(stored.parquet(f"{path}/docs"), index.average, stored.parquet(f"{path}/blocks"), index.bits)  # scored once: all else comes from what is stored
+    rest = _derived(stored.parquet(f"{path}/docs"), index.average, index.largest, stored.parquet(f"{path}/blocks"), index.bits, [])  # scored once: all else comes from what is stored
     rest.directory.repartitionByRange("term", "impact").sortWithinPartitions("term", F.desc("impact")).write.parquet(f"{path}/directory")
     rest.stats.write.parquet(f"{path}/stats")
+    index.release()
 
 
 def read(spark: SparkSession, path: str) -> Index:
     docs, directory, blocks, stats = (spark.read.parquet(f"{path}/{name}") for name in TABLES)
-    return Index(docs, directory, blocks, stats, stats.select("avg_len"), stats.select("quant_bits").first()[0])
+    return Index(docs, directory, blocks, stats, stats.select("avg_len"), stats.select("max_score"), stats.select("quant_bits").first()[0], stored=True)

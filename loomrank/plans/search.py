@@ -18,23 +18,26 @@ def narrowed(index: Index, query_terms: DataFrame) -> tuple[DataFrame, DataFrame
     terms = [r[0] for r in query_terms.select("token").distinct().limit(PUSHED_TERMS + 1).collect()]
     if len(terms) > PUSHED_TERMS:
         return index.directory, index.blocks
-    wanted = F.col("term").isin(terms) if terms else F.lit(False)
+    quoted = ("'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in terms)
+    wanted = F.expr(f"term IN ({', '.join(quoted)})") if terms else F.lit(False)  # one expression: a call per term would take longer than the search
     return index.directory.where(wanted), index.blocks.where(wanted)
 
 
-def scores(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, wrap: bool = False, push: bool = False) -> DataFrame:
+def scores(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, wrap: bool = False, push: bool | None = None) -> DataFrame:
+    push = index.stored if push is None else push
     directory, blocks = narrowed(index, query_terms) if push else (index.directory, index.blocks)
     return ranking.accumulated(planning.selected(planning.planned(directory, query_terms), mode), blocks, wrap)
 
 
 def search(
-    index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, pad: bool = False, wrap: bool = False, push: bool = False,
+    index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, pad: bool = False, wrap: bool = False, push: bool | None = None,
 ) -> DataFrame:
     """results: qid, rank, doc_id, ext_id, score of the k best documents of every query.
 
     pad: queries with fewer than k matching documents get zero scores of the
     lowest ids.  wrap: 16-bit levels and sums.  push: look the terms up first, so
-    that a stored index is read by terms.
+    that a stored index is read by terms and skips row groups; the default for stored
+    ones, while an index that is held is scanned where it lies.
     """
     if k < 1:
         raise ValueError("k must be at least 1")

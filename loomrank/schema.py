@@ -9,6 +9,9 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 INT, LONG, DOUBLE, FLOAT, STRING = T.IntegerType(), T.LongType(), T.DoubleType(), T.FloatType(), T.StringType()
 
+#: Document ids per block of a segment: rows stay bounded however often a term occurs.
+BLOCK_BITS = 16
+
 DOCS = _struct(doc_id=INT, ext_id=STRING, doc_len=INT)
 POSTINGS = _struct(term=STRING, doc_id=INT, tf=INT)
 #: One row per segment (term, impact): its number of postings.

@@ -9,13 +9,13 @@ from loomrank.schema import REQUEST
 
 
 def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
-    """request (row number within the batch by id), qid, tokens, k, rho, budget, and error for what can't be served.
+    """request (the row's number within the batch), qid, tokens, k, rho, budget, and error for what can't be served.
 
     Tokens keep their given order and may repeat; weights aren't rescaled.
     """
     r = F.from_json(column, REQUEST)
-    out = rows.select(F.col(column).alias("body"), r.alias("r")).select(
-        "body", F.col("r.query.id").alias("qid"), F.col("r.query.tokens").alias("tokens"), F.col("r.k").alias("k"), F.col("r.query_mode.Fraction").alias("rho"), F.col("r.query_mode.Fixed").alias("budget")
+    out = rows.select(F.monotonically_increasing_id().alias("request"), F.col(column).alias("body"), r.alias("r")).select(
+        "request", "body", F.col("r.query.id").alias("qid"), F.col("r.query.tokens").alias("tokens"), F.col("r.k").alias("k"), F.col("r.query_mode.Fraction").alias("rho"), F.col("r.query_mode.Fixed").alias("budget")
     )
     error = (
         F.when(F.col("qid").isNull() | F.col("tokens").isNull(), "no query")
@@ -28,8 +28,8 @@ def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
 
 
 def query_terms(requests: DataFrame) -> DataFrame:
-    """query_terms of valid requests."""
-    return requests.where("error IS NULL").select("qid", F.posexplode("tokens").alias("pos", "t")).select("qid", "pos", F.col("t.token").alias("token"), F.col("t.freq").cast("int").alias("weight"))
+    """query_terms of valid requests; their qid is the request's number."""
+    return requests.where("error IS NULL").select(F.col("request").alias("qid"), F.posexplode("tokens").alias("pos", "t")).select("qid", "pos", F.col("t.token").alias("token"), F.col("t.freq").cast("int").alias("weight"))
 
 
 def error_bodies(requests: DataFrame) -> DataFrame:

@@ -21,17 +21,24 @@ from loomrank.sources import requests
 Sink = Callable[[DataFrame, int], None]
 
 
-def answered(index: Index, rows: DataFrame, column: str = "value") -> DataFrame:
-    """results of a batch of JSON requests, each with its own k and mode: qid, rank, doc_id, ext_id, score."""
+def answered(index: Index, rows: DataFrame, column: str = "value", numbered: bool = False) -> DataFrame:
+    """results of a batch of JSON requests, each with its own k and mode: qid, rank, doc_id, ext_id, score.
+
+    Every request is answered by itself, whatever other requests have its id;
+    numbered: with its number within the batch.
+    """
     parsed = requests.parsed(rows, column)
-    wanted = parsed.where("error IS NULL").select("qid", "k", "rho", F.col("budget").alias("fixed"))
+    valid = parsed.where("error IS NULL")
+    wanted = valid.select(F.col("request").alias("qid"), "k", "rho", F.col("budget").alias("fixed"))
+    names = valid.select("request", F.col("qid").alias("name"))
     plan = planning.with_prior(planning.planned(index.directory, requests.query_terms(parsed))).join(wanted, "qid")
     share = F.ceil(F.col("total").cast("float") * F.col("rho").cast("float"))
     budget = F.when(F.col("rho") == 1, F.col("total")).otherwise(F.coalesce(share, "fixed"))
     found = ranking.accumulated(plan.where(F.col("prior") <= budget), index.blocks)
     most = wanted.agg(F.max("k")).first()[0] or 1
     ranked = ranking.top_k(found, most).join(wanted.select("qid", "k"), "qid").where("rank <= k")
-    return ranking.named(ranked, index.docs)
+    out = ranking.named(ranked, index.docs).withColumnRenamed("qid", "request").join(names, "request").withColumnRenamed("name", "qid")
+    return out.select(*(["request"] if numbered else []), "qid", "rank", "doc_id", "ext_id", "score")
 
 
 def serve(index: Index, stream: DataFrame, sink: Sink, column: str = "value", checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
@@ -51,7 +58,10 @@ def serve(index: Index, stream: DataFrame, sink: Sink, column: str = "value", ch
 
 
 def replay(index: Index, query_terms: DataFrame, tps: int, seconds: float, k: int = 10, mode: Mode = planning.EXHAUSTIVE) -> list[tuple[int, float]]:
-    """Queries at a fixed rate from Spark's rate source, cycled: (queries answered, seconds) of each micro-batch."""
+    """Queries at a fixed rate from Spark's rate source, cycled: (queries answered, seconds) of each micro-batch.
+
+    A query that comes twice in a micro-batch is searched twice.
+    """
     from loomrank.plans.search import search
 
     spark = query_terms.sparkSession
@@ -62,8 +72,9 @@ def replay(index: Index, query_terms: DataFrame, tps: int, seconds: float, k: in
         began = time.perf_counter()
         n = rows.count()
         if n and ids:
-            nth = rows.select(F.element_at(F.array(*(F.lit(i) for i in ids)), (F.col("value") % len(ids) + 1).cast("int")).alias("qid")).distinct()
-            search(index, query_terms.join(nth, "qid", "left_semi"), k, mode).count()
+            nth = rows.select("value", F.element_at(F.array(*(F.lit(i) for i in ids)), (F.col("value") % len(ids) + 1).cast("int")).alias("qid"))
+            asked = query_terms.join(nth, "qid").select(F.col("value").alias("qid"), "pos", "token", "weight")
+            search(index, asked, k, mode).count()
             log.append((n, time.perf_counter() - began))
 
     query = spark.readStream.format("rate").option("rowsPerSecond", tps).load().writeStream.foreachBatch(batch).start()

@@ -9,6 +9,7 @@ from loomrank.operators import planning, ranking, segments
 from loomrank.operators.planning import Mode
 from loomrank.plans import index as indexes
 from loomrank.plans import search as searches
+from loomrank.schema import BLOCK_BITS
 
 #: term, impact, documents of a small index, and a query of two tokens.
 SEGMENTS = [("the", 10, [1, 4, 9]), ("the", 4, [2, 5, 6, 7, 8]), ("la", 5, [4, 7]), ("la", 3, [1, 2, 3, 8])]
@@ -16,7 +17,7 @@ SEGMENTS = [("the", 10, [1, 4, 9]), ("the", 4, [2, 5, 6, 7, 8]), ("la", 5, [4, 7
 
 @pytest.fixture(scope="module")
 def small(spark):
-    blocks = spark.createDataFrame([(t, i, 0, d, 1.0) for t, i, d in SEGMENTS], "term string, impact int, block int, docs array<int>, max_score float")
+    blocks = spark.createDataFrame([(t, i, 0, d) for t, i, d in SEGMENTS], "term string, impact int, block int, docs array<int>")
     terms = spark.createDataFrame([(1, 0, "the", 1), (1, 1, "la", 2)], "qid long, pos int, token string, weight int")
     return segments.directory(blocks), blocks, terms
 
@@ -155,10 +156,10 @@ def test_ids_must_be_dense(spark):
 
 
 def test_long_lists_are_cut_into_blocks(spark):
-    n = (1 << segments.BLOCK_BITS) + 10
-    postings = spark.range(n).selectExpr("'t' AS term", "CAST(id AS INT) AS doc_id", "3 AS impact", "CAST(1 AS FLOAT) AS max_score")
+    n = (1 << BLOCK_BITS) + 10
+    postings = spark.range(n).selectExpr("'t' AS term", "CAST(id AS INT) AS doc_id", "3 AS impact")
     blocks = segments.blocks(postings).persist()
-    assert sorted((r["block"], len(r["docs"])) for r in blocks.collect()) == [(0, 1 << segments.BLOCK_BITS), (1, 10)]
+    assert sorted((r["block"], len(r["docs"])) for r in blocks.collect()) == [(0, 1 << BLOCK_BITS), (1, 10)]
     assert segments.joined(blocks).first()["docs"] == list(range(n)) and segments.directory(blocks).first()["count"] == n
     terms = spark.createDataFrame([(1, 0, "t", 1)], "qid long, pos int, token string, weight int")
     assert ranking.accumulated(planning.planned(segments.directory(blocks), terms), blocks).count() == n
