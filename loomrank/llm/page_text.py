@@ -1,7 +1,8 @@
 """Main text of HTML pages by a tree-structured graphical model over their DOM.
 
 A tolerant parser turns a page into a tree of block elements with runs of text as
-leaves.  Every node is content or not; a node's own features (tag, words of class,
+leaves; inline elements with a class, id or role are nodes too, whose text stays in
+its block's line or leaves it.  Every node is content or not; a node's own features (tag, words of class,
 id and role, size, punctuation, share of linked text) and the state of its parent
 decide.  Sum-product messages pass upward and downward, level by level over all
 pages of a batch, and give exact marginals; text whose marginal is at least one
@@ -47,8 +48,10 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
+_NAMED = re.compile(r"(?i)(?:^|[\s\"'])(?:class|id|role|hidden|aria-hidden|style)\b")
 _WORD = re.compile(r"[a-z]+")
 _features: dict = {}
+_models: list = []
 
 
 def feature(name: str) -> int:
@@ -96,7 +99,8 @@ class Trees:
         self.nodes: list[int] = []  # node of each feature
         self.features: list[int] = []
         self.leaf: list[bool] = []
-        self.texts: list[tuple[int, int, str]] = []  # page, node, text
+        self.texts: list[tuple[int, int, str]] = []  # page, leaf, its text
+        self.blocks: list[tuple[int, list[tuple[int, str]]]] = []  # page, and the parts of a line with their leaves
 
     def _node(self, parent: int, depth: int, features: tuple[int, ...], leaf: bool) -> int:
         at = len(self.parent)
@@ -111,19 +115,40 @@ class Trees:
         open_: list[tuple[str, int]] = [("", self._node(-1, 0, (feature("page"),), False))]
         pieces: list[str] = []
         linked: list[int] = []  # pieces in links
+        marked: list[list] = []  # inline elements of the block that are nodes: tag, features, first and last piece
         link, at, size = False, 0, len(html)
 
+        def leaf(node: int, depth: int, own: list[int], tag: str) -> tuple[int, str]:
+            text = " ".join(unescape("".join(pieces[i] for i in own)).split())
+            if not text:
+                return -1, text
+            share = min(len(text), sum(len(pieces[i]) for i in set(linked).intersection(own)))
+            found = self._node(node, min(depth, DEPTH), _of_text(text, share, tag), True)
+            self.texts.append((page, found, text))
+            return found, text
+
         def close() -> None:
             """The text since the last block border becomes a leaf."""
             if pieces:
-                text = " ".join(unescape("".join(pieces)).split())
-                if text:
-                    tag, node = open_[-1]
-                    share = min(len(text), sum(len(pieces[i]) for i in linked))
-                    leaf = self._node(node, min(len(open_), DEPTH), _of_text(text, share, tag), True)
-                    self.texts.append((page, leaf, text))
+                tag, node = open_[-1]
+                if not marked:
+                    found, text = leaf(node, len(open_), list(range(len(pieces))), tag)
+                    if text:
+                        self.blocks.append((page, [(found, text)]))
+                else:
+                    of = [-1] * len(pieces)  # which inline element a piece is in
+                    for m, (_, _, first, last) in enumerate(marked):
+                        last = len(pieces) if last is None else last
+                        of[first:last] = [m] * (last - first)
+                    leaves = {-1: leaf(node, len(open_), [i for i, m in enumerate(of) if m < 0], tag)[0]}
+                    for m, (name, features, _, _) in enumerate(marked):
+                        if own := [i for i, x in enumerate(of) if x == m]:
+                            element = self._node(node, min(len(open_), DEPTH - 1), (*features, feature(f"tag {name} in {tag}")), False)
+                            leaves[m] = leaf(element, len(open_) + 1, own, name)[0]
+                    self.blocks.append((page, [(leaves[m], pieces[i]) for i, m in enumerate(of)]))
                 pieces.clear()
                 linked.clear()
+            marked.clear()
 
         def push(piece: str) -> None:
             if link:
@@ -149,6 +174,12 @@ class Trees:
                     link = not found["end"]
                 elif tag == "br":
                     pieces.append(" ")
+                if tag not in VOID:
+                    if found["end"]:
+                        if marked and marked[-1][0] == tag and marked[-1][3] is None:
+                            marked[-1][3] = len(pieces)
+                    elif found["attrs"] and (not marked or marked[-1][3] is not None) and _NAMED.search(found["attrs"]):
+                        marked.append([tag, _of_element(tag, found["attrs"]), len(pieces), None])
                 continue
             close()
             if found["end"]:
@@ -354,7 +385,13 @@ class _Writer:
         for _ in range(r.randint(1, 12)):
             kind = r.random()
             if kind < 0.68:
-                out.append(f"<p>{r.choice(['', '', '<b>'])}{self.kept(self.text(1, 6) if r.random() < 0.85 else self.words(r.randint(1, 4)).capitalize() + '.')}" + r.choice(["</p>", "</p>", "<br>", "</b></p>"]))
+                line = self.kept(self.text(1, 6) if r.random() < 0.85 else self.words(r.randint(1, 4)).capitalize() + ".")
+                odd = r.random()
+                if odd < 0.05:
+                    line = f"<span{self.attrs('content')}>{line}</span>"
+                elif odd < 0.10:
+                    line += f" <{(tag := r.choice(['span', 'small', 'em']))}{self.attrs(r.choice(['ad', 'social', 'notice']))}>{self.sentence(2, 8)}</{tag}>"
+                out.append(f"<p>{r.choice(['', '', '<b>'])}{line}" + r.choice(["</p>", "</p>", "<br>", "</b></p>"]))
             elif kind < 0.76:
                 out.append(f"<h2>{self.kept(self.words(r.randint(1, 6)).capitalize())}</h2>")
             elif kind < 0.82:
@@ -413,19 +450,28 @@ def texts(pages: list[str], model: Model) -> list[str]:
     out: list[list[str]] = [[] for _ in pages]
     if trees.texts:
         marginal, _ = sum_product(trees.arrays(), model)
-        for page, node, text in trees.texts:
-            if marginal[node] >= 0.5:
-                out[page].append(text)
+        for page, parts in trees.blocks:
+            kept = [x for node, x in parts if node >= 0 and marginal[node] >= 0.5]
+            if kept and len(parts) > 1:
+                kept = [" ".join(unescape("".join(x if node < 0 or marginal[node] >= 0.5 else " " for node, x in parts)).split())]
+            out[page] += [x for x in kept if x]
     return ["\n".join(x) for x in out]
 
 
+def _trained() -> Model:
+    """The model of the grammar's pages, fitted once per session."""
+    if not _models:
+        _models.append(train(*labelled_pages()))
+    return _models[0]
+
+
 def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
     """page_id, url, text (empty if none) and n_chars of every page; null html is an empty page.
 
     White space is what str.split splits at; a line break element counts as white
     space.  Rows that repeat are extracted as often.
     """
-    model = model or train(*labelled_pages())
+    model = model or _trained()
     used = np.flatnonzero(model.weights)
     sent = (used, model.weights[used], model.pairs)
 

@@ -49,6 +49,13 @@ def test_a_page(model):
     assert texts([PAGE], model)[0].split("\n") == ["The title & more", "First paragraph, with words — and more of them.", "Second one follows here, as long text would.", "An item of the list, with words."]
 
 
+def test_inline_elements_with_names_are_nodes(model):
+    html = """<html><body><nav><ul><li><a href="/">Home</a></li></ul></nav><article><h1>A title of the page</h1>
+    <p>First paragraph with words, long enough to be one.<span class="ad">Buy cheap stuff now.</span> It goes on <span class="text">behind</span> it, as it should.</p>
+    <span class="ad">Buy cheap stuff now.</span><p>Second paragraph, also with <em id="main-text">several</em> words in it.</p></article></body></html>"""
+    assert texts([html], model)[0].split("\n") == ["A title of the page", "First paragraph with words, long enough to be one. It goes on behind it, as it should.", "Second paragraph, also with several words in it."]
+
+
 def test_broken_markup(model):
     for html in ("", "<", "<p", "<p class='x", "</div></div>", "<!--", "<script>", "a < b > c", "<div " * 50, "<p>" * 3000 + "end.", "<div>" * 5000 + "deep text." + "</div>" * 5000, "&#xFFFFFF; &bogus; &amp", '<a href="' * 2000):
         assert isinstance(texts([html], model)[0], str)
