@@ -349,6 +349,8 @@ class _Writer:
 
     def junk(self, kind: str) -> str:
         r, tag = self.r, {"nav": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "comments": "section"}.get(kind, "div")
+        if kind in ("ad", "social") and r.random() < 0.3:
+            return f"<span{self.attrs(kind)}>{self.sentence(2, 8)}</span>"
         semantic = r.random() < 0.6
         open_ = f"<{tag}{self.attrs(kind) if r.random() < 0.5 else ''}>" if semantic and tag != "div" else f"<div{self.attrs(kind)}>"
         close = f"</{open_[1:].split('>')[0].split()[0]}>"
@@ -387,10 +389,10 @@ class _Writer:
             if kind < 0.68:
                 line = self.kept(self.text(1, 6) if r.random() < 0.85 else self.words(r.randint(1, 4)).capitalize() + ".")
                 odd = r.random()
-                if odd < 0.05:
+                if odd < 0.06:
                     line = f"<span{self.attrs('content')}>{line}</span>"
-                elif odd < 0.10:
-                    line += f" <{(tag := r.choice(['span', 'small', 'em']))}{self.attrs(r.choice(['ad', 'social', 'notice']))}>{self.sentence(2, 8)}</{tag}>"
+                elif odd < 0.36:
+                    line += f" <{(tag := r.choice(['span', 'small', 'em']))}{self.attrs(r.choice(['ad', 'ad', 'social', 'notice']))}>{self.sentence(2, 8)}</{tag}>"
                 out.append(f"<p>{r.choice(['', '', '<b>'])}{line}" + r.choice(["</p>", "</p>", "<br>", "</b></p>"]))
             elif kind < 0.76:
                 out.append(f"<h2>{self.kept(self.words(r.randint(1, 6)).capitalize())}</h2>")
