@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -17,7 +16,8 @@ from loomrank.operators.planning import EXHAUSTIVE, Mode
 from loomrank.plans import index as indexes
 from loomrank.plans import search as searches
 from loomrank.plans.index import Index
-from loomrank.schema import RESULTS
+from loomrank.schema import BLOCK_BITS, RESULTS
+from loomrank.sinks import ciff as ciff_sink
 from loomrank.sinks import runs
 from loomrank.sources import ciff, query_lines, requests, text
 from loomrank.streaming import serve
@@ -388,38 +388,46 @@ def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- interchange files ----------------------------------------------------------------------------------------------
 
-CIFF_LISTS = [("alpha", [(0, 1), (5, 3)]), ("bêta", [(2, 2)]), ("gamma", [(0, 1), (1, 1), (7, 300)])]
-CIFF_DOCS = [(i, f"D-{i}", 10 + i) for i in range(8)]
-_CIFF_POSTINGS = ", ".join(f"({_quote(t)}, {d}, {tf})" for t, own in CIFF_LISTS for d, tf in own)
+def ciff_files(spark: SparkSession, sf_dir: str) -> str:
+    """The documents' postings as CIFF files; the folder has to be in a store that pyarrow opens."""
+    documents, path = table(spark, sf_dir, "documents"), new_dir(spark, "ciff")
+    ciff_sink.write(text.postings(documents), text.lengths(documents), path, "documents")
+    return path
 
 
-def ciff_file(spark: SparkSession) -> str:
-    """A small file; the folder has to be one that plain file access reaches."""
-    path = f"{new_dir(spark, 'ciff').removeprefix('file:').replace('//', '/')}/x.ciff"
-    os.makedirs(os.path.dirname(path))
-    with open(path, "wb") as f:
-        f.write(ciff.encode(CIFF_LISTS, CIFF_DOCS, "fixture"))
-    return path
+# ids in runs of 65,536 to a file, as the writer deals them
+_CIFF_FILES = (
+    f"SELECT d.doc_id >> {BLOCK_BITS} AS f, count(*) AS docs, sum(d.doc_len) AS total FROM dl d GROUP BY f",
+    f"SELECT doc_id >> {BLOCK_BITS} AS f, count(DISTINCT term) AS lists FROM post GROUP BY f",
+)
 
 
-@_query("ciff_header", "SELECT 1 AS version, 3 AS num_postings_lists, 8 AS num_docs, CAST(108 AS BIGINT) AS total_terms_in_collection, CAST(13.5 AS DOUBLE) AS average_doclength, 'fixture' AS description")
+@_query(
+    "ciff_header",
+    _with(
+        {"fd": _CIFF_FILES[0], "fl": _CIFF_FILES[1]},
+        "SELECT CAST(1 AS INTEGER) AS version, CAST(coalesce(lists, 0) AS INTEGER) AS num_postings_lists, CAST(docs AS INTEGER) AS num_docs, CAST(total AS BIGINT) AS total_terms_in_collection, "
+        "CAST(total AS DOUBLE) / docs AS average_doclength, 'documents' AS description FROM fd LEFT JOIN fl USING (f)",
+        ("tok", "post", "dl"),
+    ),
+)
 def ciff_header(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ciff.read(spark, ciff_file(spark), "header").select("version", "num_postings_lists", "num_docs", "total_terms_in_collection", "average_doclength", "description")
+    return ciff.read(spark, ciff_files(spark, sf_dir), "header").select("version", "num_postings_lists", "num_docs", "total_terms_in_collection", "average_doclength", "description")
 
 
-@_query("ciff_postings", f"SELECT * FROM (VALUES {_CIFF_POSTINGS}) v(term, doc_id, tf)")
+@_query("ciff_postings", ORACLES["postings"])
 def ciff_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ciff.postings(ciff.read(spark, ciff_file(spark), "postings"))
+    return ciff.postings(ciff.read(spark, ciff_files(spark, sf_dir), "postings"))
 
 
-@_query("ciff_docs", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {_quote(n)}, {x})" for i, n, x in CIFF_DOCS) + ") v(doc_id, ext_id, doc_len)")
+@_query("ciff_docs", _with({}, "SELECT doc_id, ext_id, doc_len FROM dl", ("tok", "post", "dl")))
 def ciff_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ciff.docs(ciff.read(spark, ciff_file(spark), "docs"))
+    return ciff.docs(ciff.read(spark, ciff_files(spark, sf_dir), "docs"))
 
 
-@_query("ciff_index", f"SELECT term, CAST(tf AS INTEGER) AS impact, count(*) AS count FROM (VALUES {_CIFF_POSTINGS}) v(term, doc_id, tf) GROUP BY term, tf")
+@_query("ciff_index", _with({}, "SELECT term, impact, count FROM dir"))
 def ciff_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return indexes.from_ciff(spark, ciff_file(spark), Identity()).directory
+    return indexes.from_ciff(spark, ciff_files(spark, sf_dir)).directory
 
 
 # ---- requests, run files, measurements ------------------------------------------------------------------------------

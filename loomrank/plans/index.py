@@ -83,10 +83,11 @@ def from_documents(documents: DataFrame, scorer: Scorer | None = None, bits: int
 
 
 def from_ciff(spark: SparkSession, path: str, scorer: Scorer | None = None, bits: int = 8) -> Index:
-    """An index of a CIFF file; the average length is the header's."""
+    """An index of a CIFF file, or of a folder of them; the average length is the header's, or what several headers give."""
     docs = segments.checked_dense(ciff.docs(ciff.read(spark, path, "docs")))
     postings = ciff.postings(ciff.read(spark, path, "postings")).join(docs.select("doc_id", "doc_len"), "doc_id")
-    average = ciff.read(spark, path, "header").select(F.col("average_doclength").alias("avg_len"))
+    overall = F.sum("total_terms_in_collection") / F.sum("num_docs")
+    average = ciff.read(spark, path, "header").agg(F.when(F.count("*") > 1, overall).otherwise(F.first("average_doclength")).alias("avg_len"))
     stats = docs.agg(F.count("*").alias("n")).crossJoin(average)
     return _built(postings, docs, stats, scorer or BM25(), bits)
 

@@ -2,18 +2,22 @@
 
 A file is a header, then the postings lists, then the document records.  The
 driver walks the message lengths once and hands out ranges of messages, so every
-task seeks to its own part.  For stores that only Spark reaches, read() takes the
-files through Spark's binary reader instead (one file per task at a time).
+task seeks to its own part, on a disk as in any store that pyarrow opens.  A path
+may also be a folder of such files (*.ciff), each with documents of its own.  For
+stores that only Spark reaches, read() takes a single file through Spark's binary
+reader instead, whole and in one task.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -24,6 +28,8 @@ from loomrank import schema as S
 TABLES = {"header": S.CIFF_HEADER, "postings": S.CIFF_POSTINGS, "docs": S.CIFF_DOCS}
 #: Bytes of messages per task.
 SPLIT = 32 << 20
+#: A posn is the message's position in its file, with the file's number above so many bits.
+FILE_BITS = 40
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -133,23 +139,48 @@ def messages(f: BinaryIO, offset: int, many: int, first: int, table: str) -> Ite
         yield (first + i, *_DECODE[table](data))
 
 
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
+
+
+def files(path: str) -> list[str]:
+    """The file itself, or the *.ciff files of a folder, by name."""
+    system, at = store(path)
+    if system.get_file_info(at).type != fs.FileType.Directory:
+        return [at]
+    return sorted(x.path for x in system.get_file_info(fs.FileSelector(at)) if x.is_file and x.extension == "ciff")
+
+
+def opened(path: str, at: str) -> BinaryIO:
+    return io.BufferedReader(store(path)[0].open_input_file(at), 1 << 20)
+
+
 class _Part(InputPartition):
-    def __init__(self, path: str, offset: int, many: int, first: int):
-        self.path, self.offset, self.many, self.first = path, offset, many, first
+    def __init__(self, at: str, offset: int, many: int, first: int):
+        self.at, self.offset, self.many, self.first = at, offset, many, first
 
 
 class _Reader(DataSourceReader):
     def __init__(self, path: str, table: str):
-        self.path, self.table = path.removeprefix("file://"), table
+        self.path, self.table = path, table
 
     def partitions(self) -> list[InputPartition]:
-        if self.table == "header":
-            return [_Part(self.path, 0, 1, 0)]
-        with open(self.path, "rb") as f:
-            return [_Part(self.path, *p) for p in layout(f, self.table)[1]] or [_Part(self.path, 0, 0, 0)]
+        out = []
+        for number, at in enumerate(files(self.path)):
+            if self.table == "header":
+                out.append(_Part(at, 0, 1, 0))
+                continue
+            with opened(self.path, at) as f:
+                out += [_Part(at, offset, many, first + (number << FILE_BITS)) for offset, many, first in layout(f, self.table)[1]]
+        return out or [_Part("", 0, 0, 0)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
+        if not partition.many:
+            return
+        with opened(self.path, partition.at) as f:
             if self.table == "header":
                 yield decode_header(f.read(_length(f) or 0))
             else:
@@ -172,8 +203,6 @@ class CiffSource(DataSource):
 
 def _whole(table: str, kind: StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(kind)
@@ -191,12 +220,16 @@ def _whole(table: str, kind: StructType):
 
 
 def read(spark: SparkSession, path: str, table: str = "postings") -> DataFrame:
-    """A table of a CIFF file: header, postings or docs."""
-    if os.path.exists(path.removeprefix("file://")):
-        spark.dataSource.register(CiffSource)
-        return spark.read.format("ciff").option("table", table).load(path)
-    kind = TABLES[table]
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_whole(table, kind), kind)
+    """A table of a CIFF file or of a folder of them: header (a row per file), postings or docs."""
+    try:
+        store(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):  # not a store that pyarrow opens here
+        kind, scan = TABLES[table], spark.read.format("binaryFile").load(path)
+        if scan.select("path").limit(2).count() > 1:
+            raise ValueError("only one file at a time can be read from this store") from None
+        return scan.select("content").mapInArrow(_whole(table, kind), kind)
+    spark.dataSource.register(CiffSource)
+    return spark.read.format("ciff").option("table", table).load(path)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +248,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def postings(lists: DataFrame) -> DataFrame:
-    """term, doc_id, tf: ids are running sums of the gaps; of a term's lists the last one counts; negative tf are refused."""
-    last = lists.groupBy("term").agg(F.max("posn").alias("posn")).select("posn")
+    """term, doc_id, tf: ids are running sums of the gaps; of a term's lists in a file the last one counts; negative tf are refused."""
+    last = lists.groupBy("term", F.shiftright("posn", FILE_BITS)).agg(F.max("posn").alias("posn")).select("posn")
     return lists.join(last, "posn", "left_semi").select("term", "postings").mapInArrow(_summed, "term string, doc_id int, tf int")
 
 
@@ -249,18 +282,26 @@ def _message(x: bytes) -> bytes:
     return _varint(len(x)) + x
 
 
+def encode_header(lists: int, docs: int, total: int, description: str = "") -> bytes:
+    """The header's message; total is the sum of the documents' lengths."""
+    head = _number(1, 1) + _number(2, lists) + _number(3, docs) + _number(4, lists) + _number(5, docs) + _number(6, total)
+    return _message(head + _varint(7 << 3 | 1) + struct.pack("<d", total / docs if docs else 0.0) + _bytes(8, description.encode()))
+
+
+def encode_list(term: str, own: list[tuple[int, int]]) -> bytes:
+    """The message of a term's (doc_id, tf) with ascending ids."""
+    parts, before = [_bytes(1, term.encode()), _number(2, len(own)), _number(3, sum(tf for _, tf in own))], 0
+    for doc, tf in own:
+        parts.append(_bytes(4, _number(1, doc - before) + _number(2, tf), always=True))
+        before = doc
+    return _message(b"".join(parts))
+
+
+def encode_doc(doc: int, name: str, length: int) -> bytes:
+    return _message(_number(1, doc) + _bytes(2, name.encode()) + _number(3, length))
+
+
 def encode(lists: list[tuple[str, list[tuple[int, int]]]], records: list[tuple[int, str, int]], description: str = "") -> bytes:
     """A file of (term, [(doc_id, tf)]) with ascending ids and (doc_id, ext_id, doc_len) records."""
-    total = sum(n for *_, n in records)
-    average = total / len(records) if records else 0.0
-    head = _number(1, 1) + _number(2, len(lists)) + _number(3, len(records)) + _number(4, len(lists)) + _number(5, len(records)) + _number(6, total)
-    out = [_message(head + _varint(7 << 3 | 1) + struct.pack("<d", average) + _bytes(8, description.encode()))]
-    for term, own in lists:
-        body = _bytes(1, term.encode()) + _number(2, len(own)) + _number(3, sum(tf for _, tf in own))
-        before = 0
-        for doc, tf in own:
-            body += _bytes(4, _number(1, doc - before) + _number(2, tf), always=True)
-            before = doc
-        out.append(_message(body))
-    out += [_message(_number(1, d) + _bytes(2, name.encode()) + _number(3, n)) for d, name, n in records]
-    return b"".join(out)
+    head = encode_header(len(lists), len(records), sum(n for *_, n in records), description)
+    return b"".join([head, *(encode_list(*x) for x in lists), *(encode_doc(*x) for x in records)])

@@ -2,8 +2,10 @@ import random
 
 import pytest
 
+from loomrank import schema
 from loomrank.functions.scoring import Identity
 from loomrank.plans import index as indexes
+from loomrank.sinks import ciff as ciff_sink
 from loomrank.sources import ciff, query_lines, requests, text
 
 
@@ -83,6 +85,26 @@ def test_ciff_parts_and_binary_reader(spark, ciff_file, tmp_path):
         ciff.read(spark, str(tmp_path / "cut.ciff"), "docs").collect()
 
 
+def test_ciff_folder(spark, ciff_file, tmp_path, monkeypatch):
+    _, lists, records = ciff_file
+    monkeypatch.setattr(schema, "BLOCK_BITS", 5)
+    records = [(d, name, 0 if 64 <= d < 96 else n) for d, name, n in records]
+    rows = [(t, d, tf) for t, p in lists for d, tf in p if not 64 <= d < 96]  # one file without lists
+    path = f"file://{tmp_path}/shards"
+    ciff_sink.write(spark.createDataFrame(rows, schema.POSTINGS), spark.createDataFrame([(d, n, x) for d, n, x in records], schema.DOCS), path, "parts")
+    assert sorted(p.name for p in (tmp_path / "shards").iterdir()) == [f"{i:08d}.ciff" for i in range(7)]
+    assert (tmp_path / "shards" / "00000002.ciff").read_bytes() == ciff.encode([], records[64:96], "parts")
+    first = [(t, [(d, tf) for d, tf in p if d < 32]) for t, p in sorted(lists, key=lambda x: x[0].encode())]
+    assert (tmp_path / "shards" / "00000000.ciff").read_bytes() == ciff.encode([x for x in first if x[1]], records[:32], "parts")
+    assert sorted(tuple(r) for r in ciff.postings(ciff.read(spark, path, "postings")).collect()) == sorted(rows)
+    assert [tuple(r) for r in ciff.docs(ciff.read(spark, path, "docs")).orderBy("doc_id").collect()] == records
+    assert sum(r["num_docs"] for r in ciff.read(spark, path, "header").collect()) == 200
+    built = indexes.from_ciff(spark, path, Identity())
+    assert built.getter("num_postings") == len(rows) and built.average.first()[0] == sum(n for *_, n in records) / 200
+    (tmp_path / "none").mkdir()
+    assert ciff.read(spark, f"{tmp_path}/none", "postings").count() == 0
+
+
 def test_ciff_last_list_counts_and_negative_tf(spark):
     kind = ciff.TABLES["postings"]
     rows = spark.createDataFrame([(0, "t", 1, 1, [(1, 2)]), (1, "t", 1, 1, [(3, 4), (2, 1)])], kind)
