@@ -1,23 +1,22 @@
 """Removal of repeated passages by distributed prefix doubling.
 
 A byte goes if it lies in a string of `length` bytes that also starts anywhere
-else.  Ranking every suffix of the corpus would sort one row per byte and round.
-Here positions are ranked in runs, from short prefixes to the full length:
-
-* Round 0 ranks content-chosen anchors.  The anchor of a start p is the leftmost
-  k-gram with the smallest hash among the first `length - k + 1` k-grams of
-  p's string.  Equal strings have their anchors at equal offsets, so all starts
-  whose anchor's k-gram is unique are unique and leave at once.
-* Each round then pairs the rank of a run's common core with the rank of the
-  whole stretch which its starts cover: runs with a unique core leave as unique,
-  runs whose stretch repeats leave as repeated, the rest is cut into shorter runs
-  (with longer cores) and ranked anew, down to single starts whose core is the
-  full string.
-
-What repeats is decided by two 64-bit digests of the whole stretch beside its core's
-fingerprint; fingerprints alone only ever rule starts out.  Counting uses partial aggregation, and positions get their counts back by a join
-of two written tables that adaptive execution can split, so that one passage that
-fills a third of the corpus doesn't meet in one task.
+else.  Ranking every suffix of the corpus would sort one row per byte and round, so
+anchors prune first:
+
+* The anchor of a start p is the leftmost k-gram with the smallest hash among the first
+  `length - k + 1` k-grams of p's string.  Equal strings have their anchors at equal
+  offsets, so all starts whose anchor's k-gram is unique are unique and leave.
+* Neighbouring starts with one anchor make a run.  Of runs that are equal as a whole, one
+  byte before and after included, one goes on for all; the others are known to repeat.
+
+What is left is decided by prefix doubling: Spark sorts (rank, rank further on, place), places
+get new ranks, and the offset between the two ranks doubles until `length` bytes are
+covered.  Unique places leave in every round.  As the place belongs to the sort, a passage
+that fills a third of the corpus is spread over many tasks.
+
+Whether runs are equal, and whether first prefixes are, two 64-bit digests of the bytes
+decide; rolling fingerprints only ever rule starts out.
 
 A row is known by its doc_id (0 if null) and a hash of its text; rows that agree in
 both have the same text and hence the same removals, however often they occur.
@@ -26,22 +25,24 @@ both have the same text and hence the same removals, however often they occur.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomrank.llm import scratch
 from loomrank.llm.bytescan import FIRST, U64, Rolling, chunks, digests, gather, lanes, mix
 
-#: Starts per run in the rounds after the anchors'.
-ROUNDS = (16, 4, 1)
+#: A place is a number of one long: a piece (a task's number and a count of TASK bits) and an offset of OFFSET bits in it.
+TASK, OFFSET = 26, 17
+#: Most starts of a piece; with the bytes after the last start its offsets stay below 2**OFFSET.
+PIECE = 1 << 16
 #: Bytes at once: arrays of 8 bytes an item then stay in a core's cache.  Longer texts go in windows of so many starts.
 SCAN = 1 << 18
-#: Runs whose bytes are cut out at once.
-CUT = 1 << 12
 _POSITION = U64((1 << 28) - 1)  # places in a window
 _SEEDS = (0xA4093822, 0x299F31D0)
 _KEY = ["id", "twin"]
@@ -158,89 +159,162 @@ def _ranked(runs: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _stretches(length: int, block: int):
-    """The bytes around the pending anchors of each document."""
+def _pieces(length: int, base: int):
+    """The bytes under the pending starts of each document, in numbered pieces whose starts don't meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << TASK
         for batch in batches:
             ids, twins = (batch.column(c).to_numpy(zero_copy_only=False) for c in _KEY)
             lists = batch.column("runs")
             many = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            anchor, low, high = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            base = 0
+            low, high = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
+            row = np.repeat(np.arange(len(many)), many)
+            order = np.lexsort((low, row))
+            row, low, high = row[order], low[order], high[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (low[1:] - high[:-1] > length - base)
+            first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
+            row, low, high = row[first], low[first], high[last]
+            parts = (high - low) // PIECE + 1
+            row, low, high = (np.repeat(x, parts) for x in (row, low, high))
+            low = low + (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
+            starts = np.minimum(high - low + 1, PIECE)
             for r0, r1, data, at in chunks(batch.column("text"), SCAN):
-                rows = np.repeat(np.arange(r1 - r0), many[r0:r1])
-                for c in range(0, len(rows), CUT):
-                    row = rows[c : c + CUT]
-                    a, lo, hi = (x[base + c : base + c + len(row)] for x in (anchor, low, high))
-                    size = np.diff(at)[row]
-                    start = np.maximum(a - ((a - lo) // block * block + block - 1), 0)
-                    end = np.minimum(a - (a - hi) // block * block + length, size)
-                    got = gather(data, at[row] + start, end - start)
-                    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
+                c, end = np.searchsorted(row, (r0, r1))
+                while c < end:
+                    stop = max(c + 1, c + int(np.searchsorted(np.cumsum(starts[c:end] + length - 1), 4 * SCAN)))
+                    own, size = row[c:stop], starts[c:stop] + length - 1
+                    got = gather(data, at[own - r0] + low[c:stop], size)
+                    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (ids[r0 + row], twins[r0 + row], *(x.astype(np.int32) for x in (a, lo, hi, start)))]
-                        + [pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(got))])],
-                        [*_KEY, "anchor", "low", "high", "start", "bytes"],
+                        [pa.array(x) for x in (number + np.arange(stop - c), ids[own], twins[own], low[c:stop].astype(np.int32))]
+                        + [pa.Array.from_buffers(pa.binary(), stop - c, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(got))])],
+                        ["piece", *_KEY, "low", "bytes"],
                     )
-                base += len(rows)
+                    number += stop - c
+                    c = stop
 
     return run
 
 
-def _block_rows(length: int, block: int):
-    """Cuts runs (anchor, low..high) into blocks of starts that lie evenly from the anchor."""
+def _first_pairs(base: int):
+    """Every position of the pieces with what its first `base` bytes are known by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*_KEY, "anchor", "low", "high", "core", "ext", "ext2", "start", "bytes"]
         with np.errstate(over="ignore"):
             for batch in batches:
-                ids, twins, anchor, low, high, start = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*_KEY, "anchor", "low", "high", "start"))
+                piece = batch.column("piece").to_numpy()
                 for r0, r1, data, at in chunks(batch.column("bytes"), SCAN):
-                    a, s = anchor[r0:r1], start[r0:r1]
-                    least, most = (a - high[r0:r1]) // block, (a - low[r0:r1]) // block
-                    many = most - least + 1
+                    many = np.diff(at) - base + 1
                     row = np.repeat(np.arange(r1 - r0), many)
-                    j = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + least[row]
-                    last = a[row] - j * block
-                    first = last - block + 1
-                    there = at[row] - s[row]
-                    stop = s[row] + np.diff(at)[row]
-                    prefix = rolling().prefix(data)
-                    core = mix(rolling().spans(prefix, there + last, there + first + length) ^ mix((j * block + 1).astype(U64)))
-                    fits = (first >= s[row]) & (last + length <= stop)
-                    lo, hi = there + np.maximum(first, s[row]), there + np.minimum(last + length, stop)
-                    ext, ext2 = digests(lanes(data), data, lo, hi, _SEEDS)
-                    lo_p, hi_p = np.maximum(first, low[r0:r1][row]), np.minimum(last, high[r0:r1][row])
-                    columns = [pa.array(x) for x in (ids[r0 + row], twins[r0 + row], a[row].astype(np.int32), lo_p.astype(np.int32), hi_p.astype(np.int32), core.view(np.int64))]
-                    columns += [pa.array(x.view(np.int64), mask=~fits) for x in (ext, ext2)]
-                    if block > 1:
-                        columns += [pa.array(s[row].astype(np.int32)), batch.column("bytes").take(pa.array(r0 + row))]
-                    yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+                    offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                    start = at[row] + offset
+                    pair = digests(lanes(data), data, start, start + base, _SEEDS)
+                    yield pa.RecordBatch.from_arrays([pa.array((piece[r0 + row] << OFFSET) + offset), *(pa.array(x.view(np.int64)) for x in pair)], ["place", "a", "b"])
 
     return run
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers a task's sorted pairs from 0 and leaves out those that occur once.
+
+    What the first and last pair count for is open until the neighbouring tasks are
+    known: their rows stay, and a last row without place describes them.
+    """
+    part, names = TaskContext.get().partitionId(), ["place", "part", "local", "a", "b", "a2", "b2", "n", "n2"]
+    held, top, again, first, n, n2 = None, 0, False, None, 0, 0
+
+    def rows(place, local):
+        blank = pa.nulls(len(place), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.full(len(place), part, np.int32)), pa.array(local), *[blank] * 6], names)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place, a, b = (batch.column(i).to_numpy() for i in range(3))
+        if held is None:
+            first = a[0], b[0]
+        else:  # the row before comes first again
+            place, a, b = (np.append(h, x) for h, x in zip(held, (place, a, b), strict=True))
+        new = np.ones(len(place) + 1, bool)
+        new[0] = not again
+        new[1:-1] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        local = top + np.cumsum(new[:-1]) - new[0]
+        held, again, top = (place[-1], a[-1], b[-1]), not new[-2], int(local[-1])
+        sure = local[:-1]
+        n += int((sure == 0).sum())
+        n2 = int((sure == top).sum()) + (n2 if local[0] == top else 0)
+        stays = ~(new[:-2] & new[1:-1]) | (sure == 0)
+        yield rows(place[:-1][stays], sure[stays])
+    if held is not None:
+        yield rows(np.array([held[0]]), np.array([top]))
+        known = [None, part, top, *map(int, (*first, *held[1:])), n + (top == 0), n2 + 1]
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int32() if c == "part" else pa.int64()) for c, v in zip(names, known, strict=True)], names)
+
+
+def _reranked(pairs: DataFrame, name: str) -> DataFrame:
+    """(place, rank) of the (place, a, b) whose pair occurs more than once; ranks follow the order of the pairs.
+
+    The place is part of the sort, so that a pair of any frequency is spread over many tasks.
+    The driver sees two pairs per task.
+    """
+    spark = pairs.sparkSession
+    schema = "place long, part int, local long, a long, b long, a2 long, b2 long, n long, n2 long"
+    local = scratch.saved(pairs.sort("a", "b", "place").mapInArrow(_numbered, schema), name)
+    scratch.release(spark)
+    tasks = sorted(local.where("place is null").collect(), key=lambda t: t["part"])
+    rank, before, rows, size = -1, None, [], Counter()
+    for t in tasks:
+        low = rank + ((t["a"], t["b"]) != before)
+        rank, before = low + t["local"], (t["a2"], t["b2"])
+        size[low] += t["n"]
+        if t["local"]:
+            size[rank] += t["n2"]
+        rows.append((t["part"], low, t["local"]))
+    rows = [(part, low, top, size[low] == 1, size[low + top] == 1) for part, low, top in rows]
+    shift = spark.createDataFrame(rows, "part int, first long, top long, once boolean, once2 boolean")
+    alone = (F.col("local") == 0) & F.col("once") | (F.col("local") == F.col("top")) & F.col("once2")
+    ranked = local.where("place is not null").join(F.broadcast(shift), "part").where(~alone)  # one row per task of the sort
+    out = ranked.select("place", (F.col("first") + F.col("local")).alias("rank"))
+    out.scratch_path = local.scratch_path
+    return out
+
+
+def _doubled(pieces: DataFrame, length: int, base: int) -> DataFrame:
+    """(piece, low, high) of places whose `length` bytes start at another place too: prefix doubling.
+
+    Ranks of prefixes of `base` bytes come first.  Every round pairs the rank at a place
+    with the rank as many bytes further on, sorts the pairs and ranks them anew; a place leaves
+    as soon as its pair is unique or the place further on has left.
+    """
+    ranked = _reranked(pieces.select("piece", "bytes").mapInArrow(_first_pairs(base), "place long, a long, b long"), f"rank{base}")
+    known, piece = base, F.shiftright("place", OFFSET)
+    while known < length:
+        step = min(known, length - known)
+        there = Window.partitionBy(piece).orderBy("place").rangeBetween(step, step)
+        pairs = ranked.select("place", F.col("rank").alias("a"), F.max("rank").over(there).alias("b")).where("b is not null")
+        known += step
+        following = _reranked(pairs, f"rank{known}")
+        scratch.drop(ranked)
+        ranked = following
+    order = Window.partitionBy("piece").orderBy("place")
+    island = ranked.select("place", piece.alias("piece")).withColumn("island", F.col("place") - F.row_number().over(order))
+    offset = F.col("place").bitwiseAND((1 << OFFSET) - 1).cast("int")
+    return island.groupBy("piece", "island").agg(F.min(offset).alias("from"), F.max(offset).alias("to"))
+
+
 def repeats(texts: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
     """(id, twin, low, high) of keyed texts: starts low..high of strings of `length` bytes that also start elsewhere."""
-    key, digest = "id long, twin long", "core long, ext long, ext2 long"
-    ranked = _ranked(scratch.saved(texts.mapInArrow(_anchor_rows(length, k), f"{key}, anchor int, low int, high int, {digest}"), "anchors"), "anchors")
-    done = [ranked.where("whole").select(*_KEY, "low", "high")]
-    pending = ranked.where("go").groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "low", "high")).alias("runs"))
-    runs = scratch.saved(texts.join(pending, _KEY).mapInArrow(_stretches(length, ROUNDS[0]), f"{key}, anchor int, low int, high int, start int, bytes binary"), "stretches")
+    key, base = "id long, twin long", -(-length // 4)
+    ranked = _ranked(scratch.saved(texts.mapInArrow(_anchor_rows(length, k), f"{key}, anchor int, low int, high int, core long, ext long, ext2 long"), "anchors"), "anchors")
+    pending = ranked.where("go").groupBy(*_KEY).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    pieces = scratch.saved(texts.join(pending, _KEY).mapInArrow(_pieces(length, base), f"piece long, {key}, low int, bytes binary"), "pieces")
     scratch.release(texts.sparkSession)
-    for block in ROUNDS:
-        schema = f"{key}, anchor int, low int, high int, {digest}" + (", start int, bytes binary" if block > 1 else "")
-        cut = scratch.saved(runs.mapInArrow(_block_rows(length, block), schema), f"runs{block}")
-        scratch.drop(runs)
-        ranked = _ranked(cut, f"runs{block}")
-        done.append(ranked.where("whole").select(*_KEY, "low", "high"))
-        runs = scratch.saved(ranked.where("go").select(*_KEY, "anchor", "low", "high", "start", "bytes"), "runs") if block > 1 else None
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    found = _doubled(pieces, length, base).join(pieces.select("piece", *_KEY, "low"), "piece")
+    found = found.select(*_KEY, (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
+    return ranked.where("whole").select(*_KEY, "low", "high").unionByName(found)
 
 
 def covered(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
