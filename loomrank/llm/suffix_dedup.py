@@ -13,7 +13,9 @@ anchors prune first:
 What is left is decided by prefix doubling: Spark sorts (rank, rank further on, place), places
 get new ranks, and the offset between the two ranks doubles until `length` bytes are
 covered.  Unique places leave in every round.  As the place belongs to the sort, a passage
-that fills a third of the corpus is spread over many tasks.
+that fills a third of the corpus is spread over many tasks.  The first prefixes are long (144
+of 200 bytes): a run of s starts needs s places and one more for each byte that they lack,
+and with 50 bytes twice as many places were sorted.
 
 Whether runs are equal, and whether first prefixes are, two 64-bit digests of the bytes
 decide; rolling fingerprints only ever rule starts out.
@@ -159,7 +161,7 @@ def _ranked(runs: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _pieces(length: int, base: int):
+def _pieces(length: int):
     """The bytes under the pending starts of each document, in numbered pieces whose starts don't meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def _pieces(length: int, base: int):
             order = np.lexsort((low, row))
             row, low, high = row[order], low[order], high[order]
             new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (low[1:] - high[:-1] > length - base)
+            new[1:] = (row[1:] != row[:-1]) | (low[1:] - high[:-1] > sum(_offsets(length)))
             first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
             row, low, high = row[first], low[first], high[last]
             parts = (high - low) // PIECE + 1
@@ -265,6 +267,7 @@ def _reranked(pairs: DataFrame, name: str) -> DataFrame:
     local = scratch.saved(pairs.sort("a", "b", "place").mapInArrow(_numbered, schema), name)
     scratch.release(spark)
     tasks = sorted(local.where("place is null").collect(), key=lambda t: t["part"])
+    scratch.release(spark)
     rank, before, rows, size = -1, None, [], Counter()
     for t in tasks:
         low = rank + ((t["a"], t["b"]) != before)
@@ -282,17 +285,22 @@ def _reranked(pairs: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def _doubled(pieces: DataFrame, length: int, base: int) -> DataFrame:
-    """(piece, low, high) of places whose `length` bytes start at another place too: prefix doubling.
+def _offsets(length: int) -> list[int]:
+    """The offsets of the rounds; the first prefixes have the bytes that these don't add."""
+    step = length // 25
+    return [step, 2 * step, 4 * step]
+
+
+def _doubled(pieces: DataFrame, length: int) -> DataFrame:
+    """(piece, from, to) of offsets in pieces whose `length` bytes start at another place too: prefix doubling.
 
-    Ranks of prefixes of `base` bytes come first.  Every round pairs the rank at a place
-    with the rank as many bytes further on, sorts the pairs and ranks them anew; a place leaves
-    as soon as its pair is unique or the place further on has left.
+    Every round pairs the rank at a place with the rank one offset further on, sorts
+    the pairs and ranks them anew; a place leaves as soon as its pair is unique or the place
+    further on has left.
     """
-    ranked = _reranked(pieces.select("piece", "bytes").mapInArrow(_first_pairs(base), "place long, a long, b long"), f"rank{base}")
-    known, piece = base, F.shiftright("place", OFFSET)
-    while known < length:
-        step = min(known, length - known)
+    known, piece = length - sum(_offsets(length)), F.shiftright("place", OFFSET)
+    ranked = _reranked(pieces.select("piece", "bytes").mapInArrow(_first_pairs(known), "place long, a long, b long"), f"rank{known}")
+    for step in _offsets(length):
         there = Window.partitionBy(piece).orderBy("place").rangeBetween(step, step)
         pairs = ranked.select("place", F.col("rank").alias("a"), F.max("rank").over(there).alias("b")).where("b is not null")
         known += step
@@ -307,12 +315,12 @@ def _doubled(pieces: DataFrame, length: int, base: int) -> DataFrame:
 
 def repeats(texts: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
     """(id, twin, low, high) of keyed texts: starts low..high of strings of `length` bytes that also start elsewhere."""
-    key, base = "id long, twin long", -(-length // 4)
+    key = "id long, twin long"
     ranked = _ranked(scratch.saved(texts.mapInArrow(_anchor_rows(length, k), f"{key}, anchor int, low int, high int, core long, ext long, ext2 long"), "anchors"), "anchors")
     pending = ranked.where("go").groupBy(*_KEY).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    pieces = scratch.saved(texts.join(pending, _KEY).mapInArrow(_pieces(length, base), f"piece long, {key}, low int, bytes binary"), "pieces")
+    pieces = scratch.saved(texts.join(pending, _KEY).mapInArrow(_pieces(length), f"piece long, {key}, low int, bytes binary"), "pieces")
     scratch.release(texts.sparkSession)
-    found = _doubled(pieces, length, base).join(pieces.select("piece", *_KEY, "low"), "piece")
+    found = _doubled(pieces, length).join(pieces.select("piece", *_KEY, "low"), "piece")
     found = found.select(*_KEY, (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
     return ranked.where("whole").select(*_KEY, "low", "high").unionByName(found)
 
