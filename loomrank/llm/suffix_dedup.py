@@ -14,8 +14,7 @@ What is left is decided by prefix doubling: Spark sorts (rank, rank further on,
 get new ranks, and the offset between the two ranks doubles until `length` bytes are
 covered.  Unique places leave in every round.  As the place belongs to the sort, a passage
 that fills a third of the corpus is spread over many tasks.  The first prefixes are long (144
-of 200 bytes): a run of s starts needs s places and one more for each byte that they lack,
-and with 50 bytes twice as many places were sorted.
+of 200 bytes): a run of s starts needs s places and one more for each byte that they lack.
 
 Whether runs are equal, and whether first prefixes are, two 64-bit digests of the bytes
 decide; rolling fingerprints only ever rule starts out.
@@ -41,10 +40,12 @@ from loomrank.llm.bytescan import FIRST, U64, Rolling, chunks, digests, gather,
 
 #: A place is a number of one long: a piece (a task's number and a count of TASK bits) and an offset of OFFSET bits in it.
 TASK, OFFSET = 26, 17
-#: Most starts of a piece; with the bytes after the last start its offsets stay below 2**OFFSET.
-PIECE = 1 << 16
+#: Shares of the anchors, ranked one after another: equal strings have equal anchors, and so less disk is taken at once.
+PARTS = 4
 #: Bytes at once: arrays of 8 bytes an item then stay in a core's cache.  Longer texts go in windows of so many starts.
 SCAN = 1 << 18
+#: Runs whose bytes are cut out at once.
+CUT = 1 << 12
 _POSITION = U64((1 << 28) - 1)  # places in a window
 _SEEDS = (0xA4093822, 0x299F31D0)
 _KEY = ["id", "twin"]
@@ -134,7 +135,7 @@ def _anchor_rows(length: int, k: int):
 
 
 def _ranked(runs: DataFrame, name: str) -> DataFrame:
-    """The runs whose core isn't unique, with `whole` (their stretch isn't either) and `go` (they need a finer round).
+    """The runs whose core isn't unique, with `whole` (their stretch isn't either), `go` (they need ranks) and `part` (by core).
 
     Of a repeated stretch one run goes on as a witness if its core also has runs that are still open.
     """
@@ -154,7 +155,8 @@ def _ranked(runs: DataFrame, name: str) -> DataFrame:
     out = some.join(pairs2, whole, "left")
     witness = F.col("open") & (F.struct(*_KEY, "low") == F.col("one"))
     out = out.select(*runs.columns, F.coalesce("again", F.lit(False)).alias("whole"), F.coalesce(witness, F.lit(False)).alias("witness"))
-    out = scratch.saved(out.withColumn("go", ~F.col("whole") | F.col("witness")).drop("witness", *whole), f"{name}-ranked")
+    out = out.withColumn("go", ~F.col("whole") | F.col("witness")).withColumn("part", F.pmod("core", F.lit(PARTS)).cast("int"))
+    out = scratch.saved(out.drop("witness", *whole), f"{name}-ranked")
     for table in (cores, some, pairs2):
         scratch.drop(table)
     scratch.release(spark)
@@ -162,7 +164,7 @@ def _ranked(runs: DataFrame, name: str) -> DataFrame:
 
 
 def _pieces(length: int):
-    """The bytes under the pending starts of each document, in numbered pieces whose starts don't meet."""
+    """The bytes under each pending run, as numbered pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << TASK
@@ -171,32 +173,23 @@ def _pieces(length: int):
             lists = batch.column("runs")
             many = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
-            low, high = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
-            row = np.repeat(np.arange(len(many)), many)
-            order = np.lexsort((low, row))
-            row, low, high = row[order], low[order], high[order]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (low[1:] - high[:-1] > sum(_offsets(length)))
-            first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
-            row, low, high = row[first], low[first], high[last]
-            parts = (high - low) // PIECE + 1
-            row, low, high = (np.repeat(x, parts) for x in (row, low, high))
-            low = low + (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)) * PIECE
-            starts = np.minimum(high - low + 1, PIECE)
+            low, high, part = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            base = 0
             for r0, r1, data, at in chunks(batch.column("text"), SCAN):
-                c, end = np.searchsorted(row, (r0, r1))
-                while c < end:
-                    stop = max(c + 1, c + int(np.searchsorted(np.cumsum(starts[c:end] + length - 1), 4 * SCAN)))
-                    own, size = row[c:stop], starts[c:stop] + length - 1
-                    got = gather(data, at[own - r0] + low[c:stop], size)
+                row = np.repeat(np.arange(r1 - r0), many[r0:r1])
+                for c in range(0, len(row), CUT):
+                    own = row[c : c + CUT]
+                    here = slice(base + c, base + c + len(own))
+                    size = high[here] - low[here] + length
+                    got = gather(data, at[own] + low[here], size)
                     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(x) for x in (number + np.arange(stop - c), ids[own], twins[own], low[c:stop].astype(np.int32))]
-                        + [pa.Array.from_buffers(pa.binary(), stop - c, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(got))])],
-                        ["piece", *_KEY, "low", "bytes"],
+                        [pa.array(x) for x in (number + np.arange(len(own)), ids[r0 + own], twins[r0 + own], low[here].astype(np.int32), part[here].astype(np.int32))]
+                        + [pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(got))])],
+                        ["piece", *_KEY, "low", "part", "bytes"],
                     )
-                    number += stop - c
-                    c = stop
+                    number += len(own)
+                base += len(row)
 
     return run
 
@@ -310,19 +303,28 @@ def _doubled(pieces: DataFrame, length: int) -> DataFrame:
     order = Window.partitionBy("piece").orderBy("place")
     island = ranked.select("place", piece.alias("piece")).withColumn("island", F.col("place") - F.row_number().over(order))
     offset = F.col("place").bitwiseAND((1 << OFFSET) - 1).cast("int")
-    return island.groupBy("piece", "island").agg(F.min(offset).alias("from"), F.max(offset).alias("to"))
+    out = island.groupBy("piece", "island").agg(F.min(offset).alias("from"), F.max(offset).alias("to"))
+    out.scratch_path = ranked.scratch_path
+    return out
 
 
 def repeats(texts: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
     """(id, twin, low, high) of keyed texts: starts low..high of strings of `length` bytes that also start elsewhere."""
     key = "id long, twin long"
     ranked = _ranked(scratch.saved(texts.mapInArrow(_anchor_rows(length, k), f"{key}, anchor int, low int, high int, core long, ext long, ext2 long"), "anchors"), "anchors")
-    pending = ranked.where("go").groupBy(*_KEY).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
-    pieces = scratch.saved(texts.join(pending, _KEY).mapInArrow(_pieces(length), f"piece long, {key}, low int, bytes binary"), "pieces")
+    pending = ranked.where("go").groupBy(*_KEY).agg(F.collect_set(F.struct("low", "high", "part")).alias("runs"))
+    pieces = scratch.saved(texts.join(pending, _KEY).mapInArrow(_pieces(length), f"piece long, {key}, low int, part int, bytes binary"), "pieces")
     scratch.release(texts.sparkSession)
-    found = _doubled(pieces, length).join(pieces.select("piece", *_KEY, "low"), "piece")
-    found = found.select(*_KEY, (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
-    return ranked.where("whole").select(*_KEY, "low", "high").unionByName(found)
+    out = ranked.where("whole").select(*_KEY, "low", "high")
+    for part in range(PARTS):
+        own = pieces.where(F.col("part") == part)
+        places = _doubled(own, length)
+        found = places.join(own.select("piece", *_KEY, "low"), "piece")
+        found = found.select(*_KEY, (F.col("low") + F.col("from")).alias("low"), (F.col("low") + F.col("to")).alias("high"))
+        out = out.unionByName(scratch.saved(found, "repeats"))
+        scratch.drop(places)
+        scratch.release(texts.sparkSession)
+    return out
 
 
 def covered(low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
