@@ -76,7 +76,7 @@ class _Encoder:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def _encoder(path: str) -> _Encoder:
+def token_encoder(path: str) -> _Encoder:
     if path not in _encoders:
         _encoders[path] = _Encoder(path)
     return _encoders[path]
@@ -92,7 +92,7 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _tokenised(path: str, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = _encoder(path), TaskContext.get().partitionId()
+        encoder, part = token_encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             data, at = strings(batch.column(1))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrank.llm import bit_sliced, near_dedup, packing, page_text, piece_codec, prefix_forest, scratch, sharding, suffix_dedup, toxicity, warc
+from loomrank.llm import bit_sliced, first_fit, merkle, near_dedup, packing, page_text, piece_codec, prefix_forest, scratch, sharding, spelling, suffix_dedup, toxicity, warc
+from loomrank.llm.oracles import MANIFEST, VARIANTS
 
 
 def tokenizer(name: str) -> str:
@@ -64,6 +65,18 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audited(table(spark, sf_dir, "documents"), fanout=8, every=3)
+
+
+def op12_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_fit.packed(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=1)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents"), least=5, times=3, one_in=97), ratio=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_top_k": op1_exact_top_k,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -75,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_piece_codec": op9_piece_codec,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_first_fit_packing": op12_first_fit_packing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -122,4 +138,6 @@ ORACLES: dict[str, str] = {
                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((pairs[i + 1] >> CAST(3 - 5 * i % 4 AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
         FROM v""",
+    "op11_merkle_manifest": MANIFEST,
+    "op13_spelling_variants": VARIANTS,
 }

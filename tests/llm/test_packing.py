@@ -81,7 +81,7 @@ def test_no_rows(no_docs):
 
 
 def test_both_engines_agree():
-    e = packing._encoder(VOCABULARY)
+    e = packing.token_encoder(VOCABULARY)
     for c in [*range(1, 0x3000), *range(0xF900, 0xFFFF)]:
         text = f"a{chr(c)}a {chr(c)}1{chr(c)}{chr(c)} '{chr(c)}s .{chr(c)}\n{chr(c)}"
         assert e.ids(text, True).tolist() == e.ids(text, False).tolist(), c
