@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +18,7 @@ from loomrank.schema import BLOCK_BITS, RESULTS
 from loomrank.sinks import ciff as ciff_sink
 from loomrank.sinks import runs
 from loomrank.sources import ciff, query_lines, requests, text
+from loomrank.storage import new_dir
 from loomrank.streaming import serve
 
 K = 10
@@ -62,16 +61,6 @@ def terms(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
     return query_lines.from_lines(query_lines_of(spark, sf_dir), weighted)
 
 
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder that executors share: below spark.checkpoint.dir, or a temporary one in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='loomrank-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def literal_lines(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(x,) for x in LINES], "value string")
 

@@ -19,8 +19,6 @@ from loomrank.sinks import runs
 from loomrank.sources import query_lines
 
 log = logging.getLogger(__name__)
-#: Unknown tokens that are named at most.
-REPORTED = 100
 
 
 def parser() -> argparse.ArgumentParser:
@@ -58,7 +56,7 @@ def main(argv: list[str] | None = None) -> int:
         taken = query_lines.cycled(terms.select("qid").distinct(), args.num_queries).select("qid").distinct()
         terms = terms.join(taken, "qid", "left_semi")
     terms = terms.persist()
-    for row in planning.unknown(index.directory, terms).limit(REPORTED).collect():
+    for row in planning.unknown(index.directory, terms).toLocalIterator():  # every one, a partition at a time
         log.warning("query %d: unknown token %s", row["qid"], row["token"])
     if args.warmup:
         searches.warmup(index, terms)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomrank.functions import codec
+from loomrank.operators import segments
 
 
 def with_gaps(blocks: DataFrame) -> DataFrame:
     """term, impact, block, start (postings of the segment before the block) and gaps; the first gap counts from the block before."""
     own = Window.partitionBy("term", "impact").orderBy("block")
-    rows = blocks.select(
+    rows = segments.absolute(blocks).select(
         "term", "impact", "block", "docs",
         F.coalesce(F.lag(F.element_at("docs", -1)).over(own), F.lit(0)).alias("before"),
         F.coalesce(F.sum(F.size("docs")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),

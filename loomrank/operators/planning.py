@@ -80,6 +80,26 @@ def selected(plan: DataFrame, mode: Mode) -> DataFrame:
     return with_prior(plan).where(F.col("prior") <= budget).drop("prior", "total")
 
 
+def cuts(selected: DataFrame) -> DataFrame:
+    """qid, pos, token, weight and cut: the segments to process of one token are those of impact `cut` and more.
+
+    Segments go by level, and of one token by impact, so what a budget takes of a
+    token is always its highest segments.
+    """
+    return selected.groupBy("qid", "pos", "token", "weight").agg(F.min("impact").alias("cut"))
+
+
+def uncut(query_terms: DataFrame) -> DataFrame:
+    """The cuts of an exhaustive search, which needs no plan."""
+    return query_terms.select("qid", "pos", "token", "weight", F.lit(0).alias("cut"))
+
+
+def cells(cuts: DataFrame, tops: DataFrame) -> DataFrame:
+    """qid, term, weight, cut, block and top: the blocks where a token has segments to process."""
+    found = tops.select("term", "block", "top").join(cuts.select("qid", F.col("token").alias("term"), "weight", "cut"), "term")
+    return found.where("top >= cut").select("qid", "term", "weight", "cut", "block", "top")
+
+
 def warmup(directory: DataFrame, tokens: DataFrame) -> DataFrame:
     """The highest segment of each token: what a budget of zero reads."""
     top = directory.join(tokens.select(F.col("token").alias("term")).distinct(), "term").groupBy("term").agg(F.max(F.struct("impact", "count")).alias("top"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomrank.operators.segments import CHUNK_BITS
+from loomrank.operators.segments import CHUNK_BITS, exploded
 
 _WRAP = 1 << 16
 
@@ -17,22 +17,46 @@ def accumulated(selected: DataFrame, blocks: DataFrame, wrap: bool = False) -> D
     wrap: levels and sums are 16-bit, as in engines with such accumulators.
     """
     chosen = selected.select("qid", F.col("token").alias("term"), "impact", (F.pmod("level", F.lit(_WRAP)) if wrap else F.col("level")).alias("level"))
-    hits = chosen.join(blocks.select("term", "impact", "docs"), ["term", "impact"]).select("qid", "level", F.explode("docs").alias("doc_id"))
+    hits = exploded(chosen.join(blocks.drop("block"), ["term", "impact"]), "qid", "level")
     total = F.sum("level")
     return hits.groupBy("qid", "doc_id").agg((F.pmod(total, F.lit(_WRAP)) if wrap else total).alias("score")).where("score > 0")
 
 
+def hits(cells: DataFrame, blocks: DataFrame, *columns: str) -> DataFrame:
+    """qid, doc_id, level and the given columns of every posting of the cells at or above their cut (below their upper one, if they have it).
+
+    Cells and blocks meet by term and block, which stored blocks are bucketed by:
+    only the cells are shuffled.
+    """
+    met = blocks.join(cells.select("qid", "term", "block", "weight", "cut", *(c for c in ("upper", *columns) if c in cells.columns)), ["term", "block"]).where("impact >= cut")
+    if "upper" in cells.columns:
+        met = met.where("impact < upper")
+    return exploded(met.withColumn("level", F.col("impact").cast("long") * F.col("weight")), "qid", "level", *columns)
+
+
+def summed(hits: DataFrame, wrap: bool = False) -> DataFrame:
+    """qid, doc_id and score, without zero scores; wrap: 16-bit levels and sums."""
+    total = F.pmod(F.sum(F.pmod("level", F.lit(_WRAP))), F.lit(_WRAP)) if wrap else F.sum("level")
+    return hits.groupBy("qid", "doc_id").agg(total.alias("score")).where("score > 0")
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """qid, rank, doc_id, score of the k best; ties to the smaller id.  Every task keeps its own k best before the shuffle."""
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
 
 
+def thresholds(scores: DataFrame, k: int) -> DataFrame:
+    """qid and theta, the k-th best score, of the queries that have k scores."""
+    return top_k(scores, k).where(F.col("rank") == k).select("qid", F.col("score").alias("theta"))
+
+
 def padded(scores: DataFrame, qids: DataFrame, k: int, num_docs: int) -> DataFrame:
     """The scores, and zero scores of the lowest ids (below k) that a query didn't reach."""
     if not num_docs:
         return scores
-    zeros = qids.select("qid", F.explode(F.sequence(F.lit(0), F.lit(min(k, num_docs) - 1))).alias("doc_id"))
+    kind = scores.schema["doc_id"].dataType
+    zeros = qids.select("qid", F.explode(F.sequence(F.lit(0).cast(kind), F.lit(min(k, num_docs) - 1).cast(kind))).alias("doc_id"))
     missing = zeros.join(scores.where(F.col("doc_id") < k), ["qid", "doc_id"], "left_anti")
     return scores.unionByName(missing.withColumn("score", F.lit(0).cast("long")))
 

@@ -65,6 +65,38 @@ def blocks(impacts: DataFrame) -> DataFrame:
     return keyed.groupBy("term", "impact", "block").agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
 
 
+def packed(impacts: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """blocks with 16-bit offsets: docs counts from base, half-way into the block, so that any id of 32 bits takes two bytes.
+
+    base has the ids' type, int or long, and so have the sums base + offset.
+    """
+    kind = impacts.schema["doc_id"].dataType
+    half = 1 << (BLOCK_BITS - 1)
+    keyed = impacts.select("term", "impact", F.shiftright("doc_id", bits).cast("int").alias("block"), (F.col("doc_id").bitwiseAND((1 << bits) - 1) - half).cast("short").alias("offset"))
+    base = (F.shiftleft(F.col("block").cast(kind), bits) + F.lit(half).cast(kind)).alias("base")
+    rows = keyed.groupBy("term", "impact", "block").agg(F.sort_array(F.collect_list("offset")).alias("docs"))
+    return rows.select("term", "impact", "block", base, "docs")
+
+
+def exploded(blocks: DataFrame, *columns: str) -> DataFrame:
+    """The given columns and doc_id of every posting of the blocks, packed or not."""
+    if "base" not in blocks.columns:
+        return blocks.select(*columns, F.explode("docs").alias("doc_id"))
+    return blocks.select(*columns, "base", F.explode("docs").alias("offset")).select(*columns, (F.col("base") + F.col("offset")).alias("doc_id"))
+
+
+def absolute(blocks: DataFrame) -> DataFrame:
+    """term, impact, block and docs, with whole ids in place of offsets."""
+    if "base" not in blocks.columns:
+        return blocks
+    return blocks.select("term", "impact", "block", F.transform("docs", lambda x: F.col("base") + x).alias("docs"))
+
+
+def tops(blocks: DataFrame) -> DataFrame:
+    """What a term has in a block: its largest impact (top) and its postings (count)."""
+    return blocks.groupBy("term", "block").agg(F.max("impact").alias("top"), F.sum(F.size("docs")).alias("count"))
+
+
 def directory(blocks: DataFrame) -> DataFrame:
     """The postings of every segment (term, impact)."""
     return blocks.groupBy("term", "impact").agg(F.sum(F.size("docs")).alias("count"))
@@ -72,7 +104,7 @@ def directory(blocks: DataFrame) -> DataFrame:
 
 def joined(blocks: DataFrame) -> DataFrame:
     """Whole segments again, for looking at small ones: term, impact, count, docs."""
-    parts = blocks.groupBy("term", "impact").agg(F.sort_array(F.collect_list(F.struct("block", "docs"))).alias("parts"))
+    parts = absolute(blocks).groupBy("term", "impact").agg(F.sort_array(F.collect_list(F.struct("block", "docs"))).alias("parts"))
     return parts.select("term", "impact", F.flatten("parts.docs").alias("docs")).withColumn("count", F.size("docs").cast("long"))
 
 

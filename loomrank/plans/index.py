@@ -1,38 +1,53 @@
-"""Building, storing and opening an index."""
+"""Building, storing and opening an index.
+
+A stored index is a folder of bucketed tables and a manifest.  blocks are bucketed by
+term and block, so a term that a third of all documents have is spread by ranges of
+ids; tops and directory are bucketed by term.  Searches join them by just these
+columns, so only the batch's side is shuffled, whatever its size.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomrank import storage
 from loomrank.functions.scoring import BM25, Scorer
 from loomrank.operators import segments
+from loomrank.schema import BLOCK_BITS
 from loomrank.sources import ciff, text
 
-TABLES = ("docs", "directory", "blocks", "stats")
+TABLES = ("docs", "directory", "tops", "blocks", "stats")
+#: Columns that a table is bucketed by, and what its buckets are sorted by.
+BUCKETS = {"directory": (["term"], ["term", "impact"]), "tops": (["term"], ["term", "block"]), "blocks": (["term", "block"], ["term", "block", "impact"])}
+#: Postings of a bucket, about: two bytes each.
+BUCKET = 1 << 25
 STATS = ("num_docs", "avg_len", "max_score", "quant_bits", "num_postings", "num_levels", "max_level", "max_doc_id")
 
 
 @dataclass
 class Index:
-    """docs, directory (term, impact, count), blocks (term, impact, block, docs) and one row of stats."""
+    """docs, directory (term, impact, count), tops (term, block, top, count), blocks (term, impact, block, base, docs) and one row of stats."""
 
     docs: DataFrame
     directory: DataFrame
+    tops: DataFrame
     blocks: DataFrame
     stats: DataFrame
     average: DataFrame
     largest: DataFrame
     bits: int
+    block_bits: int = BLOCK_BITS
     stored: bool = False  # read from files
     held: list[DataFrame] = field(default_factory=list)  # what building keeps until the blocks are stored
 
     def persist(self) -> Index:
         """Holds the tables; the blocks first, as the others are read from them, and building's own tables go."""
-        for name in ("blocks", "docs", "directory", "stats"):
+        for name in ("blocks", "tops", "docs", "directory", "stats"):
             getattr(self, name).persist(StorageLevel.MEMORY_AND_DISK)
         self.blocks.count()
         self.stats.count()
@@ -61,48 +76,99 @@ class Index:
         return self.getter("num_docs")
 
 
-def _derived(docs: DataFrame, average: DataFrame, largest: DataFrame, blocks: DataFrame, bits: int, held: list[DataFrame]) -> Index:
+def _derived(docs: DataFrame, average: DataFrame, largest: DataFrame, blocks: DataFrame, bits: int, block_bits: int, held: list[DataFrame]) -> Index:
     """The other tables follow from the blocks."""
     directory = segments.directory(blocks)
     facts = docs.agg(F.count("*").alias("num_docs"), F.max("doc_id").alias("max_doc_id"))
     row = facts.crossJoin(average).crossJoin(largest).crossJoin(segments.summary(directory))  # one row each
-    return Index(docs, directory, blocks, row.withColumn("quant_bits", F.lit(bits).cast("int")).select(*STATS), average, largest, bits, held=held)
+    stats = row.withColumn("quant_bits", F.lit(bits).cast("int")).select(*STATS)
+    return Index(docs, directory, segments.tops(blocks), blocks, stats, average, largest, bits, block_bits, held=held)
 
 
-def _built(postings: DataFrame, docs: DataFrame, stats: DataFrame, scorer: Scorer, bits: int) -> Index:
+def _built(postings: DataFrame, docs: DataFrame, stats: DataFrame, scorer: Scorer, bits: int, block_bits: int) -> Index:
+    if not 1 <= block_bits <= BLOCK_BITS:
+        raise ValueError(f"blocks have from 1 to {BLOCK_BITS} bits")
     found = segments.impacts(postings, stats, scorer, bits)
-    return _derived(docs.select("doc_id", "ext_id", "doc_len"), stats.select("avg_len"), found.largest, segments.blocks(found.postings), bits, found.held)
+    return _derived(docs.select("doc_id", "ext_id", "doc_len"), stats.select("avg_len"), found.largest, segments.packed(found.postings, block_bits), bits, block_bits, found.held)
+
 
+def from_documents(
+    documents: DataFrame, scorer: Scorer | None = None, bits: int = 8, id_column: str = "doc_id", text_column: str = "text", dense: bool = True, block_bits: int = BLOCK_BITS, wide: bool = False,
+) -> Index:
+    """An index of raw text; ids must be dense from 0 unless `dense` is off.
 
-def from_documents(documents: DataFrame, scorer: Scorer | None = None, bits: int = 8, id_column: str = "doc_id", text_column: str = "text", dense: bool = True) -> Index:
-    """An index of raw text; ids must be dense from 0 unless `dense` is off."""
-    docs = text.lengths(documents, id_column, text_column)
+    wide: ids up to 2**32 - 1, as long; else they are int.  block_bits: a block is a
+    range of that many bits of ids, at most 16; smaller ones let searches skip more
+    and take more rows.
+    """
+    docs = text.lengths(documents, id_column, text_column, wide)
     if dense:
         segments.checked_dense(docs)
-    return _built(text.counted(documents, id_column, text_column), docs, segments.collection(docs), scorer or BM25(), bits)
+    return _built(text.counted(documents, id_column, text_column, wide), docs, segments.collection(docs), scorer or BM25(), bits, block_bits)
 
 
-def from_ciff(spark: SparkSession, path: str, scorer: Scorer | None = None, bits: int = 8) -> Index:
-    """An index of a CIFF file, or of a folder of them; the average length is the header's, or what several headers give."""
-    docs = segments.checked_dense(ciff.docs(ciff.read(spark, path, "docs")))
-    postings = ciff.postings(ciff.read(spark, path, "postings")).join(docs.select("doc_id", "doc_len"), "doc_id")
+def from_ciff(spark: SparkSession, path: str, scorer: Scorer | None = None, bits: int = 8, block_bits: int = BLOCK_BITS, wide: bool = False, dense: bool = True) -> Index:
+    """An index of a CIFF file, or of a folder of them; the average length is the header's, or what several headers give.
+
+    wide: the file's 32-bit ids are unsigned.
+    """
+    ciff.positioned(spark, path)
+    docs = ciff.docs(ciff.read(spark, path, "docs"), wide)
+    if dense:
+        segments.checked_dense(docs)
+    postings = ciff.postings(ciff.read(spark, path, "postings"), wide).join(docs.select("doc_id", "doc_len"), "doc_id")
     overall = F.sum("total_terms_in_collection") / F.sum("num_docs")
     average = ciff.read(spark, path, "header").agg(F.when(F.count("*") > 1, overall).otherwise(F.first("average_doclength")).alias("avg_len"))
     stats = docs.agg(F.count("*").alias("n")).crossJoin(average)
-    return _built(postings, docs, stats, scorer or BM25(), bits)
+    return _built(postings, docs, stats, scorer or BM25(), bits, block_bits)
+
+
+def _name(path: str, table: str) -> str:
+    return f"loomrank_{hashlib.sha256(path.encode()).hexdigest()[:24]}_{table}"
 
 
-def write(index: Index, path: str) -> None:
-    """Four Parquet tables; segments are clustered and sorted by term, so that looking up terms skips row groups."""
+def _bucketed(df: DataFrame, path: str, table: str, buckets: int) -> None:
+    """A bucketed table at a path: a file a bucket.  The catalogue's entry goes again, the files stay."""
+    spark, (keys, order) = df.sparkSession, BUCKETS[table]
+    name = _name(path, f"{table}_new")
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*order).option("path", f"{path}/{table}").saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+
+
+def _opened(spark: SparkSession, path: str, table: str, schema: str, buckets: int) -> DataFrame:
+    """A bucketed table under a name of its own in the session's catalogue, which has to say what the buckets are."""
+    keys, order = BUCKETS[table]
+    name = _name(path, table)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS LOCATION '{path}/{table}'")
+    return spark.table(name)
+
+
+def write(index: Index, path: str, buckets: int | None = None) -> None:
+    """The index's tables in a new folder, and last its manifest; a folder that has files is refused."""
+    spark = index.docs.sparkSession
     index.docs.write.parquet(f"{path}/docs")
-    index.blocks.repartitionByRange("term", "impact", "block").sortWithinPartitions("term", F.desc("impact"), "block").write.parquet(f"{path}/blocks")
-    stored = index.docs.sparkSession.read
-    rest = _derived(stored.parquet(f"{path}/docs"), index.average, index.largest, stored.parquet(f"{path}/blocks"), index.bits, [])  # scored once: all else comes from what is stored
-    rest.directory.repartitionByRange("term", "impact").sortWithinPartitions("term", F.desc("impact")).write.parquet(f"{path}/directory")
+    tokens = spark.read.parquet(f"{path}/docs").agg(F.sum("doc_len")).first()[0] or 0  # at least as many as postings
+    n = buckets or max(8, -(-tokens // BUCKET))
+    _bucketed(index.blocks, path, "blocks", n)
+    blocks = _opened(spark, path, "blocks", _ddl(index.blocks), n)
+    rest = _derived(spark.read.parquet(f"{path}/docs"), index.average, index.largest, blocks, index.bits, index.block_bits, [])  # scored once: all else comes from what is stored
+    _bucketed(rest.directory, path, "directory", n)
+    _bucketed(rest.tops, path, "tops", n)
     rest.stats.write.parquet(f"{path}/stats")
+    facts = {"buckets": n, "block_bits": index.block_bits, "schemas": {t: _ddl(getattr(rest, t)) for t in BUCKETS}}
+    storage.commit(spark, path, list(TABLES), facts)
     index.release()
 
 
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def read(spark: SparkSession, path: str) -> Index:
-    docs, directory, blocks, stats = (spark.read.parquet(f"{path}/{name}") for name in TABLES)
-    return Index(docs, directory, blocks, stats, stats.select("avg_len"), stats.select("max_score"), stats.select("quant_bits").first()[0], stored=True)
+    """A stored index; one whose files aren't those of its manifest is refused."""
+    facts = storage.committed(spark, path)
+    docs, stats = (spark.read.parquet(f"{path}/{name}") for name in ("docs", "stats"))
+    directory, tops, blocks = (_opened(spark, path, t, facts["schemas"][t], facts["buckets"]) for t in ("directory", "tops", "blocks"))
+    return Index(docs, directory, tops, blocks, stats, stats.select("avg_len"), stats.select("max_score"), stats.select("quant_bits").first()[0], facts["block_bits"], stored=True)

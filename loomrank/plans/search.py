@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomrank.operators import planning, ranking
 from loomrank.operators.planning import EXHAUSTIVE, Mode
@@ -23,21 +26,28 @@ def narrowed(index: Index, query_terms: DataFrame) -> tuple[DataFrame, DataFrame
     return index.directory.where(wanted), index.blocks.where(wanted)
 
 
-def scores(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, wrap: bool = False, push: bool | None = None) -> DataFrame:
-    push = index.stored if push is None else push
+def cuts(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, directory: DataFrame | None = None) -> DataFrame:
+    """How far down each token's segments are processed; an exhaustive search reads no directory for it."""
+    if mode.exhaustive:
+        return planning.uncut(query_terms)
+    return planning.cuts(planning.selected(planning.planned(index.directory if directory is None else directory, query_terms), mode))
+
+
+def scores(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, wrap: bool = False, push: bool = False) -> DataFrame:
     directory, blocks = narrowed(index, query_terms) if push else (index.directory, index.blocks)
-    return ranking.accumulated(planning.selected(planning.planned(directory, query_terms), mode), blocks, wrap)
+    cells = planning.cells(cuts(index, query_terms, mode, directory), index.tops)
+    return ranking.summed(ranking.hits(cells, blocks), wrap)
 
 
 def search(
-    index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, pad: bool = False, wrap: bool = False, push: bool | None = None,
+    index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, pad: bool = False, wrap: bool = False, push: bool = False,
 ) -> DataFrame:
     """results: qid, rank, doc_id, ext_id, score of the k best documents of every query.
 
+    The batch's tokens become cells (query, token, block), cells meet the blocks.
     pad: queries with fewer than k matching documents get zero scores of the
-    lowest ids.  wrap: 16-bit levels and sums.  push: look the terms up first, so
-    that a stored index is read by terms and skips row groups; the default for stored
-    ones, while an index that is held is scanned where it lies.
+    lowest ids.  wrap: 16-bit levels and sums.  push: a batch of few terms also
+    filters the scan by them, so that row groups of a stored index are skipped.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -47,6 +57,41 @@ def search(
     return ranking.named(ranking.top_k(found, k), index.docs)
 
 
+@dataclass
+class Skipping:
+    """scores of all documents that can be among the k best; cells: how many a full search would read; read: how many this one reads."""
+
+    scores: DataFrame
+    cells: DataFrame
+    read: DataFrame
+
+
+def skipping(index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, seeds: int = 1) -> Skipping:
+    """Scores by blocks, without those blocks that can't reach the k best.
+
+    A block's bound is the sum of its tokens' largest levels.  First each query's
+    `seeds` blocks of the highest bound are scored; their k-th best score is a
+    threshold that the k-th best of all can't be below.  Then only blocks whose bound
+    reaches the threshold are read: one that equals it may hold a document with a
+    smaller id.  Queries with fewer than k documents in their seeds read all blocks.
+    """
+    cells = planning.cells(cuts(index, query_terms, mode), index.tops)
+    bounds = cells.groupBy("qid", "block").agg(F.sum(F.col("top").cast("long") * F.col("weight")).alias("bound"))
+    order = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= seeds).select("qid", "block")
+    seeded = ranking.summed(ranking.hits(cells.join(first, ["qid", "block"], "left_semi"), index.blocks))
+    alive = bounds.join(ranking.thresholds(seeded, k), "qid", "left").where("theta IS NULL OR bound >= theta").select("qid", "block")
+    read = cells.join(alive, ["qid", "block"], "left_semi")
+    return Skipping(ranking.summed(ranking.hits(read, index.blocks)), cells, read)
+
+
+def search_skipping(index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, seeds: int = 1) -> DataFrame:
+    """The results of search(), by skipping()."""
+    if k < 1 or seeds < 1:
+        raise ValueError("k and seeds must be at least 1")
+    return ranking.named(ranking.top_k(skipping(index, query_terms, k, mode, seeds).scores, k), index.docs)
+
+
 def fraction(index: Index, query_terms: DataFrame, rho: float, k: int = 10, **options) -> DataFrame:
     return search(index, query_terms, k, Mode(fraction=rho), **options)
 

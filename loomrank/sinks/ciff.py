@@ -3,16 +3,26 @@
 A term's list is one message, so a single file would need all postings of a frequent
 term in one row.  With 65,536 ids to a file, lists and files stay bounded however
 large the collection is, and files are written side by side.
+
+Tasks write parts; once all have ended, the driver writes a manifest of names and
+lengths beside the folder and gives the parts their names.  A folder with parts but no
+manifest is a write that didn't end, and readers refuse it, as they do one whose
+files aren't all there yet.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from loomrank import schema as S
 from loomrank.sources import ciff
@@ -31,34 +41,83 @@ def _messages(kind: int, encoded: Callable[[dict], bytes]):
     return run
 
 
-def _files(path: str):
-    """Rows sorted by block, kind and key go to a file a block, which gets its name when it is complete: a task that runs twice leaves one."""
+@dataclass
+class _Written(WriterCommitMessage):
+    """A task's parts: name of the file to be, name of the part, length."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, folder = ciff.store(path)
-        block, out, part = None, None, ""
+    parts: list[tuple[str, str, int]] = field(default_factory=list)
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        """Rows sorted by block, kind and key go to a part a block."""
+        system, folder = ciff.store(self.path)
+        done, block, out, part = _Written(), None, None, ""
 
         def ended() -> None:
             if out is not None:
+                done.parts.append((f"{block:08d}.ciff", part, out.tell()))
                 out.close()
-                system.move(part, f"{folder}/{block:08d}.ciff")
 
-        for batch in batches:
-            for at, message in zip(batch.column("block").to_pylist(), batch.column("message"), strict=True):
-                if at != block:
-                    ended()
-                    block, part = at, f"{folder}/{at:08d}-{uuid.uuid4().hex}.part"
-                    out = system.open_output_stream(part, buffer_size=1 << 20)
-                out.write(message.as_buffer())
+        for row in iterator:
+            if row["block"] != block:
+                ended()
+                block, part = row["block"], f"{row['block']:08d}-{uuid.uuid4().hex}.part"
+                out = system.open_output_stream(f"{folder}/{part}", buffer_size=1 << 20)
+            out.write(bytes(row["message"]))
         ended()
-        yield from ()
-
-    return run
-
-
-def write(postings: DataFrame, docs: DataFrame, path: str, description: str = "") -> None:
-    """Postings (term, doc_id, tf) and docs (doc_id, ext_id, doc_len), ids from 0, to a new folder of a store that pyarrow opens."""
-    block = F.shiftright("doc_id", S.BLOCK_BITS).alias("block")
+        return done
+
+    def commit(self, messages: list) -> None:
+        system, folder = ciff.store(self.path)
+        parts = [p for m in messages if m is not None for p in m.parts]
+        names = {name for name, *_ in parts}
+        if len(names) < len(parts):
+            raise ValueError("a block was written by two tasks")
+        if system.get_file_info(folder + ciff.MANIFEST).type == fs.FileType.File:
+            system.delete_file(folder + ciff.MANIFEST)  # from here until the end the folder is refused, as it has parts
+        kept = {part for _, part, _ in parts}
+        for x in system.get_file_info(fs.FileSelector(folder)):
+            if x.is_file and x.base_name not in kept:  # attempts that were given up, and what is replaced
+                system.delete_file(x.path)
+        # the manifest names what the parts become, so a stop amid the moves is seen too
+        with system.open_output_stream(folder + ciff.MANIFEST) as f:
+            f.write(json.dumps({"files": [{"name": name, "length": n} for name, _, n in sorted(parts)]}).encode())
+        for name, part, _ in parts:
+            system.move(f"{folder}/{part}", f"{folder}/{name}")
+
+    def abort(self, messages: list) -> None:
+        system, folder = ciff.store(self.path)
+        for m in messages:
+            for _, part, _ in m.parts if m is not None else ():
+                system.delete_file(f"{folder}/{part}")
+
+
+class CiffSink(DataSource):
+    """df.write.format("ciff_files").mode("append" or "overwrite").save(path), rows (block, kind, key, message) sorted in partitions by block."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ciff_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"], overwrite)
+
+
+def write(postings: DataFrame, docs: DataFrame, path: str, description: str = "", overwrite: bool = False) -> None:
+    """Postings (term, doc_id, tf) and docs (doc_id, ext_id, doc_len) to a folder of a store that pyarrow opens.
+
+    A folder that has files is refused unless it is to be overwritten: then all of
+    its files are replaced once the new ones are whole.
+    """
+    system, folder = ciff.store(path)
+    system.create_dir(folder, recursive=True)
+    if not overwrite and system.get_file_info(fs.FileSelector(folder)):
+        raise FileExistsError(f"{path} has files already")
+    block = F.shiftright("doc_id", S.BLOCK_BITS).cast("int").alias("block")
     lists = postings.groupBy(block, F.col("term").alias("key")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("own"))
     records = docs.select(block, F.lpad(F.col("doc_id").cast("string"), 10, "0").alias("key"), "doc_id", "ext_id", "doc_len")
     heads = records.groupBy("block").agg(F.count("*").alias("docs"), F.sum("doc_len").alias("total"))
@@ -68,6 +127,5 @@ def write(postings: DataFrame, docs: DataFrame, path: str, description: str = ""
         .unionByName(lists.mapInArrow(_messages(1, lambda r: ciff.encode_list(r["key"], [(x["doc_id"], x["tf"]) for x in r["own"]])), _MESSAGE))
         .unionByName(records.mapInArrow(_messages(2, lambda r: ciff.encode_doc(r["doc_id"], r["ext_id"], r["doc_len"])), _MESSAGE))
     )
-    system, folder = ciff.store(path)
-    system.create_dir(folder, recursive=True)
-    rows.repartition("block").sortWithinPartitions("block", "kind", "key").mapInArrow(_files(path), "block int").write.format("noop").mode("overwrite").save()
+    docs.sparkSession.dataSource.register(CiffSink)
+    rows.repartition("block").sortWithinPartitions("block", "kind", "key").write.format("ciff_files").mode("overwrite" if overwrite else "append").save(path)

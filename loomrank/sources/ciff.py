@@ -1,22 +1,31 @@
 """The Common Index File Format: length-delimited protobuf messages, read by a Python data source.
 
-A file is a header, then the postings lists, then the document records.  The
-driver walks the message lengths once and hands out ranges of messages, so every
-task seeks to its own part, on a disk as in any store that pyarrow opens.  A path
-may also be a folder of such files (*.ciff), each with documents of its own.  For
-stores that only Spark reaches, read() takes a single file through Spark's binary
-reader instead, whole and in one task.
+A file is a header, then the postings lists, then the document records.  Nothing in
+it says where messages begin, so positions() finds them in one distributed pass over
+ranges of bytes and stores some of them beside the file.  With that, the driver
+reads a header and a list of positions, tasks seek to their own parts, and a list or
+a document is looked up by its number.  Without it (a store that can't be written) the
+driver walks the message lengths.  A path may also be a folder of such files
+(*.ciff), each with documents of its own; one that our sink wrote has a manifest, and
+is refused where its files aren't those that it names.  For stores that only Spark
+reaches, read() takes a single file through Spark's binary reader, whole and in one
+task.
 """
 
 from __future__ import annotations
 
+import bisect
 import io
+import json
+import logging
 import os
+import re
 import struct
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +34,16 @@ from pyspark.sql.types import StructType
 
 from loomrank import schema as S
 
+log = logging.getLogger(__name__)
 TABLES = {"header": S.CIFF_HEADER, "postings": S.CIFF_POSTINGS, "docs": S.CIFF_DOCS}
 #: Bytes of messages per task.
 SPLIT = 32 << 20
+#: Messages between two stored positions at most, and what the file with them is called.
+STRIDE, POSITIONS = 256, ".positions"
+#: Beside a folder that our sink wrote.
+MANIFEST = ".manifest.json"
+#: Messages that must follow one another for a guessed beginning to be tried.
+CHAIN = 4
 #: A posn is the message's position in its file, with the file's number above so many bits.
 FILE_BITS = 40
 
@@ -129,8 +145,10 @@ def layout(f: BinaryIO, table: str, split: int = SPLIT) -> tuple[bytes, list[tup
     return head, parts
 
 
-def messages(f: BinaryIO, offset: int, many: int, first: int, table: str) -> Iterator[tuple]:
+def messages(f: BinaryIO, offset: int, many: int, first: int, table: str, skip: int = 0) -> Iterator[tuple]:
     f.seek(offset)
+    for _ in range(skip):
+        f.seek(_length(f) or 0, os.SEEK_CUR)
     for i in range(many):
         n = _length(f)
         data = f.read(n)
@@ -146,26 +164,228 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
+class Incomplete(ValueError):
+    """A folder whose files aren't those of its manifest, or a write that didn't end."""
+
+
 def files(path: str) -> list[str]:
-    """The file itself, or the *.ciff files of a folder, by name."""
+    """The file itself, or the *.ciff files of a folder, by name; a folder's manifest must agree with them."""
     system, at = store(path)
     if system.get_file_info(at).type != fs.FileType.Directory:
         return [at]
-    return sorted(x.path for x in system.get_file_info(fs.FileSelector(at)) if x.is_file and x.extension == "ciff")
+    inside = [x for x in system.get_file_info(fs.FileSelector(at)) if x.is_file]
+    found = sorted((x for x in inside if x.extension == "ciff"), key=lambda x: x.path)
+    if system.get_file_info(at + MANIFEST).type == fs.FileType.File:
+        with system.open_input_file(at + MANIFEST) as f:
+            want = {x["name"]: x["length"] for x in json.loads(f.read())["files"]}
+        got = {x.base_name: x.size for x in found}
+        wrong = sorted(n for n in want.keys() | got.keys() if want.get(n) != got.get(n))
+        if wrong:
+            raise Incomplete(f"{path} isn't what was written: {wrong[0]} and {len(wrong) - 1} others")
+    elif any(x.extension == "part" for x in inside):
+        raise Incomplete(f"{path} has no manifest: its write didn't end")
+    return [x.path for x in found]
 
 
 def opened(path: str, at: str) -> BinaryIO:
     return io.BufferedReader(store(path)[0].open_input_file(at), 1 << 20)
 
 
+# ---- where messages begin -------------------------------------------------------------------------------------------
+
+_LIST = {1: 2, 2: 0, 3: 0, 4: 2}
+_DOC = {1: 0, 2: 2, 3: 0}
+_MAYBE = re.compile(rb"[\x80-\xff]{0,4}[\x01-\x7f](?=[\x08\x0a\x10\x12\x18\x22])")
+
+
+def _plausible(data: bytes, at: int, end: int) -> bool:
+    """Whether the fields that lie wholly in data[at:end] are those of a list or of a record; data may stop before the message does."""
+    kinds = [_LIST, _DOC]
+    try:
+        while at < end and kinds:
+            key, at = varint(data, at)
+            kinds = [k for k in kinds if k.get(key >> 3) == key & 7]
+            n, at = varint(data, at)
+            if key & 7 == 2:
+                at += n
+                if at > end:
+                    return False
+        return bool(kinds) and at == end
+    except IndexError:
+        return bool(kinds)
+
+
+def _resynchronised(f: BinaryIO, start: int, stop: int, size: int) -> int | None:
+    """The first place from start on, before stop, that CHAIN plausible messages follow."""
+    for low in range(start, stop, 1 << 20):
+        f.seek(low)
+        data = f.read((1 << 20) + 16)
+        for found in _MAYBE.finditer(data):
+            for first in range(found.start(), found.end()):  # a length may begin at any of the bytes before its last
+                at = low + first
+                if at >= min(stop, low + (1 << 20)):
+                    break
+                good = 0
+                while good < CHAIN and at < size:
+                    f.seek(at)
+                    head = f.read(4096)
+                    try:
+                        n, begin = varint(head, 0)
+                    except IndexError:
+                        break
+                    if at + begin + n > size or not _plausible(head, begin, begin + n):
+                        break
+                    at, good = at + begin + n, good + 1
+                if good == CHAIN or (good and at == size):
+                    return low + first
+    return None
+
+
+def _walked(f: BinaryIO, start: int, stop: int, grain: int) -> tuple[list[tuple[int, int]], int, int]:
+    """(number, offset) of some of the messages that begin from start and before stop, how many there are, and where the last one ends.
+
+    Between two of those kept are less than STRIDE messages and `grain` bytes, or a single message.
+    """
+    f.seek(start)
+    at, many, kept = start, 0, []
+    while at < stop:
+        if not kept or many - kept[-1][0] >= STRIDE or at - kept[-1][1] >= grain:
+            kept.append((many, at))
+        n = _length(f)
+        if n is None:
+            break
+        at = f.seek(n, os.SEEK_CUR)
+        many += 1
+    return kept, many, at
+
+
+def _ranges(path: str, at: str, size: int, grain: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for nth, start, stop, known in zip(*(batch.column(c).to_pylist() for c in ("nth", "start", "stop", "known")), strict=True):
+                with opened(path, at) as f:
+                    begin = start if known else _resynchronised(f, start, stop, size)
+                    kept, many, end = _walked(f, begin, stop, grain) if begin is not None else ([], 0, 0)
+                rows.append({"nth": nth, "begin": begin, "end": end, "many": many, "kept": [{"number": n, "offset": o} for n, o in kept]})
+            yield pa.RecordBatch.from_pylist(rows, schema=_RANGES)
+
+    return run
+
+
+_RANGES = pa.schema([("nth", pa.int64()), ("begin", pa.int64()), ("end", pa.int64()), ("many", pa.int64()), ("kept", pa.list_(pa.struct([("number", pa.int64()), ("offset", pa.int64())])))])
+
+
+def _beside(path: str, at: str) -> str:
+    """Where a file's positions are: next to it, or next to its folder."""
+    own = store(path)[1]
+    return at + POSITIONS if own == at else f"{own}{POSITIONS}/{at.rsplit('/', 1)[-1]}"
+
+
+def positioned(spark: SparkSession, path: str, least: int = SPLIT) -> None:
+    """Stores positions of the files of at least so many bytes that have none yet; a store that can't be written is left as it is."""
+    system, _ = store(path)
+    large = [at for at in files(path) if system.get_file_info(at).size >= least and stored_positions(path, at) is None]
+    if large:
+        try:
+            positions(spark, path, only=large)
+        except OSError as e:
+            log.warning("no positions stored for %s, so the driver walks it: %s", path, e)
+
+
+def positions(spark: SparkSession, path: str, split: int = SPLIT, only: list[str] | None = None) -> None:
+    """Stores, beside each file of the path (or each of `only`), where its messages begin.
+
+    Every range of `split` bytes is walked by a task from a beginning that it guesses;
+    the guess is only kept where the range before it ends there, and otherwise the
+    range is walked again from that end.  The first range's beginning is known, so
+    all of them are right in the end, whatever bytes a file holds.
+    """
+    for at in only or files(path):
+        system, _ = store(path)
+        info = system.get_file_info(at)
+        size = info.size
+        with opened(path, at) as f:
+            head = decode_header(f.read(_length(f) or 0))
+            start = f.tell()
+        edges = list(range(start, size, split)) or [start]
+        todo = [(i, a, min(a + split, size), i == 0) for i, a in enumerate(edges)]
+        found: dict[int, dict] = {}
+        while todo:
+            ranges = spark.createDataFrame(todo, "nth long, start long, stop long, known boolean").repartitionByRange(len(todo), "nth")
+            for r in ranges.mapInArrow(_ranges(path, at, size, split // 4), "nth long, begin long, end long, many long, kept array<struct<number: long, offset: long>>").collect():  # a row a range, positions by the STRIDE
+                found[r["nth"]] = r.asDict()
+            todo, end = [], start
+            for i, a in enumerate(edges):
+                stop, r = min(a + split, size), found[i]
+                if end >= stop:  # inside a message that began earlier
+                    found[i] = {"begin": None, "end": end, "many": 0, "kept": []}
+                elif r["begin"] != end:
+                    todo = [(i, end, stop, True)]
+                    break
+                else:
+                    end = r["end"]
+        numbers, offsets, before = [], [], 0
+        for i in range(len(edges)):
+            for kept in found[i]["kept"]:
+                numbers.append(before + kept["number"])
+                offsets.append(kept["offset"])
+            before += found[i]["many"]
+        if before < head[1] + head[2]:
+            raise ValueError("the file ends before its last message")
+        facts = {"size": str(size), "written": str(info.mtime_ns), "lists": str(head[1]), "docs": str(head[2])}
+        out = pa.table({"number": pa.array(numbers, pa.int64()), "offset": pa.array(offsets, pa.int64())}).replace_schema_metadata(facts)
+        beside = _beside(path, at)
+        system.create_dir(beside.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(beside) as f:
+            pq.write_table(out, f)
+
+
+def stored_positions(path: str, at: str) -> tuple[list[int], list[int], int, int] | None:
+    """Numbers, offsets, lists and documents; None where there are none for the file as it is."""
+    system, _ = store(path)
+    beside, info = _beside(path, at), system.get_file_info(at)
+    if system.get_file_info(beside).type != fs.FileType.File:
+        return None
+    with system.open_input_file(beside) as f:
+        found = pq.read_table(f)
+    facts = {k.decode(): int(v) for k, v in found.schema.metadata.items() if k in (b"size", b"written", b"lists", b"docs")}
+    if (facts["size"], facts["written"]) != (info.size, info.mtime_ns):
+        return None
+    return found["number"].to_pylist(), found["offset"].to_pylist(), facts["lists"], facts["docs"]
+
+
+def _within(path: str, at: str, table: str, only: list[int] | None, split: int) -> list[tuple[int, int, int, int]] | None:
+    """(offset, messages, first position, messages to skip) of each part of a table, from stored positions; only: of these numbers."""
+    stored = stored_positions(path, at)
+    if stored is None:
+        return None
+    numbers, offsets, lists, docs = stored
+    low, high = (0, lists) if table == "postings" else (lists, lists + docs)
+    if only is not None:
+        out = []
+        for n in only:
+            i = bisect.bisect_right(numbers, low + n) - 1
+            out.append((offsets[i], 1, n, low + n - numbers[i]))
+        return out
+    out, first = [], low
+    while first < high:
+        i = bisect.bisect_right(numbers, first) - 1
+        j = max(bisect.bisect_left(offsets, offsets[i] + split), i + 1)
+        end = min(numbers[j] if j < len(numbers) else high, high)
+        out.append((offsets[i], end - first, first - low, first - numbers[i]))
+        first = end
+    return out
+
+
 class _Part(InputPartition):
-    def __init__(self, at: str, offset: int, many: int, first: int):
-        self.at, self.offset, self.many, self.first = at, offset, many, first
+    def __init__(self, at: str, offset: int, many: int, first: int, skip: int = 0):
+        self.at, self.offset, self.many, self.first, self.skip = at, offset, many, first, skip
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str, table: str):
-        self.path, self.table = path, table
+    def __init__(self, path: str, table: str, only: list[tuple[int, int]] | None = None, split: int = SPLIT):
+        self.path, self.table, self.only, self.split = path, table, only, split
 
     def partitions(self) -> list[InputPartition]:
         out = []
@@ -173,8 +393,16 @@ class _Reader(DataSourceReader):
             if self.table == "header":
                 out.append(_Part(at, 0, 1, 0))
                 continue
-            with opened(self.path, at) as f:
-                out += [_Part(at, offset, many, first + (number << FILE_BITS)) for offset, many, first in layout(f, self.table)[1]]
+            only = None if self.only is None else [n for f, n in self.only if f == number]
+            if only == []:
+                continue
+            parts = _within(self.path, at, self.table, only, self.split)
+            if parts is None:
+                with opened(self.path, at) as f:
+                    parts = [(*p, 0) for p in layout(f, self.table, self.split)[1]]
+                if only is not None:
+                    parts = [(offset, 1, n, n - first) for offset, many, first, _ in parts for n in only if first <= n < first + many]
+            out += [_Part(at, offset, many, first + (number << FILE_BITS), skip) for offset, many, first, skip in parts]
         return out or [_Part("", 0, 0, 0)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
@@ -184,11 +412,11 @@ class _Reader(DataSourceReader):
             if self.table == "header":
                 yield decode_header(f.read(_length(f) or 0))
             else:
-                yield from messages(f, partition.offset, partition.many, partition.first, self.table)
+                yield from messages(f, partition.offset, partition.many, partition.first, self.table, partition.skip)
 
 
 class CiffSource(DataSource):
-    """spark.read.format("ciff").option("table", "postings").load(path)"""
+    """spark.read.format("ciff").option("table", "postings").load(path); split: bytes of messages per task, only: positions to look up."""
 
     @classmethod
     def name(cls) -> str:
@@ -198,7 +426,9 @@ class CiffSource(DataSource):
         return TABLES[self.options.get("table", "postings")]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options["path"], self.options.get("table", "postings"))
+        only = self.options.get("only")
+        numbers = None if only is None else [divmod(int(x), 1 << FILE_BITS) for x in only.split(",") if x]
+        return _Reader(self.options["path"], self.options.get("table", "postings"), numbers, int(self.options.get("split", SPLIT)))
 
 
 def _whole(table: str, kind: StructType):
@@ -219,8 +449,8 @@ def _whole(table: str, kind: StructType):
     return run
 
 
-def read(spark: SparkSession, path: str, table: str = "postings") -> DataFrame:
-    """A table of a CIFF file or of a folder of them: header (a row per file), postings or docs."""
+def read(spark: SparkSession, path: str, table: str = "postings", split: int = SPLIT) -> DataFrame:
+    """A table of a CIFF file or of a folder of them: header (a row per file), postings or docs; about `split` bytes of messages per task."""
     try:
         store(path)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):  # not a store that pyarrow opens here
@@ -229,32 +459,59 @@ def read(spark: SparkSession, path: str, table: str = "postings") -> DataFrame:
             raise ValueError("only one file at a time can be read from this store") from None
         return scan.select("content").mapInArrow(_whole(table, kind), kind)
     spark.dataSource.register(CiffSource)
-    return spark.read.format("ciff").option("table", table).load(path)
+    return spark.read.format("ciff").option("table", table).option("split", split).load(path)
+
+
+def lookup(spark: SparkSession, path: str, table: str, posns: list[int]) -> DataFrame:
+    """The lists or documents of the given positions: a file's n-th has n, with the file's number above FILE_BITS bits.
+
+    With stored positions each is read by itself, from at most STRIDE messages before it; numbers beyond the table are refused.
+    """
+    sizes = []
+    for at in files(path):
+        with opened(path, at) as f:
+            sizes.append(decode_header(f.read(_length(f) or 0))[1 if table == "postings" else 2])
+    for posn in posns:
+        number, n = divmod(posn, 1 << FILE_BITS)
+        if not (0 <= number < len(sizes) and 0 <= n < sizes[number]):
+            raise IndexError(f"no message {posn} in {path}")
+    spark.dataSource.register(CiffSource)
+    return spark.read.format("ciff").option("table", table).option("only", ",".join(map(str, posns))).load(path)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
+def _summed(wide: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # a list at a time: its postings are one message of the file
+                own = batch.column("postings")[i].values
+                if own is None or not len(own):
+                    continue
+                tf = own.field("tf").to_numpy(zero_copy_only=False)
+                if (tf < 0).any():
+                    raise ValueError("a negative term frequency")
+                gaps = own.field("docid").to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = np.cumsum(gaps & 0xFFFFFFFF if wide else gaps)
+                if ids.max() >= 1 << (32 if wide else 31) or ids.min() < 0:
+                    raise ValueError(f"an id beyond {32 if wide else 31} bits in the list of {batch.column('term')[i].as_py()!r}" + ("" if wide else "; wide=True takes unsigned ones"))
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("term")[i].as_py()] * len(ids)), pa.array(ids if wide else ids.astype(np.int32)), pa.array(tf)], ["term", "doc_id", "tf"])
+
+    return run
 
-    for batch in batches:
-        for i in range(batch.num_rows):  # a list at a time: its postings are one message of the file
-            own = batch.column("postings")[i].values
-            if own is None or not len(own):
-                continue
-            tf = own.field("tf").to_numpy(zero_copy_only=False)
-            if (tf < 0).any():
-                raise ValueError("a negative term frequency")
-            ids = np.cumsum(own.field("docid").to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column("term")[i].as_py()] * len(ids)), pa.array(ids), pa.array(tf)], ["term", "doc_id", "tf"])
 
+def postings(lists: DataFrame, wide: bool = False) -> DataFrame:
+    """term, doc_id, tf: ids are running sums of the gaps; of a term's lists in a file the last one counts; negative tf are refused.
 
-def postings(lists: DataFrame) -> DataFrame:
-    """term, doc_id, tf: ids are running sums of the gaps; of a term's lists in a file the last one counts; negative tf are refused."""
+    wide: gaps are unsigned and ids long; else ids beyond 31 bits are refused.
+    """
     last = lists.groupBy("term", F.shiftright("posn", FILE_BITS)).agg(F.max("posn").alias("posn")).select("posn")
-    return lists.join(last, "posn", "left_semi").select("term", "postings").mapInArrow(_summed, "term string, doc_id int, tf int")
+    return lists.join(last, "posn", "left_semi").select("term", "postings").mapInArrow(_summed(wide), f"term string, doc_id {'long' if wide else 'int'}, tf int")
 
 
-def docs(records: DataFrame) -> DataFrame:
-    return records.select(F.col("docid").alias("doc_id"), F.col("collection_docid").alias("ext_id"), F.col("doclength").alias("doc_len"))
+def docs(records: DataFrame, wide: bool = False) -> DataFrame:
+    ids = F.col("docid").cast("long").bitwiseAND(0xFFFFFFFF) if wide else F.col("docid")
+    return records.select(ids.alias("doc_id"), F.col("collection_docid").alias("ext_id"), F.col("doclength").alias("doc_len"))
 
 
 # ---- writing, for fixtures and exchange -----------------------------------------------------------------------------

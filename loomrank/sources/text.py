@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrank.functions.text import tokens
@@ -14,19 +14,31 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
-def lengths(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+#: One more than the largest id, unsigned.
+IDS = 1 << 32
+
+
+def _id(column: str, wide: bool) -> Column:
+    """The id as int; wide: as long, and refused beyond 32 bits."""
+    if not wide:
+        return F.col(column).cast("int").alias("doc_id")
+    x = F.col(column).cast("long")
+    return F.when(x.between(0, IDS - 1), x).otherwise(F.raise_error(F.concat(F.lit("not an id of 32 bits: "), x.cast("string")))).alias("doc_id")
+
+
+def lengths(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", wide: bool = False) -> DataFrame:
     """docs: doc_id, ext_id and doc_len (tokens) of every document; a null text has none."""
     n = F.size(tokens(F.coalesce(text_column, F.lit(""))))
-    return documents.select(F.col(id_column).cast("int").alias("doc_id"), F.col(id_column).cast("string").alias("ext_id"), n.cast("int").alias("doc_len"))
+    return documents.select(_id(id_column, wide), F.col(id_column).cast("string").alias("ext_id"), n.cast("int").alias("doc_len"))
 
 
-def counted(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def counted(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", wide: bool = False) -> DataFrame:
     """postings with their document's length, so that scoring needs no join with docs: term, doc_id, tf, doc_len.
 
     A document's tokens are in one task, so the partial counts before the shuffle
     are final already.
     """
-    words = documents.select(F.col(id_column).cast("int").alias("doc_id"), tokens(text_column).alias("tokens"))
+    words = documents.select(_id(id_column, wide), tokens(text_column).alias("tokens"))
     # a plain explode would add a filter that splits every text once more
     terms = words.select("doc_id", F.size("tokens").alias("doc_len"), F.explode_outer("tokens").alias("term")).where("term IS NOT NULL")
     return terms.groupBy("term", "doc_id", "doc_len").agg(F.count("*").cast("int").alias("tf"))

@@ -34,7 +34,7 @@ def answered(index: Index, rows: DataFrame, column: str = "value", numbered: boo
     plan = planning.with_prior(planning.planned(index.directory, requests.query_terms(parsed))).join(wanted, "qid")
     share = F.ceil(F.col("total").cast("float") * F.col("rho").cast("float"))
     budget = F.when(F.col("rho") == 1, F.col("total")).otherwise(F.coalesce(share, "fixed"))
-    found = ranking.accumulated(plan.where(F.col("prior") <= budget), index.blocks)
+    found = ranking.summed(ranking.hits(planning.cells(planning.cuts(plan.where(F.col("prior") <= budget)), index.tops), index.blocks))
     most = wanted.agg(F.max("k")).first()[0] or 1
     ranked = ranking.top_k(found, most).join(wanted.select("qid", "k"), "qid").where("rank <= k")
     out = ranking.named(ranked, index.docs).withColumnRenamed("qid", "request").join(names, "request").withColumnRenamed("name", "qid")
