@@ -1,8 +1,8 @@
 """Main text of HTML pages by a tree-structured graphical model over their DOM.
 
 A tolerant parser turns a page into a tree of block elements with runs of text as
-leaves; inline elements with a class, id or role are nodes too, whose text stays in
-its block's line or leaves it.  Every node is content or not; a node's own features (tag, words of class,
+leaves; inline elements with a class, id or role are nodes too, nested as in the
+page, whose text stays in its block's line or leaves it.  Every node is content or not; a node's own features (tag, words of class,
 id and role, size, punctuation, share of linked text) and the state of its parent
 decide.  Sum-product messages pass upward and downward, level by level over all
 pages of a batch, and give exact marginals; text whose marginal is at least one
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-WIDTH = 1 << 12
+WIDTH = 1 << 16
 #: Labelled pages, gradient steps, and the ridge.
 PAGES, ROUNDS, RIDGE = 400, 160, 1e-3
 #: Bytes of html per batch of trees, and the depth below which elements hang on one level.
@@ -49,7 +49,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 _NAMED = re.compile(r"(?i)(?:^|[\s\"'])(?:class|id|role|hidden|aria-hidden|style)\b")
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[a-z]{2,}")
 _features: dict = {}
 _models: list = []
 
@@ -115,7 +115,9 @@ class Trees:
         open_: list[tuple[str, int]] = [("", self._node(-1, 0, (feature("page"),), False))]
         pieces: list[str] = []
         linked: list[int] = []  # pieces in links
-        marked: list[list] = []  # inline elements of the block that are nodes: tag, features, first and last piece
+        within: list[int] = []  # the innermost named inline element of each piece
+        marked: list[tuple[str, tuple[int, ...], int]] = []  # named inline elements of the block: tag, features, the one around it
+        inline: list[tuple[str, int]] = []  # open inline elements, named or not, and the named one that counts in them
         link, at, size = False, 0, len(html)
 
         def leaf(node: int, depth: int, own: list[int], tag: str) -> tuple[int, str]:
@@ -131,28 +133,51 @@ class Trees:
             """The text since the last block border becomes a leaf."""
             if pieces:
                 tag, node = open_[-1]
-                if not marked:
+                if max(within) < 0:
                     found, text = leaf(node, len(open_), list(range(len(pieces))), tag)
                     if text:
                         self.blocks.append((page, [(found, text)]))
                 else:
-                    of = [-1] * len(pieces)  # which inline element a piece is in
-                    for m, (_, _, first, last) in enumerate(marked):
-                        last = len(pieces) if last is None else last
-                        of[first:last] = [m] * (last - first)
-                    leaves = {-1: leaf(node, len(open_), [i for i, m in enumerate(of) if m < 0], tag)[0]}
-                    for m, (name, features, _, _) in enumerate(marked):
-                        if own := [i for i, x in enumerate(of) if x == m]:
-                            element = self._node(node, min(len(open_), DEPTH - 1), (*features, feature(f"tag {name} in {tag}")), False)
-                            leaves[m] = leaf(element, len(open_) + 1, own, name)[0]
-                    self.blocks.append((page, [(leaves[m], pieces[i]) for i, m in enumerate(of)]))
+                    own: dict[int, list[int]] = {}
+                    for i, m in enumerate(within):
+                        own.setdefault(m, []).append(i)
+                    leaves = {-1: leaf(node, len(open_), own[-1], tag)[0]} if -1 in own else {}
+                    made: dict[int, tuple[int, int]] = {-1: (node, len(open_) - 1)}  # its node and depth
+
+                    def element(m: int) -> tuple[int, int]:
+                        way = []
+                        while m not in made:
+                            way.append(m)
+                            m = marked[m][2]
+                        for x in reversed(way):
+                            name, features, above = marked[x]
+                            up, depth = made[above]
+                            made[x] = self._node(up, min(depth + 1, DEPTH - 1), (*features, feature(f"tag {name} in {marked[above][0] if above >= 0 else tag}")), False), depth + 1
+                        return made[way[0] if way else m]
+
+                    for m in sorted(own):
+                        if m >= 0:
+                            up, depth = element(m)
+                            leaves[m] = leaf(up, depth + 1, own[m], marked[m][0])[0]
+                    self.blocks.append((page, [(leaves[m], pieces[i]) for i, m in enumerate(within)]))
                 pieces.clear()
                 linked.clear()
+                within.clear()
+            # what is still open goes on in the next block
+            kept = [(name, marked[m] if m >= 0 else None) for name, m in inline]
             marked.clear()
+            inline.clear()
+            for name, mark in kept:
+                around = inline[-1][1] if inline else -1
+                if mark is not None and (not inline or mark is not kept[len(inline) - 1][1]):
+                    marked.append((mark[0], mark[1], around))
+                    around = len(marked) - 1
+                inline.append((name, around))
 
         def push(piece: str) -> None:
             if link:
                 linked.append(len(pieces))
+            within.append(inline[-1][1] if inline else -1)
             pieces.append(piece)
 
         while at < size:
@@ -173,16 +198,26 @@ class Trees:
                 if tag == "a":
                     link = not found["end"]
                 elif tag == "br":
-                    pieces.append(" ")
+                    push(" ")
                 if tag not in VOID:
                     if found["end"]:
-                        if marked and marked[-1][0] == tag and marked[-1][3] is None:
-                            marked[-1][3] = len(pieces)
-                    elif found["attrs"] and (not marked or marked[-1][3] is not None) and _NAMED.search(found["attrs"]):
-                        marked.append([tag, _of_element(tag, found["attrs"]), len(pieces), None])
+                        for i in range(len(inline) - 1, -1, -1):  # the innermost open one of the name; an end without a start is none
+                            if inline[i][0] == tag:
+                                del inline[i]
+                                # those within it end with it: what follows is around them
+                                del inline[i:]
+                                break
+                    elif len(inline) < DEPTH:
+                        around = inline[-1][1] if inline else -1
+                        if found["attrs"] and _NAMED.search(found["attrs"]):
+                            marked.append((tag, _of_element(tag, found["attrs"]), around))
+                            around = len(marked) - 1
+                        inline.append((tag, around))
                 continue
             close()
             if found["end"]:
+                inline.clear()
+                marked.clear()
                 if tag == "p" or tag in CLOSES_P:
                     link = False
                 for i in range(len(open_) - 1, 0, -1):
@@ -304,6 +339,7 @@ _NOT_CONTENT = {
     "notice": "cookie consent notice gdpr privacy alert paywall subscribe newsletter signup popup modal overlay banner message disclaimer", "ad": "ad ads advert advertisement sponsor sponsored promo promotion adslot dfp teaser",
     "form": "form search login contact", "comments": "comments comment reply replies respond discussion disqus feedback responses thread", "social": "share social sharing follow buttons toolbar",
 }
+_PREFIXES, _SUFFIXES = ("", "site-", "page-", "js-", "block-", "x-"), ("", "", "-box", "-inner", "-wrap", "-1")
 _CONTENT_WORDS = "article content main post entry story body text page maincontent articlebody".split()
 
 
@@ -339,9 +375,32 @@ class _Writer:
         self.content.add(" ".join(unescape(text).split()))
         return text
 
+    def inner(self, line: str) -> str:
+        """A line of the article with words of it in a named element, whatever the name, and at times an advert within that."""
+        r, words = self.r, line.split()
+        if len(words) < 2 or "&" in line:
+            return self.kept(line)
+        i = r.randrange(len(words))
+        j = min(len(words), i + r.choice([1, 1, 1, 2, 3, 6, 20]))
+        if r.random() < 0.25:  # with the whole line in it
+            i, j = 0, len(words)
+        own, rest = " ".join(words[i:j]), " ".join(words[:i] + words[j:])
+        self.kept(own)
+        if rest:
+            self.kept(rest)
+        tag = r.choice("a a a em em b i strong cite code time abbr span span span sup q mark".split())
+        name = self.words(1) + r.choice(["", "", "-" + self.words(1), " " + self.words(1)]) if r.random() < 0.85 else r.choice(_CONTENT_WORDS)
+        name = r.choice(_PREFIXES) + r.choice([name, name, r.choice("abcdefghijklmnopqrstuvwxyz")]) + r.choice(_SUFFIXES)
+        attrs = r.choice([f' class="{name}"', f" class='{name}'", f' id="{name}"', f' class="{name}" title="{name}"']) + (' href="/x"' if tag == "a" else "")
+        if r.random() < 0.3 and j - i > 1:
+            half = (i + j) // 2
+            head, tail = " ".join(words[i:half]), " ".join(words[half:j])
+            own = f"{head} <span{self.attrs('ad')}>{self.sentence(2, 8)}</span> {tail}"
+        return " ".join([*words[:i], f"<{tag}{attrs}>{own}</{tag}>", *words[j:]])
+
     def attrs(self, kind: str) -> str:
         words = _NOT_CONTENT[kind].split() if kind in _NOT_CONTENT else _CONTENT_WORDS
-        name = self.r.choice(["", "site-", "page-", "js-", "block-", "x-"]) + self.r.choice(words) + self.r.choice(["", "", "-box", "-inner", "-wrap", "-1"])
+        name = self.r.choice(_PREFIXES) + self.r.choice(words) + self.r.choice(_SUFFIXES)
         return self.r.choice([f' class="{name}"', f' id="{name}"', f' class="box {name}"', f" class='{name} col'"])
 
     def links(self, n: int) -> str:
@@ -387,11 +446,15 @@ class _Writer:
         for _ in range(r.randint(1, 12)):
             kind = r.random()
             if kind < 0.68:
-                line = self.kept(self.text(1, 6) if r.random() < 0.85 else self.words(r.randint(1, 4)).capitalize() + ".")
+                line = self.text(1, 6) if r.random() < 0.85 else self.words(r.randint(1, 4)).capitalize() + "."
                 odd = r.random()
+                if odd < 0.40:
+                    line = self.inner(line)
+                else:
+                    self.kept(line)
                 if odd < 0.06:
                     line = f"<span{self.attrs('content')}>{line}</span>"
-                elif odd < 0.36:
+                elif 0.3 < odd < 0.55:
                     line += f" <{(tag := r.choice(['span', 'small', 'em']))}{self.attrs(r.choice(['ad', 'ad', 'social', 'notice']))}>{self.sentence(2, 8)}</{tag}>"
                 out.append(f"<p>{r.choice(['', '', '<b>'])}{line}" + r.choice(["</p>", "</p>", "<br>", "</b></p>"]))
             elif kind < 0.76:

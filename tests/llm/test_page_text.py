@@ -56,6 +56,24 @@ def test_inline_elements_with_names_are_nodes(model):
     assert texts([html], model)[0].split("\n") == ["A title of the page", "First paragraph with words, long enough to be one. It goes on behind it, as it should.", "Second paragraph, also with several words in it."]
 
 
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("It is <em class='emphasis'>not</em> so.", "It is not so."), ("As the <a class='mw-redirect' href='/x'>study of words</a> shows, this is so.", "As the study of words shows, this is so."),
+        ("He lived in <a class='extiw'>Paris</a> for years.", "He lived in Paris for years."), ("See <cite class='book'>The Great Book</cite> for more.", "See The Great Book for more."),
+        ("The <code class='highlight'>print</code> function.", "The print function."), ("On <time class='date'>5 May 2020</time> it rained.", "On 5 May 2020 it rained."),
+        ("The <abbr class='initialism'>WHO</abbr> said so.", "The WHO said so."), ("Text <b class='keyword'>bold</b> and more of it.", "Text bold and more of it."),
+        ("It is <em class='x'>so <b>very</b></em> good, <i>is it</i> not?", "It is so very good, is it not?"), ("<span class='x'>good <span class='ad'>Buy now</span> tail</span>", "good tail"),
+        ("Good words here. <span class='ad'>Buy cheap stuff now.</span> And more.", "Good words here. And more."), ("Good words here. <small class='share'>Share this</small>", "Good words here."),
+        ("Open <span class='q'>to the end", "Open to the end"), ("An end</em> without <b class='q'>its</i> start</b>.", "An end without its start."),
+    ],
+)
+def test_names_within_sentences(model, line, want):
+    html = f"""<html><body><nav class="menu"><ul><li><a href="/">Home</a></li></ul></nav><article><h1>A title of the page</h1><p>First paragraph with words, long enough to be one.</p>
+    <p>{line}</p><p>Another paragraph follows it, as it should, with words.</p></article><footer>&copy; us</footer></body></html>"""
+    assert texts([html], model)[0].split("\n") == ["A title of the page", "First paragraph with words, long enough to be one.", want, "Another paragraph follows it, as it should, with words."]
+
+
 def test_broken_markup(model):
     for html in ("", "<", "<p", "<p class='x", "</div></div>", "<!--", "<script>", "a < b > c", "<div " * 50, "<p>" * 3000 + "end.", "<div>" * 5000 + "deep text." + "</div>" * 5000, "&#xFFFFFF; &bogus; &amp", '<a href="' * 2000):
         assert isinstance(texts([html], model)[0], str)
