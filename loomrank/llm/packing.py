@@ -5,15 +5,22 @@ the number of documents.  On it the driver solves the configuration linear
 program (how often each way to fill a sequence is used) by multiplicative
 weights: every length has a weight that falls as it gets covered, a knapsack
 dynamic program finds the filling of the highest weight, and that filling's use
-goes up by a step.  The uses are scaled and rounded down; what is left over, few
-pieces however many documents there are, is packed by filling each sequence
-around its largest piece as full as it goes, or by best fit decreasing, whichever
-takes fewer sequences.  The plan is a bounded list of fillings with counts;
+goes up by a step, until each length is covered.  The weights are a solution of the
+dual program, so they say how far the plan can be from the fewest sequences.  The
+uses are scaled and rounded down; what is left over, few pieces however many
+documents there are, is packed by filling each sequence around its largest piece as
+full as it goes, or by best fit decreasing, whichever takes fewer sequences.
+
+Histograms with many lengths have so many nearly full fillings that a first attempt
+which only takes those, and leaves the last pieces to the rounding, mostly comes
+within CLOSE of the tokens' own bound; the program runs to its end where it doesn't.  The plan is a bounded list of fillings with counts;
 pieces find their places by their rank among the pieces of their length.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -32,6 +39,9 @@ from loomrank.llm.bytescan import strings
 STEPS, SHARE = 2000, 0.25
 #: The least filled share of a filling, and the weight rules (decay, lean) that are tried.
 FULL, RULES = 0.995, ((0.2, 0.1), (0.1, 1.0))
+#: The share above the tokens' own bound that ends the search, the covering program's steps (more where few don't do), and how fast its weights fall.
+CLOSE, COVERING, RATE = 0.0005, (300, 3000), 0.5
+log = logging.getLogger(__name__)
 _PIECE = "part int, doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 _encoders: dict = {}
 
@@ -143,12 +153,51 @@ def best_filling(weight: np.ndarray, capacity: int) -> Filling:
     return tuple(sorted(count.items(), reverse=True))
 
 
+def covered(counts: np.ndarray, capacity: int, steps: int = COVERING[-1], rate: float = RATE) -> tuple[dict[Filling, float], float]:
+    """Fillings with uses that cover every length, and a lower bound of the sequences that any packing takes.
+
+    A step uses the filling of the highest weight until the scarcest of its lengths is
+    covered a little more; a covered length's weight falls by exp(-rate) for each time
+    over.  The uses cover all lengths once they are divided by the least coverage.
+    Whatever the weights, no filling is worth more than the best one, so all pieces'
+    weight over the best filling's is a bound.
+    """
+    some = np.flatnonzero(counts)
+    n = counts[some].astype(float)
+    cover = np.zeros(len(some))
+    use: dict[Filling, float] = {}
+    weight, bound = np.zeros(capacity + 1), float((counts * np.arange(capacity + 1)).sum()) / capacity
+    share = some / capacity
+    place = np.full(capacity + 1, -1)
+    place[some] = np.arange(len(some))
+    best: tuple[float, dict[Filling, float]] = (math.inf, {})
+    for step in range(1, steps + 1):
+        # prices per piece: the tokens' share, and what is still missing compared with the others
+        weight[some] = share * np.exp(-rate * (cover - cover.min()))
+        filling = best_filling(weight, capacity)
+        value = sum(weight[x] * k for x, k in filling)
+        bound = max(bound, float((weight[some] * n).sum()) / value)
+        amount = 0.05 * min(n[place[x]] / k for x, k in filling)
+        use[filling] = use.get(filling, 0.0) + amount
+        for x, k in filling:
+            cover[place[x]] += amount * k / n[place[x]]
+        least = cover.min()
+        if least > 0 and step % 25 == 0:
+            total = sum(use.values()) / least
+            if total < best[0]:
+                best = total, {f: u / least for f, u in use.items()}
+            if total <= bound * (1 + CLOSE):
+                break
+    return best[1] or {f: u / max(cover.min(), 1e-9) for f, u in use.items()}, bound
+
+
 def relaxed(counts: np.ndarray, capacity: int, decay: float = 0.2, lean: float = 0.1, steps: int = STEPS) -> dict[Filling, float]:
     """Fillings with their uses, an approximate solution of the configuration LP.
 
     A length's weight starts at its share of a sequence to the power 1 + lean and
     decays with the part of it that is covered.  It ends when the best filling
-    leaves more than FULL allows unused: what is still uncovered is for rounding.
+    leaves more than FULL allows unused: what is still uncovered is for rounding,
+    and where that is too much, covered() decides.
     """
     n = counts.astype(float)
     some = counts > 0
@@ -238,8 +287,15 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
     if not left.any():
         return out
     ends = []
-    for decay, lean in RULES:
-        use = relaxed(left, capacity, decay, lean)
+    bound = -(-int((left * np.arange(capacity + 1)).sum()) // capacity)
+    for rule in (*RULES, *COVERING):
+        if isinstance(rule, int):
+            if min(sum(t for _, t in e) for e in ends) <= bound * (1 + CLOSE) + 1:
+                break
+            use, least = covered(left, capacity, rule)
+            bound = max(bound, math.ceil(least - 1e-6))
+        else:
+            use = relaxed(left, capacity, *rule)
         rest, rounded = left.copy(), []
         for filling, x in sorted(use.items(), key=lambda f: (-sum(a * k for a, k in f[0]), -f[1], f[0])):
             times = min(int(x + 1e-9), *(int(rest[a]) // k for a, k in filling))
@@ -248,7 +304,9 @@ def plan(counts: np.ndarray, capacity: int) -> list[tuple[Filling, int]]:
                 for a, k in filling:
                     rest[a] -= times * k
         ends += [rounded + _fullest(rest, capacity), rounded + best_fit(rest, capacity)]
-    return out + min(ends, key=lambda e: sum(t for _, t in e))
+    chosen = min(ends, key=lambda e: sum(t for _, t in e))
+    log.info("%d sequences, at least %d are needed", sum(t for _, t in out + chosen), bound + sum(t for _, t in out))
+    return out + chosen
 
 
 def _places(fillings: list[tuple[Filling, int]], capacity: int) -> list[np.ndarray]:

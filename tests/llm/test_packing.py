@@ -39,6 +39,59 @@ def test_plan_is_near_the_lower_bound():
     assert sum(t for _, t in plan) <= least * 1.0005 + 2 <= sum(t for _, t in packing.best_fit(counts, 1024)) * 1.0005 + 2
 
 
+@pytest.mark.parametrize(("unit", "low", "high"), [(50, 3, 10), (64, 2, 7), (93, 1, 5)])
+def test_coarse_lengths_are_planned_by_the_program(unit, low, high):
+    r = np.random.default_rng(unit)
+    counts = np.zeros(1025, np.int64)
+    for _ in range(700):  # whole fillings, so 700 sequences are enough
+        left = 1024 // unit
+        while left:
+            x = int(min(left, r.integers(low, high + 1)))
+            counts[x * unit] += 1
+            left -= x
+    plan = packing.plan(counts, 1024)
+    assert fits(plan, counts, 1024) and sum(t for _, t in plan) <= 707
+    counts[:] = 0
+    counts[450], counts[280] = 1000, 2000  # the best filling is 1,010 of 1,024
+    use, bound = packing.covered(counts, 1024)
+    assert sum(t for _, t in packing.plan(counts, 1024)) == 1000 and 999 < bound <= 1000 and sum(use.values()) >= bound - 1e-6
+
+
+def fewest(lengths, capacity):
+    """The fewest sequences by trying every assignment of the longest piece that is left."""
+    best = [len(lengths)]
+
+    def place(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= lengths[i]:
+                place(i + 1, _swapped(rooms, room, room - lengths[i]))
+        place(i + 1, [*rooms, capacity - lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def _swapped(rooms, old, new):
+    out = list(rooms)
+    out[out.index(old)] = new
+    return out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from([3, 5, 7, 8, 11, 13]), min_size=1, max_size=9))
+def test_small_plans_against_every_assignment(lengths):
+    counts = np.bincount(lengths, minlength=21)
+    least = fewest(sorted(lengths, reverse=True), 20)
+    _, bound = packing.covered(counts, 20)
+    got = sum(t for _, t in packing.plan(counts, 20))
+    assert bound <= least + 1e-9 and least <= got <= least + 1
+
+
 def test_best_filling_is_optimal():
     r = np.random.default_rng(2)
     weight = np.where(r.random(31) < 0.5, r.random(31), 0)
