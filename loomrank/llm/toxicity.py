@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomrank.llm import scratch
 from loomrank.llm.bytescan import LETTER, LOWER, SECOND, U64, Rolling, chunks, mix, words
 
 #: Labelled rows that training takes at most, of each label, and the most bytes of each.
-SAMPLE, LONGEST = {1: 2500, 0: 5000}, 1 << 16
+SAMPLE, LONGEST, LONG_BYTES = {1: 2500, 0: 5000}, 1 << 16, 1 << 26
 PREFIXES = (4, 5, 7)
 #: Least likelihood ratio (G squared) and documents of a feature that marks toxic tokens; features kept at most.
 EVIDENCE, SUPPORT, FEATURES = 17.0, 4, 5000
@@ -361,19 +362,34 @@ def _score(field: Field, below: float | None = None):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """Fits on at most SAMPLE rows of each label, in the order of a hash of their ids, each at most LONGEST bytes."""
+    """Fits on at most SAMPLE rows of each label, in the order of a hash of their ids.
+
+    Texts of at most LONGEST bytes come first; where they are too few, longer ones
+    follow in the same order, whole, up to LONG_BYTES of each label altogether.
+    """
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = {int(r["toxic"] > 0): r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    # what can't be used goes before rows are drawn, so it takes no one's place
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).where("size > 0").join(rows, "doc_id")
+    usable = scratch.saved(sizes.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("size").alias("size")), "usable")
     texts: list[str] = []
     marks: list[int] = []
     taken = {0: 0, 1: 0}
     for mark, most in SAMPLE.items():
         if not known.get(mark):
             continue
-        ids = [r[0] for r in rows.where((F.col("toxic") > 0).cast("int") == mark).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+        own = usable.where((F.col("toxic") > 0).cast("int") == mark)
+        long = (F.col("size") > LONGEST).alias("long")
+        drawn = own.select("doc_id", "size", long).orderBy("long", F.xxhash64("doc_id"), "doc_id").limit(most).collect()
+        ids, left = [], LONG_BYTES
+        for r in drawn:
+            if r["long"]:
+                left -= r["size"]
+            if left >= 0:
+                ids.append(r["doc_id"])
         wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")  # at most SAMPLE rows
-        found = docs.select("doc_id", "text").where(F.octet_length("text").between(1, LONGEST)).join(F.broadcast(wanted), "doc_id").collect()
-        found.sort(key=lambda r: r[0])
+        found = docs.select("doc_id", "text").where(F.octet_length("text") > 0).join(F.broadcast(wanted), "doc_id").collect()
+        found.sort(key=lambda r: (r[0], r[1]))
         texts += [r[1] for r in found]
         marks += [mark] * len(found)
         taken[mark] = max(1, len(found))

@@ -51,6 +51,25 @@ def test_held_out_accuracy_and_spans(spark):
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {r["doc_id"] for r in rows if not r["predicted"]}
 
 
+def test_long_texts_take_no_places_and_are_learnt_from_where_others_lack(spark):
+    texts, marks = corpus(240, 5)
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "doc_id long, toxic int")
+    plain = toxicity.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels)
+    padded = [t + " " + "fill " * 14_000 for t in texts]
+    long = toxicity.train(spark.createDataFrame(list(enumerate(padded)), "doc_id long, text string").repartition(8), labels)
+    assert len(plain.keys) and set(plain.keys[plain.weights > 1]) <= set(long.keys)
+    # longer rows beside the short ones change nothing while the short ones are enough
+    both = spark.createDataFrame([*enumerate(texts), *((1000 + i, t) for i, t in enumerate(padded[:40]))], "doc_id long, text string").repartition(8)
+    more = labels.unionByName(spark.createDataFrame([(1000 + i, m) for i, m in enumerate(marks[:40])], "doc_id long, toxic int"))
+    sample = toxicity.SAMPLE
+    toxicity.SAMPLE = {1: 20, 0: 60}
+    try:
+        drawn, alone = (toxicity.train(d, x) for d, x in ((both, more), (spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), labels)))
+    finally:
+        toxicity.SAMPLE = sample
+    assert set(drawn.keys) == set(alone.keys)
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     texts, marks = corpus(300, 3)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
