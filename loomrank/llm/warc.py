@@ -124,6 +124,31 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes] | str:
     return headers, block
 
 
+def _extent(raw: bytes, at: int) -> int | str:
+    """Where the record that a version line begins would end, or why there is none: headers are read a line at a time, so a false start costs no more than its own lines."""
+    seen, length, line = set(), None, raw.find(b"\r\n", at)
+    while line >= 0:
+        end = raw.find(b"\r\n", line + 2)
+        if end < 0:
+            break
+        if end == line + 2:
+            if length is None:
+                return "no content length"
+            stop = end + 2 + length + 4
+            return stop if stop <= len(raw) and raw[stop - 4 : stop] == b"\r\n\r\n" else "the block doesn't end where it should"
+        name, colon, value = raw[line + 2 : end].partition(b":")
+        name = name.strip().lower()
+        if not colon:
+            return "a header without a colon"
+        if name in seen and name != b"warc-concurrent-to":
+            return "a header twice"
+        seen.add(name)
+        if name == b"content-length" and value.strip().isdigit():
+            length = int(value)
+        line = end
+    return "no version line and headers"
+
+
 def _inflated(data: memoryview, at: int) -> tuple[bytes, int] | str:
     z, parts, pos = zlib.decompressobj(31), [], at
     try:
@@ -137,24 +162,48 @@ def _inflated(data: memoryview, at: int) -> tuple[bytes, int] | str:
     return b"".join(parts), min(pos, len(data)) - len(z.unused_data)
 
 
+class _Nuls:
+    """The next zero byte at or after a place; places only grow, so the file is searched once."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.found = raw, -1
+
+    def after(self, at: int) -> int:
+        if self.found < at:
+            self.found = self.raw.find(b"\0", at)
+            if self.found < 0:
+                self.found = len(self.raw)
+        return self.found
+
+
+def _headed(raw: bytes, at: int, nuls: _Nuls) -> bool:
+    """Whether a gzip header that begins there ends within the file."""
+    flags, at = raw[at + 3] if at + 3 < len(raw) else 0xFF, at + 10
+    if flags & 0xE0:
+        return False
+    if flags & 4:
+        at += 2 + int.from_bytes(raw[at : at + 2], "little")
+    for bit in (8, 16):  # a name, a comment
+        if flags & bit:
+            at = nuls.after(at) + 1
+    return at < len(raw)
+
+
 def salvage(raw: bytes) -> Iterator[tuple]:
     """("record", offset, length, headers, block) and ("gap", offset, length, reason, None), in file order."""
     data, at, bad, why = memoryview(raw), 0, -1, ""
-    n = len(data)
+    n, nuls = len(data), _Nuls(raw)
     while at < n:
         if data[at : at + 3] == b"\x1f\x8b\x08":
-            got = _inflated(data, at)
+            got = _inflated(data, at) if _headed(raw, at, nuls) else "a gzip header without an end"
             if not isinstance(got, str):
                 inner, end = got
                 got = parse(inner) if inner else None
                 if got and not isinstance(got, str) and int(got[0][""]) != len(inner):
                     got = "bytes behind the record in its member"
         elif data[at : at + 5] == b"WARC/":
-            # the length is in the headers: look at no more than the record needs
-            stop = raw.find(b"\r\n\r\n", at)
-            length = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", raw[at:stop].replace(b"\r\n", b"\n")) if stop > 0 else None
-            end = stop + 8 + int(length[1]) if length else n
-            got = parse(raw[at : min(end, n)]) if length else "no content length"
+            end = _extent(raw, at)
+            got = parse(raw[at:end]) if isinstance(end, int) else end
         else:
             got = "neither a gzip member nor a version line"
         if not isinstance(got, str):

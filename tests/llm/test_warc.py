@@ -95,3 +95,17 @@ def test_pages_crawled_twice_keep_each_payload(spark, tmp_path):
     got = warc.read(spark, f"file://{tmp_path}/out")
     assert sorted((tuple(r) for r in got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == expected(rows)
     assert [bytes(r["payload"]) for r in got.where("page_id = 3 AND record_type = 'response'").collect()] == [b"only here"]
+
+
+def test_false_starts_cost_their_own_lines():
+    import time
+
+    good = warc.salvage
+    one = b"WARC/1.0\r\nWARC-Type: x\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    for junk in (b"WARC/1.0\r\n", b"WARC/1.0\r\na: b\r\n", b"WARC/1.0: x\r\n", b"WARC/1.0\r\nContent-Length: 9000000\r\n\r\n", b"\x1f\x8b\x08"):
+        data = junk * ((1 << 20) // len(junk))
+        began = time.perf_counter()
+        found = list(good(one + data + one))
+        assert time.perf_counter() - began < 10
+        assert [f[:3] for f in found if f[0] == "record"] == [("record", 0, len(one)), ("record", len(one) + len(data), len(one))]
+        assert [f[:3] for f in found if f[0] == "gap"] == [("gap", len(one), len(data))]
