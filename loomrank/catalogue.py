@@ -12,6 +12,7 @@ from loomrank.functions.scoring import BM25, Identity, LinearQuantizer
 from loomrank.operators import encoding, latency, planning, ranking, segments
 from loomrank.operators.planning import EXHAUSTIVE, Mode
 from loomrank.plans import index as indexes
+from loomrank.plans import rounds
 from loomrank.plans import search as searches
 from loomrank.plans.index import Index
 from loomrank.schema import BLOCK_BITS, RESULTS
@@ -23,20 +24,17 @@ from loomrank.streaming import serve
 
 K = 10
 THRESHOLD = 20
-#: Lines that exercise the parser: colons, bad ids, no tokens, repeats, weights beyond the largest.
-LINES = [
-    "111:this has no colon", "112:this has : one colon", "113:this has : : : many : : : colons", "abc:x", "7:", "8:   ", "9 no colon", "9", "10:b a b",
-    "11:" + "x " * 64 + "y y y", "+12:plus\tsigned", "-13:negative", "14:the la the de", "15: ünï  çödé ",
-]
-REQUESTS = [
-    '{"query": {"id": 1, "tokens": [{"token": "the", "freq": 1}, {"token": "of", "freq": 2}]}, "k": 5, "query_mode": {"Fraction": 1.0}}',
-    '{"query": {"id": 2, "tokens": [{"token": "of", "freq": 3}, {"token": "of", "freq": 1}]}, "k": 3, "query_mode": {"Fixed": 200}}',
-    '{"query": {"id": 3, "tokens": [{"token": "de", "freq": 1}]}, "k": 0, "query_mode": {"Fixed": 1}}',
-    '{"query": {"id": 4, "tokens": [{"token": "de", "freq": 1}]}, "k": 4, "query_mode": {"Fraction": 1.5}}',
-    "not json",
-    '{"query": {"id": 1, "tokens": [{"token": "the", "freq": 1}, {"token": "of", "freq": 2}]}, "k": 5, "query_mode": {"Fraction": 1.0}}',
-    '{"query": {"id": 2, "tokens": [{"token": "la", "freq": 1}]}, "k": 2, "query_mode": {"Fixed": 100000}}',
-]
+#: Bits of ids in a block where searches are to skip blocks.
+FINE = 8
+#: Query lines out of conversations, in the words of both engines: ids with and without sign, bad and missing ones, no tokens, tokens that repeat beyond the largest weight.
+LINE = """CASE turn % 6 WHEN 0 THEN CAST(100 * conv_id + turn AS STRING) || ':' || text WHEN 1 THEN '+' || CAST(100 * conv_id + turn AS STRING) || ':' || repeat(text || ' ', 40) || ' once'
+    WHEN 2 THEN text WHEN 3 THEN '-' || CAST(100 * conv_id + turn AS STRING) || ':' || text WHEN 4 THEN CAST(100 * conv_id + turn AS STRING) || ':  ' ELSE 'x' || CAST(100 * conv_id + turn AS STRING) || ':' || text END"""
+#: What a request for a benchmark query asks for: some ask for no results, some for more than all postings.
+ASKED = {
+    "k": "CAST(CASE WHEN qid % 4 = 3 THEN 0 ELSE 1 + qid % 5 END AS INT)",
+    "rho": "CASE WHEN qid % 7 = 6 THEN CAST(1.5 AS DOUBLE) WHEN qid % 3 = 0 THEN CAST(1.0 AS DOUBLE) WHEN qid % 3 = 2 THEN CAST(0.5 AS DOUBLE) END",
+    "fixed": "CASE WHEN qid % 7 <> 6 AND qid % 3 = 1 THEN CAST(100 * qid AS BIGINT) END",
+}
 
 _indexes: dict[tuple, Index] = {}
 
@@ -45,11 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def index(spark: SparkSession, sf_dir: str, scorer=None) -> Index:
+def index(spark: SparkSession, sf_dir: str, scorer=None, block_bits: int = BLOCK_BITS) -> Index:
     """The documents' index, built once per session and held: searches run on an index that is there."""
-    key = (spark.sparkContext.applicationId, sf_dir, scorer or BM25())
+    key = (spark.sparkContext.applicationId, sf_dir, scorer or BM25(), block_bits)
     if key not in _indexes:
-        _indexes[key] = indexes.from_documents(text.spread(table(spark, sf_dir, "documents")), scorer or BM25(), dense=False).persist()
+        _indexes[key] = indexes.from_documents(text.spread(table(spark, sf_dir, "documents")), scorer or BM25(), dense=False, block_bits=block_bits).persist()
     return _indexes[key]
 
 
@@ -61,8 +59,17 @@ def terms(spark: SparkSession, sf_dir: str, weighted: bool) -> DataFrame:
     return query_lines.from_lines(query_lines_of(spark, sf_dir), weighted)
 
 
-def literal_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in LINES], "value string")
+def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select(F.expr(LINE).alias("value"))
+
+
+def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON request for every benchmark query, each sent twice."""
+    tokens = F.array_sort(F.collect_list(F.struct("pos", "token", "weight")))
+    own = terms(spark, sf_dir, True).groupBy("qid").agg(F.transform(tokens, lambda t: F.struct(t["token"].alias("token"), t["weight"].alias("freq"))).alias("tokens"))
+    asked = own.select("qid", "tokens", *(F.expr(x).alias(name) for name, x in ASKED.items()))
+    body = F.struct(F.struct(F.col("qid").alias("id"), "tokens").alias("query"), "k", F.struct(F.col("rho").alias("Fraction"), F.col("fixed").alias("Fixed")).alias("query_mode"))
+    return asked.select(F.explode(F.array_repeat(F.to_json(body), 2)).alias("value"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,10 +84,6 @@ _SPACE = r"[ \t\n\x0B\f\r]+"
 _BITS = 8
 
 
-def _quote(x: str) -> str:
-    return "'" + x.replace("'", "''") + "'"
-
-
 def _queries_cte(source: str, weighted: bool) -> dict[str, str]:
     limit = query_lines.WEIGHTED if weighted else query_lines.UNWEIGHTED
     return {
@@ -94,7 +97,7 @@ def _queries_cte(source: str, weighted: bool) -> dict[str, str]:
 
 
 _BENCHMARK = "SELECT CAST(item_id AS VARCHAR) || ':' || text AS line FROM benchmark"
-_LITERAL = " UNION ALL ".join(f"SELECT {_quote(x)} AS line" for x in LINES)
+_LINES = f"SELECT {LINE} AS line FROM conversations"
 
 _CTE = {
     "tok": f"SELECT doc_id, unnest(regexp_split_to_array(text, '{_SPACE}')) AS term FROM documents",
@@ -239,19 +242,19 @@ def docmap(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- queries --------------------------------------------------------------------------------------------------------
 
 
-@_query("parse_queries", _with(_queries_cte(_LITERAL, True), "SELECT qid, token, freq, pos FROM qm", ()))
+@_query("parse_queries", _with(_queries_cte(_LINES, True), "SELECT qid, token, freq, pos FROM qm", ()))
 def parse_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_lines.bags(query_lines.parsed(literal_lines(spark))).select("qid", "token", "freq", "pos")
+    return query_lines.bags(query_lines.parsed(conversation_lines(spark, sf_dir))).select("qid", "token", "freq", "pos")
 
 
-@_query("rescale_weighted", _with(_queries_cte(_LITERAL, True), "SELECT qid, pos, token, weight FROM qt", ()))
+@_query("rescale_weighted", _with(_queries_cte(_LINES, True), "SELECT qid, pos, token, weight FROM qt", ()))
 def rescale_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_lines.from_lines(literal_lines(spark), weighted=True)
+    return query_lines.from_lines(conversation_lines(spark, sf_dir), weighted=True)
 
 
-@_query("rescale_unweighted", _with(_queries_cte(_LITERAL, False), "SELECT qid, pos, token, weight FROM qt", ()))
+@_query("rescale_unweighted", _with(_queries_cte(_LINES, False), "SELECT qid, pos, token, weight FROM qt", ()))
 def rescale_unweighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return query_lines.from_lines(literal_lines(spark), weighted=False)
+    return query_lines.from_lines(conversation_lines(spark, sf_dir), weighted=False)
 
 
 @_query("query_terms", _with(_queries_cte(_BENCHMARK, True), "SELECT qid, pos, token, weight FROM qt", ()))
@@ -272,9 +275,9 @@ def cycle_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query_lines.cycled(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid")), 1000)
 
 
-@_query("unknown_terms", _with(_queries_cte(_LITERAL, True), "SELECT qid, token FROM qt ANTI JOIN tdf ON tdf.term = qt.token", ("tok", "post", "tdf")))
+@_query("unknown_terms", _with(_queries_cte(_LINES, True), "SELECT qid, token FROM qt ANTI JOIN tdf ON tdf.term = qt.token", ("tok", "post", "tdf")))
 def unknown_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.unknown(index(spark, sf_dir).directory, query_lines.from_lines(literal_lines(spark), weighted=True))
+    return planning.unknown(index(spark, sf_dir).directory, query_lines.from_lines(conversation_lines(spark, sf_dir), weighted=True))
 
 
 @_query("segment_plan", _with(_planned(True), "SELECT qid, pos, token, impact, weight, count, level, CAST(prior AS BIGINT) AS prior, CAST(total AS BIGINT) AS total FROM pr"))
@@ -375,6 +378,34 @@ def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searches.search(indexes.read(spark, path), terms(spark, sf_dir, True), K, Mode(fraction=0.5), push=True)
 
 
+@_query("search_bucketed", _with(_searched(Mode(fraction=0.1), True), _RESULTS))
+def search_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On a stored index, whose tables meet the batch by their buckets."""
+    path = new_dir(spark, "index")
+    indexes.write(index(spark, sf_dir), path)
+    return searches.search(indexes.read(spark, path), terms(spark, sf_dir, True), K, Mode(fraction=0.1))
+
+
+@_query("block_tops", _with({}, f"SELECT term, doc_id >> {FINE} AS block, max(impact) AS top, count(*) AS count FROM imp GROUP BY term, doc_id >> {FINE}"))
+def block_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, block_bits=FINE).tops
+
+
+@_query("search_skipping", _with(_searched(EXHAUSTIVE, False), _RESULTS))
+def search_skipping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searches.search_skipping(index(spark, sf_dir, block_bits=FINE), terms(spark, sf_dir, False), K)
+
+
+@_query("search_skipping_fraction", _with(_searched(Mode(fraction=0.5), True), _RESULTS))
+def search_skipping_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searches.search_skipping(index(spark, sf_dir, block_bits=FINE), terms(spark, sf_dir, True), K, Mode(fraction=0.5), seeds=2)
+
+
+@_query("search_rounds", _with(_searched(EXHAUSTIVE, True), _RESULTS))
+def search_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounds.search_rounds(index(spark, sf_dir, block_bits=FINE), terms(spark, sf_dir, True), K).results
+
+
 # ---- interchange files ----------------------------------------------------------------------------------------------
 
 def ciff_files(spark: SparkSession, sf_dir: str) -> str:
@@ -419,46 +450,62 @@ def ciff_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return indexes.from_ciff(spark, ciff_files(spark, sf_dir)).directory
 
 
+@_query(
+    "ciff_lookup",
+    _with(
+        {
+            "nb": f"SELECT doc_id >> {BLOCK_BITS} AS f, term, row_number() OVER (PARTITION BY doc_id >> {BLOCK_BITS} ORDER BY encode(term)) - 1 AS number FROM (SELECT DISTINCT doc_id >> {BLOCK_BITS} << {BLOCK_BITS} AS doc_id, term FROM post)",
+        },
+        f"SELECT p.term, p.doc_id, p.tf FROM post p JOIN nb ON nb.term = p.term AND nb.f = p.doc_id >> {BLOCK_BITS} WHERE nb.number % 1000 = 0",
+        ("tok", "post"),
+    ),
+)
+def ciff_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 1,000th list of each file, by its number, from the stored positions."""
+    path = ciff_files(spark, sf_dir)
+    ciff.positions(spark, path)
+    numbers = [(f << ciff.FILE_BITS) + n for f, many in enumerate(ciff.sizes_of(path, "postings")) for n in range(0, many, 1000)]
+    return ciff.postings(ciff.lookup(spark, path, "postings", numbers))
+
+
 # ---- requests, run files, measurements ------------------------------------------------------------------------------
 
 
-_ERRORS = (
-    "CASE WHEN NOT json_valid(body) OR json_extract(body, '$.query.id') IS NULL OR json_extract(body, '$.query.tokens') IS NULL THEN 'no query' "
-    "WHEN coalesce(CAST(json_extract(body, '$.k') AS INTEGER), 0) < 1 THEN 'k must be at least 1' "
-    "WHEN (json_extract(body, '$.query_mode.Fraction') IS NULL) = (json_extract(body, '$.query_mode.Fixed') IS NULL) THEN 'one of Fraction and Fixed is needed' "
-    "WHEN CAST(json_extract(body, '$.query_mode.Fraction') AS DOUBLE) NOT BETWEEN 0 AND 1 THEN 'Fraction must be from 0 to 1' END"
-)
-_BODIES = " UNION ALL ".join(f"SELECT {_quote(x)} AS body" for x in REQUESTS)
+_REQUESTS = _queries_cte(_BENCHMARK, True) | {
+    "rq": f"SELECT qid, {', '.join(f'{x} AS {name}' for name, x in ASKED.items())} FROM (SELECT DISTINCT qid FROM qt)",
+    "er": "SELECT qid, CASE WHEN k < 1 THEN 'k must be at least 1' WHEN rho > 1 THEN 'Fraction must be from 0 to 1' END AS error FROM rq",
+}
 
 
-@_query("request_errors", f"""SELECT body, '{{"error":"' || error || '"}}' AS response FROM (SELECT body, {_ERRORS} AS error FROM ({_BODIES})) WHERE error IS NOT NULL""")
+@_query("request_errors", _with(_REQUESTS, """SELECT qid AS id, '{"error":"' || error || '"}' AS response FROM er, range(2) WHERE error IS NOT NULL""", ()))
 def request_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.error_bodies(requests.parsed(spark.createDataFrame([(x,) for x in REQUESTS], "value string")))
+    bodies = requests.error_bodies(requests.parsed(request_rows(spark, sf_dir)))
+    return bodies.select(F.get_json_object("body", "$.query.id").cast("long").alias("id"), "response")
 
 
 @_query(
     "request_results",
     _with(
-        {
-            "qt": "SELECT * FROM (VALUES (0, CAST(1 AS BIGINT), 0, 'the', 1, 5, NULL), (0, 1, 1, 'of', 2, 5, NULL), (1, 2, 0, 'of', 3, 3, 200), (1, 2, 1, 'of', 1, 3, 200), "
-            "(2, 1, 0, 'the', 1, 5, NULL), (2, 1, 1, 'of', 2, 5, NULL), (3, 2, 0, 'la', 1, 2, 100000)) v(r, qid, pos, token, weight, k, budget)",
-            "pl": "SELECT q.*, d.impact, d.count, CAST(d.impact AS BIGINT) * q.weight AS level FROM dir d JOIN qt q ON q.token = d.term",
-            "pr": "SELECT *, coalesce(sum(count) OVER (PARTITION BY r ORDER BY level DESC, pos, impact DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM pl",
-            "acc": "SELECT s.r, any_value(s.qid) AS qid, any_value(s.k) AS k, i.doc_id, CAST(sum(s.level) AS BIGINT) AS score FROM (SELECT * FROM pr WHERE budget IS NULL OR prior <= budget) s JOIN imp i ON i.term = s.token AND i.impact = s.impact GROUP BY s.r, i.doc_id HAVING sum(s.level) > 0",
-            "rk": "SELECT qid, k, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM acc",
+        _REQUESTS
+        | {
+            "pl": "SELECT q.qid, q.pos, q.token, d.impact, d.count, CAST(d.impact AS BIGINT) * q.weight AS level, r.k, r.rho, r.fixed FROM dir d JOIN qt q ON q.token = d.term JOIN rq r ON r.qid = q.qid JOIN er e ON e.qid = q.qid WHERE e.error IS NULL",
+            "pr": "SELECT *, coalesce(sum(count) OVER (PARTITION BY qid ORDER BY level DESC, pos, impact DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior, sum(count) OVER (PARTITION BY qid) AS total FROM pl",
+            "acc": "SELECT s.qid, any_value(s.k) AS k, i.doc_id, CAST(sum(s.level) AS BIGINT) AS score FROM (SELECT * FROM pr WHERE prior <= CASE WHEN rho = 1 THEN total WHEN rho IS NOT NULL THEN ceil(CAST(total AS FLOAT) * CAST(rho AS FLOAT)) ELSE fixed END) s "
+            "JOIN imp i ON i.term = s.token AND i.impact = s.impact GROUP BY s.qid, i.doc_id HAVING sum(s.level) > 0",
+            "rk": "SELECT qid, k, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM acc",
         },
-        "SELECT qid, rank, r.doc_id, d.ext_id, score FROM rk r JOIN dl d ON d.doc_id = r.doc_id WHERE rank <= k",
+        "SELECT qid, rank, r.doc_id, d.ext_id, score FROM rk r JOIN dl d ON d.doc_id = r.doc_id, range(2) WHERE rank <= k",
     ),
 )
 def request_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return serve.answered(index(spark, sf_dir), spark.createDataFrame([(x,) for x in REQUESTS], "value string"))
+    return serve.answered(index(spark, sf_dir), request_rows(spark, sf_dir))
 
 
 @_query("stream_results", ORACLES["request_results"])
 def stream_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same requests, arriving as a stream."""
     source, out = new_dir(spark, "requests"), new_dir(spark, "answers")
-    spark.createDataFrame([(x,) for x in REQUESTS], "value string").write.text(source)
+    request_rows(spark, sf_dir).write.text(source)
     query = serve.serve(index(spark, sf_dir), spark.readStream.text(source), lambda rows, _: rows.write.mode("append").parquet(out), checkpoint=new_dir(spark, "offsets"))
     query.awaitTermination()
     return spark.read.schema(RESULTS).parquet(out)

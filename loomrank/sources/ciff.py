@@ -462,15 +462,21 @@ def read(spark: SparkSession, path: str, table: str = "postings", split: int = S
     return spark.read.format("ciff").option("table", table).option("split", split).load(path)
 
 
+def sizes_of(path: str, table: str) -> list[int]:
+    """The lists or documents of each file, as its header counts them."""
+    sizes = []
+    for at in files(path):
+        with opened(path, at) as f:
+            sizes.append(decode_header(f.read(_length(f) or 0))[1 if table == "postings" else 2])
+    return sizes
+
+
 def lookup(spark: SparkSession, path: str, table: str, posns: list[int]) -> DataFrame:
     """The lists or documents of the given positions: a file's n-th has n, with the file's number above FILE_BITS bits.
 
     With stored positions each is read by itself, from at most STRIDE messages before it; numbers beyond the table are refused.
     """
-    sizes = []
-    for at in files(path):
-        with opened(path, at) as f:
-            sizes.append(decode_header(f.read(_length(f) or 0))[1 if table == "postings" else 2])
+    sizes = sizes_of(path, table)
     for posn in posns:
         number, n = divmod(posn, 1 << FILE_BITS)
         if not (0 <= number < len(sizes) and 0 <= n < sizes[number]):

@@ -17,6 +17,7 @@ from loomrank.operators import planning, ranking
 from loomrank.operators.planning import Mode
 from loomrank.plans.index import Index
 from loomrank.sources import requests
+from loomrank.storage import saved
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -27,7 +28,7 @@ def answered(index: Index, rows: DataFrame, column: str = "value", numbered: boo
     Every request is answered by itself, whatever other requests have its id;
     numbered: with its number within the batch.
     """
-    parsed = requests.parsed(rows, column)
+    parsed = saved(requests.parsed(rows, column), "requests")  # numbered once, whatever the rows come from
     valid = parsed.where("error IS NULL")
     wanted = valid.select(F.col("request").alias("qid"), "k", "rho", F.col("budget").alias("fixed"))
     names = valid.select("request", F.col("qid").alias("name"))
