@@ -1,17 +1,17 @@
-"""Removal of repeated passages by distributed prefix doubling.
+"""Removal of repeated passages: starts are grouped by content-chosen anchors and then decided in shrinking runs.
 
 A byte goes if it lies in a string of `length` bytes that also starts anywhere
-else.  Ranking every suffix of the corpus would sort one row per byte and round.
-Here positions are ranked in runs, from short prefixes to the full length:
+else.  This isn't a suffix array by prefix doubling, which would sort one row per
+byte and round (see the README); positions are counted in runs instead:
 
-* Round 0 ranks content-chosen anchors.  The anchor of a start p is the leftmost
+* Round 0 counts anchors.  The anchor of a start p is the leftmost
   k-gram with the smallest hash among the first `length - k + 1` k-grams of
   p's string.  Equal strings have their anchors at equal offsets, so all starts
   whose anchor's k-gram is unique are unique and leave at once.
-* Each round then pairs the rank of a run's common core with the rank of the
+* Each round then pairs the count of a run's common core with that of the
   whole stretch which its starts cover: runs with a unique core leave as unique,
   runs whose stretch repeats leave as repeated, the rest is cut into shorter runs
-  (with longer cores) and ranked anew, down to single starts whose core is the
+  (with longer cores) and counted anew, down to single starts whose core is the
   full string.
 
 What repeats is decided by two 64-bit digests of the whole stretch beside its core's
@@ -317,7 +317,9 @@ def report(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
 def cleaned(docs: DataFrame, length: int = 200, k: int = 72) -> DataFrame:
     """The documents, all columns, without their repeated passages (in whole characters); null texts stay null.
 
-    A column n_chars, if there is one, gets the new number of characters.
+    A column n_chars, if there is one, gets the new number of characters.  Rows that
+    repeat are copies of each other, so both lose what is long enough; an empty table
+    gives no rows.
     """
     (joined, starts), columns = _joined(docs, length, k), docs.columns
 

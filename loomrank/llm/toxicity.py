@@ -414,5 +414,8 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that aren't predicted toxic, all columns; no row moves to another task."""
+    """The documents that aren't predicted toxic, all columns; no row moves to another task.
+
+    Null and empty texts have no evidence and stay where plain ones do; rows that repeat stay or go together.
+    """
     return docs.mapInArrow(_score(train(docs, labels.where(in_training())), threshold), docs.schema)
