@@ -37,7 +37,7 @@ def _stage(f: Stage) -> Stage:
 
 @_stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.3; labels teach the model and decide nothing."""
+    """Documents that score below 0.3; labels teach the model and decide nothing.  Null and empty texts are scored without evidence."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"), threshold=0.3)
 
 
@@ -55,7 +55,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @_stage
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document with its place in a sequence of 1024 tokens."""
+    """One row per piece of a document with its place in a sequence of 1024 tokens; a null or empty text is its end id alone."""
     return packing.packed(docs, tokenizer("byte_bpe_50k.json"), capacity=1024, end_id=2)
 
 
