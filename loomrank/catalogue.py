@@ -20,12 +20,13 @@ from loomrank.sinks import ciff as ciff_sink
 from loomrank.sinks import runs
 from loomrank.sources import ciff, query_lines, requests, text
 from loomrank.storage import new_dir
+from loomrank.streaming import latency as stream_latency
 from loomrank.streaming import serve
 
 K = 10
 THRESHOLD = 20
 #: Bits of ids in a block where searches are to skip blocks.
-FINE = 8
+FINE = 4
 #: Query lines out of conversations, in the words of both engines: ids with and without sign, bad and missing ones, no tokens, tokens that repeat beyond the largest weight.
 LINE = """CASE turn % 6 WHEN 0 THEN CAST(100 * conv_id + turn AS STRING) || ':' || text WHEN 1 THEN '+' || CAST(100 * conv_id + turn AS STRING) || ':' || repeat(text || ' ', 40) || ' once'
     WHEN 2 THEN text WHEN 3 THEN '-' || CAST(100 * conv_id + turn AS STRING) || ':' || text WHEN 4 THEN CAST(100 * conv_id + turn AS STRING) || ':  ' ELSE 'x' || CAST(100 * conv_id + turn AS STRING) || ':' || text END"""
@@ -562,6 +563,25 @@ def latency_without_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latency.without_warmup(table(spark, sf_dir, "events").select("event_id", "value"), "event_id")
 
 
+_RANKED = "WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, value AS x, row_number() OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY value) - 1 AS r, count(value) OVER (PARTITION BY strftime(ts, '%Y-%m-%d')) AS n FROM events)"
+
+
+@_query(
+    "latency_windows",
+    f"{_RANKED} SELECT day, count(x) AS samples, count(*) - count(x) AS errors, "
+    + ", ".join(f"max(CASE WHEN r = least(n - 1, CAST(floor(CAST(n AS FLOAT) * CAST({p} AS FLOAT)) AS BIGINT)) THEN x END) AS {name}" for name, p in latency.SHARES.items())
+    + ", max(x) AS max, round(avg(x), 6) AS mean FROM s GROUP BY day",
+)
+def latency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of measured times, by day."""
+    source, out = f"{sf_dir}/events.parquet", new_dir(spark, "windows")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(source)
+    query = stream_latency.watched(stream, "ts", ["value"], lambda rows, _: rows.write.mode("overwrite").parquet(out), width="1 day", whole=True, checkpoint=new_dir(spark, "offsets"))
+    query.awaitTermination()
+    rows = spark.read.parquet(out)
+    return rows.select(F.date_format("began", "yyyy-MM-dd").alias("day"), "samples", "errors", *latency.SHARES, "max", F.round("mean", 6).alias("mean"))
+
+
 # ---- encodings ------------------------------------------------------------------------------------------------------
 
 _GAPS = {

@@ -58,9 +58,8 @@ def main(argv: list[str] | None = None) -> int:
     terms = terms.persist()
     for row in planning.unknown(index.directory, terms).toLocalIterator():  # every one, a partition at a time
         log.warning("query %d: unknown token %s", row["qid"], row["token"])
-    if args.warmup:
-        searches.warmup(index, terms)
-    results = searches.search(index, terms, args.k, args.mode, push=True).persist()
+    warm = searches.warmed(index, terms) if args.warmup else None
+    results = searches.search(index, terms, args.k, args.mode, push=True, warm=warm).persist()
     seconds, rows = timed(results.count)
     if args.output_file:
         runs.write(runs.trec(results), args.output_file)

@@ -94,6 +94,21 @@ def uncut(query_terms: DataFrame) -> DataFrame:
     return query_terms.select("qid", "pos", "token", "weight", F.lit(0).alias("cut"))
 
 
+def bands(plan: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """qid, pos, token, weight, and for each share the lowest impact within it (cut_i) and the highest beyond it (next_i; 0 if none).
+
+    plan: with_prior()'s.  A segment is within a share if it ends within it, so the
+    long lists at the end stay out of all but the last.  A token with nothing within
+    a share has a cut above its highest impact.
+    """
+    columns = []
+    for i, share in enumerate(shares):
+        within = F.col("prior") + F.col("count") <= share * F.col("total")
+        columns.append(F.coalesce(F.min(F.when(within, F.col("impact"))), F.max("impact") + 1).alias(f"cut_{i}"))
+        columns.append(F.coalesce(F.max(F.when(~within, F.col("impact"))), F.lit(0)).alias(f"next_{i}"))
+    return plan.groupBy("qid", "pos", "token", "weight").agg(*columns, F.max("impact").alias("most"))
+
+
 def cells(cuts: DataFrame, tops: DataFrame) -> DataFrame:
     """qid, term, weight, cut, block and top: the blocks where a token has segments to process."""
     found = tops.select("term", "block", "top").join(cuts.select("qid", F.col("token").alias("term"), "weight", "cut"), "term")

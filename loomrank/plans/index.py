@@ -127,12 +127,12 @@ def _name(path: str, table: str) -> str:
     return f"loomrank_{hashlib.sha256(path.encode()).hexdigest()[:24]}_{table}"
 
 
-def _bucketed(df: DataFrame, path: str, table: str, buckets: int) -> None:
+def _bucketed(df: DataFrame, path: str, table: str, buckets: int, options: dict[str, str]) -> None:
     """A bucketed table at a path: a file a bucket.  The catalogue's entry goes again, the files stay."""
     spark, (keys, order) = df.sparkSession, BUCKETS[table]
     name = _name(path, f"{table}_new")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*order).option("path", f"{path}/{table}").saveAsTable(name)
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*order).options(**options).option("path", f"{path}/{table}").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")
 
 
@@ -145,23 +145,35 @@ def _opened(spark: SparkSession, path: str, table: str, schema: str, buckets: in
     return spark.table(name)
 
 
-def write(index: Index, path: str, buckets: int | None = None) -> None:
-    """The index's tables in a new folder, and last its manifest; a folder that has files is refused."""
+def write(index: Index, path: str, buckets: int | None = None, codecs: dict[str, str] | None = None) -> None:
+    """The index's tables in a new folder, and last its manifest; a folder that has files is refused.
+
+    codecs: the Parquet codec of a table ("blocks", "tops", "directory", "docs"), such as zstd or uncompressed; stored_bytes() tells what they take.
+    """
+    wrong = set(codecs or ()) - set(TABLES)
+    if wrong:
+        raise ValueError(f"no such tables: {', '.join(sorted(wrong))}")
+    options = {t: {"compression": c} for t, c in (codecs or {}).items()}
     spark = index.docs.sparkSession
-    index.docs.write.parquet(f"{path}/docs")
+    index.docs.write.options(**options.get("docs", {})).parquet(f"{path}/docs")
     tokens = spark.read.parquet(f"{path}/docs").agg(F.sum("doc_len")).first()[0] or 0  # at least as many as postings
     n = buckets or max(8, -(-tokens // BUCKET))
-    _bucketed(index.blocks, path, "blocks", n)
+    _bucketed(index.blocks, path, "blocks", n, options.get("blocks", {}))
     blocks = _opened(spark, path, "blocks", _ddl(index.blocks), n)
     rest = _derived(spark.read.parquet(f"{path}/docs"), index.average, index.largest, blocks, index.bits, index.block_bits, [])  # scored once: all else comes from what is stored
-    _bucketed(rest.directory, path, "directory", n)
-    _bucketed(rest.tops, path, "tops", n)
+    _bucketed(rest.directory, path, "directory", n, options.get("directory", {}))
+    _bucketed(rest.tops, path, "tops", n, options.get("tops", {}))
     rest.stats.write.parquet(f"{path}/stats")
     facts = {"buckets": n, "block_bits": index.block_bits, "schemas": {t: _ddl(getattr(rest, t)) for t in BUCKETS}}
     storage.commit(spark, path, list(TABLES), facts)
     index.release()
 
 
+def stored_bytes(spark: SparkSession, path: str) -> dict[str, int]:
+    """What each table's files take, as the manifest has it."""
+    return storage.lengths(spark, path)
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

@@ -1,6 +1,6 @@
 """Exact search from the highest levels downwards, in rounds, until a query's best documents are settled.
 
-Each round processes the next band of a query's segments and adds to accumulators
+Each round processes the next band of a query's segments, whole ones only, and adds to accumulators
 that lie in files.  What is left of a query has an upper bound: the sum over its
 tokens of the highest level that hasn't been processed.  Where the k-th best partial
 score is beyond that bound, no document that hasn't been met can be among the k
@@ -25,8 +25,8 @@ from loomrank.storage import saved
 
 #: Of a query's postings what each round goes up to; the last round takes all.
 SHARES = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
-#: Documents whose scores a leaving query completes one by one; with more it stays for another round.
-CANDIDATES = 1000
+#: A query leaves if its candidates' blocks hold at most this share of the postings that it hasn't read.
+WORTH = 0.5
 
 
 @dataclass
@@ -49,26 +49,13 @@ class Rounds:
         return sum(r.postings for r in self.log)
 
 
-def bands(plan: DataFrame, shares: tuple[float, ...]) -> DataFrame:
-    """qid, pos, token, weight, and for each share the lowest impact within it (cut_i) and the highest beyond it (next_i; 0 if none).
-
-    plan: with_prior()'s.  A token with nothing within a share has a cut above its highest impact.
-    """
-    columns = []
-    for i, share in enumerate(shares):
-        within = F.col("prior") < share * F.col("total")
-        columns.append(F.coalesce(F.min(F.when(within, F.col("impact"))), F.max("impact") + 1).alias(f"cut_{i}"))
-        columns.append(F.coalesce(F.max(F.when(~within, F.col("impact"))), F.lit(0)).alias(f"next_{i}"))
-    return plan.groupBy("qid", "pos", "token", "weight").agg(*columns, F.max("impact").alias("most"))
-
-
 def read_postings(cells: DataFrame, blocks: DataFrame) -> int:
     """The postings that hits() explodes."""
     met = blocks.select("term", "block", "impact", F.size("docs").alias("n")).join(cells.select("term", "block", "cut", "upper"), ["term", "block"])
     return met.where("impact >= cut AND impact < upper").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def search_rounds(index: Index, query_terms: DataFrame, k: int = 10, shares: tuple[float, ...] = SHARES, candidates: int = CANDIDATES, measured: bool = False) -> Rounds:
+def search_rounds(index: Index, query_terms: DataFrame, k: int = 10, shares: tuple[float, ...] = SHARES, worth: float = WORTH, measured: bool = False) -> Rounds:
     """The results of an exhaustive search; measured: the log counts the postings that were read, which takes a scan of its own.
 
     Queries without known tokens give no results, as in search().  Small blocks
@@ -76,8 +63,8 @@ def search_rounds(index: Index, query_terms: DataFrame, k: int = 10, shares: tup
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    plan = planning.with_prior(planning.planned(index.directory, query_terms))
-    active = saved(bands(plan, shares), "bands")
+    plan = saved(planning.with_prior(planning.planned(index.directory, query_terms)), "plan")
+    active = saved(planning.bands(plan, shares), "bands")
     blocks, log, done = index.blocks, [], []
     scores: DataFrame | None = None
     shift = index.block_bits
@@ -97,13 +84,16 @@ def search_rounds(index: Index, query_terms: DataFrame, k: int = 10, shares: tup
             break
         rest = active.groupBy("qid").agg(F.sum(F.col(f"next_{i}").cast("long") * F.col("weight")).alias("rest"))
         met = scores.join(ranking.thresholds(scores, k), "qid").join(rest, "qid").where("theta > rest AND score + rest >= theta")
-        few = met.groupBy("qid").count().where(F.col("count") <= candidates).select("qid")
-        chosen = saved(met.join(few, "qid", "left_semi").select("qid", "doc_id", "score", F.shiftright("doc_id", shift).cast("int").alias("block")), "candidates")
-        leaving = saved(chosen.select("qid").distinct(), "leaving")
+        met = saved(met.select("qid", "doc_id", "score", F.shiftright("doc_id", shift).cast("int").alias("block")), "candidates")
+        below = active.select("qid", "token", "weight", F.lit(0).alias("cut"), F.col(f"cut_{i}").alias("upper"))
+        more = saved(_cells(below, index).join(met.select("qid", "block").distinct(), ["qid", "block"], "left_semi"), "cells")
+        cost = more.groupBy("qid").agg(F.sum("count").alias("cost"))
+        unread = plan.where(F.col("prior") + F.col("count") > share * F.col("total")).groupBy("qid").agg(F.sum("count").alias("unread"))
+        settled = met.select("qid").distinct().join(cost, "qid", "left").join(unread, "qid", "left")
+        leaving = saved(settled.where(F.coalesce("cost", F.lit(0)) <= worth * F.coalesce("unread", F.lit(0))).select("qid"), "leaving")
         left = leaving.count()
         if left:
-            below = active.join(leaving, "qid", "left_semi").select("qid", "token", "weight", F.lit(0).alias("cut"), F.col(f"cut_{i}").alias("upper"))
-            more = _cells(below, index).join(chosen.select("qid", "block").distinct(), ["qid", "block"], "left_semi")
+            chosen, more = (x.join(leaving, "qid", "left_semi") for x in (met, more))
             added = ranking.hits(more, blocks).join(chosen.select("qid", "doc_id"), ["qid", "doc_id"], "left_semi").groupBy("qid", "doc_id").agg(F.sum("level").alias("added"))
             full = chosen.join(added, ["qid", "doc_id"], "left").select("qid", "doc_id", (F.col("score") + F.coalesce("added", F.lit(0))).alias("score"))
             done.append(saved(ranking.top_k(full, k), "results"))
@@ -120,5 +110,5 @@ def search_rounds(index: Index, query_terms: DataFrame, k: int = 10, shares: tup
 
 def _cells(band: DataFrame, index: Index) -> DataFrame:
     """The blocks where a band has something: cut and upper bound the impacts."""
-    found = index.tops.select("term", "block", "top").join(band.withColumnRenamed("token", "term").where("cut < upper"), "term")
-    return found.where("top >= cut").select("qid", "term", "weight", "cut", "upper", "block")
+    found = index.tops.join(band.withColumnRenamed("token", "term").where("cut < upper"), "term")
+    return found.where("top >= cut").select("qid", "term", "weight", "cut", "upper", "block", "count")

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomrank.operators import planning, ranking
 from loomrank.operators.planning import EXHAUSTIVE, Mode
+from loomrank.operators.segments import exploded
 from loomrank.plans.index import Index
 
 #: Terms of a batch that are looked up by a filter which reaches the Parquet scan; beyond, the join alone finds them.
@@ -33,6 +35,49 @@ def cuts(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, director
     return planning.cuts(planning.selected(planning.planned(index.directory if directory is None else directory, query_terms), mode))
 
 
+@dataclass
+class Warm:
+    """What a batch's tokens have in an index, held: their directory and tops, and of their highest segments the blocks and documents."""
+
+    tokens: DataFrame
+    directory: DataFrame
+    tops: DataFrame
+    blocks: DataFrame
+    docs: DataFrame
+
+    def unpersist(self) -> None:
+        for x in (self.tokens, self.directory, self.tops, self.blocks, self.docs):
+            x.unpersist()
+
+
+def warmed(index: Index, query_terms: DataFrame) -> Warm:
+    """Reads a batch's tokens and their highest segments once and holds them, on disk where memory ends."""
+    tokens = query_terms.select(F.col("token").alias("term")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    directory, tops = (x.join(tokens, "term", "left_semi").persist(StorageLevel.MEMORY_AND_DISK) for x in (index.directory, index.tops))
+    high = planning.warmup(directory, query_terms.select("token")).select("term", "impact")
+    blocks = index.blocks.join(high, ["term", "impact"], "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    docs = index.docs.join(exploded(blocks).distinct(), "doc_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+    for x in (directory, tops, blocks, docs):
+        x.count()
+    return Warm(tokens, directory, tops, blocks, docs)
+
+
+def _from_warm(index: Index, warm: Warm, query_terms: DataFrame, mode: Mode, wrap: bool) -> tuple[DataFrame, bool] | None:
+    """Scores, and whether all of them come from what is held; None where the batch has tokens that weren't warmed."""
+    if not query_terms.join(warm.tokens, F.col("token") == F.col("term"), "left_anti").isEmpty():
+        return None
+    highest = warm.directory.groupBy(F.col("term").alias("token")).agg(F.max("impact").alias("highest"))
+    down = cuts(index, query_terms, mode, warm.directory).join(highest, "token")
+    high = down.where("cut <= highest").withColumn("cut", F.col("highest"))
+    hits = ranking.hits(planning.cells(high, warm.tops), warm.blocks)
+    below = down.where("cut < highest")
+    whole = below.isEmpty()
+    if not whole:
+        cells = planning.cells(below, warm.tops).join(highest.select(F.col("token").alias("term"), F.col("highest").alias("upper")), "term")
+        hits = hits.unionByName(ranking.hits(cells, index.blocks))
+    return ranking.summed(hits, wrap), whole
+
+
 def scores(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, wrap: bool = False, push: bool = False) -> DataFrame:
     directory, blocks = narrowed(index, query_terms) if push else (index.directory, index.blocks)
     cells = planning.cells(cuts(index, query_terms, mode, directory), index.tops)
@@ -40,7 +85,7 @@ def scores(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, wrap:
 
 
 def search(
-    index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, pad: bool = False, wrap: bool = False, push: bool = False,
+    index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, pad: bool = False, wrap: bool = False, push: bool = False, warm: Warm | None = None,
 ) -> DataFrame:
     """results: qid, rank, doc_id, ext_id, score of the k best documents of every query.
 
@@ -48,13 +93,16 @@ def search(
     pad: queries with fewer than k matching documents get zero scores of the
     lowest ids.  wrap: 16-bit levels and sums.  push: a batch of few terms also
     filters the scan by them, so that row groups of a stored index are skipped.
+    warm: what warmed() holds is read from there; a batch that needs no more, as
+    one with a budget of zero, reads no storage.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    found = scores(index, query_terms, mode, wrap, push)
+    held = _from_warm(index, warm, query_terms, mode, wrap) if warm else None
+    found = held[0] if held else scores(index, query_terms, mode, wrap, push)
     if pad:
         found = ranking.padded(found, query_terms.select("qid").distinct(), k, index.num_docs)
-    return ranking.named(ranking.top_k(found, k), index.docs)
+    return ranking.named(ranking.top_k(found, k), warm.docs if held and held[1] and not pad else index.docs)
 
 
 @dataclass
@@ -66,30 +114,37 @@ class Skipping:
     read: DataFrame
 
 
-def skipping(index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, seeds: int = 1) -> Skipping:
+def skipping(index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, seeds: int = 1, share: float = 1 / 8) -> Skipping:
     """Scores by blocks, without those blocks that can't reach the k best.
 
-    A block's bound is the sum of its tokens' largest levels.  First each query's
-    `seeds` blocks of the highest bound are scored; their k-th best score is a
-    threshold that the k-th best of all can't be below.  Then only blocks whose bound
-    reaches the threshold are read: one that equals it may hold a document with a
-    smaller id.  Queries with fewer than k documents in their seeds read all blocks.
+    A block's bound is the sum of its tokens' largest levels.  The first round gives
+    a threshold that the k-th best score can't be below: the k-th best of the partial
+    scores from the highest segments (a `share` of the query's postings), or of the
+    whole scores in the query's `seeds` blocks of the highest bound, whichever is
+    more.  The second round reads only blocks whose bound reaches it; one that equals
+    it may hold a document with a smaller id.  Queries with fewer than k documents in
+    the first round read all blocks.
     """
-    cells = planning.cells(cuts(index, query_terms, mode), index.tops)
+    down = cuts(index, query_terms, mode)
+    cells = planning.cells(down, index.tops)
     bounds = cells.groupBy("qid", "block").agg(F.sum(F.col("top").cast("long") * F.col("weight")).alias("bound"))
     order = Window.partitionBy("qid").orderBy(F.desc("bound"), "block")
     first = bounds.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= seeds).select("qid", "block")
-    seeded = ranking.summed(ranking.hits(cells.join(first, ["qid", "block"], "left_semi"), index.blocks))
-    alive = bounds.join(ranking.thresholds(seeded, k), "qid", "left").where("theta IS NULL OR bound >= theta").select("qid", "block")
+    seeded = ranking.thresholds(ranking.summed(ranking.hits(cells.join(first, ["qid", "block"], "left_semi"), index.blocks)), k)
+    high = planning.bands(planning.with_prior(planning.planned(index.directory, query_terms)), (share,))
+    high = high.join(down.select("qid", "pos", "cut"), ["qid", "pos"]).withColumn("cut", F.greatest("cut", "cut_0"))
+    partial = ranking.thresholds(ranking.summed(ranking.hits(planning.cells(high, index.tops), index.blocks)), k)
+    theta = seeded.unionByName(partial).groupBy("qid").agg(F.max("theta").alias("theta"))
+    alive = bounds.join(theta, "qid", "left").where("theta IS NULL OR bound >= theta").select("qid", "block")
     read = cells.join(alive, ["qid", "block"], "left_semi")
     return Skipping(ranking.summed(ranking.hits(read, index.blocks)), cells, read)
 
 
-def search_skipping(index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, seeds: int = 1) -> DataFrame:
+def search_skipping(index: Index, query_terms: DataFrame, k: int = 10, mode: Mode = EXHAUSTIVE, seeds: int = 1, share: float = 1 / 8) -> DataFrame:
     """The results of search(), by skipping()."""
     if k < 1 or seeds < 1:
         raise ValueError("k and seeds must be at least 1")
-    return ranking.named(ranking.top_k(skipping(index, query_terms, k, mode, seeds).scores, k), index.docs)
+    return ranking.named(ranking.top_k(skipping(index, query_terms, k, mode, seeds, share).scores, k), index.docs)
 
 
 def fraction(index: Index, query_terms: DataFrame, rho: float, k: int = 10, **options) -> DataFrame:

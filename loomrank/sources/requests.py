@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from loomrank.schema import REQUEST
 
 
-def parsed(rows: DataFrame, column: str = "value") -> DataFrame:
-    """request (the row's number within the batch), qid, tokens, k, rho, budget, and error for what can't be served.
+def parsed(rows: DataFrame, column: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """request (the row's number within the batch), qid, tokens, k, rho, budget, error for what can't be served, and the columns to keep.
 
     Tokens keep their given order and may repeat; weights aren't rescaled.
     """
     r = F.from_json(column, REQUEST)
-    out = rows.select(F.monotonically_increasing_id().alias("request"), F.col(column).alias("body"), r.alias("r")).select(
-        "request", "body", F.col("r.query.id").alias("qid"), F.col("r.query.tokens").alias("tokens"), F.col("r.k").alias("k"), F.col("r.query_mode.Fraction").alias("rho"), F.col("r.query_mode.Fixed").alias("budget")
+    out = rows.select(F.monotonically_increasing_id().alias("request"), F.col(column).alias("body"), r.alias("r"), *(keep or [])).select(
+        "request", "body", *(keep or []), F.col("r.query.id").alias("qid"), F.col("r.query.tokens").alias("tokens"), F.col("r.k").alias("k"), F.col("r.query_mode.Fraction").alias("rho"), F.col("r.query_mode.Fixed").alias("budget")
     )
     error = (
         F.when(F.col("qid").isNull() | F.col("tokens").isNull(), "no query")

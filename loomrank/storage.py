@@ -56,6 +56,15 @@ def commit(spark: SparkSession, path: str, tables: list[str], facts: dict) -> No
     spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "nth long, value string").coalesce(1).sortWithinPartitions("nth").select("value").write.text(f"{path}/{MANIFEST}")
 
 
+def lengths(spark: SparkSession, path: str) -> dict[str, int]:
+    """Bytes by table, from a manifest."""
+    out: dict[str, int] = {}
+    for x in (json.loads(r["value"]) for r in spark.read.text(f"{path}/{MANIFEST}").collect()):
+        if "table" in x:
+            out[x["table"]] = out.get(x["table"], 0) + x["length"]
+    return out
+
+
 def committed(spark: SparkSession, path: str) -> dict:
     """The facts of a folder, once its files have been found to be those of its manifest."""
     try:

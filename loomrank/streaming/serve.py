@@ -28,7 +28,10 @@ def answered(index: Index, rows: DataFrame, column: str = "value", numbered: boo
     Every request is answered by itself, whatever other requests have its id;
     numbered: with its number within the batch.
     """
-    parsed = saved(requests.parsed(rows, column), "requests")  # numbered once, whatever the rows come from
+    return _answered(index, saved(requests.parsed(rows, column), "requests"), numbered)  # numbered once, whatever the rows come from
+
+
+def _answered(index: Index, parsed: DataFrame, numbered: bool) -> DataFrame:
     valid = parsed.where("error IS NULL")
     wanted = valid.select(F.col("request").alias("qid"), "k", "rho", F.col("budget").alias("fixed"))
     names = valid.select("request", F.col("qid").alias("name"))
@@ -42,6 +45,22 @@ def answered(index: Index, rows: DataFrame, column: str = "value", numbered: boo
     return out.select(*(["request"] if numbered else []), "qid", "rank", "doc_id", "ext_id", "score")
 
 
+def timed(index: Index, rows: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Answers of a batch of arrivals (nth, arrived and the request), and a row per request: nth, arrived, server and user.
+
+    server: microseconds that its batch took; user: those since it fell due.  Both
+    are null for a request that can't be served.
+    """
+    began = time.time()
+    parsed = saved(requests.parsed(rows, column, ["nth", "arrived"]), "requests")
+    answers = saved(_answered(index, parsed, True).join(parsed.select("request", "nth"), "request").drop("request"), "answers")
+    ended = time.time()
+    fine = F.col("error").isNull()
+    server = F.when(fine, F.lit(round((ended - began) * 1e6)).cast("double")).alias("server")
+    user = F.when(fine, F.lit(ended * 1e6) - F.unix_micros("arrived")).cast("double").alias("user")
+    return answers, parsed.select("nth", "arrived", server, user)
+
+
 def serve(index: Index, stream: DataFrame, sink: Sink, column: str = "value", checkpoint: str | None = None, trigger: dict | None = None) -> StreamingQuery:
     """Answers a stream of JSON requests; sink(results, batch id) gets each micro-batch's results."""
 

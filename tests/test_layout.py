@@ -72,16 +72,16 @@ def test_ties_at_the_threshold(spark):
     assert rows(searches.search_skipping(built, terms, 2)) == [(1, 1, 21, 5), (1, 2, 3, 3)]
 
 
-@pytest.mark.parametrize(("k", "candidates"), [(1, 1000), (5, 30), (10, 1000), (10, 0), (1000, 1000)])
-def test_rounds_equal_search(fine, batch, k, candidates):
-    got = rounds.search_rounds(fine, batch, k, candidates=candidates, measured=True)
+@pytest.mark.parametrize(("k", "worth"), [(1, 1.0), (5, 0.5), (10, 0.0), (1000, 1.0)])
+def test_rounds_equal_search(fine, batch, k, worth):
+    got = rounds.search_rounds(fine, batch, k, worth=worth, measured=True)
     assert rows(got.results) == rows(searches.search(fine, batch, k))
     total = planning.planned(fine.directory, batch).agg({"count": "sum"}).first()[0]
     assert got.postings <= total and got.log[0].queries >= got.log[-1].queries
     assert sum(r.left for r in got.log) == got.log[0].queries
     if k == 1:
         assert got.postings < total / 2 and len(got.log) > 1
-    if not candidates:
+    if not worth:
         assert [r.left for r in got.log[:-1]] == [0] * (len(got.log) - 1)
 
 
@@ -148,3 +148,33 @@ def test_ids_of_32_bits(spark, tmp_path):
 def test_offsets_take_two_bytes(fine):
     assert fine.blocks.schema["docs"].dataType.elementType.simpleString() == "smallint"
     assert segments.absolute(fine.blocks).schema["docs"].dataType.elementType.simpleString() == "int"
+
+
+def test_a_warm_batch_without_budget_reads_no_storage(spark, fine, batch, tmp_path):
+    path = f"{tmp_path}/index"
+    indexes.write(fine, f"file://{path}")
+    stored = indexes.read(spark, f"file://{path}")
+    modes = [Mode(fixed=0), Mode(fixed=-1), Mode(fraction=0.3), Mode(fraction=1.0)]
+    want = [rows(searches.search(fine, batch, 8, m)) for m in modes]
+    warm = searches.warmed(stored, batch)
+    assert [rows(searches.search(stored, batch, 8, m, warm=warm)) for m in modes] == want
+    other = spark.createDataFrame([(1, 0, "w1", 1), (1, 1, "t3-1", 2), (1, 2, "t29-5", 1)], QUERY)  # not all of it was warmed
+    assert rows(searches.search(stored, other, 8, warm=warm)) == rows(searches.search(fine, other, 8))
+    os.rename(path, f"{path}-away")
+    assert rows(searches.search(stored, batch, 8, Mode(fixed=0), warm=warm)) == want[0]
+    with pytest.raises(Exception, match="(?i)exist|not found|no such"):
+        searches.search(stored, batch, 8, warm=warm).collect()
+    os.rename(f"{path}-away", path)
+    warm.unpersist()
+
+
+def test_codecs_change_bytes_and_nothing_else(spark, fine, batch, tmp_path):
+    paths = {c: f"file://{tmp_path}/{c}" for c in ("uncompressed", "zstd")}
+    for codec, path in paths.items():
+        indexes.write(fine, path, buckets=2, codecs={"blocks": codec, "tops": codec})
+    one, two = (indexes.read(spark, p) for p in paths.values())
+    assert rows(searches.search(one, batch)) == rows(searches.search(two, batch)) == rows(searches.search(fine, batch))
+    plain, packed = (indexes.stored_bytes(spark, p) for p in paths.values())
+    assert set(plain) == set(indexes.TABLES) and packed["blocks"] < plain["blocks"] and packed["tops"] < plain["tops"]
+    with pytest.raises(ValueError, match="no such tables"):
+        indexes.write(fine, f"file://{tmp_path}/x", codecs={"postings": "zstd"})
