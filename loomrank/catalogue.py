@@ -574,12 +574,14 @@ _RANKED = "WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS day, value AS x, row_nu
 )
 def latency_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream of measured times, by day."""
-    source, out = f"{sf_dir}/events.parquet", new_dir(spark, "windows")
+    source, out = new_dir(spark, "events"), new_dir(spark, "windows")
+    table(spark, sf_dir, "events").write.parquet(source)  # streams read folders, and the table may be a file
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(source)
+    stream = stream.withColumn("ts", F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp"))  # days are UTC's in any session
     query = stream_latency.watched(stream, "ts", ["value"], lambda rows, _: rows.write.mode("overwrite").parquet(out), width="1 day", whole=True, checkpoint=new_dir(spark, "offsets"))
     query.awaitTermination()
     rows = spark.read.parquet(out)
-    return rows.select(F.date_format("began", "yyyy-MM-dd").alias("day"), "samples", "errors", *latency.SHARES, "max", F.round("mean", 6).alias("mean"))
+    return rows.select(F.date_from_unix_date(F.floor(F.unix_micros("began") / 86_400_000_000).cast("int")).cast("string").alias("day"), "samples", "errors", *latency.SHARES, "max", F.round("mean", 6).alias("mean"))
 
 
 # ---- encodings ------------------------------------------------------------------------------------------------------

@@ -22,6 +22,7 @@ Sink = Callable[[DataFrame, int], None]
 def counted(times: DataFrame, at: str, columns: list[str], width: str, late: str) -> DataFrame:
     """began, kind (a column's name), x and n: how often each value occurs in each window of `at`; a null value is a result that failed."""
     kinds = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("double").alias("x")) for c in columns)))
+    times = times.withColumn(at, F.col(at).cast("timestamp"))  # watermarks need an instant
     rows = times.withWatermark(at, late) if times.isStreaming else times
     rows = rows.select(F.col(at), kinds.alias("v")).groupBy(F.window(at, width).alias("w"), F.col("v.kind").alias("kind"), F.col("v.x").alias("x")).agg(F.count("*").alias("n"))
     return rows.select(F.col("w.start").alias("began"), "kind", "x", "n")
