@@ -80,8 +80,15 @@ def _from_warm(index: Index, warm: Warm, query_terms: DataFrame, mode: Mode, wra
 
 def scores(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, wrap: bool = False, push: bool = False) -> DataFrame:
     directory, blocks = narrowed(index, query_terms) if push else (index.directory, index.blocks)
+    if not index.stored:  # tables that are held have no buckets, and segments meet them with one step less
+        return ranking.accumulated(planning.selected(planning.planned(directory, query_terms), mode), blocks, wrap)
+    return by_cells(index, query_terms, mode, wrap, directory, blocks)
+
+
+def by_cells(index: Index, query_terms: DataFrame, mode: Mode = EXHAUSTIVE, wrap: bool = False, directory: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """The same scores from cells (query, token, block), which meet stored blocks by their buckets."""
     cells = planning.cells(cuts(index, query_terms, mode, directory), index.tops)
-    return ranking.summed(ranking.hits(cells, blocks), wrap)
+    return ranking.summed(ranking.hits(cells, index.blocks if blocks is None else blocks), wrap)
 
 
 def search(
@@ -89,7 +96,8 @@ def search(
 ) -> DataFrame:
     """results: qid, rank, doc_id, ext_id, score of the k best documents of every query.
 
-    The batch's tokens become cells (query, token, block), cells meet the blocks.
+    On a stored index the batch's tokens become cells (query, token, block) that
+    meet the blocks; on one that is held its segments do.
     pad: queries with fewer than k matching documents get zero scores of the
     lowest ids.  wrap: 16-bit levels and sums.  push: a batch of few terms also
     filters the scan by them, so that row groups of a stored index are skipped.

@@ -49,7 +49,7 @@ def test_cells_give_what_segments_give(fine, batch, mode):
     plan = planning.selected(planning.planned(fine.directory, batch), mode)
     for wrap in (False, True):
         want = {(r["qid"], r["doc_id"], r["score"]) for r in ranking.accumulated(plan, fine.blocks, wrap).collect()}
-        assert {(r["qid"], r["doc_id"], r["score"]) for r in searches.scores(fine, batch, mode, wrap).collect()} == want
+        assert {(r["qid"], r["doc_id"], r["score"]) for r in searches.by_cells(fine, batch, mode, wrap).collect()} == want
 
 
 @pytest.mark.parametrize(("k", "seeds"), [(1, 1), (5, 1), (10, 3), (400, 1)])
