@@ -127,3 +127,13 @@ def test_requests(spark):
     rows = requests.parsed(spark.createDataFrame([(x,) for x in [good, *bad]], "value string"))
     assert rows.where("error IS NULL").count() == 1 and requests.error_bodies(rows).count() == len(bad)
     assert [(r["pos"], r["token"], r["weight"]) for r in requests.query_terms(rows).orderBy("pos").collect()] == [(0, "b", 2), (1, "a", 1), (2, "b", 1)]
+
+
+def test_tokens_are_counted_without_a_shuffle(spark):
+    docs = spark.createDataFrame([(0, "b a b  c b"), (1, None), (2, " \t"), (3, ""), (4, "a"), (5, "x x x")], "doc_id long, text string")
+    found = text.postings(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("a", 0, 1), ("a", 4, 1), ("b", 0, 3), ("c", 0, 1), ("x", 5, 3)]
+    assert {(r["doc_id"], r["doc_len"]) for r in text.counted(docs).collect()} == {(0, 5), (4, 1), (5, 3)}
+    again = docs.where("doc_id = 0").union(docs.where("doc_id = 0"))  # rows of one id still meet
+    assert sorted(map(tuple, text.postings(again).collect())) == [("a", 0, 2), ("b", 0, 6), ("c", 0, 2)]
