@@ -163,3 +163,10 @@ def test_long_lists_are_cut_into_blocks(spark):
     assert segments.joined(blocks).first()["docs"] == list(range(n)) and segments.directory(blocks).first()["count"] == n
     terms = spark.createDataFrame([(1, 0, "t", 1)], "qid long, pos int, token string, weight int")
     assert ranking.accumulated(planning.planned(segments.directory(blocks), terms), blocks).count() == n
+
+
+def test_scores_above_are_computed_once(spark):
+    scores = spark.range(300).selectExpr("id % 3 AS qid", "CAST(id AS INT) AS doc_id", "id % 50 AS score")
+    found = ranking.above(scores, 47)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == sorted((i % 3, i, i % 50) for i in range(300) if i % 50 > 47)
