@@ -63,6 +63,7 @@ def search_rounds(index: Index, query_terms: DataFrame, k: int = 10, shares: tup
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    index = index.of(query_terms, kept=True)
     plan = saved(planning.with_prior(planning.planned(index.directory, query_terms)), "plan")
     active = saved(planning.bands(plan, shares), "bands")
     blocks, log, done = index.blocks, [], []

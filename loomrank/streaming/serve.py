@@ -35,6 +35,7 @@ def _answered(index: Index, parsed: DataFrame, numbered: bool) -> DataFrame:
     valid = parsed.where("error IS NULL")
     wanted = valid.select(F.col("request").alias("qid"), "k", "rho", F.col("budget").alias("fixed"))
     names = valid.select("request", F.col("qid").alias("name"))
+    index = index.of(requests.query_terms(parsed))
     plan = planning.with_prior(planning.planned(index.directory, requests.query_terms(parsed))).join(wanted, "qid")
     share = F.ceil(F.col("total").cast("float") * F.col("rho").cast("float"))
     budget = F.when(F.col("rho") == 1, F.col("total")).otherwise(F.coalesce(share, "fixed"))

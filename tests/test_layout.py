@@ -178,3 +178,12 @@ def test_codecs_change_bytes_and_nothing_else(spark, fine, batch, tmp_path):
     assert set(plain) == set(indexes.TABLES) and packed["blocks"] < plain["blocks"] and packed["tops"] < plain["tops"]
     with pytest.raises(ValueError, match="no such tables"):
         indexes.write(fine, f"file://{tmp_path}/x", codecs={"postings": "zstd"})
+
+
+def test_the_directory_needs_no_shuffle_of_its_own(fine, batch):
+    for df in (fine.directory, fine.tops, fine.blocks):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan or "Exchange" not in plan
+        assert "Exchange" not in plan
+    assert {r["term"] for r in fine.of(batch).directory.collect()} == {r["term"] for r in fine.directory.collect()} & {r["token"] for r in batch.collect()}
+    assert fine.terms.distinct().count() == fine.directory.select("term").distinct().count()
