@@ -24,6 +24,7 @@ import struct
 from collections.abc import Iterator
 from typing import BinaryIO
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
@@ -42,6 +43,8 @@ SPLIT = 32 << 20
 STRIDE, POSITIONS = 256, ".positions"
 #: Beside a folder that our sink wrote.
 MANIFEST = ".manifest.json"
+#: Lookups that get a task each; more of them share tasks.
+LOOKUPS = 64
 #: Messages that must follow one another for a guessed beginning to be tried.
 CHAIN = 4
 #: A posn is the message's position in its file, with the file's number above so many bits.
@@ -157,6 +160,106 @@ def messages(f: BinaryIO, offset: int, many: int, first: int, table: str, skip:
         yield (first + i, *_DECODE[table](data))
 
 
+def _raw(f: BinaryIO, offset: int, many: int, skip: int) -> Iterator[bytes]:
+    """The bytes of messages."""
+    f.seek(offset)
+    for _ in range(skip):
+        f.seek(_length(f) or 0, os.SEEK_CUR)
+    for _ in range(many):
+        n = _length(f)
+        data = f.read(n)
+        if len(data) < n:
+            raise ValueError("the file ends inside a message")
+        yield data
+
+
+def _term(data: bytes) -> tuple[str, int] | None:
+    """The term that a list begins with, and where it ends; None where another field comes first."""
+    if data[:1] != b"\n":
+        return None
+    n, at = varint(data, 1)
+    return data[at : at + n].decode(), at + n
+
+
+def decode_lists(first: int, lists: list[bytes]) -> pa.RecordBatch:
+    """decode_postings() of many messages at once, with their positions from `first` on.
+
+    What follows a term is varints alone: df, cf, and for each posting a tag, a length, and
+    a tag and a value for its gap (left out where it is 0, as the first may be) and its tf.
+    Messages that aren't built so are decoded field by field.
+    """
+    terms, rests, odd = [], [], set()
+    for i, data in enumerate(lists):
+        found = _term(data)
+        rest = data[found[1] :] if found else b""
+        if not rest or rest[-1] >= 0x80:
+            odd.add(i)
+            rest = b"\0"
+        terms.append(found[0] if found else "")
+        rests.append(rest)
+    data = np.frombuffer(b"".join(rests), np.uint8)
+    ends = np.flatnonzero(data < 0x80)
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    sizes = ends - begins + 1
+    values = (data[begins] & 0x7F).astype(np.uint64)
+    for k in range(1, min(int(sizes.max(initial=0)), 10)):
+        longer = np.flatnonzero(sizes > k)
+        values[longer] |= (data[begins[longer] + k] & 0x7F).astype(np.uint64) << np.uint64(7 * k)
+    edges = np.concatenate([[0], np.searchsorted(ends, np.cumsum([len(x) for x in rests]) - 1, side="right")])
+    many = np.diff(edges)
+    short = (many >= 8) & ((many - 4) % 6 == 4)  # the first gap is 0
+    base = np.where(short, 8, 4)
+    nth, base_of = np.arange(len(values)) - np.repeat(edges[:-1], many), np.repeat(base, many)
+    place = np.where(nth >= base_of, (nth - base_of) % 6, -1)
+    tags = np.full(len(values), -1, np.int64)
+    for where, tag in ((place == 0, 0x22), (place == 2, 0x08), (place == 4, 0x10), (nth == 0, 0x10), (nth == 2, 0x18), ((nth == 4) & (place < 0), 0x22), ((nth == 6) & (place < 0), 0x10)):
+        tags[where] = tag
+    wrong = ((tags >= 0) & (values.astype(np.int64) != tags)) | (sizes > 10)
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    for where, fields in ((place == 1, 4), ((nth == 5) & (place < 0), 2)):
+        at = np.flatnonzero(where)
+        inside = total[np.minimum(at + 1 + fields, len(values))] - total[at + 1]
+        wrong[at[values[at] != inside.astype(np.uint64)]] = True
+    odd |= set(np.flatnonzero((many < 4) | ((many - base) % 6 != 0)).tolist())
+    odd |= set(np.repeat(np.arange(len(lists)), many)[wrong].tolist())
+    good = np.ones(len(lists), bool)
+    good[list(odd)] = False
+    slow = {i: decode_postings(lists[i]) for i in odd}
+    counts = (many - base) // 6 + short
+    for i, x in slow.items():
+        terms[i], counts[i] = x[0], len(x[3])
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    df, cf = np.zeros(len(lists), np.int64), np.zeros(len(lists), np.int64)
+    df[good], cf[good] = values[edges[:-1][good] + 1].view(np.int64), values[edges[:-1][good] + 3].view(np.int64)
+    docids, tfs = np.zeros(offsets[-1], np.int32), np.zeros(offsets[-1], np.int32)
+    fast, own = np.repeat(good, many), np.repeat(good, counts)
+    zero = offsets[:-1][good & short]
+    gapped = own.copy()
+    gapped[zero] = False
+    low = (values & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
+    docids[gapped] = low[fast & (place == 3)]
+    tfs[own] = low[fast & ((place == 5) | ((nth == 7) & (place < 0)))]
+    for i, (_, d, c, postings) in slow.items():
+        df[i], cf[i] = d, c
+        if postings:
+            docids[offsets[i] : offsets[i + 1]], tfs[offsets[i] : offsets[i + 1]] = zip(*postings, strict=True)
+    postings = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(docids), pa.array(tfs)], ["docid", "tf"]))
+    return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(lists)), pa.int64()), pa.array(terms), pa.array(df), pa.array(cf), postings], ["posn", "term", "df", "cf", "postings"])
+
+
+def _batches(f: BinaryIO, offset: int, many: int, first: int, skip: int) -> Iterator[pa.RecordBatch]:
+    """Lists in batches of about a megabyte."""
+    held, size = [], 0
+    for data in _raw(f, offset, many, skip):
+        held.append(data)
+        size += len(data)
+        if size >= 1 << 20 or len(held) == 10_000:
+            yield decode_lists(first, held)
+            first, held, size = first + len(held), [], 0
+    if held:
+        yield decode_lists(first, held)
+
+
 def store(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path within it."""
     if path.startswith("file:"):
@@ -333,12 +436,19 @@ def positions(spark: SparkSession, path: str, split: int = SPLIT, only: list[str
             before += found[i]["many"]
         if before < head[1] + head[2]:
             raise ValueError("the file ends before its last message")
-        facts = {"size": str(size), "written": str(info.mtime_ns), "lists": str(head[1]), "docs": str(head[2])}
-        out = pa.table({"number": pa.array(numbers, pa.int64()), "offset": pa.array(offsets, pa.int64())}).replace_schema_metadata(facts)
-        beside = _beside(path, at)
-        system.create_dir(beside.rsplit("/", 1)[0], recursive=True)
-        with system.open_output_stream(beside) as f:
-            pq.write_table(out, f)
+        store_positions(path, at, numbers, offsets, head[1], head[2])
+
+
+def store_positions(path: str, at: str, numbers: list[int], offsets: list[int], lists: int, docs: int) -> None:
+    """Stores numbers and offsets of messages beside their file, with what tells whether the file is still the same."""
+    system, _ = store(path)
+    info = system.get_file_info(at)
+    facts = {"size": str(info.size), "written": str(info.mtime_ns), "lists": str(lists), "docs": str(docs)}
+    out = pa.table({"number": pa.array(numbers, pa.int64()), "offset": pa.array(offsets, pa.int64())}).replace_schema_metadata(facts)
+    beside = _beside(path, at)
+    system.create_dir(beside.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(beside) as f:
+        pq.write_table(out, f)
 
 
 def stored_positions(path: str, at: str) -> tuple[list[int], list[int], int, int] | None:
@@ -383,6 +493,13 @@ class _Part(InputPartition):
         self.at, self.offset, self.many, self.first, self.skip = at, offset, many, first, skip
 
 
+class _Parts(InputPartition):
+    """Several lookups of a task."""
+
+    def __init__(self, parts: list[_Part]):
+        self.parts = parts
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str, table: str, only: list[tuple[int, int]] | None = None, split: int = SPLIT):
         self.path, self.table, self.only, self.split = path, table, only, split
@@ -403,14 +520,23 @@ class _Reader(DataSourceReader):
                 if only is not None:
                     parts = [(offset, 1, n, n - first) for offset, many, first, _ in parts for n in only if first <= n < first + many]
             out += [_Part(at, offset, many, first + (number << FILE_BITS), skip) for offset, many, first, skip in parts]
+        if self.only is not None and len(out) > LOOKUPS:
+            tasks = max(LOOKUPS, -(-len(out) // 1024))
+            return [_Parts(out[i * len(out) // tasks : (i + 1) * len(out) // tasks]) for i in range(tasks)]
         return out or [_Part("", 0, 0, 0)]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
+    def read(self, partition: _Part | _Parts) -> Iterator[tuple | pa.RecordBatch]:
+        if isinstance(partition, _Parts):
+            for part in partition.parts:
+                yield from self.read(part)
+            return
         if not partition.many:
             return
         with opened(self.path, partition.at) as f:
             if self.table == "header":
                 yield decode_header(f.read(_length(f) or 0))
+            elif self.table == "postings":
+                yield from _batches(f, partition.offset, partition.many, partition.first, partition.skip)
             else:
                 yield from messages(f, partition.offset, partition.many, partition.first, self.table, partition.skip)
 
@@ -487,32 +613,56 @@ def lookup(spark: SparkSession, path: str, table: str, posns: list[int]) -> Data
 
 def _summed(wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
-            for i in range(batch.num_rows):  # a list at a time: its postings are one message of the file
-                own = batch.column("postings")[i].values
-                if own is None or not len(own):
-                    continue
-                tf = own.field("tf").to_numpy(zero_copy_only=False)
-                if (tf < 0).any():
-                    raise ValueError("a negative term frequency")
-                gaps = own.field("docid").to_numpy(zero_copy_only=False).astype(np.int64)
-                ids = np.cumsum(gaps & 0xFFFFFFFF if wide else gaps)
-                if ids.max() >= 1 << (32 if wide else 31) or ids.min() < 0:
-                    raise ValueError(f"an id beyond {32 if wide else 31} bits in the list of {batch.column('term')[i].as_py()!r}" + ("" if wide else "; wide=True takes unsigned ones"))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("term")[i].as_py()] * len(ids)), pa.array(ids if wide else ids.astype(np.int32)), pa.array(tf)], ["term", "doc_id", "tf"])
+            column = batch.column("postings")
+            many = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            values, edges = column.flatten(), np.concatenate([[0], np.cumsum(many)])
+            tfs, gaps = values.field("tf").to_numpy(zero_copy_only=False), values.field("docid").to_numpy(zero_copy_only=False).astype(np.int64)
+            if (tfs < 0).any():
+                raise ValueError("a negative term frequency")
+            sums = np.concatenate([[0], np.cumsum(gaps & 0xFFFFFFFF if wide else gaps)])
+            low = 0
+            while low < len(many):  # lists of about so many postings at a time
+                high = max(low + 1, int(np.searchsorted(edges, edges[low] + (1 << 17), side="right")) - 1)
+                ids = sums[edges[low] + 1 : edges[high] + 1] - np.repeat(sums[edges[low:high]], many[low:high])
+                nth = np.repeat(np.arange(low, high), many[low:high])
+                wrong = np.flatnonzero((ids >= 1 << (32 if wide else 31)) | (ids < 0))
+                if len(wrong):
+                    term = batch.column("term")[int(nth[wrong[0]])].as_py()
+                    raise ValueError(f"an id beyond {32 if wide else 31} bits in the list of {term!r}" + ("" if wide else "; wide=True takes unsigned ones"))
+                if len(ids):
+                    tf = pa.array(tfs[edges[low] : edges[high]])
+                    yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(nth)), pa.array(ids if wide else ids.astype(np.int32)), tf], ["term", "doc_id", "tf"])
+                low = high
 
     return run
 
 
-def postings(lists: DataFrame, wide: bool = False) -> DataFrame:
+def postings(lists: DataFrame, wide: bool = False, single: bool = False) -> DataFrame:
     """term, doc_id, tf: ids are running sums of the gaps; of a term's lists in a file the last one counts; negative tf are refused.
 
     wide: gaps are unsigned and ids long; else ids beyond 31 bits are refused.
+    single: no file has two lists of a term (see single_lists()), so none has to be looked for.
+    Lists are shuffled only where a file has several of a term.
     """
-    last = lists.groupBy("term", F.shiftright("posn", FILE_BITS)).agg(F.max("posn").alias("posn")).select("posn")
-    return lists.join(last, "posn", "left_semi").select("term", "postings").mapInArrow(_summed(wide), f"term string, doc_id {'long' if wide else 'int'}, tf int")
+    if not single:
+        own = lists.groupBy("term", F.shiftright("posn", FILE_BITS)).agg(F.max("posn").alias("posn"), F.count("*").alias("many"))
+        if not own.where("many > 1").isEmpty():
+            lists = lists.join(own.select("posn"), "posn", "left_semi")
+    return lists.select("term", "postings").mapInArrow(_summed(wide), f"term string, doc_id {'long' if wide else 'int'}, tf int")
+
+
+def single_lists(path: str) -> bool:
+    """Whether a folder's manifest says that each file has one list of a term, as our sink writes them."""
+    try:
+        system, at = store(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    if system.get_file_info(at + MANIFEST).type != fs.FileType.File:
+        return False
+    files(path)  # refuses a folder that isn't its manifest's
+    with system.open_input_file(at + MANIFEST) as f:
+        return bool(json.loads(f.read()).get("single_lists"))
 
 
 def docs(records: DataFrame, wide: bool = False) -> DataFrame:
@@ -560,6 +710,43 @@ def encode_list(term: str, own: list[tuple[int, int]]) -> bytes:
     return _message(b"".join(parts))
 
 
+def _varints(out: np.ndarray, at: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+    """Writes varints of the given sizes to out."""
+    for k in range(int(sizes.max(initial=0))):
+        own = np.flatnonzero(sizes > k)
+        byte = ((values[own] >> np.uint64(7 * k)) & np.uint64(0x7F)).astype(np.uint8)
+        out[at[own] + k] = byte | np.where(sizes[own] > k + 1, 0x80, 0).astype(np.uint8)
+
+
+def _varint_sizes(values: np.ndarray) -> np.ndarray:
+    """Bytes that each takes as a varint, none for zero."""
+    return np.searchsorted(np.array([1 << (7 * k) for k in range(10)], np.uint64), values, side="right")
+
+
+def encode_lists(terms: list[str], codes: np.ndarray, many: np.ndarray, bases: np.ndarray) -> list[bytes]:
+    """encode_list() of many terms at once: of each `many` ascending codes, a document's number above `base` over 32 bits of tf."""
+    edges = np.concatenate([[0], np.cumsum(many.astype(np.int64))])
+    docs, tfs = (codes >> 32) + np.repeat(bases, many), (codes & 0xFFFFFFFF).astype(np.uint32).view(np.int32).astype(np.int64)
+    gaps = np.diff(docs, prepend=0)
+    firsts = edges[:-1][many > 0]
+    gaps[firsts] = docs[firsts]
+    gaps, freqs = gaps.view(np.uint64), tfs.view(np.uint64)
+    gap_sizes, tf_sizes = _varint_sizes(gaps), _varint_sizes(freqs)
+    inner = gap_sizes + (gap_sizes > 0) + tf_sizes + (tf_sizes > 0)
+    at = np.concatenate([[0], np.cumsum(inner + 2)])
+    out = np.zeros(at[-1], np.uint8)
+    out[at[:-1]], out[at[:-1] + 1] = 0x22, inner
+    begin = at[:-1] + 2
+    out[begin[gap_sizes > 0]] = 0x08
+    _varints(out, begin + 1, gaps, gap_sizes)
+    begin = begin + gap_sizes + (gap_sizes > 0)
+    out[begin[tf_sizes > 0]] = 0x10
+    _varints(out, begin + 1, freqs, tf_sizes)
+    whole, cuts = out.tobytes(), at[edges].tolist()
+    cfs = np.diff(np.concatenate([[0], np.cumsum(tfs)])[edges]).tolist()
+    return [_message(b"".join((_bytes(1, t.encode()), _number(2, n), _number(3, cf), whole[a:b]))) for t, n, cf, a, b in zip(terms, many.tolist(), cfs, cuts, cuts[1:], strict=False)]
+
+
 def encode_doc(doc: int, name: str, length: int) -> bytes:
     return _message(_number(1, doc) + _bytes(2, name.encode()) + _number(3, length))
 
