@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomrank.functions.scoring import BM25, Identity, LinearQuantizer
 from loomrank.operators import planning, ranking, segments
@@ -170,3 +171,17 @@ def test_scores_above_are_computed_once(spark):
     found = ranking.above(scores, 47)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == sorted((i % 3, i, i % 50) for i in range(300) if i % 50 > 47)
+
+
+def test_sums_of_a_task_are_bounded(spark, monkeypatch):
+    """Queries and ranges of ids are dealt out before blocks become documents: a hot term's sums don't meet in the task that reads it."""
+    rows = spark.range(3000).selectExpr("id AS doc_id", "concat('hot n', id % 3) AS text")
+    built = indexes.from_documents(rows, Identity(), block_bits=5)
+    terms = spark.createDataFrame([(q, 0, "hot", 1 + q) for q in range(20)] + [(q, 1, "n1", 2) for q in range(20)], "qid long, pos int, token string, weight int")
+    monkeypatch.setattr(searches, "SUMS", 2000)
+    got = searches.scores(built, terms)
+    assert got.rdd.getNumPartitions() == 30
+    most = got.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+    assert most <= 6000
+    assert got.exceptAll(ranking.accumulated(planning.planned(built.directory, terms), built.blocks)).isEmpty() and got.count() == 60_000
+    assert {tuple(r) for r in searches.scores(built, terms, wrap=True).collect()} == {tuple(r) for r in got.collect()}
