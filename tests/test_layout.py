@@ -72,6 +72,33 @@ def test_ties_at_the_threshold(spark):
     assert rows(searches.search_skipping(built, terms, 2)) == [(1, 1, 21, 5), (1, 2, 3, 3)]
 
 
+def test_skipping_shuffles_a_batch_once(fine, batch):
+    # bounds, masks and sums lie by query and zone as their postings do
+    plan = searches.skipping(fine, batch).scores._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_counting_documents_reads_no_lists(fine):
+    assert fine.num_docs == fine.getter("num_docs") == 600
+    plan = fine.docs._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in plan  # lengths were counted once, when the index was built
+
+
+@pytest.mark.parametrize("bits", [1, 4, 13, 16])
+def test_skipping_by_zones_of_any_blocks(spark, bits, tmp_path):
+    r = random.Random(bits)
+    texts = [(r.choice((0, 60_000, 200_000)) + i, " ".join(r.choice("abcdef") for _ in range(r.randint(0, 9)))) for i in range(400)]
+    texts[7] = (70_007, "a " * 40_000)  # an impact beyond 15 bits
+    built = indexes.from_documents(spark.createDataFrame(texts, "doc_id long, text string"), Identity(), dense=False, block_bits=bits)
+    indexes.write(built, f"file://{tmp_path}/index", buckets=2)
+    terms = spark.createDataFrame([(q, p, t, 1 + p) for q, ts in enumerate(("abc", "aa", "f", "fz", "edcba")) for p, t in enumerate(ts)], QUERY)
+    for mode in (Mode(fraction=1.0), Mode(fraction=0.4)):
+        want = rows(searches.search(built, terms, 4, mode))
+        assert want[0][2:] == (70_007, 40_000)
+        for ix in (built, indexes.read(spark, f"file://{tmp_path}/index")):
+            assert rows(searches.search_skipping(ix, terms, 4, mode)) == want
+
+
 @pytest.mark.parametrize(("k", "worth"), [(1, 1.0), (5, 0.5), (10, 0.0), (1000, 1.0)])
 def test_rounds_equal_search(fine, batch, k, worth):
     got = rounds.search_rounds(fine, batch, k, worth=worth, measured=True)
