@@ -116,6 +116,46 @@ def test_rounds_without_known_tokens(spark, fine):
     assert rows(rounds.search_rounds(fine, spark.createDataFrame([(1, 0, "absent", 1)], QUERY)).results) == []
 
 
+def test_rounds_shuffle_a_batch_once(fine, batch, monkeypatch):
+    # what a batch has is dealt out once; sums of every round, and what leaving queries keep, lie in the same buckets
+    plans = []
+
+    def seen(df, table, *rest):
+        plans.append((table, df._jdf.queryExecution().executedPlan().toString()))
+        return indexes.dealt(df, table, *rest)
+
+    monkeypatch.setattr(rounds, "dealt", lambda df, table, n, lying=False: seen(df, table, n, lying), raising=False)
+    got = rounds.search_rounds(fine, batch, 3)
+    assert rows(got.results) == rows(searches.search(fine, batch, 3)) and len(got.log) > 1
+    assert [t for t, _ in plans].count("zones") == 1
+    sums = [p for t, p in plans if t == "scores"]
+    assert len(sums) > 1 and not any("Exchange hashpartitioning" in p for p in sums)
+    assert all("Bucketed: true" in p for p in sums if "HashAggregate" in p)
+
+
+@pytest.mark.parametrize(("bits", "kept", "shares"), [(1, False, (1 / 16, 1 / 2)), (13, True, (1 / 3,)), (16, False, ()), (4, True, (1 / 8, 1 / 2))])
+def test_rounds_by_zones_of_any_blocks(spark, bits, kept, shares, tmp_path):
+    r = random.Random(bits)
+    texts = [(r.choice((0, 60_000, 200_000)) + i, " ".join(r.choice("abcdef") for _ in range(r.randint(0, 9)))) for i in range(400)]
+    texts[7] = (70_007, "a " * 40_000)  # an impact beyond 15 bits
+    built = indexes.from_documents(spark.createDataFrame(texts, "doc_id long, text string"), Identity(), dense=False, block_bits=bits)
+    if kept:
+        indexes.write(built, f"file://{tmp_path}/index", buckets=2)
+        built = indexes.read(spark, f"file://{tmp_path}/index")
+    terms = spark.createDataFrame([(q, p, t, 1 + p) for q, ts in enumerate(("abc", "aa", "f", "fz", "edcba")) for p, t in enumerate(ts)], QUERY)
+    want = rows(searches.search(built, terms, 4))
+    assert want[0][2:] == (70_007, 40_000) and rows(rounds.search_rounds(built, terms, 4, shares, worth=1.0).results) == want
+
+
+def test_lists_with_levels_have_the_directory(fine, batch):
+    leveled = fine.leveled(batch, 6).persist()
+    want = {(r["term"], r["impact"]): r["count"] for r in fine.of(batch).directory.collect()}
+    assert {(r["term"], r["impact"]): r["count"] for r in segments.leveled_directory(leveled).collect()} == want
+    for cut in (0, 1, 7, 300):
+        n = leveled.selectExpr("*", f"{cut} AS cut").selectExpr(f"sum({segments.below('cut')}) AS n").first()["n"]
+        assert n == sum(c for (_, impact), c in want.items() if impact < cut)
+
+
 def test_stored_tables_meet_without_a_shuffle(spark, fine, batch, tmp_path):
     path = f"file://{tmp_path}/index"
     indexes.write(fine, path, buckets=3)
