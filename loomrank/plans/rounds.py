@@ -159,5 +159,5 @@ def _met(scores: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 def _masks(met: DataFrame, bits: int, *columns: str) -> DataFrame:
-    blocks = met.select("qid", "zone", *columns, F.shiftright("place", bits).alias("nth"))
+    blocks = met.select(*(F.col(c).alias(c) for c in ("qid", "zone", *columns)), F.shiftright("place", bits).alias("nth"))  # anew, as in _anew()
     return ranking.masks(blocks, *columns).hint("shuffle_hash")

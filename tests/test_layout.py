@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 
 import pytest
 
@@ -124,13 +125,19 @@ def test_rounds_shuffle_a_batch_once(fine, batch, monkeypatch):
         plans.append((table, df._jdf.queryExecution().executedPlan().toString()))
         return indexes.dealt(df, table, *rest)
 
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return storage.saved(df, name)
+
     monkeypatch.setattr(rounds, "dealt", lambda df, table, n, lying=False: seen(df, table, n, lying), raising=False)
+    monkeypatch.setattr(rounds, "saved", kept)
     got = rounds.search_rounds(fine, batch, 3)
     assert rows(got.results) == rows(searches.search(fine, batch, 3)) and len(got.log) > 1
     assert [t for t, _ in plans].count("zones") == 1
     sums = [p for t, p in plans if t == "scores"]
     assert len(sums) > 1 and not any("Exchange hashpartitioning" in p for p in sums)
     assert all("Bucketed: true" in p for p in sums if "HashAggregate" in p)
+    assert not any(re.search(r"Exchange hashpartitioning\(qid#\d+L?, zone", p) for t, p in plans if t in ("results", "leaving"))
 
 
 @pytest.mark.parametrize(("bits", "kept", "shares"), [(1, False, (1 / 16, 1 / 2)), (13, True, (1 / 3,)), (16, False, ()), (4, True, (1 / 8, 1 / 2))])
